@@ -6,16 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import suffix_dedup
+from quillspark.llm import fm_dedup, minhash, suffix_dedup
 from quillspark.llm.shared import table
 
 
+def op2_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_dedup.dedup_windows(table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_suffix_array_dedup,)}
+    return {f.__name__: f for f in (op2_fm_index_dedup, op4_suffix_array_dedup, op6_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
