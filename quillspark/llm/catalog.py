@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import fm_dedup, minhash, suffix_dedup
+from quillspark.llm import fm_dedup, html_blocks, minhash, suffix_dedup
 from quillspark.llm.shared import table
 
 
@@ -22,8 +22,17 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_fm_index_dedup, op4_suffix_array_dedup, op6_minhash_near_dedup)}
+    return {f.__name__: f for f in (
+        op2_fm_index_dedup,
+        op4_suffix_array_dedup,
+        op6_minhash_near_dedup,
+        op10_html_blocks,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
