@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import fm_dedup, html_blocks, minhash, suffix_dedup
+from quillspark.llm import fm_dedup, html_blocks, minhash, suffix_dedup, toxicity
 from quillspark.llm.shared import table
 
 
@@ -26,11 +26,16 @@ def op10_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op8_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op2_fm_index_dedup,
         op4_suffix_array_dedup,
         op6_minhash_near_dedup,
+        op8_toxicity_trees,
         op10_html_blocks,
     )}
 
