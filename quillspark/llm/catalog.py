@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import fm_dedup, html_blocks, minhash, suffix_dedup, toxicity
+from quillspark.llm import fm_dedup, html_blocks, minhash, quality, suffix_dedup, toxicity
 from quillspark.llm.shared import table
 
 
@@ -30,9 +30,15 @@ def op8_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    return quality.quality(table(spark, sf_dir, "documents"), quality.grades(labels))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op2_fm_index_dedup,
+        op3_ordinal_quality,
         op4_suffix_array_dedup,
         op6_minhash_near_dedup,
         op8_toxicity_trees,
