@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import fm_dedup, html_blocks, minhash, quality, suffix_dedup, toxicity
+from quillspark.llm import decontaminate, fm_dedup, html_blocks, minhash, quality, suffix_dedup, toxicity
 from quillspark.llm.shared import table
 
 
@@ -35,6 +35,10 @@ def op3_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), quality.grades(labels))
 
 
+def op9_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op2_fm_index_dedup,
@@ -42,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op4_suffix_array_dedup,
         op6_minhash_near_dedup,
         op8_toxicity_trees,
+        op9_bm25_decontamination,
         op10_html_blocks,
     )}
 
