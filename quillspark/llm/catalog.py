@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontaminate, fm_dedup, html_blocks, minhash, quality, suffix_dedup, toxicity
+from quillspark.llm import decontaminate, fm_dedup, html_blocks, minhash, quality, sentencepiece_codec, suffix_dedup, toxicity
 from quillspark.llm.shared import table
 
 
@@ -39,11 +39,16 @@ def op9_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op2_fm_index_dedup,
         op3_ordinal_quality,
         op4_suffix_array_dedup,
+        op5_sentencepiece_codec,
         op6_minhash_near_dedup,
         op8_toxicity_trees,
         op9_bm25_decontamination,
