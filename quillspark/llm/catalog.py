@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontaminate, fm_dedup, html_blocks, minhash, quality, sentencepiece_codec, suffix_dedup, toxicity
+from quillspark.llm import decontaminate, fm_dedup, html_blocks, minhash, pii, quality, sentencepiece_codec, suffix_dedup, toxicity
 from quillspark.llm.shared import table
 
 
@@ -43,8 +43,13 @@ def op5_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
+        op1_feistel_pseudonyms,
         op2_fm_index_dedup,
         op3_ordinal_quality,
         op4_suffix_array_dedup,
