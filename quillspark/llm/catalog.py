@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontaminate, fm_dedup, html_blocks, minhash, pii, quality, sentencepiece_codec, suffix_dedup, toxicity
+from quillspark.llm import chroma, decontaminate, fm_dedup, html_blocks, minhash, pii, quality, sentencepiece_codec, suffix_dedup, toxicity
 from quillspark.llm.shared import table
 
 
@@ -47,6 +47,10 @@ def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(table(spark, sf_dir, "documents"))
 
 
+def op7_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chroma.align(chroma.recordings(table(spark, sf_dir, "embeddings")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_feistel_pseudonyms,
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op4_suffix_array_dedup,
         op5_sentencepiece_codec,
         op6_minhash_near_dedup,
+        op7_chroma_fingerprints,
         op8_toxicity_trees,
         op9_bm25_decontamination,
         op10_html_blocks,

@@ -252,12 +252,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ids). A null doc_id counts as larger than all. Repeated rows are one class.
     Other columns are ignored; no rows give no rows.
     """
+    return _labelled(docs).select("doc_id", "n_shingles", "component_id", "kept", "class_id", "n_links")
+
+
+def _labelled(docs: DataFrame) -> DataFrame:
     members, found = links(keyed(docs))
     labels = components(found)
     both = found.select(F.col("a").alias("rep")).unionByName(found.select(F.col("b").alias("rep")))
     degree = both.groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     out = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").join(degree, "rep", "left")
     out = out.select(
-        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc").alias("component_id"), F.coalesce("rep", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+        "rid", F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc").alias("component_id"), F.coalesce("rep", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "class_id", "n_links")
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() | (F.col("component_id") == (1 << 63) - 1)))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, that are kept; of rows that agree in doc_id and text, one stays."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keys = _labelled(rows.select("doc_id", "text")).filter("kept").select("rid").distinct()
+    rows = rows.select("row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("rid")).join(keys, "rid", "left_semi").dropDuplicates(["rid"])
+    return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns))

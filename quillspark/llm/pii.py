@@ -203,3 +203,12 @@ def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return replaced(rows, key).select("doc_id", F.col("_pii.text").alias("text"), F.col("_pii.n").alias("n_replaced"))
+
+
+def with_pseudonyms(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """`docs` with all its columns, `text` pseudonymized, and `n_chars`, if there is one, following it."""
+    rows = replaced(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text")), key)
+    fresh = {"text": F.col("_pii.text")}
+    if "n_chars" in docs.columns:
+        fresh["n_chars"] = F.when(F.col("_pii.n") > 0, F.char_length("_pii.text")).otherwise(F.col("row")["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*(fresh.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

@@ -361,6 +361,11 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 
+def checked(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """doc_id, ids, n_tokens, restored of every row: ids as in `encode`, restored as in `round_trip`."""
+    return _round_trip(docs, model, True)
+
+
 def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256 (ids as little-endian 32-bit numbers), restored.
 
@@ -370,18 +375,27 @@ def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
     null doc_id stays null, other columns are ignored, no rows give no rows.
     """
 
+    return _round_trip(docs, model, False)
+
+
+def _round_trip(docs: DataFrame, model: str, with_ids: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary(model))
         for batch in batches:
             for i, j, ids, first, data, own in _texts(batch, encoder, 1):
                 out, cut = encoder.decode(ids, first)
-                raw = ids.astype("<i4").tobytes()
-                digests = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(first[:-1], first[1:], strict=True)]
                 wanted, back = data.tobytes(), out.tobytes()
-                same = [back[a:b] == (w := wanted[c:d]) or back[a:b] == w.replace(MARK.encode(), b" ") for a, b, c, d in zip(cut[:-1], cut[1:], own[:-1], own[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(first)), pa.array(digests, pa.string()), pa.array(same)], names=["doc_id", "n_tokens", "ids_sha256", "restored"])
-
-    return _rows(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, restored boolean")
+                same = pa.array([back[a:b] == (w := wanted[c:d]) or back[a:b] == w.replace(MARK.encode(), b" ") for a, b, c, d in zip(cut[:-1], cut[1:], own[:-1], own[1:], strict=True)])
+                doc_id, n = batch.column(0).slice(i, j - i), pa.array(np.diff(first))
+                if with_ids:
+                    yield pa.RecordBatch.from_arrays([doc_id, pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids)), n, same], names=["doc_id", "ids", "n_tokens", "restored"])
+                else:
+                    raw = ids.astype("<i4").tobytes()
+                    digests = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(first[:-1], first[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([doc_id, n, pa.array(digests, pa.string()), same], names=["doc_id", "n_tokens", "ids_sha256", "restored"])
+
+    kind = "ids array<int>, n_tokens long" if with_ids else "n_tokens long, ids_sha256 string"
+    return _rows(docs).mapInArrow(run, f"doc_id long, {kind}, restored boolean")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
