@@ -159,7 +159,7 @@ def features(facts: list[tuple], texts: list[str]) -> np.ndarray:
 class Tree:
     """A decision tree by Gini impurity."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 1):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = 1):
         self.feature, self.threshold, self.left, self.right, self.value = [], [], [], [], []
         self._grow(x, y, depth, least)
 
@@ -230,6 +230,16 @@ LABELLED_PAGES = (
     f"<body><div id=main-content><p>+{_LONG}</p><p>+Some more</p><p>+{_LONG}</p><p>+End of story</p></div><div class=copyright>{_LONG}</div>",
     f"<body><ul>{_LINKS}</ul><p>Back to top.</p><ul>{_LINKS}</ul><p>{_MIDDLE[:25]}.</p><ul>{_LINKS}</ul>",
     f"<body><nav><p>{_LONG}</p></nav><footer><p>{_LONG}</p><p>{_LONG}</p></footer>",
+    *(f"{before}<article><p>+{_LONG[:a]}<p>+{_LONG[:b]}</article>{after}" for a in (3, 9, 29, 90) for b in (3, 9, 29, 90) for before in ("", f"<nav>{_LINKS}</nav>") for after in ("", f"<footer>{_MIDDLE}</footer>", f"<nav>{_LINKS}</nav>", "<a href=/>More stories from the valley and the hills</a>")),
+    *(f"<article><p>+{_LONG[:a]}<p>+{mark}<p>+{_LONG[:b]}</article><p>{mark}</p>" for mark in ("All rights reserved.", "&copy; 2020", "Copyright Valley News.") for a, b in ((3, 90), (90, 29))),
+    *(f"<div class=content><p>+{_LONG}<p>+{_LONG[:a]}</div>{after}" for a in (3, 9, 29, 90) for after in (f"<ul>{_LINKS}</ul>", "<a href=/>More stories from the valley and the hills</a>")),
+    *(
+        f"{opening}<p>+{_LONG}</p><{box}><p>{_LONG[:a]}</p><p>{_LONG[:b]}</p></{box.split()[0]}><p>+{_LONG[:b]}</p>{closing}"
+        for opening, closing in (("<article>", "</article>"), ("<div class=content>", "</div>"), ("<div>", "</div>"))
+        for box in ("nav", "form", "aside", "footer", "div class=comments", "div class=ad", "div class=newsletter", "div class=related", "div class=notice", "div class=sidebar")
+        for a, b in ((3, 90), (29, 147), (147, 29))
+    ),
+    *(f"<ul>{_LINKS}</ul><div class=content><h1>+{_LONG[:a]}</h1><p>+{_LONG[:b]}<p>+{_LONG}</div><ul>{_LINKS}</ul>" for a in (9, 29) for b in (3, 9, 29, 90)),
 )
 
 
