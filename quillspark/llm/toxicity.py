@@ -194,7 +194,7 @@ class BoostedTrees:
     """Logistic gradient boosting with histograms of at most `bins` quantiles."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 48, least: float = 2.0, ridge: float = 2.0):
-        self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
+        self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) if len(c) else c for c in x.T]
         codes = np.stack([np.searchsorted(cut, c, "left") for cut, c in zip(self.cuts, x.T, strict=True)], 1)
         mean = np.clip(y.mean() if len(y) else 0.0, 1e-4, 1 - 1e-4)
         self.base, self.trees, self.depth = float(np.log(mean / (1 - mean))), [], depth
