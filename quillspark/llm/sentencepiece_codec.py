@@ -88,14 +88,14 @@ def suffix_order(codes: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.nd
     keys = [key]
     for at in range(4, depth, 4):
         later = np.zeros(n, np.uint64)
-        later[: n - at] = key[at:]
+        later[: max(0, n - at)] = key[at:]
         keys.append(np.where(left > at, later, np.uint64(0)))
     _, rank = np.unique(key, return_inverse=True)
     reach = 4
     order = np.argsort(rank, kind="stable")
     while reach < depth:
         later = np.zeros(n, np.int64)
-        later[: n - reach] = rank[reach:] + 1
+        later[: max(0, n - reach)] = rank[reach:] + 1
         pair = rank * (n + 2) + np.where(left > reach, later, 0)
         order = np.argsort(pair, kind="stable")
         new = np.ones(n, bool)
