@@ -13,7 +13,7 @@
    full sets.
 5. Members that no link ties to the largest component of their family (classes
    chained by buckets) are compared with the whole family, in blocks of
-   `BLOCK_SETS` sets against a stream of the others; a block counts
+   `BLOCK_SETS` sets against slices of `SLICE_SETS` of the others; a block counts
    common shingles through an index of its sets, and only links leave it. So no link between two classes of a family
    is lost, and pairs are never written out.
 6. Links give components.
@@ -40,6 +40,8 @@ THRESHOLD = 85
 #: A pair is dropped unconfirmed if its estimate is so far (in percent) below the threshold: over five standard deviations.
 SLACK = 25
 BLOCK_SETS = 256
+#: Sets of a family that one block is held against in one task.
+SLICE_SETS = 1024
 
 _PERMUTATIONS = BANDS * ROWS
 _rng = np.random.default_rng(20240607)
@@ -140,12 +142,15 @@ def estimate(a: str, b: str) -> str:
 
 
 def _blocks(members: DataFrame, queries: DataFrame) -> DataFrame:
-    """Blocks of unsettled sets beside the whole family, one row for each family set and block."""
-    chunk = F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.ceil(F.col("unsettled") / BLOCK_SETS)).cast("long")).cast("int")
-    queries = written(queries.withColumn("block", chunk), "minhash-queries")
+    """Blocks of unsettled sets beside slices of their family: one row for each family set and block, and for each unsettled set and slice."""
+    part = F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.ceil(F.col("unsettled") / BLOCK_SETS)).cast("long")).cast("int")
+    slices = F.greatest(F.lit(1), F.ceil(F.col("whole") / SLICE_SETS)).cast("int")
+    queries = written(queries.withColumn("block", part).withColumn("slices", slices), "minhash-queries")
     blocks = queries.select("family", "block").distinct()
-    others = members.join(blocks, "family").select("family", "block", "rep", "component", "shingles", F.lit(False).alias("query"))
-    return others.unionByName(queries.select("family", "block", "rep", "component", "shingles", F.lit(True).alias("query")))
+    others = members.withColumn("slice", F.pmod(F.xxhash64(F.lit("slice"), "rep"), slices.cast("long")).cast("int")).join(blocks, "family")
+    others = others.select("family", "block", "slice", "rep", "component", "shingles", F.lit(False).alias("query"))
+    asked = queries.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    return others.unionByName(asked.select("family", "block", "slice", "rep", "component", "shingles", F.lit(True).alias("query")))
 
 
 def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,16 +190,16 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked_in_blocks(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Splits a sorted partition into blocks by (family, block)."""
+    """Splits a sorted partition by (family, block, slice)."""
 
     def runs():
         for frame in frames:
-            keys = np.stack([frame.column("family").to_numpy(), frame.column("block").to_numpy().astype(np.int64)])
+            keys = np.stack([frame.column(c).to_numpy().astype(np.int64) for c in ("family", "block", "slice")])
             cut = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
             edges = [0, *cut.tolist(), frame.num_rows]
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 if b > a:
-                    yield (int(keys[0, a]), int(keys[1, a])), frame.slice(a, b - a)
+                    yield tuple(keys[:, a].tolist()), frame.slice(a, b - a)
 
     for _, group in itertools.groupby(runs(), key=lambda x: x[0]):
         yield from _block_links(piece for _, piece in group)
@@ -206,10 +211,10 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     #: One row for each set; null ids sort last, so a class is named by a real id where it has one.
     classes = signed.filter("n > 0").groupBy("set1", "set2", "n").agg(F.min(F.struct(F.coalesce("doc", F.lit((1 << 63) - 1)).alias("doc"), F.col("rid").alias("rid"), "bands", "bits")).alias("one"))
     classes = written(classes.select("set1", "set2", "n", F.col("one.doc").alias("rep"), F.col("one.rid").alias("rid"), F.col("one.bands").alias("bands"), F.col("one.bits").alias("bits")), "minhash-classes")
-    members = signed.select("doc", "rid", "n", "set1", "set2").join(classes.select("set1", "set2", "n", "rep"), ["set1", "set2", "n"], "left").select("doc", "rid", "n", "rep")
+    members = written(signed.select("doc", "rid", "n", "set1", "set2").join(classes.select("set1", "set2", "n", "rep"), ["set1", "set2", "n"], "left").select("doc", "rid", "n", "rep"), "minhash-members")
 
     keys = classes.select("rep", F.explode("bands").alias("band"))
-    full = keys.groupBy("band").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("band")
+    full = written(keys.groupBy("band").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("band"), "minhash-full")
     buckets = written(keys.join(full, "band"), "minhash-buckets")
     candidates = classes.join(buckets.select("rep").distinct(), "rep", "left_semi")
     sets = docs.select("rid", "text").join(candidates.select("rid", "rep"), "rid").dropDuplicates(["rep"]).select("rep", "text")
@@ -219,8 +224,8 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     able = candidates.join(alone, "rep", "left").withColumn("alone", F.coalesce("alone", F.lit(0))).filter(f"100 * (n - alone) >= {THRESHOLD} * n")
     able = written(able.select("rep", "n", "bits", (F.col("alone") / F.col("n")).alias("apart")), "minhash-able")
 
-    joined = buckets.join(able.select("rep", "apart"), "rep")
-    hubs = joined.groupBy("band").agg(F.min(F.struct("apart", "rep")).alias("hub"), F.count(F.lit(1)).alias("held")).filter("held > 1").select("band", F.col("hub.rep").alias("hub"))
+    joined = written(buckets.join(able.select("rep", "apart"), "rep"), "minhash-joined")
+    hubs = written(joined.groupBy("band").agg(F.min(F.struct("apart", "rep")).alias("hub"), F.count(F.lit(1)).alias("held")).filter("held > 1").select("band", F.col("hub.rep").alias("hub")), "minhash-hubs")
     spokes = written(joined.join(hubs, "band").filter("rep <> hub").select("rep", "hub").distinct(), "minhash-spokes")
     near = spokes.join(able.select("rep", "n", "bits"), "rep").join(able.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("bits").alias("hub_bits")), "hub")
     near = near.filter(f"100 * least(n, hub_n) >= {THRESHOLD} * greatest(n, hub_n)").filter(f"{estimate('bits', 'hub_bits')} >= {(THRESHOLD - SLACK) / 100}D").select("rep", "hub", "n", "hub_n")
@@ -231,10 +236,10 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = components(first_links).select(F.col("node").alias("rep"), "component")
     placed = written(families.join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "minhash-placed")
     sizes = placed.groupBy("family", "component").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.groupBy("family").agg(F.max(F.struct("size", "component")).alias("largest"), F.sum("size").alias("whole")).select("family", F.col("largest.component").alias("main"), (F.col("whole") - F.col("largest.size")).alias("unsettled")).filter("unsettled > 0")
+    largest = sizes.groupBy("family").agg(F.max(F.struct("size", "component")).alias("largest"), F.sum("size").alias("whole")).select("family", F.col("largest.component").alias("main"), "whole", (F.col("whole") - F.col("largest.size")).alias("unsettled")).filter("unsettled > 0")
     open_ = placed.join(largest, "family").join(sets, "rep")
     blocks = _blocks(open_, open_.filter("component <> main"))
-    blocks = blocks.repartition("family", "block").sortWithinPartitions("family", "block", F.desc("query")).select("family", "block", "rep", "component", "shingles", "query")
+    blocks = blocks.repartition("family", "block", "slice").sortWithinPartitions("family", "block", "slice", F.desc("query")).select("family", "block", "slice", "rep", "component", "shingles", "query")
     late_links = blocks.mapInArrow(_linked_in_blocks, "a long, b long")
     return members, written(first_links.unionByName(late_links), "minhash-all-links")
 
@@ -257,10 +262,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def _labelled(docs: DataFrame) -> DataFrame:
     members, found = links(keyed(docs))
-    labels = components(found)
+    labels = components(found).select(F.col("node").alias("rep"), "component")
     both = found.select(F.col("a").alias("rep")).unionByName(found.select(F.col("b").alias("rep")))
     degree = both.groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    out = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").join(degree, "rep", "left")
+    #: One written table on the other side, so that Spark can split a class of very many members.
+    placed = written(labels.join(degree, "rep", "left"), "minhash-labels")
+    out = members.join(placed, "rep", "left")
     out = out.select(
         "rid", F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc").alias("component_id"), F.coalesce("rep", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
