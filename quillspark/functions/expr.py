@@ -35,9 +35,19 @@ def squared_distance(columns: Sequence[str], point: Sequence[float]) -> Column:
 
 
 def nearest(columns: Sequence[str], points: Sequence[Sequence[float]]) -> Column:
-    """Number of the nearest point, the lowest of equals; 0 if a value is NaN."""
-    pairs = [F.struct(squared_distance(columns, p).alias("distance"), F.lit(i).alias("id")) for i, p in enumerate(points)]
-    return F.array_min(F.array(*pairs))["id"].cast("int")
+    """Number of the nearest point, the lowest of equals; 0 if a value is NaN (then every distance is).
+
+    The smallest distance is compared with each in turn: numbers only, no arrays, so it
+    stays within generated code.
+    """
+    distances = [squared_distance(columns, p) for p in points]
+    if len(distances) == 1:
+        return F.lit(0)
+    least = F.least(*distances)
+    out = F.when(distances[0] == least, 0)
+    for i, d in enumerate(distances[1:-1], 1):
+        out = out.when(d == least, i)
+    return out.otherwise(len(distances) - 1).cast("int")
 
 
 def sigmoid(z: Column) -> Column:
