@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -48,6 +49,16 @@ class Node:
     def leaf(value: float) -> Node:
         return Node(-1, 0.0, -1, -1, value, True)
 
+    @staticmethod
+    def branch(feature: int, threshold: float, left: int, right: int) -> Node:
+        return Node(feature, threshold, left, right, 0.0, False)
+
+
+class Split(NamedTuple):
+    feature: int
+    threshold: float
+    gain: float
+
 
 @dataclass
 class _Growing:
@@ -66,7 +77,7 @@ class _Growing:
                 out.append(None)
                 f, t = self.splits[i]
                 left = add(2 * i + 1)
-                out[at] = Node(f, t, left, add(2 * i + 2), 0.0, False)
+                out[at] = Node.branch(f, t, left, add(2 * i + 2))
             else:
                 out.append(Node.leaf(self.leaves.get(i, 0.0)))
             return at
@@ -87,8 +98,8 @@ def route(x: np.ndarray, splits: dict[int, tuple[int, float]], depth: int) -> np
     return node
 
 
-def best_split(candidates: list[tuple[int, int, float, int, int]], n: int, pos: int) -> tuple[int, float, float] | None:
-    """(feature, threshold, gain) of the largest Gini gain over (feature order, rank, threshold, n left, positives left); the first of equals."""
+def best_split(candidates: list[tuple[int, int, float, int, int]], n: int, pos: int) -> Split | None:
+    """The split of the largest Gini gain over (feature order, rank, threshold, n left, positives left); the first of equals."""
     if n < 2 or pos in (0, n):
         return None
 
@@ -100,8 +111,8 @@ def best_split(candidates: list[tuple[int, int, float, int, int]], n: int, pos:
     for f, _, t, n_left, p_left in sorted(candidates, key=lambda c: c[:2]):
         if 0 < n_left < n:
             gain = parent - (n_left / n) * gini(n_left, p_left) - ((n - n_left) / n) * gini(n - n_left, pos - p_left)
-            if gain > 0 and (best is None or gain > best[2]):
-                best = (f, t, gain)
+            if gain > 0 and (best is None or gain > best.gain):
+                best = Split(f, t, gain)
     return best
 
 
@@ -215,7 +226,7 @@ def _grow(samples: DataFrame, d: int, max_depth: int, min_split: int, trees: int
                             k = int(np.searchsorted(cut, value))
                             candidates.append((f, int(rank), float(value), int(n_cum[k]), int(p_cum[k])))
                 found = best_split(candidates, *totals[(t, i)])
-                if found and found[2] > MIN_GAIN:
+                if found and found.gain > MIN_GAIN:
                     growing[t].splits[i] = found[:2]
                     open_ |= {(t, 2 * i + 1), (t, 2 * i + 2)}
     finally:

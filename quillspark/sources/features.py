@@ -89,3 +89,17 @@ def row(df: DataFrame, id_col: str, value) -> DataFrame:
 def with_column(df: DataFrame, name: str, value: Column) -> DataFrame:
     """A new frame in which a column has other values."""
     return df.withColumn(resolve(df, name), value)
+
+
+def value(df: DataFrame, id_col: str, key, name: str):
+    """One cell, None if the row is absent: a filter and a projection that both reach the scan."""
+    found = row(df, id_col, key).select(numeric(df, name, "keep")).first()
+    return None if found is None else found[0]
+
+
+def to_matrix(df: DataFrame, names: Sequence[str], id_col: str, max_rows: int = 100_000) -> np.ndarray:
+    """Small frames only: rows in the order of the id as a matrix on the driver. More than `max_rows` rows are an error."""
+    rows = to_features(df, names, id_col=id_col, null_policy="keep").orderBy(id_col).limit(max_rows + 1).toPandas()
+    if len(rows) > max_rows:
+        raise ValueError(f"more than {max_rows} rows")
+    return rows[list(names)].to_numpy(float)

@@ -46,6 +46,10 @@ def test_small_matrices(spark):
     assert [tuple(r) for r in features.row(df, "row_id", 1).collect()] == [(1, 3.0, 4.0)]
     assert [r[0] for r in features.column(df, "Y").collect()] == [2.0, 4.0]
     assert features.with_column(df, "x", F.lit(9.0)).first().x == 9.0
+    assert features.value(df, "row_id", 1, "Y") == 4.0 and features.value(df, "row_id", 7, "x") is None
+    assert features.to_matrix(df, ["y", "x"], "row_id").tolist() == [[2.0, 1.0], [4.0, 3.0]]
+    with pytest.raises(ValueError):
+        features.to_matrix(df, ["x"], "row_id", max_rows=1)
     with pytest.raises(ValueError):
         features.from_columns(spark, {"a": [1.0], "b": [1.0, 2.0]})
     with pytest.raises(ValueError):

@@ -302,6 +302,15 @@ def test_big_forest_is_scored_in_batches_alike(spark):
     assert [r.probability for r in many.transform(df).orderBy("row_id").collect()] == pytest.approx([r.probability for r in m.transform(df).orderBy("row_id").collect()])
 
 
+def test_shared_interfaces(spark):
+    from quillspark.operators.base import Estimator, Predictor, Transformer
+
+    assert all(isinstance(e, Estimator) for e in (KMeans(2), PCA(1), LinearRegression(), LogisticRegression(), DecisionTree(), RandomForest()))
+    df, names = _frame(spark, rng.uniform(size=(20, 2)), rng.integers(0, 2, 20).astype(float))
+    assert isinstance(LinearRegression().fit(df, names, "y"), Predictor) and isinstance(KMeans(2).fit(df, names), Predictor)
+    assert isinstance(RandomForest(1, 1).fit(df, names, "y", "row_id"), Transformer)
+
+
 # Streams
 
 
