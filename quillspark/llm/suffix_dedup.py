@@ -5,7 +5,9 @@ anchor: the leftmost smallest k-gram fingerprint inside it. So only places whose
 anchor occurs twice anywhere can be repeats, and repeats of one string meet under
 one anchor. The steps:
 
-1. one scan emits the anchors of all windows (about one per 69 bytes);
+1. one scan counts k-grams by cells, another emits the anchors of all windows (about
+   one per 69 bytes); frequent k-grams are anchors of last resort, so that a common
+   line does not gather all the texts around it;
 2. a pre-aggregated count keeps anchors that occur at least twice;
 3. equal contexts (anchor plus the bytes that its windows cover) collapse to one
    row with a count, so a passage that a third of all documents share is one row;
@@ -29,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.gram_load import cell_of, frequent_cells
 from quillspark.llm.shared import shuffle_partitions, written
 from quillspark.llm.text import Prefix, covered, owners, row_slices, text_bytes, window_anchors
 
@@ -78,7 +81,7 @@ def bucket_refinement(grams: np.ndarray, q: int, length: int, wanted: np.ndarray
     return bucket[wanted]
 
 
-def _anchors(length: int, k: int):
+def _anchors(length: int, k: int, marks: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
@@ -87,7 +90,7 @@ def _anchors(length: int, k: int):
                 part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 prefix = Prefix(part, "byte")
                 grams = prefix.grams(k)
-                row, place, first, n = window_anchors(grams, own, length, k)
+                row, place, first, n = window_anchors(grams, own, length, k, None if marks is None else marks[cell_of(grams)])
                 if not len(row):
                     continue
                 span = prefix.of(first, first + n - 1 + length) ^ ((place - first).astype(np.uint64) << np.uint64(32))
@@ -160,8 +163,10 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, sha
 
     `rows` has rid (long, the row's key) and text. Rows without repeats are absent.
     """
-    anchors = written(rows.mapInArrow(_anchors(length, gram), _ANCHOR_SCHEMA), "suffix-anchors")
-    shared = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    marks = frequent_cells(rows, lambda data, offsets: Prefix(data, "byte").grams(gram))
+    anchors = written(rows.mapInArrow(_anchors(length, gram, marks), _ANCHOR_SCHEMA), "suffix-anchors")
+    #: Written, so that the join below stands on plain exchanges and Spark can split a hot anchor among tasks.
+    shared = written(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "suffix-shared")
     found = written(anchors.join(shared, "anchor", "left_semi"), "suffix-candidates")
     distinct = found.groupBy("anchor", "span").agg(F.min(F.struct("rid", "start", "windows")).alias("one"), F.count(F.lit(1)).alias("copies"))
     picks = distinct.groupBy(F.col("one.rid").alias("rid")).agg(F.collect_list(F.struct("anchor", "span", F.col("one.start").alias("start"), F.col("one.windows").alias("windows"), "copies")).alias("picks"))
@@ -171,7 +176,7 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, sha
     )
     shards = max(shuffle_partitions(rows.sparkSession), contexts.count() // shard_contexts)
     runs = contexts.withColumn("shard", F.pmod("anchor", F.lit(shards))).groupBy("shard").applyInArrow(_sorted_shard(length, BUCKET_GRAM), "anchor long, span long, run_start int, run_end int")
-    runs = runs.groupBy("anchor", "span").agg(F.collect_list(F.struct("run_start", "run_end")).alias("runs"))
+    runs = written(runs.groupBy("anchor", "span").agg(F.collect_list(F.struct("run_start", "run_end")).alias("runs")), "suffix-runs")
     hits = found.join(runs, ["anchor", "span"]).select("rid", F.expr(f"transform(runs, r -> struct(start + r.run_start AS start, start + r.run_end + {length - 1} AS end))").alias("ranges"))
     return hits.groupBy("rid").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; one longer text is handled alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -116,12 +116,14 @@ def owners(first: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
-def window_anchors(grams: np.ndarray, first: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def window_anchors(grams: np.ndarray, first: np.ndarray, window: int, k: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The anchors of all windows of `window` elements that lie within one row.
 
     The anchor of a window is the leftmost smallest fingerprint among its k-grams,
-    so that equal windows have the same anchor at the same place. Returns, for
-    each run of windows with one anchor: row, anchor place, first window, windows.
+    so that equal windows have the same anchor at the same place. k-grams marked
+    `frequent` come after all others: a window has one only if it has nothing else.
+    Returns, for each run of windows with one anchor: row, anchor place, first
+    window, windows.
     """
     empty = (np.zeros(0, np.int64),) * 4
     length = np.diff(first)
@@ -131,7 +133,8 @@ def window_anchors(grams: np.ndarray, first: np.ndarray, window: int, k: int) ->
     w, n = window - k + 1, len(grams)
     assert n < 1 << 28
     low = np.uint64((1 << 28) - 1)
-    key = (grams & ~low) | np.arange(n, dtype=np.uint64)
+    key = grams if frequent is None else (grams >> np.uint64(1)) | (frequent.astype(np.uint64) << np.uint64(63))
+    key = (key & ~low) | np.arange(n, dtype=np.uint64)
     blocks = -(-n // w)
     full = np.full(blocks * w, np.iinfo(np.uint64).max, np.uint64)
     full[:n] = key

@@ -88,6 +88,24 @@ def test_bytes_of_woven_documents(spark, seed):
     assert ordered(suffix_dedup.dedup_substrings(df).collect()) == brute_bytes(rows, 200)
 
 
+def test_frequent_grams_change_nothing(spark, monkeypatch):
+    from quillspark.llm import gram_load
+
+    line = "all the terms and conditions of this licence apply to every copy of the work in any form"
+    rows = [(d, f"{t} {line} {prose(d, 40)} {line}\n{line} {t[:150]}") for d, t in woven(7)] + [(90 + i, line * 12) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    plain = gram_load.frequent_cells
+    for times, least in ((8, 2_000), (1, 5), (0, 0)):
+        monkeypatch.setattr(gram_load, "TIMES", times)
+        monkeypatch.setattr(gram_load, "LEAST", least)
+        for module in (fm_dedup, suffix_dedup):
+            monkeypatch.setattr(module, "frequent_cells", lambda *a: seen.append(plain(*a)) or seen[-1])
+        assert ordered(fm_dedup.dedup_windows(df).collect()) == brute_windows(rows, 50)
+        assert ordered(suffix_dedup.dedup_substrings(df).collect()) == brute_bytes(rows, 200)
+    assert seen[0] is None and seen[2].any() and seen[4].sum() > seen[2].sum()
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert fm_dedup.dedup_windows(empty).columns == ["doc_id", "n_words", "n_removed", "kept_sha256"]
