@@ -29,6 +29,8 @@ LEXICON = 4_096
 BEGINNINGS = (5, 7, 9)
 THRESHOLD = 0.3
 TIERS = (2.0, 3.0, 4.5)
+#: A lexicon entry is in so many toxic texts at least, and in such a share of them.
+SUPPORT, SUPPORT_SHARE = 3, 0.01
 
 #: Words of the second person in four languages.
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine euch euer ihr tu te toi ton ta tes vous votre vos usted ustedes ti tus tuyo vosotros eres".split()
@@ -298,7 +300,7 @@ def _lexicon(rows: list, halves: tuple[int, ...], totals: np.ndarray) -> Lexicon
     pos = sum(np.array([r[f"pos{k}"] for r in rows], float) for k in halves)
     n_neg, n_pos = sum(totals[2 * k] for k in halves), sum(totals[2 * k + 1] for k in halves)
     weight = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
-    keep = (pos >= 3) & (weight >= TIERS[0])
+    keep = (pos >= max(SUPPORT, SUPPORT_SHARE * n_pos)) & (weight >= TIERS[0])
     order = np.argsort(h[keep])
     return Lexicon(h[keep][order], weight[keep][order])
 
@@ -318,7 +320,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Tox
     n_pos, n_neg = max(1.0, totals[1] + totals[3]), max(1.0, totals[0] + totals[2])
     grouped = sample.select("text", "half", "label").mapInArrow(_counted, "h long, neg0 long, pos0 long, neg1 long, pos1 long").groupBy("h").agg(*(F.sum(c).alias(c) for c in ("neg0", "pos0", "neg1", "pos1")))
     odds = F.log((F.expr("pos0 + pos1") + 0.5) / n_pos) - F.log((F.expr("neg0 + neg1") + 0.5) / n_neg)
-    rows = grouped.filter("pos0 + pos1 >= 3").withColumn("odds", odds).filter(F.col("odds") >= TIERS[0]).orderBy(F.desc(F.expr("(pos0 + pos1) * odds")), "h").limit(LEXICON).collect()
+    rows = grouped.filter(F.expr("pos0 + pos1") >= max(SUPPORT, SUPPORT_SHARE * n_pos)).withColumn("odds", odds).filter(F.col("odds") >= TIERS[0]).orderBy(F.desc(F.expr("(pos0 + pos1) * odds")), "h").limit(LEXICON).collect()
     whole, crossed = _lexicon(rows, (0, 1), totals), [_lexicon(rows, (1,), totals), _lexicon(rows, (0,), totals)]
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
