@@ -121,7 +121,7 @@ def test_cumulative_link_gradient_reaches_the_maximum():
     rng = np.random.default_rng(0)
     x = rng.normal(size=400)
     grades = np.digitize(2 * x + rng.logistic(size=400), [-1.0, 1.5])
-    m = quality.fit_cumulative_link(np.arange(400), np.zeros(400, int), x, grades, 3, rounds=800, ridge=0.0)
+    m = quality.fit_cumulative_link(np.arange(401), np.zeros(400, int), x, grades, 3, rounds=800, ridge=0.0)
 
     def likelihood(w, t):
         upper = np.concatenate([np.ones((400, 1)), 1 / (1 + np.exp(t - w * x[:, None])), np.zeros((400, 1))], 1)
