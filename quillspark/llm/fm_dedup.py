@@ -3,7 +3,9 @@
 A window that occurs in two documents has the same anchor in both (the leftmost
 smallest fingerprint of a word k-gram inside it). The steps:
 
-1. one scan emits the anchors of all windows of `window` words (about one per 22);
+1. one scan counts k-grams by cells, another emits the anchors of all windows of
+   `window` words (about one per 22); frequent k-grams are anchors of last resort, so
+   that a common line does not gather all the texts around it;
 2. a pre-aggregated minimum and maximum of the document keeps anchors that occur
    in two documents or more;
 3. equal contexts collapse to one row with its smallest document, so copies,
@@ -28,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.gram_load import cell_of, frequent_cells
 from quillspark.llm.shared import shuffle_partitions, written
 from quillspark.llm.text import Prefix, Words, covered, owners, row_slices, text_bytes, window_anchors
 
 WINDOW = 50
 GRAM = 8
 #: Distinct contexts that one index should take (about 71 words each).
-SHARD_CONTEXTS = 16_000
+SHARD_CONTEXTS = 8_000
 _LAST = (1 << 63) - 1
 
 _ANCHOR_SCHEMA = "anchor long, span long, doc long, rid long, start int, windows int"
@@ -148,7 +151,7 @@ class FMIndex:
                 yield texts[whole], place[whole], self.group[lo[whole]]
 
 
-def _anchors(window: int, k: int):
+def _anchors(window: int, k: int, marks: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
@@ -158,7 +161,7 @@ def _anchors(window: int, k: int):
                 words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 prefix = Prefix(words.hashes(), "word")
                 grams = prefix.grams(k)
-                row, place, first, n = window_anchors(grams, words.first, window, k)
+                row, place, first, n = window_anchors(grams, words.first, window, k, None if marks is None else marks[cell_of(grams)])
                 if not len(row):
                     continue
                 span = prefix.of(first, first + n - 1 + window) ^ ((place - first).astype(np.uint64) << np.uint64(32))
@@ -227,8 +230,10 @@ def earlier_ranges(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
 
     `rows` has doc (long, the order), rid (long, the row's key) and text.
     """
-    anchors = written(rows.mapInArrow(_anchors(window, gram), _ANCHOR_SCHEMA), "fm-anchors")
-    shared = anchors.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("anchor")
+    marks = frequent_cells(rows, lambda data, offsets: Prefix(Words(data, offsets).hashes(), "word").grams(gram))
+    anchors = written(rows.mapInArrow(_anchors(window, gram, marks), _ANCHOR_SCHEMA), "fm-anchors")
+    #: Written, so that the join below stands on plain exchanges and Spark can split a hot anchor among tasks.
+    shared = written(anchors.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("anchor"), "fm-shared")
     found = written(anchors.join(shared, "anchor", "left_semi"), "fm-candidates")
     distinct = found.groupBy("anchor", "span").agg(F.min(F.struct("doc", "rid", "start", "windows")).alias("one"))
     picks = distinct.groupBy(F.col("one.rid").alias("rid")).agg(F.collect_list(F.struct("anchor", "span", F.col("one.start").alias("start"), F.col("one.windows").alias("windows"), F.col("one.doc").alias("doc"))).alias("picks"))
@@ -238,7 +243,7 @@ def earlier_ranges(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     )
     shards = max(shuffle_partitions(rows.sparkSession), contexts.count() // shard_contexts)
     runs = contexts.withColumn("shard", F.pmod("anchor", F.lit(shards))).groupBy("shard").applyInArrow(_searched_shard(window), "anchor long, span long, run_start int, run_end int, holder long")
-    runs = runs.groupBy("anchor", "span").agg(F.collect_list(F.struct("run_start", "run_end", "holder")).alias("runs"))
+    runs = written(runs.groupBy("anchor", "span").agg(F.collect_list(F.struct("run_start", "run_end", "holder")).alias("runs")), "fm-runs")
     hits = found.join(runs, ["anchor", "span"]).select(
         "rid", F.expr(f"transform(filter(runs, r -> r.holder < doc), r -> struct(start + r.run_start AS start, start + r.run_end + {window - 1} AS end))").alias("ranges")
     )

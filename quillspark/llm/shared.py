@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of one Arrow batch between Spark and Python; texts are long, and a task holds a batch several times over.
+MOST_BATCH_ROWS = 1_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -19,15 +22,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size for texts, if it is larger."""
+    rows = int(spark.conf.get(BATCH_ROWS))
+    if rows <= 0 or rows > MOST_BATCH_ROWS:
+        spark.conf.set(BATCH_ROWS, str(MOST_BATCH_ROWS))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once and read it back: cuts lineage, and a lost executor costs no recomputation."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

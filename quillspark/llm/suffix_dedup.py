@@ -40,7 +40,7 @@ GRAM = 64
 #: Initial buckets are of so many bytes; LENGTH is this times a power of two.
 BUCKET_GRAM = 25
 #: Distinct contexts that one sort should take (about 270 bytes each).
-SHARD_CONTEXTS = 8_000
+SHARD_CONTEXTS = 4_000
 
 _ANCHOR_SCHEMA = "anchor long, span long, rid long, start int, lead int, windows int"
 
