@@ -146,12 +146,13 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, ratings: DataFrame, train_rows: int = TRAIN_ROWS) -> OrdinalModel:
     """From `ratings` (doc_id, grade from 0 up) and the texts of `docs`; at most `train_rows` rated ids, picked by hash.
 
-    Rows without id or grade are left out; of several grades of an id the lowest counts.
+    Rows without id or grade are left out; of several grades of an id the lowest counts,
+    of several texts of an id the smallest, so that repeated ids do not enlarge the sample.
     """
     picked = ratings.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("grade").cast("int").alias("grade")).filter("doc_id IS NOT NULL AND grade >= 0")
     picked = picked.groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(picked), "doc_id").mapInArrow(_features, "doc_id long, grade int, buckets array<int>, values array<float>")
+    sample = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text")).mapInArrow(_features, "doc_id long, grade int, buckets array<int>, values array<float>")
     table = written(sample, "quality-sample").orderBy("doc_id").toArrow()
     if not table.num_rows:
         return OrdinalModel(np.zeros(DIMENSIONS, np.float32), np.zeros(1))

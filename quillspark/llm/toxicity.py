@@ -308,12 +308,13 @@ def _lexicon(rows: list, halves: tuple[int, ...], totals: np.ndarray) -> Lexicon
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> ToxicityModel:
     """From `labels` (doc_id, toxic) and the texts of `docs`; at most `train_rows` labelled ids, picked by hash.
 
-    Rows without id or label are left out; of several labels of an id the largest counts.
+    Rows without id or label are left out; of several labels of an id the largest counts,
+    of several texts of an id the smallest, so that repeated ids do not enlarge the sample.
     """
     picked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).filter("doc_id IS NOT NULL AND label IN (0, 1)")
     picked = picked.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(picked), "doc_id").withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int"))
+    sample = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int"))
     sample = written(sample, "toxicity-sample")
     counts = {(r.half, r.label): r["count"] for r in sample.groupBy("half", "label").count().collect()}
     totals = np.array([counts.get((k // 2, k % 2), 0) for k in range(4)], float)

@@ -146,6 +146,17 @@ def test_quality_edge_cases(spark):
     assert [r.grade for r in grades.orderBy("doc_id").collect()] == [0, 1, 2, 2, None]
 
 
+def test_a_repeated_id_is_one_row_of_the_sample(spark):
+    rows = [(i, prose(i, 30, 40)) for i in range(20)]
+    few = spark.createDataFrame(rows, "doc_id long, text string")
+    many = spark.createDataFrame(rows + 60 * [rows[3]] + 5 * [(4, "zz later")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 3 == 0) for i in range(20)], "doc_id long, grade int, toxic boolean").withColumn("toxic", F.col("toxic").cast("int"))
+    a, b = quality.fit(few, labels), quality.fit(many, labels)
+    assert np.allclose(a.weights, b.weights) and np.allclose(a.thresholds, b.thresholds)
+    a, b = toxicity.fit(few, labels), toxicity.fit(many, labels)
+    assert (a.lexicon.hashes == b.lexicon.hashes).all() and np.allclose(a.scale.y, b.scale.y)
+
+
 # Toxicity
 
 
