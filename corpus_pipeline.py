@@ -19,8 +19,8 @@ def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest id."""
-    return minhash.deduplicated(docs)
+    """One document of each group of near duplicates (0.8 of the five-word shingles): that with the smallest id."""
+    return minhash.deduplicated(docs, minhash.STAGE_THRESHOLD)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

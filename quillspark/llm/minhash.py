@@ -5,8 +5,8 @@
    low `BITS` bits of each minimum packed into longs.
 2. Equal sets form a class; only the smallest document of a class goes on.
 3. Classes that share a band key are candidates. Shingles are counted over all
-   candidates: one held by a single class cannot be shared, so a class with more
-   than 15 % of such shingles has no link, whatever it is compared with.
+   candidates: one held by a single class cannot be shared, so a class with a larger
+   share of such shingles than a link may lack has no link, whatever it is compared with.
 4. In each bucket the class with the smallest share of such shingles is the hub.
    Members are compared with hubs only: the packed bits give a collision-corrected
    estimate, which drops pairs far below the threshold; the rest are confirmed on
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ from quillspark.llm.text import Prefix, Words, mix, owners, row_slices, text_byt
 
 SHINGLE = 5
 BANDS, ROWS, BITS = 24, 4, 2
-#: Percent of the union that a link must share.
-THRESHOLD = 85
+#: Percent of the union that a link must share: in the query of op6, and in the pipeline's stage.
+THRESHOLD, STAGE_THRESHOLD = 85, 80
 #: A pair is dropped unconfirmed if its estimate is so far (in percent) below the threshold: over five standard deviations.
 SLACK = 25
 BLOCK_SETS = 256
@@ -153,7 +154,7 @@ def _blocks(members: DataFrame, queries: DataFrame) -> DataFrame:
     return others.unionByName(asked.select("family", "block", "slice", "rep", "component", "shingles", F.lit(True).alias("query")))
 
 
-def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _block_links(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     """Rows of one block arrive sorted: its query sets first, then the family as a stream."""
     asked: list[tuple[int, int, np.ndarray]] = []
     vocabulary = None
@@ -177,19 +178,19 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             word_first = np.searchsorted(column[order], np.arange(len(vocabulary) + 1))
         for i in np.flatnonzero(~query):
             own = flat[head[i] : head[i + 1]]
-            if not (100 * np.minimum(sizes, len(own)) >= THRESHOLD * np.maximum(sizes, len(own))).any():
+            if not (100 * np.minimum(sizes, len(own)) >= threshold * np.maximum(sizes, len(own))).any():
                 continue
             at = np.searchsorted(vocabulary, own)
             at = at[(at < len(vocabulary)) & (vocabulary[np.minimum(at, len(vocabulary) - 1)] == own)]
             count = word_first[at + 1] - word_first[at]
             index = np.arange(count.sum()) + np.repeat(word_first[at] - np.cumsum(count) + count, count)
             common = np.bincount(by_word[index], minlength=len(ids))
-            hit = (100 * common >= THRESHOLD * (sizes + len(own) - common)) & (parts != component[i])
+            hit = (100 * common >= threshold * (sizes + len(own) - common)) & (parts != component[i])
             if hit.any():
                 yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(np.full(int(hit.sum()), rep[i]))], names=["a", "b"])
 
 
-def _linked_in_blocks(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _linked_in_blocks(frames: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     """Splits a sorted partition by (family, block, slice)."""
 
     def runs():
@@ -202,10 +203,10 @@ def _linked_in_blocks(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                     yield tuple(keys[:, a].tolist()), frame.slice(a, b - a)
 
     for _, group in itertools.groupby(runs(), key=lambda x: x[0]):
-        yield from _block_links(piece for _, piece in group)
+        yield from _block_links((piece for _, piece in group), threshold)
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     """(classes, links): classes has doc, rid, n, rep for every row; links has (a, b) between class representatives."""
     signed = written(docs.mapInArrow(_signatures, "doc long, rid long, n long, set1 long, set2 long, bands array<long>, bits array<long>"), "minhash-signatures")
     #: One row for each set; null ids sort last, so a class is named by a real id where it has one.
@@ -221,16 +222,16 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = written(sets.mapInArrow(_sets, "rep long, shingles array<long>"), "minhash-sets")
 
     alone = sets.select("rep", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("rep").alias("rep")).filter("df = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
-    able = candidates.join(alone, "rep", "left").withColumn("alone", F.coalesce("alone", F.lit(0))).filter(f"100 * (n - alone) >= {THRESHOLD} * n")
+    able = candidates.join(alone, "rep", "left").withColumn("alone", F.coalesce("alone", F.lit(0))).filter(f"100 * (n - alone) >= {threshold} * n")
     able = written(able.select("rep", "n", "bits", (F.col("alone") / F.col("n")).alias("apart")), "minhash-able")
 
     joined = written(buckets.join(able.select("rep", "apart"), "rep"), "minhash-joined")
     hubs = written(joined.groupBy("band").agg(F.min(F.struct("apart", "rep")).alias("hub"), F.count(F.lit(1)).alias("held")).filter("held > 1").select("band", F.col("hub.rep").alias("hub")), "minhash-hubs")
     spokes = written(joined.join(hubs, "band").filter("rep <> hub").select("rep", "hub").distinct(), "minhash-spokes")
     near = spokes.join(able.select("rep", "n", "bits"), "rep").join(able.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("bits").alias("hub_bits")), "hub")
-    near = near.filter(f"100 * least(n, hub_n) >= {THRESHOLD} * greatest(n, hub_n)").filter(f"{estimate('bits', 'hub_bits')} >= {(THRESHOLD - SLACK) / 100}D").select("rep", "hub", "n", "hub_n")
+    near = near.filter(f"100 * least(n, hub_n) >= {threshold} * greatest(n, hub_n)").filter(f"{estimate('bits', 'hub_bits')} >= {(threshold - SLACK) / 100}D").select("rep", "hub", "n", "hub_n")
     compared = near.join(sets, "rep").join(sets.select(F.col("rep").alias("hub"), F.col("shingles").alias("hub_shingles")), "hub").withColumn("common", F.size(F.array_intersect("shingles", "hub_shingles")))
-    first_links = written(compared.filter(f"100 * common >= {THRESHOLD} * (n + hub_n - common)").select(F.col("hub").alias("a"), F.col("rep").alias("b")), "minhash-links")
+    first_links = written(compared.filter(f"100 * common >= {threshold} * (n + hub_n - common)").select(F.col("hub").alias("a"), F.col("rep").alias("b")), "minhash-links")
 
     families = components(spokes.select(F.col("hub").alias("a"), F.col("rep").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("family"))
     parts = components(first_links).select(F.col("node").alias("rep"), "component")
@@ -240,7 +241,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     open_ = placed.join(largest, "family").join(sets, "rep")
     blocks = _blocks(open_, open_.filter("component <> main"))
     blocks = blocks.repartition("family", "block", "slice").sortWithinPartitions("family", "block", "slice", F.desc("query")).select("family", "block", "slice", "rep", "component", "shingles", "query")
-    late_links = blocks.mapInArrow(_linked_in_blocks, "a long, b long")
+    late_links = blocks.mapInArrow(partial(_linked_in_blocks, threshold=threshold), "a long, b long")
     return members, written(first_links.unionByName(late_links), "minhash-all-links")
 
 
@@ -257,11 +258,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ids). A null doc_id counts as larger than all. Repeated rows are one class.
     Other columns are ignored; no rows give no rows.
     """
-    return _labelled(docs).select("doc_id", "n_shingles", "component_id", "kept", "class_id", "n_links")
+    return _labelled(docs, THRESHOLD).select("doc_id", "n_shingles", "component_id", "kept", "class_id", "n_links")
 
 
-def _labelled(docs: DataFrame) -> DataFrame:
-    members, found = links(keyed(docs))
+def _labelled(docs: DataFrame, threshold: int) -> DataFrame:
+    members, found = links(keyed(docs), threshold)
     labels = components(found).select(F.col("node").alias("rep"), "component")
     both = found.select(F.col("a").alias("rep")).unionByName(found.select(F.col("b").alias("rep")))
     degree = both.groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
@@ -274,9 +275,9 @@ def _labelled(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() | (F.col("component_id") == (1 << 63) - 1)))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, that are kept; of rows that agree in doc_id and text, one stays."""
+def deduplicated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of `docs`, all columns, that are kept where `threshold` percent make a link; of rows that agree in doc_id and text, one stays."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keys = _labelled(rows.select("doc_id", "text")).filter("kept").select("rid").distinct()
+    keys = _labelled(rows.select("doc_id", "text"), threshold).filter("kept").select("rid").distinct()
     rows = rows.select("row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("rid")).join(keys, "rid", "left_semi").dropDuplicates(["rid"])
     return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns))

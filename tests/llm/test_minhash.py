@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from support import SCHEMA, WORDS, edge_frame, edge_rows, ordered, prose
 
+import corpus_pipeline
 from quillspark.llm import minhash
 from quillspark.llm.components import components
 
@@ -92,6 +93,15 @@ def test_deduplicated_keeps_columns_and_one_of_repeated_rows(spark):
     assert sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == [0, 1, 2, 3, 5, 6, 7, 8, 10, 11]
 
 
+def test_the_stage_links_from_four_fifths(spark):
+    """Two edits of 104 words: 90 of 110 shingles are common, 0.82."""
+    words = prose(8, 104).split()
+    near = " ".join("edit" if i in (30, 70) else w for i, w in enumerate(words))
+    df = spark.createDataFrame([(1, " ".join(words)), (2, near), (3, prose(9, 104))], "doc_id long, text string")
+    assert {r.doc_id for r in minhash.near_duplicates(df).filter("kept").collect()} == {1, 2, 3}
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()} == {1, 3}
+
+
 def test_empty_table(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     assert minhash.deduplicated(spark.createDataFrame([], SCHEMA)).count() == 0
