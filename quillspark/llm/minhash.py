@@ -3,7 +3,8 @@
 1. One scan gives each text its number of distinct shingles, a 128-bit hash of the
    set, the minima of `BANDS * ROWS` hash functions folded to band keys, and the
    low `BITS` bits of each minimum packed into longs.
-2. Equal sets form a class; only the smallest document of a class goes on.
+2. Equal sets form a class; only the smallest document of a class goes on. A class
+   is named by a key of its set, as ids may be null or repeated.
 3. Classes that share a band key are candidates. Shingles are counted over all
    candidates: one held by a single class cannot be shared, so a class with a larger
    share of such shingles than a link may lack has no link, whatever it is compared with.
@@ -16,7 +17,7 @@
    `BLOCK_SETS` sets against slices of `SLICE_SETS` of the others; a block counts
    common shingles through an index of its sets, and only links leave it. So no link between two classes of a family
    is lost, and pairs are never written out.
-6. Links give components.
+6. Links give components, named at the end by their smallest document.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import components
@@ -206,13 +207,23 @@ def _linked_in_blocks(frames: Iterator[pa.RecordBatch], threshold: int) -> Itera
         yield from _block_links((piece for _, piece in group), threshold)
 
 
-def links(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """(classes, links): classes has doc, rid, n, rep for every row; links has (a, b) between class representatives."""
+def _class_key(classes: DataFrame) -> Column:
+    """A long of (set1, set2, n) that no two classes share; the salt is raised until that holds, which the first nearly always does."""
+    for salt in itertools.count():
+        key = F.xxhash64(F.lit(salt), "set1", "set2", "n")
+        if not classes.groupBy(key.alias("rep")).agg(F.count(F.lit(1)).alias("held")).filter("held > 1").limit(1).count():
+            return key
+
+
+def links(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, classes, links): members has doc, rid, n, rep for every row; classes the smallest doc and its rid of every rep; links has (a, b) between reps."""
     signed = written(docs.mapInArrow(_signatures, "doc long, rid long, n long, set1 long, set2 long, bands array<long>, bits array<long>"), "minhash-signatures")
     #: One row for each set; null ids sort last, so a class is named by a real id where it has one.
     classes = signed.filter("n > 0").groupBy("set1", "set2", "n").agg(F.min(F.struct(F.coalesce("doc", F.lit((1 << 63) - 1)).alias("doc"), F.col("rid").alias("rid"), "bands", "bits")).alias("one"))
-    classes = written(classes.select("set1", "set2", "n", F.col("one.doc").alias("rep"), F.col("one.rid").alias("rid"), F.col("one.bands").alias("bands"), F.col("one.bits").alias("bits")), "minhash-classes")
-    members = written(signed.select("doc", "rid", "n", "set1", "set2").join(classes.select("set1", "set2", "n", "rep"), ["set1", "set2", "n"], "left").select("doc", "rid", "n", "rep"), "minhash-members")
+    classes = written(classes.select("set1", "set2", "n", F.col("one.doc").alias("doc"), F.col("one.rid").alias("rid"), F.col("one.bands").alias("bands"), F.col("one.bits").alias("bits")), "minhash-classes")
+    key = _class_key(classes)
+    classes = classes.withColumn("rep", key)
+    members = signed.select("doc", "rid", "n", F.when(F.col("n") > 0, key).alias("rep"))
 
     keys = classes.select("rep", F.explode("bands").alias("band"))
     full = written(keys.groupBy("band").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("band"), "minhash-full")
@@ -242,7 +253,7 @@ def links(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     blocks = _blocks(open_, open_.filter("component <> main"))
     blocks = blocks.repartition("family", "block", "slice").sortWithinPartitions("family", "block", "slice", F.desc("query")).select("family", "block", "slice", "rep", "component", "shingles", "query")
     late_links = blocks.mapInArrow(partial(_linked_in_blocks, threshold=threshold), "a long, b long")
-    return members, written(first_links.unionByName(late_links), "minhash-all-links")
+    return members, classes.select("rep", "doc", "rid"), written(first_links.unionByName(late_links), "minhash-all-links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -252,7 +263,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     holds the distinct shingles of five words, or the whole text if it has fewer.
     Rows whose sets share `THRESHOLD` percent of their union are linked;
     component_id is the smallest doc_id reachable, and `kept` tells whether it is
-    the row's own. class_id is the smallest doc_id with the same set, n_links the
+    the row's own; of several texts of one component under that id, one is kept,
+    and unrelated texts under one id are components of their own. class_id is the smallest doc_id with the same set, n_links the
     number of confirmed links of that class that the search wrote down. Null and
     empty texts have no set and stay alone (class and component are their own
     ids). A null doc_id counts as larger than all. Repeated rows are one class.
@@ -262,17 +274,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _labelled(docs: DataFrame, threshold: int) -> DataFrame:
-    members, found = links(keyed(docs), threshold)
+    members, classes, found = links(keyed(docs), threshold)
     labels = components(found).select(F.col("node").alias("rep"), "component")
     both = found.select(F.col("a").alias("rep")).unionByName(found.select(F.col("b").alias("rep")))
     degree = both.groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    linked = written(labels.join(classes, "rep"), "minhash-linked")
+    heads = linked.groupBy("component").agg(F.min(F.struct("doc", "rid")).alias("head"))
+    linked = written(linked.join(heads, "component").join(degree, "rep", "left").select("rep", "head", "n_links"), "minhash-heads")
     #: One written table on the other side, so that Spark can split a class of very many members.
-    placed = written(labels.join(degree, "rep", "left"), "minhash-labels")
+    named = F.coalesce("head", F.struct("doc", "rid"))
+    placed = written(classes.join(linked, "rep", "left").select("rep", F.col("doc").alias("class_id"), named["doc"].alias("component_id"), named["rid"].alias("kept_rid"), "n_links"), "minhash-labels")
     out = members.join(placed, "rep", "left")
-    out = out.select(
-        "rid", F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc").alias("component_id"), F.coalesce("rep", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    return out.select(
+        "rid",
+        F.col("doc").alias("doc_id"),
+        F.col("n").alias("n_shingles"),
+        F.coalesce("component_id", "doc").alias("component_id"),
+        F.coalesce(F.col("rid") == F.col("kept_rid"), F.lit(True)).alias("kept"),
+        F.coalesce("class_id", "doc").alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() | (F.col("component_id") == (1 << 63) - 1)))
 
 
 def deduplicated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

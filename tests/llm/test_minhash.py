@@ -102,6 +102,16 @@ def test_the_stage_links_from_four_fifths(spark):
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()} == {1, 3}
 
 
+def test_null_and_repeated_ids_are_told_apart_by_their_texts(spark):
+    a, b, c, d = (prose(40 + i, 120) for i in range(4))
+    near_a, near_d = a + " more", d + " more"
+    rows = [(1, a), (None, near_a), (None, b), (5, near_a + " of it"), (5, b + " " + c), (5, c), (None, d), (None, near_d)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.text) for r in minhash.deduplicated(df).collect()}
+    last = (None, d) if (None, d) in got else (None, near_d)
+    assert got == {(1, a), (None, b), (5, b + " " + c), (5, c), last}
+
+
 def test_empty_table(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     assert minhash.deduplicated(spark.createDataFrame([], SCHEMA)).count() == 0
