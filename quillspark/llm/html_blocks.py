@@ -21,13 +21,16 @@ from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|textarea|select|iframe|object|head|title)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
     r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)[^>]*>"
     r"|<[!?/][^>]*>"
     r"|[^<]+|<",
     re.S | re.I,
 )
+#: Elements without main text, and how they end; `head` needs no rule, as all that may stand in it is void or raw.
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in "script style noscript template svg textarea select iframe object title".split()}
+#: A slash that is not the end of an unquoted value.
+_SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\Z")
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -80,14 +83,13 @@ def blocks(page: str) -> tuple[list[str], list[tuple]]:
                 facts.append((n, min(n, len(html.unescape(" ".join(linked)).split())) if linked else 0, *state, heading))
             parts, linked = [], []
 
-    for m in _TOKEN.finditer(page):
+    at, open_to_the_end = 0, set()
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        at = m.end()
         tag = m["tag"] or m["tag2"]
         if tag is None:
             piece = m[0]
-            if m["raw"]:
-                if m["raw"].lower() in ("title", "head", "textarea", "select", "iframe", "object"):
-                    flush()
-                continue
             if piece[0] != "<" or piece == "<":
                 parts.append(piece)
                 if link:
@@ -96,6 +98,19 @@ def blocks(page: str) -> tuple[list[str], list[tuple]]:
         tag = tag.lower()
         close = bool(m["close"] or m["close2"])
         attributes = m["attributes"] or ""
+        if tag in _RAW_END and not close:
+            #: Without a closing tag only the tag itself goes; a search that failed once is not made again.
+            if tag not in open_to_the_end and not _SELF_CLOSED.search(attributes):
+                end = _RAW_END[tag].search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in ("script", "style"):
+                    at = len(page)
+                else:
+                    open_to_the_end.add(tag)
+            if tag in ("title", "textarea", "select", "iframe", "object"):
+                flush()
+            continue
         if tag == "a":
             link = 0 if close else 1
         elif tag == "br":

@@ -346,3 +346,18 @@ def test_very_long_and_broken_pages():
     assert len(html_blocks.main_texts([long])[0]) > 190_000
     for bad in ("<" * 5000, "<p " * 5000, "<a href='" + "x" * 5000, "</div>" * 3000, "<!--" * 3000, "&#xD800;&#0;&bogus;"):
         assert isinstance(html_blocks.main_texts([bad])[0], str)
+
+
+def test_raw_elements_end_where_they_end():
+    """No closing tag, a self-closed tag, a longer name: the article stays; raw text that is closed goes."""
+    article = "<article><p>Text of the story.</p><p>And more of it.</p></article>"
+    want = "Text of the story.\nAnd more of it."
+    before = ["<head><title>t</title><meta name=a><body>", "<head><title>t</title>", "<head><script>a</script></head><body>"]
+    before += [f"<{tag}/>" for tag in ("svg", "iframe", "object")] + ["<svg viewBox='0 0 1 1' />", '<script src="a.js"/>']
+    before += [f"<{tag}>" for tag in ("svg", "iframe", "object", "noscript", "template", "textarea", "select", "title")] + ["<object-x>", "<title-bar>", "<select-box>"]
+    before += ["<svg><text>no</text></svg>", "<SCRIPT>no</script >", "<iframe src=http://a/>no</iframe>", "<style>no</style>"]
+    for b in before:
+        for after in ("", "<svg><text>no</text></svg><script>no</script>" if "svg" not in b or "/>" in b or "</" in b else ""):
+            assert html_blocks.main_texts([b + article + after]) == [want], b
+    assert html_blocks.main_texts([article + "<script>var a = '<p>no</p>'"]) == [want]
+    assert html_blocks.main_texts(["<svg><select>" * 100_000 + article]) == [want]
