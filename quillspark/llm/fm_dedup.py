@@ -234,7 +234,8 @@ def earlier_ranges(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     anchors = written(rows.mapInArrow(_anchors(window, gram, marks), _ANCHOR_SCHEMA), "fm-anchors")
     #: Written, so that the join below stands on plain exchanges and Spark can split a hot anchor among tasks.
     shared = written(anchors.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("anchor"), "fm-shared")
-    found = written(anchors.join(shared, "anchor", "left_semi"), "fm-candidates")
+    #: Rows that share rid are one row. Grouped without the anchor, so that the shuffle after the join stays and the join may be split.
+    found = written(anchors.join(shared, "anchor", "left_semi").groupBy("rid", "doc", "start", "span", "windows").agg(F.min("anchor").alias("anchor")), "fm-candidates")
     distinct = found.groupBy("anchor", "span").agg(F.min(F.struct("doc", "rid", "start", "windows")).alias("one"))
     picks = distinct.groupBy(F.col("one.rid").alias("rid")).agg(F.collect_list(F.struct("anchor", "span", F.col("one.start").alias("start"), F.col("one.windows").alias("windows"), F.col("one.doc").alias("doc"))).alias("picks"))
     contexts = written(
@@ -247,7 +248,7 @@ def earlier_ranges(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     hits = found.join(runs, ["anchor", "span"]).select(
         "rid", F.expr(f"transform(filter(runs, r -> r.holder < doc), r -> struct(start + r.run_start AS start, start + r.run_end + {window - 1} AS end))").alias("ranges")
     )
-    return hits.filter(F.size("ranges") > 0).groupBy("rid").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    return written(hits.filter(F.size("ranges") > 0).groupBy("rid").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "fm-ranges")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

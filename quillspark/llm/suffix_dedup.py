@@ -167,8 +167,9 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, sha
     anchors = written(rows.mapInArrow(_anchors(length, gram, marks), _ANCHOR_SCHEMA), "suffix-anchors")
     #: Written, so that the join below stands on plain exchanges and Spark can split a hot anchor among tasks.
     shared = written(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "suffix-shared")
-    found = written(anchors.join(shared, "anchor", "left_semi"), "suffix-candidates")
-    distinct = found.groupBy("anchor", "span").agg(F.min(F.struct("rid", "start", "windows")).alias("one"), F.count(F.lit(1)).alias("copies"))
+    #: Rows that share rid are one row with a count. Grouped without the anchor, so that the shuffle after the join stays and the join may be split.
+    found = written(anchors.join(shared, "anchor", "left_semi").groupBy("rid", "start", "span", "windows").agg(F.min("anchor").alias("anchor"), F.count(F.lit(1)).alias("copies")), "suffix-candidates")
+    distinct = found.groupBy("anchor", "span").agg(F.min(F.struct("rid", "start", "windows")).alias("one"), F.sum("copies").alias("copies"))
     picks = distinct.groupBy(F.col("one.rid").alias("rid")).agg(F.collect_list(F.struct("anchor", "span", F.col("one.start").alias("start"), F.col("one.windows").alias("windows"), "copies")).alias("picks"))
     contexts = written(
         rows.join(picks, "rid").dropDuplicates(["rid"]).select("text", "picks").mapInArrow(_contexts(length), "anchor long, span long, windows int, copies long, content binary"),
@@ -178,7 +179,7 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, sha
     runs = contexts.withColumn("shard", F.pmod("anchor", F.lit(shards))).groupBy("shard").applyInArrow(_sorted_shard(length, BUCKET_GRAM), "anchor long, span long, run_start int, run_end int")
     runs = written(runs.groupBy("anchor", "span").agg(F.collect_list(F.struct("run_start", "run_end")).alias("runs")), "suffix-runs")
     hits = found.join(runs, ["anchor", "span"]).select("rid", F.expr(f"transform(runs, r -> struct(start + r.run_start AS start, start + r.run_end + {length - 1} AS end))").alias("ranges"))
-    return hits.groupBy("rid").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    return written(hits.groupBy("rid").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "suffix-ranges")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -106,6 +106,16 @@ def test_frequent_grams_change_nothing(spark, monkeypatch):
     assert seen[0] is None and seen[2].any() and seen[4].sum() > seen[2].sum()
 
 
+def test_ranges_of_a_row_do_not_grow_with_its_copies(spark):
+    shared = prose(50, 150)
+    rows = [(0, shared)] + [(None, shared + " " + prose(51, 60))] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for module, ranges in ((fm_dedup, fm_dedup.earlier_ranges), (suffix_dedup, suffix_dedup.repeated_ranges)):
+        found = [(r.rid, x.start, x.end) for r in ranges(module.keyed(df)).collect() for x in r.ranges]
+        assert found and len(found) == len(set(found))
+    assert ordered(suffix_dedup.dedup_substrings(df).collect()) == brute_bytes(rows, 200)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert fm_dedup.dedup_windows(empty).columns == ["doc_id", "n_words", "n_removed", "kept_sha256"]
