@@ -9,7 +9,8 @@ smallest fingerprint of a word k-gram inside it). The steps:
 2. a pre-aggregated minimum and maximum of the document keeps anchors that occur
    in two documents or more;
 3. equal contexts collapse to one row with its smallest document, so copies,
-   however many, are one row;
+   however many, are one row; where an anchor has more distinct contexts than a shard
+   should take, its windows get other anchors;
 4. anchors are dealt to shards of bounded size. Each shard indexes its contexts:
    suffix array, Burrows-Wheeler transform, wavelet matrix with packed ranks. Its
    contexts then stream through the index from right to left in lockstep:
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.gram_load import cell_of, frequent_cells
+from quillspark.llm.gram_load import Levels, bounded_anchors, frequent_cells, grams_of_runs
 from quillspark.llm.shared import shuffle_partitions, written
 from quillspark.llm.text import Prefix, Words, covered, owners, row_slices, text_bytes, window_anchors
 
@@ -151,7 +152,9 @@ class FMIndex:
                 yield texts[whole], place[whole], self.group[lo[whole]]
 
 
-def _anchors(window: int, k: int, marks: np.ndarray | None):
+def _anchors(window: int, k: int, levels: Levels, crowded: np.ndarray | None = None):
+    """Anchors of all windows; with `crowded`, counts of the k-grams in the windows of those anchors instead."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
@@ -161,9 +164,12 @@ def _anchors(window: int, k: int, marks: np.ndarray | None):
                 words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 prefix = Prefix(words.hashes(), "word")
                 grams = prefix.grams(k)
-                row, place, first, n = window_anchors(grams, words.first, window, k, None if marks is None else marks[cell_of(grams)])
+                row, place, first, n = window_anchors(grams, words.first, window, k, levels(grams))
                 if not len(row):
                     continue
+                if crowded is not None:
+                    yield grams_of_runs(grams, place, first, n, window - k + 1, crowded)
+                    continue
                 span = prefix.of(first, first + n - 1 + window) ^ ((place - first).astype(np.uint64) << np.uint64(32))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(grams[place].view(np.int64)), pa.array(span.view(np.int64)), pa.array(doc[i:j][row]), pa.array(rid[i:j][row]), pa.array((first - words.first[row]).astype(np.int32)), pa.array(n.astype(np.int32))],
@@ -231,9 +237,13 @@ def earlier_ranges(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     `rows` has doc (long, the order), rid (long, the row's key) and text.
     """
     marks = frequent_cells(rows, lambda data, offsets: Prefix(Words(data, offsets).hashes(), "word").grams(gram))
-    anchors = written(rows.mapInArrow(_anchors(window, gram, marks), _ANCHOR_SCHEMA), "fm-anchors")
-    #: Written, so that the join below stands on plain exchanges and Spark can split a hot anchor among tasks.
-    shared = written(anchors.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("anchor"), "fm-shared")
+    anchors, shared = bounded_anchors(
+        lambda late: written(rows.mapInArrow(_anchors(window, gram, Levels(marks, late)), _ANCHOR_SCHEMA), "fm-anchors"),
+        #: Written, so that the join below stands on plain exchanges and Spark can split a hot anchor among tasks.
+        lambda anchors: written(anchors.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high").select("anchor", "n"), "fm-shared"),
+        lambda late, crowded: rows.mapInArrow(_anchors(window, gram, Levels(marks, late), crowded), "gram long, n long"),
+        shard_contexts,
+    )
     #: Rows that share rid are one row. Grouped without the anchor, so that the shuffle after the join stays and the join may be split.
     found = written(anchors.join(shared, "anchor", "left_semi").groupBy("rid", "doc", "start", "span", "windows").agg(F.min("anchor").alias("anchor")), "fm-candidates")
     distinct = found.groupBy("anchor", "span").agg(F.min(F.struct("doc", "rid", "start", "windows")).alias("one"))

@@ -10,7 +10,8 @@ one anchor. The steps:
    line does not gather all the texts around it;
 2. a pre-aggregated count keeps anchors that occur at least twice;
 3. equal contexts (anchor plus the bytes that its windows cover) collapse to one
-   row with a count, so a passage that a third of all documents share is one row;
+   row with a count, so a passage that a third of all documents share is one row; where
+   an anchor has more distinct contexts than a shard should take, its windows get others;
 4. anchors are dealt to shards of bounded size; each shard suffix-sorts its
    contexts: initial q-gram buckets are refined by sorting on the bucket
    identifiers of later offsets, each round reusing the buckets of the last;
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.gram_load import cell_of, frequent_cells
+from quillspark.llm.gram_load import Levels, bounded_anchors, frequent_cells, grams_of_runs
 from quillspark.llm.shared import shuffle_partitions, written
 from quillspark.llm.text import Prefix, covered, owners, row_slices, text_bytes, window_anchors
 
@@ -81,7 +82,9 @@ def bucket_refinement(grams: np.ndarray, q: int, length: int, wanted: np.ndarray
     return bucket[wanted]
 
 
-def _anchors(length: int, k: int, marks: np.ndarray | None):
+def _anchors(length: int, k: int, levels: Levels, crowded: np.ndarray | None = None):
+    """Anchors of all windows; with `crowded`, counts of the k-grams in the windows of those anchors instead."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
@@ -90,9 +93,12 @@ def _anchors(length: int, k: int, marks: np.ndarray | None):
                 part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 prefix = Prefix(part, "byte")
                 grams = prefix.grams(k)
-                row, place, first, n = window_anchors(grams, own, length, k, None if marks is None else marks[cell_of(grams)])
+                row, place, first, n = window_anchors(grams, own, length, k, levels(grams))
                 if not len(row):
                     continue
+                if crowded is not None:
+                    yield grams_of_runs(grams, place, first, n, length - k + 1, crowded)
+                    continue
                 span = prefix.of(first, first + n - 1 + length) ^ ((place - first).astype(np.uint64) << np.uint64(32))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(grams[place].view(np.int64)), pa.array(span.view(np.int64)), pa.array(rid[i:j][row]), pa.array((first - own[row]).astype(np.int32)), pa.array((place - first).astype(np.int32)), pa.array(n.astype(np.int32))],
@@ -164,9 +170,13 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, sha
     `rows` has rid (long, the row's key) and text. Rows without repeats are absent.
     """
     marks = frequent_cells(rows, lambda data, offsets: Prefix(data, "byte").grams(gram))
-    anchors = written(rows.mapInArrow(_anchors(length, gram, marks), _ANCHOR_SCHEMA), "suffix-anchors")
-    #: Written, so that the join below stands on plain exchanges and Spark can split a hot anchor among tasks.
-    shared = written(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "suffix-shared")
+    anchors, shared = bounded_anchors(
+        lambda late: written(rows.mapInArrow(_anchors(length, gram, Levels(marks, late)), _ANCHOR_SCHEMA), "suffix-anchors"),
+        #: Written, so that the join below stands on plain exchanges and Spark can split a hot anchor among tasks.
+        lambda anchors: written(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "suffix-shared"),
+        lambda late, crowded: rows.mapInArrow(_anchors(length, gram, Levels(marks, late), crowded), "gram long, n long"),
+        shard_contexts,
+    )
     #: Rows that share rid are one row with a count. Grouped without the anchor, so that the shuffle after the join stays and the join may be split.
     found = written(anchors.join(shared, "anchor", "left_semi").groupBy("rid", "start", "span", "windows").agg(F.min("anchor").alias("anchor"), F.count(F.lit(1)).alias("copies")), "suffix-candidates")
     distinct = found.groupBy("anchor", "span").agg(F.min(F.struct("rid", "start", "windows")).alias("one"), F.sum("copies").alias("copies"))

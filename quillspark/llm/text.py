@@ -121,7 +121,7 @@ def window_anchors(grams: np.ndarray, first: np.ndarray, window: int, k: int, fr
 
     The anchor of a window is the leftmost smallest fingerprint among its k-grams,
     so that equal windows have the same anchor at the same place. k-grams marked
-    `frequent` come after all others: a window has one only if it has nothing else.
+    `frequent` (1 or True, 2) come after all others: a window has one only if it has nothing less frequent.
     Returns, for each run of windows with one anchor: row, anchor place, first
     window, windows.
     """
@@ -133,7 +133,7 @@ def window_anchors(grams: np.ndarray, first: np.ndarray, window: int, k: int, fr
     w, n = window - k + 1, len(grams)
     assert n < 1 << 28
     low = np.uint64((1 << 28) - 1)
-    key = grams if frequent is None else (grams >> np.uint64(1)) | (frequent.astype(np.uint64) << np.uint64(63))
+    key = grams if frequent is None else (grams >> np.uint64(2)) | (frequent.astype(np.uint64) << np.uint64(62))
     key = (key & ~low) | np.arange(n, dtype=np.uint64)
     blocks = -(-n // w)
     full = np.full(blocks * w, np.iinfo(np.uint64).max, np.uint64)

@@ -106,6 +106,21 @@ def test_frequent_grams_change_nothing(spark, monkeypatch):
     assert seen[0] is None and seen[2].any() and seen[4].sum() > seen[2].sum()
 
 
+def test_no_anchor_gathers_more_contexts_than_the_bound(spark, monkeypatch):
+    """A common line between different texts, under the bar of the cells: it must not be the anchor of them all."""
+    line = prose(70, 26)
+    rows = [(d, f"{prose(1000 + d, 60)} {line} {prose(3000 + d, 60)}") for d in range(60)] + [(90, f"{prose(1003, 60)} {line}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain, seen = fm_dedup.bounded_anchors, []
+    for module, name in ((fm_dedup, "earlier_ranges"), (suffix_dedup, "repeated_ranges")):
+        monkeypatch.setattr(module, "bounded_anchors", lambda *a: seen.append(plain(*a)) or seen[-1])
+        ranges = getattr(module, name)
+        covered = [{(r.rid, i) for r in ranges(module.keyed(df), shard_contexts=most).collect() for x in r.ranges for i in range(x.start, x.end)} for most in (1000, 10)]
+        assert covered[0] == covered[1] and covered[0]
+        most = [a.join(s, "anchor").select("anchor", "span").distinct().groupBy("anchor").count().agg({"count": "max"}).first()[0] for a, s in seen[-2:]]
+        assert most[0] > 10 >= most[1]
+
+
 def test_ranges_of_a_row_do_not_grow_with_its_copies(spark):
     shared = prose(50, 150)
     rows = [(0, shared)] + [(None, shared + " " + prose(51, 60))] * 30
