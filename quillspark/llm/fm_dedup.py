@@ -1,24 +1,27 @@
 """Repeated word windows, found by backward search in a compressed FM-index per shard.
 
-A window that occurs in two documents has the same anchor in both (the leftmost
-smallest fingerprint of a word k-gram inside it). The steps:
+A window that occurs in two documents has the same anchor in both (the smallest
+fingerprint of a word k-gram inside it). The steps:
 
 1. one scan counts k-grams by cells, another emits the anchors of all windows of
    `window` words (about one per 22); frequent k-grams are anchors of last resort, so
    that a common line does not gather all the texts around it;
 2. a pre-aggregated minimum and maximum of the document keeps anchors that occur
    in two documents or more;
-3. equal contexts collapse to one row with its smallest document, so copies,
-   however many, are one row; where an anchor has more distinct contexts than a shard
-   should take, its windows get other anchors;
-4. anchors are dealt to shards of bounded size. Each shard indexes its contexts:
-   suffix array, Burrows-Wheeler transform, wavelet matrix with packed ranks. Its
-   contexts then stream through the index from right to left in lockstep:
-   each word extends the match by one backward step, and a match of more than
-   `window` words falls back to the suffix-array interval that shares `window`
-   words. That gives min(matching statistic, window) at every place, and the
-   interval gives the smallest document that holds the window;
-5. intervals go back to the documents, which cut them out.
+3. equal contexts (the words that the windows of an anchor cover) collapse to one row
+   with its smallest document, so copies, however many, are one row: later documents
+   lose the whole context. Only anchors with several different contexts go on; where an
+   anchor has more of them than a shard should take, its windows get other anchors;
+4. anchors are dealt to shards of bounded size. The contexts of an anchor are numbered
+   by document, and for each bit of these numbers the contexts without it are indexed
+   (Burrows-Wheeler transform in a wavelet matrix with packed ranks) and those with it
+   stream past: so each context meets every earlier one of its anchor. Streams go from
+   right to left in lockstep, a word extends the match by one backward step, a mismatch
+   shortens it until the step succeeds; where the matching statistic reaches `window`,
+   the interval gives the smallest document that holds the window;
+5. intervals above the threshold go back to the documents, which cut them out.
+
+Words are compared by their bytes; context and row keys are hashes of whole bytes.
 """
 
 from __future__ import annotations
@@ -32,16 +35,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.gram_load import Levels, bounded_anchors, frequent_cells, grams_of_runs
-from quillspark.llm.shared import shuffle_partitions, written
-from quillspark.llm.text import Prefix, Words, covered, owners, row_slices, text_bytes, window_anchors
+from quillspark.llm.shared import row_key, shuffle_partitions, written
+from quillspark.llm.text import Prefix, Words, covered, digests, owners, pieces, row_slices, text_bytes, window_anchors
 
 WINDOW = 50
 GRAM = 8
-#: Distinct contexts that one index should take (about 71 words each).
+#: Distinct contexts that one anchor may have, and bytes of contexts that one shard should take.
 SHARD_CONTEXTS = 8_000
+SHARD_BYTES = 4 << 20
+#: Windows of one stream; longer contexts are several.
+STREAM_WINDOWS = 256
 _LAST = (1 << 63) - 1
 
-_ANCHOR_SCHEMA = "anchor long, span long, doc long, rid long, start int, windows int"
+_ANCHOR_SCHEMA = "anchor long, span long, doc long, rid binary, start int, windows int"
 
 
 class WaveletMatrix:
@@ -79,77 +85,114 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Over texts of symbols, each closed by a separator; `window` is the length that intervals are cut to."""
+    """Over texts of symbols from 1 up, each closed by a separator; matches are followed up to `window` symbols.
 
-    def __init__(self, symbols: np.ndarray, first: np.ndarray, window: int):
+    It keeps the transform as a wavelet matrix, symbol counts, the capped lengths that
+    neighbouring suffixes share (one byte each), and the smallest value of the texts in
+    each interval of `window` symbols; neither the texts nor the suffix array.
+    """
+
+    def __init__(self, codes: np.ndarray, first: np.ndarray, window: int, values: np.ndarray):
         rows = owners(first)
-        n = len(symbols) + len(first) - 1
-        self.text = np.zeros(n, np.int64)
-        _, dense = np.unique(symbols, return_inverse=True)
-        self.begin = first[:-1] + np.arange(len(first) - 1)
-        self.text[np.arange(len(symbols)) + rows] = dense + 1
-        self.owner = np.repeat(np.arange(len(first) - 1), np.diff(first) + 1)
-        order, same = self._suffixes(window)
-        self.order = order
-        self.window = window
-        bits = max(1, int(self.text.max(initial=0)).bit_length())
-        self.bwt = WaveletMatrix(self.text[order - 1], bits)
-        counts = np.bincount(self.text, minlength=2)
-        self.smaller = np.zeros(len(counts) + 1, np.int64)
-        np.cumsum(counts, out=self.smaller[1:])
-        heads = np.flatnonzero(~same)
-        self.group = np.cumsum(~same) - 1
-        self.group_start = heads
-        self.group_end = np.append(heads[1:], n)
-
-    def _suffixes(self, window: int) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix order, and whether a suffix shares its first `window` symbols with the one before.
-
-        The text is read as a ring, which orders rotations; the backward step needs just that.
-        """
-        rank, depth, n = self.text, 1, len(self.text)
-        settled, settled_depth, order = rank, 1, np.argsort(rank, kind="stable")
-        while True:
-            key = rank * (int(rank.max()) + 1) + np.roll(rank, -depth)
-            order = np.argsort(key, kind="stable")
+        self.n = n = len(codes) + len(first) - 1
+        text = np.zeros(n, np.int64)
+        text[np.arange(len(codes)) + rows] = codes
+        order = self._suffixes(text, window + 1)
+        self.window, self.largest = window, int(text.max(initial=0))
+        self.bwt = WaveletMatrix(text[order - 1], max(1, self.largest.bit_length()))
+        self.smaller = np.zeros(self.largest + 2, np.int64)
+        np.cumsum(np.bincount(text, minlength=self.largest + 1), out=self.smaller[1:])
+        self.shared = self._shared(text, order, window)
+        self._starts: dict[int, np.ndarray] = {}
+        owner = np.repeat(np.arange(len(first) - 1), np.diff(first) + 1)
+        self.least = np.minimum.reduceat(values[owner[order]], self.starts(window))
+
+    @staticmethod
+    def _suffixes(text: np.ndarray, depth: int) -> np.ndarray:
+        """Rotations in the order of their first `depth` symbols or more, by rank doubling; a backward step over shorter matches needs no more."""
+        rank, reach, n = text, 1, len(text)
+        order = np.argsort(rank)
+        while reach < depth:
+            key = rank * (int(rank.max()) + 1) + np.roll(rank, -reach)
+            order = np.argsort(key)
             ordered = key[order]
             new = np.ones(n, bool)
             new[1:] = ordered[1:] != ordered[:-1]
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(new) - 1
-            depth *= 2
-            if depth <= window:
-                settled, settled_depth = rank, depth
-            if depth >= window and (new.all() or depth >= n):
+            reach *= 2
+            if new.all():
                 break
-        shift = np.roll(settled, -(window - settled_depth))
-        same = np.zeros(n, bool)
-        same[1:] = (settled[order[1:]] == settled[order[:-1]]) & (shift[order[1:]] == shift[order[:-1]])
-        return order, same
-
-    def smallest(self, values: np.ndarray) -> np.ndarray:
-        """For each interval of `window` symbols the smallest value among the texts that hold it."""
-        return np.minimum.reduceat(values[self.owner[self.order]], self.group_start)
-
-    def stream(self, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Backward search of all indexed texts in lockstep: yields (texts, places, intervals) where a match of `window` symbols starts."""
-        texts = np.arange(len(lengths))
-        lo, hi, matched = np.zeros(len(texts), np.int64), np.full(len(texts), self.bwt.n), np.zeros(len(texts), np.int64)
-        for step in range(1, int(lengths.max(initial=0)) + 1):
-            live = lengths[texts] >= step
-            texts, lo, hi, matched = texts[live], lo[live], hi[live], matched[live]
-            place = lengths[texts] - step
-            symbol = self.text[self.begin[texts] + place]
-            long = matched == self.window
-            if long.any():
-                inside = self.group[lo[long]]
-                lo[long], hi[long] = self.group_start[inside], self.group_end[inside]
-            both = self.bwt.ranks(np.concatenate([symbol, symbol]), np.concatenate([lo, hi])) + np.tile(self.smaller[symbol], 2)
-            lo, hi = both[: len(texts)], both[len(texts) :]
-            matched = np.minimum(matched + 1, self.window)
-            whole = matched == self.window
-            if whole.any():
-                yield texts[whole], place[whole], self.group[lo[whole]]
+        return order
+
+    @staticmethod
+    def _shared(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+        """How many symbols each suffix shares with the one before it, up to `most` and not past a separator; 0 at both ends."""
+        shared = np.zeros(len(order) + 1, np.uint8 if most < 256 else np.int32)
+        ring = np.resize(text, len(text) + most)
+        live = np.arange(1, len(order))
+        for k in range(most):
+            symbol = ring[order[live] + k]
+            live = live[(symbol == ring[order[live - 1] + k]) & (symbol > 0)]
+            if not len(live):
+                break
+            shared[live] += 1
+        return shared
+
+    def starts(self, depth: int) -> np.ndarray:
+        """Where the intervals of suffixes that share `depth` symbols begin."""
+        if depth not in self._starts:
+            self._starts[depth] = np.flatnonzero(self.shared[:-1] < depth).astype(np.int32)
+        return self._starts[depth]
+
+    def around(self, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The interval of `depth` shared symbols that holds each place."""
+        if not depth:
+            return np.zeros(len(at), np.int64), np.full(len(at), self.n)
+        starts = self.starts(depth)
+        k = np.searchsorted(starts, at, "right")
+        return starts[k - 1].astype(np.int64), np.append(starts, self.n)[k].astype(np.int64)
+
+    def back(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One backward step. Symbols that the index does not hold give empty intervals."""
+        known = symbol <= self.largest
+        symbol = np.where(known, symbol, 0)
+        both = self.bwt.ranks(np.tile(symbol, 2), np.concatenate([lo, hi])) + np.tile(self.smaller[symbol], 2)
+        return both[: len(lo)], np.where(known, both[len(lo) :], 0)
+
+    def stream(self, codes: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Matching statistics of some texts in lockstep: yields (texts, places, lengths capped at `window`, places of an interval's first suffix)."""
+        size = np.diff(first)
+        texts = np.arange(len(size))
+        lo, hi, length = np.zeros(len(texts), np.int64), np.full(len(texts), self.n), np.zeros(len(texts), np.int64)
+        for step in range(1, int(size.max(initial=0)) + 1):
+            live = size[texts] >= step
+            if not live.all():
+                texts, lo, hi, length = texts[live], lo[live], hi[live], length[live]
+            place = size[texts] - step
+            symbol = codes[first[texts] + place]
+            full = np.flatnonzero(length == self.window)
+            lo[full], hi[full] = self.around(lo[full], self.window - 1)
+            length[full] = self.window - 1
+            todo = np.arange(len(texts))
+            while len(todo):
+                new_lo, new_hi = self.back(symbol[todo], lo[todo], hi[todo])
+                good = new_lo < new_hi
+                done = todo[good]
+                lo[done], hi[done] = new_lo[good], new_hi[good]
+                length[done] += 1
+                todo = todo[~good]
+                todo = todo[length[todo] > 0]
+                depth = np.maximum(self.shared[lo[todo]], self.shared[hi[todo]]).astype(np.int64)
+                for d in np.unique(depth):
+                    some = todo[depth == d]
+                    lo[some], hi[some] = self.around(lo[some], int(d))
+                    length[some] = d
+            yield texts, place, length, lo
+
+    def holders(self, at: np.ndarray) -> np.ndarray:
+        """The smallest value of the texts in the interval of `window` symbols that holds each place."""
+        return self.least[np.searchsorted(self.starts(self.window), at, "right") - 1]
 
 
 def _anchors(window: int, k: int, levels: Levels, crowded: np.ndarray | None = None):
@@ -158,28 +201,30 @@ def _anchors(window: int, k: int, levels: Levels, crowded: np.ndarray | None = N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            doc = batch.column("doc").to_numpy(zero_copy_only=False)
-            rid = batch.column("rid").to_numpy(zero_copy_only=False)
             for i, j in row_slices(offsets):
                 words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                prefix = Prefix(words.hashes(), "word")
-                grams = prefix.grams(k)
-                row, place, first, n = window_anchors(grams, words.first, window, k, levels(grams))
-                if not len(row):
-                    continue
-                if crowded is not None:
-                    yield grams_of_runs(grams, place, first, n, window - k + 1, crowded)
-                    continue
-                span = prefix.of(first, first + n - 1 + window) ^ ((place - first).astype(np.uint64) << np.uint64(32))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams[place].view(np.int64)), pa.array(span.view(np.int64)), pa.array(doc[i:j][row]), pa.array(rid[i:j][row]), pa.array((first - words.first[row]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=["anchor", "span", "doc", "rid", "start", "windows"],
-                )
+                joined, start, end = words.joined() if crowded is None else (None, None, None)
+                for hashes, rows_first, r, w in words.parts(window):
+                    grams = Prefix(hashes, "word").grams(k)
+                    row, place, first, n, _ = window_anchors(grams, rows_first, window, k, levels(grams))
+                    if not len(row):
+                        continue
+                    if crowded is not None:
+                        yield grams_of_runs(grams, place, first, n, window - k + 1, crowded)
+                        continue
+                    begin, row = first + w, pa.array(row + i + r)
+                    span = digests(joined, start[begin], end[begin + n + window - 2])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(grams[place].view(np.int64)), pa.array(span.view(np.int64)), batch.column("doc").take(row), batch.column("rid").take(row), pa.array((begin - words.first[row.to_numpy() - i]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                        names=["anchor", "span", "doc", "rid", "start", "windows"],
+                    )
 
     return run
 
 
 def _contexts(window: int):
+    """The words of the picked contexts, with one space after each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
@@ -188,53 +233,90 @@ def _contexts(window: int):
             flat = picks.flatten()
             start, windows = flat.field("start").to_numpy(), flat.field("windows").to_numpy()
             for i, j in row_slices(offsets):
-                a, b = int(head[i]), int(head[j])
-                if a == b:
-                    continue
                 words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                hashes = words.hashes().view(np.int64)
-                begin = words.first[:-1][owners(head[i : j + 1])] + start[a:b]
-                size = windows[a:b] + (window - 1)
-                cut = np.zeros(b - a + 1, np.int32)
-                np.cumsum(size, out=cut[1:])
-                index = np.arange(cut[-1]) + np.repeat(begin - cut[:-1], size)
-                content = pa.ListArray.from_arrays(pa.array(cut), pa.array(hashes[index]))
-                yield pa.RecordBatch.from_arrays([*(flat.field(c).slice(a, b - a) for c in ("anchor", "span", "windows", "doc")), content], names=["anchor", "span", "windows", "doc", "content"])
+                joined, word_start, word_end = words.joined()
+                begin = words.first[:-1][owners(head[i : j + 1])] + start[head[i] : head[j]]
+                a, z = word_start[begin], word_end[begin + windows[head[i] : head[j]] + window - 2] + 1
+                for k, m in row_slices(np.concatenate([[0], np.cumsum(z - a)])):
+                    some = flat.slice(int(head[i]) + k, m - k)
+                    cut = np.concatenate([[0], np.cumsum(z[k:m] - a[k:m])])
+                    index = np.arange(cut[-1]) + np.repeat(a[k:m] - cut[:-1], z[k:m] - a[k:m])
+                    content = pa.Array.from_buffers(pa.large_binary(), m - k, [None, pa.py_buffer(cut), pa.py_buffer(joined[index])]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([*(some.field(c) for c in ("anchor", "span", "windows", "doc")), content], names=["anchor", "span", "windows", "doc", "content"])
 
     return run
 
 
+def repeats_of_earlier(codes: np.ndarray, first: np.ndarray, anchor: np.ndarray, doc: np.ndarray, window: int) -> np.ndarray:
+    """For each window of some contexts (windows of one after those of the other): whether a context with the same anchor and a smaller document holds it."""
+    windows = np.diff(first) - window + 1
+    cut = np.concatenate([[0], np.cumsum(windows)])
+    out = np.zeros(cut[-1], bool)
+    order = np.lexsort((doc, anchor))
+    head = np.ones(len(order), bool)
+    head[1:] = anchor[order][1:] != anchor[order][:-1]
+    begin = np.flatnonzero(head)
+    many = np.diff(np.append(begin, len(order)))
+    number, held = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order)) - np.repeat(begin, many)
+    held[order] = np.repeat(many, many)
+    for bit in range(int(held.max(initial=1) - 1).bit_length()):
+        asked = np.flatnonzero(number >> bit & 1)
+        known = np.flatnonzero((number >> bit & 1 == 0) & (((number >> bit) + 1) << bit < held))
+        index = FMIndex(*_picked(codes, first, known, np.zeros(len(known), np.int64), first[known + 1] - first[known]), window, doc[known])
+        parts = -(-windows[asked] // STREAM_WINDOWS)
+        text = np.repeat(asked, parts)
+        begin = STREAM_WINDOWS * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+        size = np.minimum(STREAM_WINDOWS, windows[text] - begin) + window - 1
+        for texts, places, lengths, at in index.stream(*_picked(codes, first, text, begin, size)):
+            whole = np.flatnonzero(lengths == window)
+            texts, places = texts[whole], places[whole]
+            earlier = index.holders(at[whole]) < doc[text[texts]]
+            out[cut[text[texts]] + begin[texts] + places] |= earlier
+    return out
+
+
+def _picked(codes: np.ndarray, first: np.ndarray, text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    cut = np.concatenate([[0], np.cumsum(size)])
+    return codes[np.arange(cut[-1]) + np.repeat(first[text] + begin - cut[:-1], size)], cut
+
+
 def _searched_shard(window: int):
     def run(shard: pa.Table) -> pa.Table:
         shard = shard.combine_chunks()
-        content = shard.column("content").combine_chunks()
-        first = np.asarray(content.offsets).astype(np.int64)
-        symbols = content.flatten().to_numpy()
-        first = first - first[0]
-        doc = shard.column("doc").to_numpy()
+        data, offsets = binary_bytes(shard.column("content"))
+        words = Words(data, offsets)
+        codes = pieces(data, words.start, words.end).dictionary_encode().indices.to_numpy().astype(np.int64) + 1
+        hit = repeats_of_earlier(codes, words.first, shard.column("anchor").to_numpy(), shard.column("doc").to_numpy(), window)
         windows = shard.column("windows").to_numpy().astype(np.int64)
-        index = FMIndex(symbols, first, window)
-        least = index.smallest(doc)
-        cut = np.zeros(len(windows) + 1, np.int64)
-        np.cumsum(windows, out=cut[1:])
-        owner = np.empty(cut[-1], np.int64)
-        for texts, places, groups in index.stream(np.diff(first)):
-            owner[cut[texts] + places] = least[groups]
-        row = owners(cut)
-        new = np.ones(len(owner), bool)
-        new[1:] = (owner[1:] != owner[:-1]) | (row[1:] != row[:-1])
-        begins = np.flatnonzero(new)
-        ends = np.append(begins[1:], len(owner))
-        at = row[begins]
-        return pa.table({"anchor": shard.column("anchor").take(pa.array(at)), "span": shard.column("span").take(pa.array(at)), "run_start": pa.array((begins - cut[at]).astype(np.int32)), "run_end": pa.array((ends - cut[at]).astype(np.int32)), "holder": pa.array(owner[begins])})
+        return runs_of(shard, hit, np.concatenate([[0], np.cumsum(windows)]))
 
     return run
 
 
+def runs_of(shard: pa.Table, hit: np.ndarray, cut: np.ndarray) -> pa.Table:
+    """Runs of marked windows of each context, whose windows are cut[i]:cut[i + 1]."""
+    row = owners(cut)
+    before, after = np.zeros(len(hit), bool), np.zeros(len(hit), bool)
+    before[1:] = hit[:-1] & (row[1:] == row[:-1])
+    after[:-1] = hit[1:] & (row[1:] == row[:-1])
+    begins, ends = np.flatnonzero(hit & ~before), np.flatnonzero(hit & ~after) + 1
+    at = row[begins]
+    return pa.table({"anchor": shard.column("anchor").take(pa.array(at)), "span": shard.column("span").take(pa.array(at)), "run_start": pa.array((begins - cut[at]).astype(np.int32)), "run_end": pa.array((ends - cut[at]).astype(np.int32))})
+
+
+def binary_bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    column = column.combine_chunks().cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def earlier_ranges(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_contexts: int = SHARD_CONTEXTS) -> DataFrame:
     """Ranges (rid, ranges array<struct<start, end>>) of words that a window of an earlier document covers.
 
-    `rows` has doc (long, the order), rid (long, the row's key) and text.
+    `rows` has doc (long, the order), rid (binary, the row's key) and text.
     """
     marks = frequent_cells(rows, lambda data, offsets: Prefix(Words(data, offsets).hashes(), "word").grams(gram))
     anchors, shared = bounded_anchors(
@@ -246,19 +328,23 @@ def earlier_ranges(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     )
     #: Rows that share rid are one row. Grouped without the anchor, so that the shuffle after the join stays and the join may be split.
     found = written(anchors.join(shared, "anchor", "left_semi").groupBy("rid", "doc", "start", "span", "windows").agg(F.min("anchor").alias("anchor")), "fm-candidates")
-    distinct = found.groupBy("anchor", "span").agg(F.min(F.struct("doc", "rid", "start", "windows")).alias("one"))
-    picks = distinct.groupBy(F.col("one.rid").alias("rid")).agg(F.collect_list(F.struct("anchor", "span", F.col("one.start").alias("start"), F.col("one.windows").alias("windows"), F.col("one.doc").alias("doc"))).alias("picks"))
+    distinct = written(found.groupBy("anchor", "span").agg(F.min(F.struct("doc", "rid", "start", "windows")).alias("one")).select("anchor", "span", "one.*"), "fm-distinct")
+    several = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    picks = distinct.join(several, "anchor", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("anchor", "span", "start", "windows", "doc")).alias("picks"))
     contexts = written(
-        rows.join(picks, "rid").dropDuplicates(["rid"]).select("text", "picks").mapInArrow(_contexts(window), "anchor long, span long, windows int, doc long, content array<long>"),
+        rows.join(picks, "rid").dropDuplicates(["rid"]).select("text", "picks").mapInArrow(_contexts(window), "anchor long, span long, windows int, doc long, content binary"),
         "fm-contexts",
     )
-    shards = max(shuffle_partitions(rows.sparkSession), contexts.count() // shard_contexts)
-    runs = contexts.withColumn("shard", F.pmod("anchor", F.lit(shards))).groupBy("shard").applyInArrow(_searched_shard(window), "anchor long, span long, run_start int, run_end int, holder long")
-    runs = written(runs.groupBy("anchor", "span").agg(F.collect_list(F.struct("run_start", "run_end", "holder")).alias("runs")), "fm-runs")
-    hits = found.join(runs, ["anchor", "span"]).select(
-        "rid", F.expr(f"transform(filter(runs, r -> r.holder < doc), r -> struct(start + r.run_start AS start, start + r.run_end + {window - 1} AS end))").alias("ranges")
-    )
-    return written(hits.filter(F.size("ranges") > 0).groupBy("rid").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "fm-ranges")
+    volume = contexts.agg(F.sum(F.length("content"))).first()[0] or 0
+    shards = max(shuffle_partitions(rows.sparkSession), volume // SHARD_BYTES)
+    runs = contexts.withColumn("shard", F.pmod("anchor", F.lit(shards))).groupBy("shard").applyInArrow(_searched_shard(window), "anchor long, span long, run_start int, run_end int")
+    runs = runs.groupBy("anchor", "span").agg(F.collect_list(F.struct("run_start", "run_end")).alias("runs"))
+    known = written(distinct.select("anchor", "span", F.col("doc").alias("low")).join(runs, ["anchor", "span"], "left"), "fm-runs")
+    #: A later document than the context's first loses it whole, the first what still earlier ones hold.
+    whole = F.array(F.struct(F.lit(0).alias("run_start"), F.col("windows").alias("run_end")))
+    hits = found.join(known, ["anchor", "span"]).withColumn("runs", F.when(F.col("doc") > F.col("low"), whole).otherwise(F.col("runs"))).filter("runs IS NOT NULL")
+    hits = hits.select("rid", F.expr(f"transform(runs, r -> struct(start + r.run_start AS start, start + r.run_end + {window - 1} AS end))").alias("ranges"))
+    return written(hits.groupBy("rid").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "fm-ranges")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +384,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text, the order `doc` and a row key; rows that agree in id and text share a key and have the same result."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return docs.withColumn("doc", F.coalesce("doc_id", F.lit(_LAST))).withColumn("rid", F.xxhash64("doc_id", "text"))
+    return docs.withColumn("doc", F.coalesce("doc_id", F.lit(_LAST))).withColumn("rid", row_key())
 
 
 def dedup_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:

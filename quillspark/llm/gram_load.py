@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.shared import written
-from quillspark.llm.text import row_slices, text_bytes
+from quillspark.llm.text import byte_parts, text_bytes
 
 CELL_BITS = 17
 CELLS = 1 << CELL_BITS
@@ -92,8 +92,8 @@ def frequent_cells(rows: DataFrame, grams_of: Callable[[np.ndarray, np.ndarray],
         count = np.zeros(CELLS, np.int64)
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            for i, j in row_slices(offsets):
-                count += np.bincount(cell_of(grams_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])), minlength=CELLS)
+            for a, b, rows_first, _ in byte_parts(offsets, 1):
+                count += np.bincount(cell_of(grams_of(data[a:b], rows_first)), minlength=CELLS)
         some = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(count[some])], names=["cell", "n"])
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -38,6 +39,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key(doc: str = "doc_id", text: str = "text") -> Column:
+    """128 bits of a row's id and text: rows that agree in both share it."""
+    return F.unhex(F.md5(F.concat_ws(":", F.md5(F.encode(text, "UTF-8")), F.coalesce(F.col(doc).cast("string"), F.lit("null")))))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,7 +1,7 @@
 """Repeated byte strings, found by a suffix sort with bucket-pointer refinement.
 
 A string of `length` bytes that occurs twice has, in both places, the same
-anchor: the leftmost smallest k-gram fingerprint inside it. So only places whose
+anchor: the smallest k-gram fingerprint inside it. So only places whose
 anchor occurs twice anywhere can be repeats, and repeats of one string meet under
 one anchor. The steps:
 
@@ -9,13 +9,15 @@ one anchor. The steps:
    one per 69 bytes); frequent k-grams are anchors of last resort, so that a common
    line does not gather all the texts around it;
 2. a pre-aggregated count keeps anchors that occur at least twice;
-3. equal contexts (anchor plus the bytes that its windows cover) collapse to one
-   row with a count, so a passage that a third of all documents share is one row; where
-   an anchor has more distinct contexts than a shard should take, its windows get others;
+3. equal contexts (the bytes that the windows of an anchor cover) collapse to one
+   row with a count, so a passage that a third of all documents share is one row, and
+   goes whole. Only anchors with several different contexts, or at several places of
+   one, are sorted; where an anchor
+   has more of them than a shard should take, its windows get other anchors;
 4. anchors are dealt to shards of bounded size; each shard suffix-sorts its
-   contexts: initial q-gram buckets are refined by sorting on the bucket
-   identifiers of later offsets, each round reusing the buckets of the last;
-5. windows in a bucket with two occurrences or more are repeats; they go back to
+   contexts: buckets of `BUCKET_GRAM` bytes, in byte order, are refined by the bucket
+   pointers of later offsets, and pointers that a round has renewed serve the rest of it;
+5. neighbours of the suffix array that share `length` bytes are repeats; they go back to
    their documents as byte ranges.
 
 Shards are cut by anchor. The rows of a shard are distinct contexts, so copies do
@@ -32,54 +34,88 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.fm_dedup import binary_bytes, runs_of
 from quillspark.llm.gram_load import Levels, bounded_anchors, frequent_cells, grams_of_runs
-from quillspark.llm.shared import shuffle_partitions, written
-from quillspark.llm.text import Prefix, covered, owners, row_slices, text_bytes, window_anchors
+from quillspark.llm.shared import row_key, shuffle_partitions, written
+from quillspark.llm.text import Prefix, byte_parts, covered, digests, owners, row_slices, text_bytes, window_anchors
 
 LENGTH = 200
 GRAM = 64
-#: Initial buckets are of so many bytes; LENGTH is this times a power of two.
-BUCKET_GRAM = 25
-#: Distinct contexts that one sort should take (about 270 bytes each).
+#: Initial buckets are of so many bytes, as one 64-bit number.
+BUCKET_GRAM = 8
+#: Distinct contexts that one anchor may have, and bytes of contexts that one shard should take.
 SHARD_CONTEXTS = 4_000
+SHARD_BYTES = 1 << 20
+#: Open suffixes refined at once; the next such portion already sees their new pointers.
+REFINE_AT_ONCE = 1 << 17
 
-_ANCHOR_SCHEMA = "anchor long, span long, rid long, start int, lead int, windows int"
+_ANCHOR_SCHEMA = "anchor long, span long, rid binary, start int, windows int, again boolean"
 
 
-def bucket_refinement(grams: np.ndarray, q: int, length: int, wanted: np.ndarray) -> np.ndarray:
-    """Bucket numbers of the strings of `length` bytes that start at `wanted` places.
+def byte_grams(data: np.ndarray) -> np.ndarray:
+    """The `BUCKET_GRAM` bytes from each place as a number that sorts like them; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(BUCKET_GRAM, np.uint8)])
+    grams = np.zeros(len(data), np.uint64)
+    for k in range(BUCKET_GRAM):
+        grams = (grams << np.uint64(8)) | padded[k : k + len(data)]
+    return grams
 
-    `grams[i]` stands for the q bytes from i. Each round gives the suffixes of
-    non-singleton buckets new buckets by sorting pairs of (own bucket, bucket at
-    the offset that the last round settled), so the depth doubles.
+
+def suffix_array(grams: np.ndarray, length: int) -> np.ndarray:
+    """The places of all suffixes in byte order of their first `length` bytes or more, by bucket-pointer refinement.
+
+    A bucket is a range of the array whose suffixes share `depth` bytes; its pointer is
+    where the range begins. A round sorts the suffixes of every bucket of more than one
+    by the pointers at the offset `depth`, which doubles the depth and keeps the order
+    of buckets. It goes through the array in portions: pointers that one portion has
+    renewed are read by the next ones of the same round.
     """
-    need = [wanted]
-    depth = length
-    while depth > q:
-        depth = (depth + 1) // 2 if depth % 2 else depth // 2
-        need.append(np.unique(np.concatenate([need[-1], need[-1] + depth])))
-    assert depth == q, "length must be q times a power of two"
-    places = need[-1]
-    _, bucket_of = np.unique(grams[places], return_inverse=True)
-    bucket = np.zeros(len(grams) + 1, np.int64)
-    bucket[places] = bucket_of
-    for k in range(len(need) - 2, -1, -1):
-        places = need[k]
-        own, later = bucket[places], bucket[places + depth]
-        size = np.bincount(own)
-        open_ = size[own] > 1
-        fresh = np.empty(len(places), np.int64)
-        shut = ~open_
-        n_shut = int(shut.sum())
-        fresh[shut] = np.arange(n_shut)
-        if open_.any():
-            pair = own[open_] * (int(later.max()) + 1) + later[open_]
-            _, refined = np.unique(pair, return_inverse=True)
-            fresh[open_] = n_shut + refined
-        bucket = np.zeros(len(bucket), np.int64)
-        bucket[places] = fresh
+    n = len(grams)
+    order = np.argsort(grams)
+    sorted_ = grams[order]
+    new = np.ones(n, bool)
+    new[1:] = sorted_[1:] != sorted_[:-1]
+    pointer = np.zeros(n + 1, np.int64)
+    pointer[order] = np.flatnonzero(new)[np.cumsum(new) - 1] + 1
+    depth = BUCKET_GRAM
+    while depth < length:
+        alone = new & np.append(new[1:], True)
+        open_ = np.flatnonzero(~alone)
+        heads = np.flatnonzero(new[open_])
+        cuts, a = [0], 0
+        while a < len(open_):
+            k = int(np.searchsorted(heads, a + REFINE_AT_ONCE, "left"))
+            a = int(heads[k]) if k < len(heads) else len(open_)
+            cuts.append(a)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            slots = open_[a:b]
+            places = order[slots]
+            own = pointer[places]
+            later = pointer[np.minimum(places + depth, n)]
+            key = own * (n + 1) + later
+            by_key = np.argsort(key)
+            order[slots] = places[by_key]
+            ordered = key[by_key]
+            head = np.ones(b - a, bool)
+            head[1:] = ordered[1:] != ordered[:-1]
+            new[slots] = head
+            pointer[order[slots]] = slots[np.flatnonzero(head)[np.cumsum(head) - 1]] + 1
         depth *= 2
-    return bucket[wanted]
+    return order
+
+
+def repeated_places(data: np.ndarray, wanted: np.ndarray, length: int) -> np.ndarray:
+    """Which of the `wanted` places (marks) start a string of `length` bytes that starts at another wanted place too: those whose neighbour in the suffix array shares it."""
+    grams = byte_grams(data)
+    order = suffix_array(grams, length)
+    order = order[wanted[order]]
+    live = np.arange(1, len(order))
+    for k in [*range(0, length - BUCKET_GRAM + 1, BUCKET_GRAM), max(0, length - BUCKET_GRAM)]:
+        live = live[grams[order[live] + k] == grams[order[live - 1] + k]]
+    repeated = np.zeros(len(data), bool)
+    repeated[order[live]] = True
+    repeated[order[live - 1]] = True
+    return repeated
 
 
 def _anchors(length: int, k: int, levels: Levels, crowded: np.ndarray | None = None):
@@ -88,22 +124,18 @@ def _anchors(length: int, k: int, levels: Levels, crowded: np.ndarray | None = N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            rid = batch.column("rid").to_numpy(zero_copy_only=False)
-            for i, j in row_slices(offsets):
-                part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                prefix = Prefix(part, "byte")
-                grams = prefix.grams(k)
-                row, place, first, n = window_anchors(grams, own, length, k, levels(grams))
+            for a, b, rows_first, i in byte_parts(offsets, length):
+                part = data[a:b]
+                grams = Prefix(part, "byte").grams(k)
+                row, place, first, n, again = window_anchors(grams, rows_first, length, k, levels(grams))
                 if not len(row):
                     continue
                 if crowded is not None:
                     yield grams_of_runs(grams, place, first, n, length - k + 1, crowded)
                     continue
-                span = prefix.of(first, first + n - 1 + length) ^ ((place - first).astype(np.uint64) << np.uint64(32))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams[place].view(np.int64)), pa.array(span.view(np.int64)), pa.array(rid[i:j][row]), pa.array((first - own[row]).astype(np.int32)), pa.array((place - first).astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=["anchor", "span", "rid", "start", "lead", "windows"],
-                )
+                span = digests(part, first, first + n - 1 + length)
+                start = (first + a - offsets[row + i]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(grams[place].view(np.int64)), pa.array(span.view(np.int64)), batch.column("rid").take(pa.array(row + i)), pa.array(start), pa.array(n.astype(np.int32)), pa.array(again)], names=["anchor", "span", "rid", "start", "windows", "again"])
 
     return run
 
@@ -115,80 +147,65 @@ def _contexts(length: int):
             picks = batch.column("picks")
             head = np.asarray(picks.offsets) - picks.offsets[0].as_py()
             flat = picks.flatten()
-            if not len(flat):
-                continue
-            start, windows = flat.field("start").to_numpy(), flat.field("windows").to_numpy()
-            begin = offsets[:-1][owners(head)] + start
-            size = windows + (length - 1)
-            for a in range(0, len(flat), 20_000):
-                b = min(len(flat), a + 20_000)
-                cut = np.zeros(b - a + 1, np.int64)
-                np.cumsum(size[a:b], out=cut[1:])
+            begin = offsets[:-1][owners(head)] + flat.field("start").to_numpy()
+            size = flat.field("windows").to_numpy().astype(np.int64) + (length - 1)
+            for a, b in row_slices(np.concatenate([[0], np.cumsum(size)])):
+                cut = np.concatenate([[0], np.cumsum(size[a:b])])
                 index = np.arange(cut[-1]) + np.repeat(begin[a:b] - cut[:-1], size[a:b])
                 content = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(cut), pa.py_buffer(data[index])]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([*(flat.field(c).slice(a, b - a) for c in ("anchor", "span", "windows", "copies")), content], names=["anchor", "span", "windows", "copies", "content"])
+                some = flat.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*(some.field(c) for c in ("anchor", "span", "windows", "copies")), content], names=["anchor", "span", "windows", "copies", "content"])
 
     return run
 
 
-def _sorted_shard(length: int, q: int):
+def _sorted_shard(length: int):
     def run(shard: pa.Table) -> pa.Table:
         shard = shard.combine_chunks()
-        data, offsets = text_bytes_of_binary(shard.column("content"))
-        windows = shard.column("windows").to_numpy()
-        copies = shard.column("copies").to_numpy()
-        cut = np.zeros(len(windows) + 1, np.int64)
-        np.cumsum(windows, out=cut[1:])
+        data, offsets = binary_bytes(shard.column("content"))
+        windows = shard.column("windows").to_numpy().astype(np.int64)
+        cut = np.concatenate([[0], np.cumsum(windows)])
         row = owners(cut)
-        wanted = np.arange(cut[-1]) - cut[:-1][row] + offsets[:-1][row]
-        bucket = bucket_refinement(Prefix(data, "byte").grams(q), q, length, wanted)
-        repeated = np.bincount(bucket, weights=copies[row])[bucket] > 1.5
-        edge = np.diff(np.concatenate([[0], repeated.astype(np.int8)]))
-        edge[cut[:-1]] = repeated[cut[:-1]]
-        begins = np.flatnonzero(edge == 1)
-        stop = np.zeros(len(repeated), bool)
-        stop[:-1] = repeated[:-1] & ~repeated[1:]
-        stop[cut[1:] - 1] = repeated[cut[1:] - 1]
-        ends = np.flatnonzero(stop) + 1
-        at = row[begins]
-        return pa.table({"anchor": shard.column("anchor").take(pa.array(at)), "span": shard.column("span").take(pa.array(at)), "run_start": pa.array((begins - cut[at]).astype(np.int32)), "run_end": pa.array((ends - cut[at]).astype(np.int32))})
+        places = np.arange(cut[-1]) - cut[:-1][row] + offsets[:-1][row]
+        wanted = np.zeros(len(data), bool)
+        wanted[places] = True
+        hit = repeated_places(data, wanted, length)[places] | (shard.column("copies").to_numpy() > 1)[row]
+        return runs_of(shard, hit, cut)
 
     return run
 
 
-def text_bytes_of_binary(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    column = column.combine_chunks().cast(pa.large_binary())
-    _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
 def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_contexts: int = SHARD_CONTEXTS) -> DataFrame:
     """Ranges (rid, ranges array<struct<start, end>>) of bytes that a repeated window covers.
 
-    `rows` has rid (long, the row's key) and text. Rows without repeats are absent.
+    `rows` has rid (binary, the row's key) and text. Rows without repeats are absent.
     """
     marks = frequent_cells(rows, lambda data, offsets: Prefix(data, "byte").grams(gram))
     anchors, shared = bounded_anchors(
         lambda late: written(rows.mapInArrow(_anchors(length, gram, Levels(marks, late)), _ANCHOR_SCHEMA), "suffix-anchors"),
         #: Written, so that the join below stands on plain exchanges and Spark can split a hot anchor among tasks.
-        lambda anchors: written(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "suffix-shared"),
+        lambda anchors: written(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.bool_or("again").alias("again")).filter("n > 1 OR again").select("anchor", "n"), "suffix-shared"),
         lambda late, crowded: rows.mapInArrow(_anchors(length, gram, Levels(marks, late), crowded), "gram long, n long"),
         shard_contexts,
     )
     #: Rows that share rid are one row with a count. Grouped without the anchor, so that the shuffle after the join stays and the join may be split.
-    found = written(anchors.join(shared, "anchor", "left_semi").groupBy("rid", "start", "span", "windows").agg(F.min("anchor").alias("anchor"), F.count(F.lit(1)).alias("copies")), "suffix-candidates")
-    distinct = found.groupBy("anchor", "span").agg(F.min(F.struct("rid", "start", "windows")).alias("one"), F.sum("copies").alias("copies"))
-    picks = distinct.groupBy(F.col("one.rid").alias("rid")).agg(F.collect_list(F.struct("anchor", "span", F.col("one.start").alias("start"), F.col("one.windows").alias("windows"), "copies")).alias("picks"))
+    found = written(anchors.join(shared, "anchor", "left_semi").groupBy("rid", "start", "span", "windows", "again").agg(F.min("anchor").alias("anchor"), F.count(F.lit(1)).alias("copies")), "suffix-candidates")
+    distinct = written(found.groupBy("anchor", "span").agg(F.min(F.struct("rid", "start", "windows", "again")).alias("one"), F.sum("copies").alias("copies")).select("anchor", "span", "one.*", "copies"), "suffix-distinct")
+    several = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("again") & (F.col("copies") == 1)).alias("again")).filter("n > 1 OR again").select("anchor")
+    picks = distinct.join(several, "anchor", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("anchor", "span", "start", "windows", "copies")).alias("picks"))
     contexts = written(
         rows.join(picks, "rid").dropDuplicates(["rid"]).select("text", "picks").mapInArrow(_contexts(length), "anchor long, span long, windows int, copies long, content binary"),
         "suffix-contexts",
     )
-    shards = max(shuffle_partitions(rows.sparkSession), contexts.count() // shard_contexts)
-    runs = contexts.withColumn("shard", F.pmod("anchor", F.lit(shards))).groupBy("shard").applyInArrow(_sorted_shard(length, BUCKET_GRAM), "anchor long, span long, run_start int, run_end int")
-    runs = written(runs.groupBy("anchor", "span").agg(F.collect_list(F.struct("run_start", "run_end")).alias("runs")), "suffix-runs")
-    hits = found.join(runs, ["anchor", "span"]).select("rid", F.expr(f"transform(runs, r -> struct(start + r.run_start AS start, start + r.run_end + {length - 1} AS end))").alias("ranges"))
+    volume = contexts.agg(F.sum(F.length("content"))).first()[0] or 0
+    shards = max(shuffle_partitions(rows.sparkSession), volume // SHARD_BYTES)
+    runs = contexts.withColumn("shard", F.pmod("anchor", F.lit(shards))).groupBy("shard").applyInArrow(_sorted_shard(length), "anchor long, span long, run_start int, run_end int")
+    #: A context that occurs twice goes whole; it needs no sort unless another one shares its anchor.
+    whole = F.array(F.struct(F.lit(0).alias("run_start"), F.col("windows").alias("run_end")))
+    runs = runs.groupBy("anchor", "span").agg(F.collect_list(F.struct("run_start", "run_end")).alias("runs"))
+    known = distinct.join(runs, ["anchor", "span"], "left").select("anchor", "span", F.when(F.col("copies") > 1, whole).otherwise(F.col("runs")).alias("runs"))
+    known = written(known.filter("runs IS NOT NULL"), "suffix-runs")
+    hits = found.join(known, ["anchor", "span"]).select("rid", F.expr(f"transform(runs, r -> struct(start + r.run_start AS start, start + r.run_end + {length - 1} AS end))").alias("ranges"))
     return written(hits.groupBy("rid").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "suffix-ranges")
 
 
@@ -215,7 +232,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and a row key: rows that agree in id and text share a key and have the same result."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("rid", row_key())
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:

@@ -147,37 +147,103 @@ def test_wavelet_ranks_are_counts():
     assert tree.ranks(symbols, ends).tolist() == [int((values[:e] == s).sum()) for s, e in zip(symbols, ends, strict=True)]
 
 
-def test_backward_search_gives_every_window():
+def _packed(texts):
+    return np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+
+
+def test_backward_search_gives_matching_statistics_and_holders():
+    """Of streams that are not in the index: lengths of the longest matches, through mismatches and unknown symbols."""
     rng = np.random.default_rng(1)
-    texts = [rng.integers(0, 3, n) for n in (8, 20, 5, 13)]
-    first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    index = fm_dedup.FMIndex(np.concatenate(texts), first, 5)
-    least = index.smallest(np.array([40, 30, 20, 10]))
-    got = {}
-    for owners, places, groups in index.stream(np.diff(first)):
-        got |= {(int(t), int(p)): int(least[g]) for t, p, g in zip(owners, places, groups, strict=True)}
-    holders = {}
-    for name, t in zip((40, 30, 20, 10), texts, strict=True):
-        for i in range(len(t) - 4):
-            k = tuple(t[i : i + 5])
-            holders[k] = min(holders.get(k, 99), name)
-    assert got == {(j, i): holders[tuple(t[i : i + 5])] for j, t in enumerate(texts) for i in range(len(t) - 4)}
-
-
-@pytest.mark.parametrize(("q", "length"), [(1, 8), (2, 2), (3, 12), (5, 20)])
-def test_buckets_are_equal_strings(q, length):
-    rng = np.random.default_rng(q)
-    data = rng.integers(97, 99, 400).astype(np.uint8)
-    wanted = np.arange(len(data) - length + 1)
-    bucket = suffix_dedup.bucket_refinement(text.Prefix(data, "byte").grams(q), q, length, wanted)
-    strings = [bytes(data[i : i + length]) for i in wanted]
-    assert len(set(zip(bucket.tolist(), strings, strict=True))) == len(set(strings)) == len(set(bucket.tolist()))
+    held = [rng.integers(1, 4, n) for n in (8, 20, 5, 13)]
+    asked = [rng.integers(1, 5, n) for n in (30, 9, 17, 1)] + [np.concatenate([held[1][3:12], [9], held[3]])]
+    index = fm_dedup.FMIndex(*_packed(held), 5, np.array([40, 30, 20, 10]))
+    inside = lambda w: [v for v, t in zip((40, 30, 20, 10), held, strict=True) if any(w == t[i : i + len(w)].tolist() for i in range(len(t)))]
+    seen = 0
+    for texts, places, lengths, at in index.stream(*_packed(asked)):
+        for t, p, n, a in zip(texts, places, lengths, at, strict=True):
+            tail = asked[t][p : p + 5].tolist()
+            assert n == max(k for k in range(len(tail) + 1) if not k or inside(tail[:k]))
+            if n == 5:
+                seen += 1
+                assert index.holders(np.array([a]))[0] == min(inside(tail))
+    assert seen > 5
+
+
+def test_contexts_meet_every_earlier_one_of_their_anchor():
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(1, 3, rng.integers(4, 12)) for _ in range(40)]
+    anchor, doc = rng.integers(0, 5, 40), rng.integers(0, 25, 40)
+    hit = fm_dedup.repeats_of_earlier(*_packed(texts), anchor, doc, 4)
+    windows = [(i, tuple(t[k : k + 4].tolist())) for i, t in enumerate(texts) for k in range(len(t) - 3)]
+    sure = [any(w == v and doc[j] < doc[i] and anchor[i] == anchor[j] for j, v in windows) for i, w in windows]
+    may = [any(w == v and doc[j] < doc[i] for j, v in windows) for i, w in windows]
+    assert all(h >= s and h <= m for h, s, m in zip(hit, sure, may, strict=True)) and hit.any() and not hit.all()
+
+
+@pytest.mark.parametrize("portion", [1 << 17, 7])
+def test_bucket_pointer_refinement_sorts_suffixes(portion, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "REFINE_AT_ONCE", portion)
+    rng = np.random.default_rng(3)
+    data = np.concatenate([np.frombuffer(b"zebra apple " * 30, np.uint8), rng.integers(97, 99, 600).astype(np.uint8), np.full(100, 97, np.uint8)])
+    order = suffix_dedup.suffix_array(suffix_dedup.byte_grams(data), 64)
+    suffixes = [(bytes(data[i : i + 64]) + bytes(64))[:64] for i in order]
+    assert sorted(order.tolist()) == list(range(len(data))) and suffixes == sorted(suffixes)
+
+
+@pytest.mark.parametrize("length", [8, 20, 64])
+def test_neighbours_of_the_suffix_array_are_the_repeats(length):
+    rng = np.random.default_rng(length)
+    data = np.concatenate([rng.integers(97, 99, 300).astype(np.uint8), np.frombuffer(b"ab" * 50, np.uint8)])
+    wanted = np.zeros(len(data), bool)
+    wanted[rng.permutation(len(data) - length)[:250]] = True
+    count = Counter(bytes(data[i : i + length]) for i in np.flatnonzero(wanted))
+    got = suffix_dedup.repeated_places(data, wanted, length)
+    assert got.tolist() == [bool(w) and count[bytes(data[i : i + length])] > 1 for i, w in enumerate(wanted)]
+
+
+def thue_morse(n):
+    """Two different words that polynomials modulo 2^64 cannot tell apart, whatever the base."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_with_one_polynomial_are_different(spark):
+    a, b = thue_morse(4096)
+    rows = [(0, prose(1, 30) + f" {a} " + prose(2, 30)), (1, prose(1, 30) + f" {b} " + prose(2, 30))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ordered(fm_dedup.dedup_windows(df).collect())
+    assert got == brute_windows(rows, 50) and [r[2] for r in got] == [0, 0]
+    assert ordered(suffix_dedup.dedup_substrings(df).collect()) == brute_bytes(rows, 200)
+
+
+def test_long_runs_of_one_sign_are_few_contexts(spark):
+    rows = [(0, " " * 300_000), (1, "ha " * 60_000), (2, prose(9, 100) + " " * 5_000 + prose(10, 100))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ranges = suffix_dedup.repeated_ranges(suffix_dedup.keyed(df).select("rid", "text"))
+    assert ranges.selectExpr("max(size(ranges))").first()[0] < 1_000
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix_dedup.dedup_substrings(df).collect()}
+    assert got[0] == (300_000, 300_000) and got[1] == (180_000, 180_000) and got[2][1] >= 5_000
+    assert {r.doc_id: r.n_removed for r in fm_dedup.dedup_windows(df).collect()} == {0: 0, 1: 0, 2: 0}
+
+
+def test_texts_in_portions_give_the_same(spark, monkeypatch):
+    """A text longer than a portion is cut with overlap; no window is lost or judged twice."""
+    body = np.frombuffer((prose(3, 400) + " " + prose(3, 400)).encode(), np.uint8)
+    offsets = np.array([0, len(body)])
+    parts = list(text.byte_parts(offsets, 200, 500))
+    assert [x for a, b, _, _ in parts for x in range(a, b - 199)] == list(range(len(body) - 199))
+    words = text.Words(body, offsets)
+    cut = [(w + x) for h, first, r, w in words.parts(50, 90) for x in range(len(h) - 49)]
+    assert cut == list(range(len(words.start) - 49))
+    whole = words.hashes()
+    assert all((h == whole[w : w + len(h)]).all() for h, first, r, w in words.parts(50, 90))
 
 
 def test_anchors_cover_each_window_once():
     data = np.frombuffer(("abcab " * 40 + prose(5, 60)).encode(), np.uint8)
     first = np.array([0, 100, 100, 130, len(data)])
-    rows, place, start, n = text.window_anchors(text.Prefix(data, "byte").grams(8), first, 30, 8)
+    rows, place, start, n, _ = text.window_anchors(text.Prefix(data, "byte").grams(8), first, 30, 8)
     seen = [(int(r), int(s) + i) for r, s, m in zip(rows, start, n, strict=True) for i in range(m)]
     assert seen == [(r, s) for r in range(4) for s in range(first[r], first[r + 1] - 29)]
-    assert ((place >= start + n - 1) & (place + 8 <= start + 30)).all()
+    grams = text.Prefix(data, "byte").grams(8)
+    assert all(grams[p] in grams[s + i : s + i + 23] for p, s, m in zip(place, start, n, strict=True) for i in range(m))
