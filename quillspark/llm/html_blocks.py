@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,32 +20,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
-    r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)[^>]*>"
-    r"|<[!?/][^>]*>"
-    r"|[^<]+|<",
-    re.S | re.I,
-)
+from quillspark.llm.shared import lean
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: What ends a tag, or opens a quoted value in it.
+_TAG_END = re.compile(r"=\s*([\"'])|>")
 #: Elements without main text, and how they end; `head` needs no rule, as all that may stand in it is void or raw.
-_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in "script style noscript template svg textarea select iframe object title".split()}
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in "script style noscript template svg textarea select iframe object title button datalist".split()}
 #: A slash that is not the end of an unquoted value.
 _SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\Z")
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
-_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_PARTS = re.compile(r"[A-Z]?[a-zß-öø-ÿ]+|[A-Z]+(?![a-z])")
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr ruby rt rp nobr blink picture source input label".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags that enclose blocks and may carry a hint; `p` and list items do too, but are closed by the next of their kind.
 CONTAINERS = frozenset("div section article main nav header footer aside form ul ol dl table tbody tr td figure blockquote fieldset details dialog menu address center body p li span".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A paragraph or list inside one of these does not close anything outside it.
+BOUNDARIES = frozenset("article nav aside footer form header section main".split())
+BOUNDED = frozenset("p li span ul ol".split())
+#: What names say, in the languages of the web's larger parts.
 #: What a tag or a name says of all it encloses, whatever comes between.
-STRONG = frozenset("nav navbar navigation menu menubar footer aside form dialog comment comments commentlist respond disqus cookie cookies consent gdpr breadcrumb breadcrumbs pagination pager search login signup subscribe newsletter".split())
+STRONG = frozenset("nav navbar navigation menu menubar footer aside form dialog comment comments commentlist respond disqus kommentar kommentare commentaire commentaires comentario comentarios commenti comentários reacties cookie cookies consent gdpr breadcrumb breadcrumbs pagination pager search login signup subscribe newsletter fusszeile formular formulaire formulario recherche suche suchen buscar buscador cerca anmelden connexion iniciar brotkrumen infolettre boletin".split())
 #: What an article inside outweighs.
-WEAK = frozenset("header masthead sidebar side rail widget widgets ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner notice notices alert warning popup modal overlay toolbar share sharing social related recommended recommendations teaser trending popular copyright legal disclaimer tags meta byline skip toc footnotes complementary contentinfo".split())
-MAIN_NAMES = frozenset("article content main story post entry body text maincontent bodytext".split())
+WEAK = frozenset("header masthead sidebar side rail widget widgets ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner notice notices alert warning popup modal overlay toolbar share sharing social related recommended recommendations teaser trending popular copyright legal disclaimer tags meta byline skip toc footnotes complementary contentinfo kopfzeile seitenleiste werbung anzeige anzeigen hinweis hinweise teilen verwandte empfohlen impressum entete publicité publicite pub annonce annonces avis partager connexes mentions encabezado cabecera lateral publicidad anuncio anuncios aviso avisos compartir relacionados recomendados pubblicità pubblicita annuncio avviso condividi correlati anúncio propaganda reclame advertentie delen".split())
+MAIN_NAMES = frozenset("article content main story post entry body text maincontent bodytext artikel inhalt beitrag contenu texte contenido artículo articulo cuerpo contenuto articolo conteúdo artigo inhoud".split())
 
 FEATURES = ("words", "link_density", "previous_words", "previous_link_density", "next_words", "next_link_density", "strong", "weak", "in_article", "main_name", "heading", "page_has_article", "sentence_end", "copyright")
 
@@ -63,13 +65,92 @@ def _says(tag: str, attributes: str) -> tuple[bool, bool, bool]:
     return strong, weak, main
 
 
+class _Scanner:
+    """Cuts a page in one pass; what a search has not found once is not searched again, so broken markup costs no more than sound."""
+
+    def __init__(self, page: str):
+        self.page, self.missing, self.quotes = page, set(), True
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.missing:
+            return -1
+        k = self.page.find(what, at)
+        if k < 0:
+            self.missing.add(what)
+        return k
+
+    def tag_end(self, at: int) -> int:
+        """The > that ends a tag, outside quoted values as long as all of those are closed; -1 without one."""
+        plain = self.find(">", at)
+        if plain < 0 or not self.quotes:
+            return plain
+        while True:
+            m = _TAG_END.search(self.page, at)
+            if m and not m[1]:
+                return m.start()
+            at = self.find(m[1], m.end()) + 1 if m else 0
+            if not at:
+                self.quotes = False
+                return plain
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """What follows the closing tag of a raw element; -1 without one."""
+        if tag in self.missing:
+            return -1
+        m = _RAW_END[tag].search(self.page, at)
+        if m is None:
+            self.missing.add(tag)
+        return m.end() if m else -1
+
+    def tokens(self) -> Iterator[tuple[str, bool, str]]:
+        """(text, False, "") for text after an empty tag name, else (tag, closes, attributes) as ("<tag", ...)."""
+        page, at = self.page, 0
+        while at < len(page):
+            if page[at] != "<":
+                k = self.find("<", at)
+                k = len(page) if k < 0 else k
+                yield page[at:k], False, ""
+                at = k
+                continue
+            if page.startswith("<!--", at):
+                k = self.find("-->", at + 4)
+                at = len(page) if k < 0 else k + 3
+                continue
+            close = page.startswith("</", at)
+            name = _NAME.match(page, at + 1 + close)
+            if name is None:
+                k = self.find(">", at) if page[at + 1 : at + 2] in ("!", "?", "/") and at + 1 < len(page) else -1
+                if k < 0:
+                    yield "<", False, ""
+                    k = at
+                at = k + 1
+                continue
+            end = self.tag_end(name.end())
+            if end < 0:
+                yield "<", False, ""
+                at += 1
+                continue
+            tag, attributes, at = name[0].lower(), page[name.end() : end], end + 1
+            if tag in _RAW_END:
+                #: Without a closing tag only the tag itself goes; a script or style is open to the end.
+                if not close and not _SELF_CLOSED.search(attributes):
+                    k = self.raw_end(tag, at)
+                    at = k if k >= 0 else len(page) if tag in ("script", "style") else at
+                if tag in ("title", "textarea", "select", "iframe", "object", "button"):
+                    yield "<" + tag, close, ""
+                continue
+            yield "<" + tag, close, attributes
+
+
 def blocks(page: str) -> tuple[list[str], list[tuple]]:
     """Texts of the flat blocks in page order and what each is: (words, linked words, strong, weak, in article, main name, heading)."""
     texts: list[str] = []
     facts: list[tuple] = []
     stack: list[tuple] = []
+    places: dict[str, list[int]] = defaultdict(list)
+    boundaries: list[int] = []
     state = (False, False, False, False)
-    heading, link = False, 0
+    heading, link = False, False
     parts: list[str] = []
     linked: list[str] = []
 
@@ -83,36 +164,30 @@ def blocks(page: str) -> tuple[list[str], list[tuple]]:
                 facts.append((n, min(n, len(html.unescape(" ".join(linked)).split())) if linked else 0, *state, heading))
             parts, linked = [], []
 
-    at, open_to_the_end = 0, set()
-    while at < len(page):
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        tag = m["tag"] or m["tag2"]
-        if tag is None:
-            piece = m[0]
-            if piece[0] != "<" or piece == "<":
-                parts.append(piece)
-                if link:
-                    linked.append(piece)
+    def leave(k: int) -> None:
+        """Close all that was opened since place k of the stack."""
+        nonlocal state
+        if state != stack[k][1]:
+            flush()
+        state = stack[k][1]
+        for tag, _ in stack[k:]:
+            places[tag].pop()
+            if tag in BOUNDARIES:
+                boundaries.pop()
+        del stack[k:]
+
+    for token, close, attributes in _Scanner(page).tokens():
+        if token[0] != "<" or token == "<":
+            parts.append(token)
+            if link:
+                linked.append(token)
             continue
-        tag = tag.lower()
-        close = bool(m["close"] or m["close2"])
-        attributes = m["attributes"] or ""
-        if tag in _RAW_END and not close:
-            #: Without a closing tag only the tag itself goes; a search that failed once is not made again.
-            if tag not in open_to_the_end and not _SELF_CLOSED.search(attributes):
-                end = _RAW_END[tag].search(page, at)
-                if end:
-                    at = end.end()
-                elif tag in ("script", "style"):
-                    at = len(page)
-                else:
-                    open_to_the_end.add(tag)
-            if tag in ("title", "textarea", "select", "iframe", "object"):
-                flush()
+        tag = token[1:]
+        if tag in _RAW_END:
+            flush()
             continue
         if tag == "a":
-            link = 0 if close else 1
+            link = not close
         elif tag == "br":
             parts.append(" ")
         if tag not in INLINE and tag != "br":
@@ -123,19 +198,12 @@ def blocks(page: str) -> tuple[list[str], list[tuple]]:
             continue
         if tag in CONTAINERS:
             if close:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        if state != stack[k][1]:
-                            flush()
-                        state = stack[k][1]
-                        del stack[k:]
-                        break
-                    if stack[k][0] in ("article", "nav", "aside", "footer", "form", "header", "section", "main") and tag in ("p", "li", "span", "ul", "ol"):
-                        break
+                if places[tag] and not (tag in BOUNDED and boundaries and boundaries[-1] > places[tag][-1]):
+                    leave(places[tag][-1])
                 heading = heading and tag == "span"
             else:
                 if tag in ("p", "li") and stack and stack[-1][0] == tag:
-                    state = stack.pop()[1]
+                    leave(len(stack) - 1)
                 strong, weak, main = _says(tag, attributes)
                 before = state
                 now_article = state[2]
@@ -150,6 +218,9 @@ def blocks(page: str) -> tuple[list[str], list[tuple]]:
                 if fresh != state:
                     flush()
                 state = fresh
+                places[tag].append(len(stack))
+                if tag in BOUNDARIES:
+                    boundaries.append(len(stack))
                 stack.append((tag, before))
     flush()
     return texts, facts
@@ -258,6 +329,23 @@ LABELLED_PAGES = (
 )
 
 
+#: The same in three more languages, with and without names.
+_OTHERS = (
+    ("Der Fluss war in der Nacht gestiegen, und am Morgen standen die unteren Felder unter Wasser, so dass die Bauern ihre Schafe auf den Hügel trieben.", "Niemand im Dorf konnte sich an eine solche Flut erinnern.", "kommentare", "werbung", "inhalt"),
+    ("La rivière avait monté dans la nuit et au matin les champs du bas étaient sous l'eau, si bien que les fermiers menèrent les moutons sur la colline.", "Personne au village ne se souvenait d'une telle crue.", "commentaires", "publicite", "contenu"),
+    ("El río había crecido por la noche y por la mañana los campos bajos estaban bajo el agua, de modo que los campesinos llevaron las ovejas a la colina.", "Nadie en el pueblo recordaba una crecida semejante.", "comentarios", "publicidad", "contenido"),
+)
+LABELLED_PAGES += tuple(
+    page
+    for long, middle, comments, ad, content in _OTHERS
+    for page in (
+        f"<body><nav><ul>{_LINKS}</ul></nav><div class={ad}>{middle}</div><article><h1>+{middle[:20]}</h1><p>+{long}<p>+{middle}</article><footer>&copy; {middle}</footer>",
+        f"<body><ul>{_LINKS}</ul><div class={content}><h1>+{middle[:20]}</h1><p>+{long}</p><p>+{middle}</p></div><div class={comments}><p>{long}</p><p>{middle}</p></div><div id={ad}>{long}</div>",
+        f"<body><div><a href=/>{middle[:9]}</a></div><div>+{long}</div><div>+{long} {middle}</div><div>+{middle}</div><ul>{_LINKS}</ul><form><p>{middle}</p><button>{middle[:7]}</button></form>",
+    )
+)
+
+
 @lru_cache(maxsize=1)
 def model() -> Tree:
     x, y = [], []
@@ -299,4 +387,4 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     and urls stay null, other columns are ignored, no rows give no rows.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(lean(_extract), "page_id long, url string, text string, n_chars long")
