@@ -6,33 +6,38 @@ piece; every piece of the vocabulary is found by binary search, which gives the
 range of suffixes that start with it; the ranges become edges (place, length,
 piece), sorted by place. The relaxation is that of the model: in byte-pair models
 the best-scored edge that joins two neighbouring tokens is taken first, the
-leftmost of equals, for all segments in lockstep.
+leftmost of equals. Short segments are relaxed in lockstep, one edge of each a round;
+in long ones a round takes every edge that is the best within the longest piece on
+either side, as nothing outside can change what happens there.
 
 Pieces never hold a word mark after another character (checked when the model is
-read), so segments are independent, and a segment seen before is not matched anew.
+read), so segments are independent; so are their parts between two characters that
+stand side by side in no piece. A segment seen before (compared by its bytes) is not
+matched anew.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.text import Prefix, owners, row_slices, text_bytes
+from quillspark.llm.shared import lean
+from quillspark.llm.text import owners, pieces, row_slices, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Characters of distinct segments matched at once, and segments remembered by a task.
-MATCH_CHARS = 300_000
-REMEMBERED = 400_000
-#: Longer segments are relaxed one by one with a heap.
-LOCKSTEP_CHARS = 96
+MATCH_CHARS = 150_000
+REMEMBERED = 200_000
+#: Longer parts take several edges a round.
+LOCKSTEP_CHARS = 64
 _NONE = np.int32(2**31 - 1)
 
 
@@ -58,9 +63,29 @@ class Vocabulary:
         self.rank = self.rank.astype(np.int32)
         self.size = np.array([len(x) for x in self.pieces])
         self.longest = int(self.size.max())
+        self.depth = -(-self.longest // 4) * 4
         self.first = np.zeros(len(ids) + 1, np.int64)
         np.cumsum(self.size, out=self.first[1:])
-        self.chars = np.frombuffer("".join(self.pieces).encode("utf-32-le"), np.uint32)
+        chars = np.frombuffer("".join(self.pieces).encode("utf-32-le"), np.uint32)
+        self.alphabet = np.unique(chars)
+        if len(self.alphabet) > 65_000:
+            raise ValueError("an alphabet of at most 65,000 characters is needed")
+        codes = self.codes(chars)
+        inside = np.ones(len(chars), bool)
+        inside[self.first[1:] - 1] = False
+        at = np.flatnonzero(inside)
+        #: Characters that stand side by side in some piece.
+        self.neighbours = np.unique(codes[at] << 16 | codes[at + 1])
+        self.low, self.high = [], []
+        for k in range(0, self.depth, 4):
+            low, high = np.zeros(len(ids), np.uint64), np.zeros(len(ids), np.uint64)
+            for c in range(k, k + 4):
+                within = self.size > c
+                code = np.where(within, codes[np.minimum(self.first[:-1] + c, len(codes) - 1)], 0).astype(np.uint64)
+                low = (low << np.uint64(16)) | code
+                high = (high << np.uint64(16)) | np.where(within, code, np.uint64(0xFFFF))
+            self.low.append(low)
+            self.high.append(high)
         raw = [bytes([int(p.id_to_piece(i)[1:-1], 16)]) if p.is_byte(i) else b"" if p.is_control(i) else p.id_to_piece(i).replace(MARK, " ").encode() for i in range(n)]
         self.raw_first = np.zeros(n + 1, np.int64)
         np.cumsum([len(x) for x in raw], out=self.raw_first[1:])
@@ -69,6 +94,11 @@ class Vocabulary:
         if [r.tolist() for r in Encoder(self).encode(probe)] != p.encode(probe):
             raise ValueError("only byte-pair models are supported")
 
+    def codes(self, chars: np.ndarray) -> np.ndarray:
+        """Numbers of characters from 1 up; those that no piece holds share the last."""
+        at = np.minimum(np.searchsorted(self.alphabet, chars), len(self.alphabet) - 1)
+        return np.where(self.alphabet[at] == chars, at + 1, len(self.alphabet) + 1)
+
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
@@ -132,143 +162,116 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.slot = np.zeros(0, np.int64)
+        self.known = pa.array([], pa.large_binary())
         self.pool = np.zeros(0, np.int32)
         self.pool_first = np.zeros(1, np.int64)
 
-    def match(self, chars: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Edges of all pieces in some segments as (rank, piece) tables by place and length."""
+    def match(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The edges of all pieces in some segments: the piece by place and length, -1 where there is none."""
         v = self.v
-        left = np.repeat(first[1:], np.diff(first)) - np.arange(len(chars))
-        alphabet, codes = np.unique(chars, return_inverse=True)
-        if len(alphabet) > 65_000:
-            raise ValueError("too many distinct characters at once")
-        depth = -(-v.longest // 4) * 4
-        order, keys = suffix_order(codes + 1, left, depth)
-        at = np.minimum(np.searchsorted(alphabet, v.chars), len(alphabet) - 1)
-        piece_codes = np.where(alphabet[at] == v.chars, at + 1, 0).astype(np.uint64)
-        bad = np.zeros(len(v.chars) + 1, np.int64)
-        np.cumsum(piece_codes == 0, out=bad[1:])
-        usable = np.flatnonzero(bad[v.first[1:]] == bad[v.first[:-1]])
-        low, high = [], []
-        for k in range(0, depth, 4):
-            lo_key, hi_key = np.zeros(len(usable), np.uint64), np.zeros(len(usable), np.uint64)
-            for c in range(k, k + 4):
-                inside = v.size[usable] > c
-                code = np.where(inside, piece_codes[np.minimum(v.first[usable] + c, len(piece_codes) - 1)], np.uint64(0))
-                lo_key = (lo_key << np.uint64(16)) | code
-                hi_key = (hi_key << np.uint64(16)) | np.where(inside, code, np.uint64(0xFFFF))
-            low.append(lo_key)
-            high.append(hi_key)
-        begin = _lower_bound(order, keys, low, False)
-        end = _lower_bound(order, keys, high, True)
+        left = np.repeat(first[1:], np.diff(first)) - np.arange(len(codes))
+        order, keys = suffix_order(codes, left, v.depth)
+        begin, end = _lower_bound(order, keys, v.low, False), _lower_bound(order, keys, v.high, True)
         count = end - begin
-        edge_piece = np.repeat(usable, count)
+        edge_piece = np.repeat(np.arange(len(count)), count)
         place = order[np.arange(count.sum()) + np.repeat(begin - np.cumsum(count) + count, count)]
         by_place = np.argsort(place, kind="stable")
         place, edge_piece = place[by_place], edge_piece[by_place]
-        rank = np.full((len(chars) + 1, v.longest + 1), _NONE, np.int32)
-        piece = np.full((len(chars) + 1, v.longest + 1), -1, np.int32)
-        rank[place, v.size[edge_piece]] = v.rank[edge_piece]
+        piece = np.full((len(codes) + 1, v.longest + 1), -1, np.int32)
         piece[place, v.size[edge_piece]] = edge_piece
-        return rank, piece
-
-    def relax(self, rank: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return piece
+
+    def _edges(self, piece: np.ndarray, start: np.ndarray, length: np.ndarray, segment: np.ndarray) -> np.ndarray:
+        """For each token the edge that joins it to the next, as rank and number in one; no edge is the largest rank."""
+        n = len(start)
+        both = np.zeros(n, np.int64)
+        both[:-1] = np.where(segment[1:] == segment[:-1], length[:-1] + length[1:], 0)
+        both[both > self.v.longest] = 0
+        joined = piece[start, both]
+        return np.where((both > 0) & (joined >= 0), self.v.rank[joined], _NONE).astype(np.int64) << 32 | np.arange(n)
+
+    def relax(self, piece: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens (place, length) of all segments, in order."""
-        size = np.diff(first)
-        long = size > LOCKSTEP_CHARS
-        places, lengths = [], []
+        long = np.diff(first) > LOCKSTEP_CHARS
         segment = owners(first)
-        start = np.flatnonzero(~long[segment])
-        length, segment = np.ones(len(start), np.int64), segment[start]
-        most = rank.shape[1] - 1
+        found = [self._lockstep(piece, np.flatnonzero(~long[segment]), segment), self._windowed(piece, np.flatnonzero(long[segment]), segment)]
+        place, length = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(place, kind="stable")
+        return place[order], length[order]
+
+    def _lockstep(self, piece: np.ndarray, start: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A round takes the best edge of every segment."""
+        places, lengths = [start[:0]], [start[:0]]
+        length, segment = np.ones(len(start), np.int64), owner[start]
         while len(start):
-            n = len(start)
-            both = np.zeros(n, np.int64)
-            both[:-1] = np.where(segment[1:] == segment[:-1], length[:-1] + length[1:], 0)
-            both[both > most] = 0
-            best = np.where(both > 0, rank[start, both], _NONE).astype(np.int64) << 32 | np.arange(n)
+            best = self._edges(piece, start, length, segment)
             heads = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
             least = np.minimum.reduceat(best, heads)
             done = (least >> 32) == _NONE
             chosen = (least & 0xFFFFFFFF)[~done]
-            finished = np.repeat(done, np.diff(np.append(heads, n)))
+            finished = np.repeat(done, np.diff(np.append(heads, len(start))))
             places.append(start[finished])
             lengths.append(length[finished])
             length[chosen] += length[chosen + 1]
             keep = ~finished
             keep[chosen + 1] = False
             start, length, segment = start[keep], length[keep], segment[keep]
-        for s in np.flatnonzero(long):
-            place, size_ = self._heaped(rank, int(first[s]), int(first[s + 1]))
-            places.append(place)
-            lengths.append(size_)
-        place, length = np.concatenate(places or [start]), np.concatenate(lengths or [length])
-        order = np.argsort(place, kind="stable")
-        return place[order], length[order]
+        return np.concatenate(places), np.concatenate(lengths)
+
+    def _windowed(self, piece: np.ndarray, start: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A round takes every edge that is the best among those that begin within the longest piece on either side.
+
+        An edge that could come before such a one and touch it would be built of edges
+        that lie there already and are better.
+        """
+        length, reach = np.ones(len(start), np.int64), self.v.longest + 1
+        while len(start):
+            edge = self._edges(piece, start, length, owner[start])
+            padded = np.full(len(edge) + 2 * reach, np.iinfo(np.int64).max)
+            padded[reach:-reach] = edge
+            least, width = padded, 1
+            while 2 * width <= 2 * reach + 1:
+                least = np.minimum(least[:-width], least[width:])
+                width *= 2
+            rest = 2 * reach + 1 - width
+            least = np.minimum(least[: len(edge)], least[rest : rest + len(edge)])
+            chosen = np.flatnonzero((edge == least) & (edge >> 32 != _NONE))
+            if not len(chosen):
+                break
+            length[chosen] += length[chosen + 1]
+            keep = np.ones(len(start), bool)
+            keep[chosen + 1] = False
+            start, length = start[keep], length[keep]
+        return start, length
 
-    @staticmethod
-    def _heaped(rank: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-        n, most = end - begin, rank.shape[1] - 1
-        size = [1] * n
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue: list[tuple[int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j >= 0 and size[i] + size[j] <= most and (r := int(rank[begin + i, size[i] + size[j]])) != _NONE:
-                heapq.heappush(queue, (r, i, size[i] + size[j]))
-
-        for i in range(n - 1):
-            offer(i)
-        while queue:
-            _, i, total = heapq.heappop(queue)
-            j = after[i]
-            if not size[i] or j < 0 or size[i] + size[j] != total:
-                continue
-            size[i], size[j], after[i] = total, 0, after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        place = np.array([i for i in range(n) if size[i]], np.int64)
-        return place + begin, np.array(size, np.int64)[place]
-
-    def _learn(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+    def _learn(self, fresh: pa.Array) -> None:
         """Encode segments not seen before, in portions of about MATCH_CHARS characters, and remember them."""
-        size = end - start
-        portion = np.cumsum(size) // MATCH_CHARS
-        slots, pools, counts = [], [self.pool], [np.diff(self.pool_first)]
-        for k in np.unique(portion):
-            part = np.flatnonzero(portion == k)
-            cut = np.zeros(len(part) + 1, np.int64)
-            np.cumsum(size[part], out=cut[1:])
-            body = data[np.arange(cut[-1]) + np.repeat(start[part] - cut[:-1], size[part])]
-            chars = np.frombuffer(body.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-            heads = np.flatnonzero((body & 0xC0) != 0x80)
-            first = np.searchsorted(heads, cut).astype(np.int64)
-            rank, piece = self.match(chars, first)
-            place, length = self.relax(rank, first)
+        _, offsets, body = fresh.buffers()
+        cut = np.frombuffer(offsets, np.int64)[fresh.offset : fresh.offset + len(fresh) + 1]
+        body = np.frombuffer(body, np.uint8)[cut[0] : cut[-1]]
+        cut = cut - cut[0]
+        codes = self.v.codes(np.frombuffer(body.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32))
+        heads = np.flatnonzero((body & 0xC0) != 0x80)
+        first = np.searchsorted(heads, cut).astype(np.int64)
+        pair = codes[:-1] << 16 | codes[1:]
+        at = np.minimum(np.searchsorted(self.v.neighbours, pair), len(self.v.neighbours) - 1)
+        part_first = np.union1d(first, np.flatnonzero(self.v.neighbours[at] != pair) + 1)
+        heads = np.append(heads, len(body))
+        pools, count = [self.pool], np.zeros(len(fresh), np.int64)
+        for i, j in row_slices(part_first, MATCH_CHARS):
+            a, b = part_first[i], part_first[j]
+            piece = self.match(codes[a:b], part_first[i : j + 1] - a)
+            place, length = self.relax(piece, part_first[i : j + 1] - a)
             token = piece[place, length]
             single = np.where(token >= 0, self.v.ids[token], -1)
-            heads = np.append(heads, len(body))
+            place = place + a
             lost = single < 0
             spread = np.where(lost, heads[place + 1] - heads[place], 1)
             at = np.repeat(heads[place], spread) + np.arange(spread.sum()) - np.repeat(np.cumsum(spread) - spread, spread)
-            ids = np.where(np.repeat(lost, spread), self.v.bytes[body[np.minimum(at, len(body) - 1)]], np.repeat(single, spread)).astype(np.int32)
-            count = np.bincount(np.searchsorted(first, place, "right") - 1, spread, len(part)).astype(np.int64)
-            pools.append(ids)
-            counts.append(count)
-            slots.append(part)
-        base = len(self.known)
-        order = np.argsort(np.concatenate([self.known, hashes]), kind="stable")
-        slot = np.concatenate([self.slot, np.empty(len(hashes), np.int64)])
-        slot[base + np.concatenate(slots)] = base + np.arange(len(hashes))
-        self.known, self.slot = np.concatenate([self.known, hashes])[order], slot[order]
-        self.pool = np.concatenate(pools)
-        self.pool_first = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+            pools.append(np.where(np.repeat(lost, spread), self.v.bytes[body[np.minimum(at, len(body) - 1)]], np.repeat(single, spread)).astype(np.int32))
+            np.add.at(count, np.searchsorted(first, place, "right") - 1, spread)
+        self.pool, self.pool_first = np.concatenate(pools), np.concatenate([self.pool_first, self.pool_first[-1] + np.cumsum(count)])
+        self.known = pa.concat_arrays([self.known, fresh])
 
     def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of normalized texts (UTF-8), and where each text's begin."""
@@ -280,21 +283,19 @@ class Encoder:
         head[3:] &= ~mark[:-3]
         head[offsets[:-1][offsets[:-1] < n]] = True
         start = np.flatnonzero(head)
-        end = np.append(start[1:], n)
         first = np.searchsorted(start, offsets).astype(np.int64)
-        hashes = Prefix(data, "byte").of(start, end)
+        if not len(start):
+            return np.zeros(0, np.int32), first
+        distinct = pieces(data, start, np.append(start[1:], n)).dictionary_encode()
         if len(self.known) > REMEMBERED:
             self._forget()
-        at = np.searchsorted(self.known, hashes)
-        new = np.ones(len(hashes), bool)
-        if len(self.known):
-            new = self.known[np.minimum(at, len(self.known) - 1)] != hashes
-        if new.any():
-            index = np.flatnonzero(new)
-            fresh, one = np.unique(hashes[index], return_index=True)
-            self._learn(fresh, data, start[index[one]], end[index[one]])
-            at = np.searchsorted(self.known, hashes)
-        slot = self.slot[at] if len(hashes) else np.zeros(0, np.int64)
+        at = pc.index_in(distinct.dictionary, value_set=self.known)
+        new = at.is_null()
+        slots = at.fill_null(-1).to_numpy().astype(np.int64)
+        if at.null_count:
+            slots[slots < 0] = len(self.known) + np.arange(at.null_count)
+            self._learn(distinct.dictionary.filter(new))
+        slot = slots[distinct.indices.to_numpy()]
         count = self.pool_first[slot + 1] - self.pool_first[slot]
         total = np.zeros(len(count) + 1, np.int64)
         np.cumsum(count, out=total[1:])
@@ -326,7 +327,7 @@ class Encoder:
 
 def _texts(batch: pa.RecordBatch, encoder: Encoder, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     data, offsets = text_bytes(batch.column(column))
-    for i, j in row_slices(offsets, 4 << 20):
+    for i, j in row_slices(offsets, 2 << 20):
         own = offsets[i : j + 1] - offsets[i]
         part = data[offsets[i] : offsets[j]]
         texts = pa.LargeStringArray.from_buffers(j - i, pa.py_buffer(np.ascontiguousarray(own)), pa.py_buffer(part)).to_pylist()
@@ -343,7 +344,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
             for i, j, ids, first, _, _ in _texts(batch, encoder, 1):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))], names=["doc_id", "ids"])
 
-    return _rows(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return _rows(docs).mapInArrow(lean(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -358,11 +359,15 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
             texts = [out[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(lean(run), "doc_id long, text string")
 
 
 def checked(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, ids, n_tokens, restored of every row: ids as in `encode`, restored as in `round_trip`."""
+    """doc_id, ids, n_tokens, restored of every row: ids as in `encode`, restored as in `round_trip`.
+
+    A null or empty text has no ids and is restored; a null doc_id stays null, repeated
+    rows give repeated rows, other columns are ignored, no rows give no rows.
+    """
     return _round_trip(docs, model, True)
 
 
@@ -395,7 +400,7 @@ def _round_trip(docs: DataFrame, model: str, with_ids: bool) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([doc_id, n, pa.array(digests, pa.string()), same], names=["doc_id", "n_tokens", "ids_sha256", "restored"])
 
     kind = "ids array<int>, n_tokens long" if with_ids else "n_tokens long, ids_sha256 string"
-    return _rows(docs).mapInArrow(run, f"doc_id long, {kind}, restored boolean")
+    return _rows(docs).mapInArrow(lean(run), f"doc_id long, {kind}, restored boolean")
 
 
 def _rows(docs: DataFrame) -> DataFrame:

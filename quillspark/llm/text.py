@@ -51,7 +51,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit XXH3 of byte ranges."""
     view, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(view[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)), np.uint64, len(start))
+    out, step = np.empty(len(start), np.uint64), 1 << 16
+    for i in range(0, len(start), step):
+        out[i : i + step] = [digest(view[a:b]) for a, b in zip(start[i : i + step].tolist(), end[i : i + step].tolist(), strict=True)]
+    return out
 
 
 def pieces(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -186,7 +189,7 @@ def owners(first: np.ndarray) -> np.ndarray:
 
 
 #: Windows of one run.
-MOST_WINDOWS = 4_096
+MOST_WINDOWS = 256
 
 
 def window_anchors(grams: np.ndarray, first: np.ndarray, window: int, k: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

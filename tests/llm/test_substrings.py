@@ -220,7 +220,7 @@ def test_long_runs_of_one_sign_are_few_contexts(spark):
     rows = [(0, " " * 300_000), (1, "ha " * 60_000), (2, prose(9, 100) + " " * 5_000 + prose(10, 100))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     ranges = suffix_dedup.repeated_ranges(suffix_dedup.keyed(df).select("rid", "text"))
-    assert ranges.selectExpr("max(size(ranges))").first()[0] < 1_000
+    assert ranges.selectExpr("max(size(ranges))").first()[0] < 2_000
     got = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix_dedup.dedup_substrings(df).collect()}
     assert got[0] == (300_000, 300_000) and got[1] == (180_000, 180_000) and got[2][1] >= 5_000
     assert {r.doc_id: r.n_removed for r in fm_dedup.dedup_windows(df).collect()} == {0: 0, 1: 0, 2: 0}

@@ -288,7 +288,7 @@ def test_suffix_ranges_are_all_occurrences():
     v = sentencepiece_codec.vocabulary(sentencepiece_codec.MODEL)
     text = "▁the▁that▁thethe"
     chars = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    _, piece = sentencepiece_codec.Encoder(v).match(chars, np.array([0, 4, 9, 16]))
+    piece = sentencepiece_codec.Encoder(v).match(v.codes(chars), np.array([0, 4, 9, 16]))
     known = {p: i for i, p in enumerate(v.pieces)}
     bounds = [4] * 4 + [9] * 5 + [16] * 7
     want = {(i, n): known[text[i : i + n]] for i in range(16) for n in range(1, v.longest + 1) if i + n <= bounds[i] and text[i : i + n] in known}
