@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import written
+from quillspark.llm.shared import forget, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,7 +23,9 @@ def components(edges: DataFrame) -> DataFrame:
         seen = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         near = labels.join(seen, "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
         far = labels.select(F.col("node").alias("component"), F.col("component").alias("beyond"))
-        labels = written(near.join(far, "component", "left").select("node", "old", F.least("component", F.coalesce("beyond", "component")).alias("component")), "cc-labels")
+        fresh = written(near.join(far, "component", "left").select("node", "old", F.least("component", F.coalesce("beyond", "component")).alias("component")), "cc-labels")
+        forget(labels)
+        labels = fresh
         if not labels.filter("component < old").limit(1).count():
+            forget(both)
             return labels.select("node", "component")
-        labels = labels.select("node", "component")

@@ -4,7 +4,8 @@
    set, the minima of `BANDS * ROWS` hash functions folded to band keys, and the
    low `BITS` bits of each minimum packed into longs.
 2. Equal sets form a class; only the smallest document of a class goes on. A class
-   is named by a key of its set, as ids may be null or repeated.
+   is named by a key of its set, as ids may be null or repeated. A shingle is the XXH3
+   of its words' bytes, a set the sums of two mixes of those.
 3. Classes that share a band key are candidates. Shingles are counted over all
    candidates: one held by a single class cannot be shared, so a class with a larger
    share of such shingles than a link may lack has no link, whatever it is compared with.
@@ -32,8 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import components
-from quillspark.llm.shared import written
-from quillspark.llm.text import Prefix, Words, mix, owners, row_slices, text_bytes
+from quillspark.llm.shared import forget, lean, row_key, written
+from quillspark.llm.text import Words, digests, mix, owners, row_slices, text_bytes
 
 SHINGLE = 5
 BANDS, ROWS, BITS = 24, 4, 2
@@ -54,14 +55,14 @@ _PER_LONG = 64 // BITS
 
 def shingle_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles of each text, and where each text's begin; a shorter text is one shingle, an empty one none."""
-    prefix = Prefix(words.hashes(), "word")
+    joined, word_start, word_end = words.joined()
     count = np.diff(words.first)
     n = np.where(count >= size, count - size + 1, np.minimum(count, 1))
     first = np.zeros(len(n) + 1, np.int64)
     np.cumsum(n, out=first[1:])
     row = owners(first)
     start = np.arange(first[-1]) - first[:-1][row] + words.first[:-1][row]
-    return prefix.of(start, np.minimum(start + size, words.first[1:][row])), first
+    return digests(joined, word_start[start], word_end[np.minimum(start + size, words.first[1:][row]) - 1]), first
 
 
 def distinct_in_rows(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +133,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def keyed(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return docs.withColumn("rid", F.xxhash64("doc", "text"))
+    return docs.withColumn("rid", row_key("doc"))
 
 
 def estimate(a: str, b: str) -> str:
@@ -217,20 +218,25 @@ def _class_key(classes: DataFrame) -> Column:
 
 def links(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, classes, links): members has doc, rid, n, rep for every row; classes the smallest doc and its rid of every rep; links has (a, b) between reps."""
-    signed = written(docs.mapInArrow(_signatures, "doc long, rid long, n long, set1 long, set2 long, bands array<long>, bits array<long>"), "minhash-signatures")
+    signed = written(docs.mapInArrow(lean(_signatures), "doc long, rid binary, n long, set1 long, set2 long, bands array<long>, bits array<long>"), "minhash-signatures")
     #: One row for each set; null ids sort last, so a class is named by a real id where it has one.
     classes = signed.filter("n > 0").groupBy("set1", "set2", "n").agg(F.min(F.struct(F.coalesce("doc", F.lit((1 << 63) - 1)).alias("doc"), F.col("rid").alias("rid"), "bands", "bits")).alias("one"))
     classes = written(classes.select("set1", "set2", "n", F.col("one.doc").alias("doc"), F.col("one.rid").alias("rid"), F.col("one.bands").alias("bands"), F.col("one.bits").alias("bits")), "minhash-classes")
     key = _class_key(classes)
     classes = classes.withColumn("rep", key)
-    members = signed.select("doc", "rid", "n", F.when(F.col("n") > 0, key).alias("rep"))
+    members = written(signed.select("doc", "rid", "n", F.when(F.col("n") > 0, key).alias("rep")), "minhash-members")
+    forget(signed)
 
     keys = classes.select("rep", F.explode("bands").alias("band"))
     full = written(keys.groupBy("band").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("band"), "minhash-full")
     buckets = written(keys.join(full, "band"), "minhash-buckets")
-    candidates = classes.join(buckets.select("rep").distinct(), "rep", "left_semi")
-    sets = docs.select("rid", "text").join(candidates.select("rid", "rep"), "rid").dropDuplicates(["rep"]).select("rep", "text")
-    sets = written(sets.mapInArrow(_sets, "rep long, shingles array<long>"), "minhash-sets")
+    forget(full)
+    candidates = written(classes.join(buckets.select("rep").distinct(), "rep", "left_semi").select("rep", "rid", "n", "bits"), "minhash-candidates")
+    #: A written table of keys: where it is small enough for a broadcast, Spark does not shuffle all texts.
+    chosen = written(candidates.select("rid", "rep"), "minhash-chosen")
+    sets = docs.select("rid", "text").join(chosen, "rid").dropDuplicates(["rep"]).select("rep", "text")
+    sets = written(sets.mapInArrow(lean(_sets), "rep long, shingles array<long>"), "minhash-sets")
+    forget(chosen)
 
     alone = sets.select("rep", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("rep").alias("rep")).filter("df = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
     able = candidates.join(alone, "rep", "left").withColumn("alone", F.coalesce("alone", F.lit(0))).filter(f"100 * (n - alone) >= {threshold} * n")
@@ -240,7 +246,10 @@ def links(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, DataFr
     hubs = written(joined.groupBy("band").agg(F.min(F.struct("apart", "rep")).alias("hub"), F.count(F.lit(1)).alias("held")).filter("held > 1").select("band", F.col("hub.rep").alias("hub")), "minhash-hubs")
     spokes = written(joined.join(hubs, "band").filter("rep <> hub").select("rep", "hub").distinct(), "minhash-spokes")
     near = spokes.join(able.select("rep", "n", "bits"), "rep").join(able.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("bits").alias("hub_bits")), "hub")
+    #: Numbers and packed bits decide which pairs are worth their sets.
     near = near.filter(f"100 * least(n, hub_n) >= {threshold} * greatest(n, hub_n)").filter(f"{estimate('bits', 'hub_bits')} >= {(threshold - SLACK) / 100}D").select("rep", "hub", "n", "hub_n")
+    near = written(near, "minhash-near")
+    forget(buckets, joined, hubs)
     compared = near.join(sets, "rep").join(sets.select(F.col("rep").alias("hub"), F.col("shingles").alias("hub_shingles")), "hub").withColumn("common", F.size(F.array_intersect("shingles", "hub_shingles")))
     first_links = written(compared.filter(f"100 * common >= {threshold} * (n + hub_n - common)").select(F.col("hub").alias("a"), F.col("rep").alias("b")), "minhash-links")
 
@@ -252,38 +261,40 @@ def links(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, DataFr
     open_ = placed.join(largest, "family").join(sets, "rep")
     blocks = _blocks(open_, open_.filter("component <> main"))
     blocks = blocks.repartition("family", "block", "slice").sortWithinPartitions("family", "block", "slice", F.desc("query")).select("family", "block", "slice", "rep", "component", "shingles", "query")
-    late_links = blocks.mapInArrow(partial(_linked_in_blocks, threshold=threshold), "a long, b long")
-    return members, classes.select("rep", "doc", "rid"), written(first_links.unionByName(late_links), "minhash-all-links")
+    late_links = blocks.mapInArrow(lean(partial(_linked_in_blocks, threshold=threshold)), "a long, b long")
+    found = written(first_links.unionByName(late_links), "minhash-all-links")
+    forget(sets, candidates, able, spokes, near, first_links, placed)
+    return members, classes.select("rep", "doc", "rid"), found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept, class_id, n_links.
+    """Per row: doc_id, n_shingles, component_id, kept, class_id, n_confirmed.
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased; a set
     holds the distinct shingles of five words, or the whole text if it has fewer.
     Rows whose sets share `THRESHOLD` percent of their union are linked;
     component_id is the smallest doc_id reachable, and `kept` tells whether it is
     the row's own; of several texts of one component under that id, one is kept,
-    and unrelated texts under one id are components of their own. class_id is the smallest doc_id with the same set, n_links the
-    number of confirmed links of that class that the search wrote down. Null and
+    and unrelated texts under one id are components of their own. class_id is the smallest doc_id with the same set,
+    n_confirmed the links of that class which the search confirmed: enough to connect its component, not all that exist. Null and
     empty texts have no set and stay alone (class and component are their own
     ids). A null doc_id counts as larger than all. Repeated rows are one class.
     Other columns are ignored; no rows give no rows.
     """
-    return _labelled(docs, THRESHOLD).select("doc_id", "n_shingles", "component_id", "kept", "class_id", "n_links")
+    return _labelled(docs, THRESHOLD).select("doc_id", "n_shingles", "component_id", "kept", "class_id", "n_confirmed")
 
 
 def _labelled(docs: DataFrame, threshold: int) -> DataFrame:
     members, classes, found = links(keyed(docs), threshold)
     labels = components(found).select(F.col("node").alias("rep"), "component")
     both = found.select(F.col("a").alias("rep")).unionByName(found.select(F.col("b").alias("rep")))
-    degree = both.groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = both.groupBy("rep").agg(F.count(F.lit(1)).alias("n_confirmed"))
     linked = written(labels.join(classes, "rep"), "minhash-linked")
     heads = linked.groupBy("component").agg(F.min(F.struct("doc", "rid")).alias("head"))
-    linked = written(linked.join(heads, "component").join(degree, "rep", "left").select("rep", "head", "n_links"), "minhash-heads")
+    linked = written(linked.join(heads, "component").join(degree, "rep", "left").select("rep", "head", "n_confirmed"), "minhash-heads")
     #: One written table on the other side, so that Spark can split a class of very many members.
     named = F.coalesce("head", F.struct("doc", "rid"))
-    placed = written(classes.join(linked, "rep", "left").select("rep", F.col("doc").alias("class_id"), named["doc"].alias("component_id"), named["rid"].alias("kept_rid"), "n_links"), "minhash-labels")
+    placed = written(classes.join(linked, "rep", "left").select("rep", F.col("doc").alias("class_id"), named["doc"].alias("component_id"), named["rid"].alias("kept_rid"), "n_confirmed"), "minhash-labels")
     out = members.join(placed, "rep", "left")
     return out.select(
         "rid",
@@ -292,13 +303,18 @@ def _labelled(docs: DataFrame, threshold: int) -> DataFrame:
         F.coalesce("component_id", "doc").alias("component_id"),
         F.coalesce(F.col("rid") == F.col("kept_rid"), F.lit(True)).alias("kept"),
         F.coalesce("class_id", "doc").alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("n_confirmed", F.lit(0)).cast("long").alias("n_confirmed"),
     )
 
 
 def deduplicated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of `docs`, all columns, that are kept where `threshold` percent make a link; of rows that agree in doc_id and text, one stays."""
+    """The rows of `docs`, all columns, that are kept where `threshold` percent make a link; of rows that agree in doc_id and text, one stays.
+
+    Null and empty texts have no set and all stay, save repeats under one id. A null
+    doc_id counts as larger than all; of rows that agree in id and text but differ in
+    other columns any one stays. Columns of any name pass through, no rows give no rows.
+    """
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keys = _labelled(rows.select("doc_id", "text"), threshold).filter("kept").select("rid").distinct()
-    rows = rows.select("row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("rid")).join(keys, "rid", "left_semi").dropDuplicates(["rid"])
+    rows = rows.select("row", "doc_id", F.coalesce("text", F.lit("")).alias("text")).select("row", row_key().alias("rid")).join(keys, "rid", "left_semi").dropDuplicates(["rid"])
     return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns))

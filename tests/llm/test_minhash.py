@@ -84,7 +84,7 @@ def test_families_of_edited_copies(spark, seed, monkeypatch):
 def test_copies_count_as_one_class(spark):
     rows = [(i, prose(5, 60)) for i in range(50)] + [(99, prose(6, 60))]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {(r.class_id, r.component_id, r.n_links) for r in got} == {(0, 0, 0), (99, 99, 0)}
+    assert {(r.class_id, r.component_id, r.n_confirmed) for r in got} == {(0, 0, 0), (99, 99, 0)}
 
 
 def test_deduplicated_keeps_columns_and_one_of_repeated_rows(spark):
@@ -112,6 +112,16 @@ def test_null_and_repeated_ids_are_told_apart_by_their_texts(spark):
     assert got == {(1, a), (None, b), (5, b + " " + c), (5, c), last}
 
 
+def test_words_with_one_polynomial_are_different(spark):
+    """A pair under the threshold by one long word, which polynomials modulo 2^64 cannot tell from its complement."""
+    bits = [bin(i).count("1") & 1 for i in range(4096)]
+    a, b = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    left, right = prose(60, 29), prose(61, 29)
+    rows = [(1, f"{left} {a} {right}"), (2, f"{left} {b} {right}")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id", "kept")
+    assert ordered(got.collect()) == brute(rows) and [r[2] for r in brute(rows)] == [1, 2]
+
+
 def test_empty_table(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     assert minhash.deduplicated(spark.createDataFrame([], SCHEMA)).count() == 0
