@@ -1,15 +1,19 @@
 """Benchmark leaks: a BM25 index of test items, searched by every training passage.
 
-The items are the indexed side: their number is checked, and more than
-`ITEMS_AT_ONCE` go in several indexes, each searched in its own scan. Every text is
-cut into passages of 128 words that overlap by half. Impacts are divided by the
-item's score for itself, so that one threshold fits all items. Block-max WAND,
-carried out for a batch of passages at a time: lists that cannot carry a passage
-over the threshold are set aside with their maxima as slack; the block maxima of
-the other lists bound each block of items; only blocks whose bound reaches the
-threshold are scored. Everything above the threshold is then verified: the item's
-question and its answer must both share enough of their word shingles with the
-text.
+The items are the indexed side. Document frequencies and lengths are counted over all
+of them; the index itself comes in shards of about `SHARD_WORDS` words. Each shard is
+made, sent to the tasks, searched in a scan of its own and released before the next,
+so neither the driver nor a task ever holds more than one.
+
+Every text is cut into passages of 128 words that overlap by half, items into pieces of
+64. Impacts are divided by the piece's score for itself, so that one threshold fits all.
+Block-max WAND, for many passages in lockstep: cursors over the postings of a passage's
+words stand in document order; the first one at which the summed list maxima reach the
+threshold is the pivot; the block maxima around the pivot either let it be scored or
+skip to where they end. Passages whose block maxima reach the threshold nowhere are
+left out before. Everything above the threshold is then verified: the item's question
+and its answer must both share enough of their word shingles with the text. Words are
+compared by their bytes.
 """
 
 from __future__ import annotations
@@ -24,7 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.text import Prefix, owners, row_slices, text_bytes
+from quillspark.llm.shared import lean, written
+from quillspark.llm.text import owners, pieces, row_slices, text_bytes
 
 STRIDE = 64
 PASSAGE = 2 * STRIDE
@@ -33,15 +38,18 @@ K1, B = 1.2, 0.75
 RETRIEVE = 0.5
 SHINGLE, OVERLAP = 5, 0.8
 BLOCK = 8
-#: Items of one index; with `STRIDE` words an entry, a bound on what tasks are sent.
-ITEMS_AT_ONCE = 5_000
+#: Words of the items in one shard of the index; a longer item is a shard of its own.
+SHARD_WORDS = 200_000
+#: Bounds of what a task expands at once: postings, and cells of passages by blocks.
+_POSTINGS, _CELLS = 1 << 20, 1 << 20
+_SLACK = 1e-9
 
 _bytes = np.arange(256)
 _INSIDE = ((_bytes >= 48) & (_bytes <= 57)) | ((_bytes >= 65) & (_bytes <= 90)) | ((_bytes >= 97) & (_bytes <= 122)) | (_bytes >= 128)
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs of letters and digits, and where each text's begin."""
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The runs of letters and digits, and where each text's begin."""
     inside = _INSIDE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
@@ -49,7 +57,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     first[1:] &= ~inside[:-1] | edge[1:-1]
     last[:-1] &= ~inside[1:] | edge[1:-1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return Prefix(data, "byte").of(start, end), np.searchsorted(start, offsets).astype(np.int64)
+    return pieces(data, start, end), np.searchsorted(start, offsets).astype(np.int64)
 
 
 def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -65,12 +73,14 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return (question, answer) if question.strip() and answer.strip() else (text, text)
 
 
-def shingles(hashes: np.ndarray) -> np.ndarray:
-    """Distinct shingles of `SHINGLE` tokens; a shorter text is one."""
-    if not len(hashes):
-        return np.zeros(0, np.uint64)
-    prefix = Prefix(hashes, "word")
-    return np.unique(prefix.grams(SHINGLE)) if len(hashes) >= SHINGLE else prefix.of(np.array([0]), np.array([len(hashes)]))
+def shingles(terms: np.ndarray, size: int = SHINGLE) -> set[bytes]:
+    """Distinct shingles of `size` terms, all of them known; a shorter text is one."""
+    size = min(size, len(terms))
+    if not size:
+        return set()
+    grams = np.lib.stride_tricks.sliding_window_view(terms.astype(np.int32), size)
+    grams = np.ascontiguousarray(grams[(grams >= 0).all(1)])
+    return set(grams.view(np.dtype((np.void, 4 * size))).ravel().tolist())
 
 
 def _csr(keys: np.ndarray, n: int, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -85,142 +95,228 @@ def _expand(first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(count.sum()) + np.repeat(first[at] - np.cumsum(count) + count, count)
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Of all items: pieces, their mean length, and in how many of them a word is."""
+
+    pieces: int
+    mean_length: float
+    words: pa.Array
+    held_by: np.ndarray
+
+
+def _piece_terms(terms: np.ndarray, first: np.ndarray, n_terms: int) -> tuple[np.ndarray, ...]:
+    """(item of each piece, words of each piece, postings as (term, piece, count))."""
+    item = owners(first)
+    place = np.arange(len(terms)) - first[:-1][item]
+    size = -(-np.diff(first) // STRIDE)
+    piece = (np.cumsum(size) - size)[item] + place // STRIDE
+    pair, count = np.unique(terms * max(1, int(size.sum())) + piece, return_counts=True)
+    return np.repeat(np.arange(len(size)), size), np.bincount(piece, minlength=int(size.sum())), pair // max(1, int(size.sum())), pair % max(1, int(size.sum())), count
+
+
 @dataclass(frozen=True)
 class ItemIndex:
-    """An inverted index with block maxima; entries are pieces of items of at most `STRIDE` words."""
+    """Postings in document order with list and block maxima; documents are pieces of items of at most `STRIDE` words."""
 
-    vocabulary: np.ndarray
-    entry_item: np.ndarray
+    vocabulary: pa.Array
+    piece_item: np.ndarray
     lists: tuple
     block_lists: tuple
+    most: np.ndarray
     aside: np.ndarray
     slack: float
     questions: list
     answers: list
 
     @classmethod
-    def build(cls, texts: list[str], retrieve: float = RETRIEVE) -> ItemIndex:
-        data, offsets = lowered(pa.array(texts, pa.string()))
-        hashes, first = tokens(data, offsets)
-        item = owners(first)
-        place = np.arange(len(hashes)) - first[:-1][item]
-        _, entry = np.unique(np.stack([item, place // STRIDE]), axis=1, return_inverse=True)
-        n = int(entry.max(initial=-1)) + 1
-        entry_item = np.zeros(n, np.int64)
-        entry_item[entry] = item
-        vocabulary, term = np.unique(hashes, return_inverse=True)
-        pair, tf = np.unique(term * max(n, 1) + entry, return_counts=True)
-        term, entry_of = pair // max(n, 1), pair % max(n, 1)
-        df = np.bincount(term, minlength=len(vocabulary))
-        length = np.bincount(entry, minlength=n)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[entry_of] / max(length.mean() if n else 1, 1)))
-        impact = impact / np.bincount(entry_of, impact, n)[entry_of]
-        lists = _csr(term, len(vocabulary), entry_of, impact)
-        blocks = -(-n // BLOCK)
-        block_pair, where = np.unique(term * max(blocks, 1) + entry_of // BLOCK, return_inverse=True)
+    def build(cls, texts: list[str], statistics: Statistics | None = None, retrieve: float = RETRIEVE) -> ItemIndex:
+        words, first = tokens(*lowered(pa.array(texts, pa.string())))
+        coded = words.dictionary_encode()
+        vocabulary, terms = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        piece_item, length, term, piece, count = _piece_terms(terms, first, len(vocabulary))
+        n = len(piece_item)
+        own = np.bincount(term, minlength=len(vocabulary))
+        statistics = statistics or Statistics(n, length.mean() if n else 1.0, vocabulary, own)
+        held = statistics.held_by[pc.index_in(vocabulary, value_set=statistics.words).to_numpy()] if len(vocabulary) else own
+        idf = np.log1p((statistics.pieces - held + 0.5) / (held + 0.5))
+        impact = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * length[piece] / max(statistics.mean_length, 1e-9)))
+        impact = impact / np.bincount(piece, impact, n)[piece]
+        lists = _csr(term, len(vocabulary), piece, impact)
+        blocks = max(1, -(-n // BLOCK))
+        block_pair, where = np.unique(term * blocks + piece // BLOCK, return_inverse=True)
         top = np.zeros(len(block_pair))
         np.maximum.at(top, where, impact)
-        block_lists = _csr(block_pair // max(blocks, 1), len(vocabulary), block_pair % max(blocks, 1), top)
+        block_lists = _csr(block_pair // blocks, len(vocabulary), block_pair % blocks, top)
         most = np.zeros(len(vocabulary))
         np.maximum.at(most, term, impact)
-        order = np.argsort(-df, kind="stable")
+        order = np.argsort(-own, kind="stable")
         total = np.cumsum(most[order])
         k = int(np.searchsorted(total, 0.3 * retrieve, "right"))
         aside = np.zeros(len(vocabulary), bool)
         aside[order[:k]] = True
-        parts = [question_and_answer(t) for t in texts]
-        cut = [[shingles(tokens(*lowered(pa.array([p], pa.string())))[0]) for p in side] for side in zip(*parts, strict=True)] if parts else [[], []]
-        return cls(vocabulary, entry_item, lists, block_lists, aside, float(total[k - 1]) if k else 0.0, *cut)
-
-    def search(self, hashes: np.ndarray, first: np.ndarray, retrieve: float = RETRIEVE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        index = cls(vocabulary, piece_item, lists, block_lists, most, aside, float(total[k - 1]) if k else 0.0, [], [])
+        for text in texts:
+            for side, part in zip((index.questions, index.answers), question_and_answer(text), strict=True):
+                own_terms = index.terms(tokens(*lowered(pa.array([part], pa.string())))[0])
+                side.append((min(SHINGLE, len(own_terms)), shingles(own_terms)))
+        return index
+
+    def terms(self, words: pa.Array) -> np.ndarray:
+        """Numbers of the words in the vocabulary, -1 for others."""
+        return pc.index_in(words, value_set=self.vocabulary).fill_null(-1).to_numpy().astype(np.int64)
+
+    def search(self, terms: np.ndarray, first: np.ndarray, retrieve: float = RETRIEVE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, item, score): the items that some passage of the text retrieves, with the best score."""
-        nothing = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        if not len(self.vocabulary) or not len(hashes):
-            return nothing
-        term = self._terms(hashes)
-        hit = np.flatnonzero(term >= 0)
-        row = owners(first)
-        n = np.diff(first)
+        hit = np.flatnonzero(terms >= 0)
+        row, n = owners(first), np.diff(first)
         passages = np.where(n > PASSAGE, -(-(n - STRIDE) // STRIDE), np.minimum(n, 1))
-        passage_first = np.zeros(len(n) + 1, np.int64)
-        np.cumsum(passages, out=passage_first[1:])
+        passage_first = np.concatenate([[0], np.cumsum(passages)])
         near = (hit - first[:-1][row[hit]]) // STRIDE
-        passage, terms = [], []
+        passage, term = [], []
         for step in (0, 1):
             good = (near - step >= 0) & (near - step < passages[row[hit]])
             passage.append(passage_first[row[hit[good]]] + near[good] - step)
-            terms.append(term[hit[good]])
-        pair = np.concatenate(passage) * len(self.vocabulary) + np.concatenate(terms)
-        blocks = -(-len(self.entry_item) // BLOCK)
-        essential = np.unique(pair[~self.aside[pair % len(self.vocabulary)]])
-        which, at = _expand(self.block_lists[0], essential % len(self.vocabulary))
-        bound = np.bincount((essential // len(self.vocabulary))[which] * blocks + self.block_lists[1][at], self.block_lists[2][at], minlength=1)
-        open_ = np.flatnonzero(bound + self.slack >= retrieve)
-        if not len(open_):
-            return nothing
-        live = np.zeros(int(passage_first[-1]), bool)
-        live[open_ // blocks] = True
-        pair = np.unique(pair[live[pair // len(self.vocabulary)]])
-        which, at = _expand(self.lists[0], pair % len(self.vocabulary))
-        p, entry = (pair // len(self.vocabulary))[which], self.lists[1][at]
-        inside = np.isin(p * blocks + entry // BLOCK, open_)
-        keys, where = np.unique(p[inside] * len(self.entry_item) + entry[inside], return_inverse=True)
-        score = np.bincount(where, self.lists[2][at][inside], len(keys))
-        good = score >= retrieve
-        texts = np.searchsorted(passage_first, keys[good] // len(self.entry_item), "right") - 1
-        items = self.entry_item[keys[good] % len(self.entry_item)]
-        found, where = np.unique(texts * (int(self.entry_item.max()) + 1) + items, return_inverse=True)
+            term.append(terms[hit[good]])
+        pair = np.unique(np.concatenate(passage) * max(1, len(self.vocabulary)) + np.concatenate(term))
+        passage, term = pair // max(1, len(self.vocabulary)), pair % max(1, len(self.vocabulary))
+        pieces_found, texts, scores = [], [], []
+        for a, b in self._portions(passage, term):
+            live = self._live(passage[a:b], term[a:b], retrieve)
+            some = a + np.flatnonzero(live)
+            for p, piece, score in self._wand(passage[some], term[some], retrieve):
+                texts.append(np.searchsorted(passage_first, p, "right") - 1)
+                pieces_found.append(piece)
+                scores.append(score)
+        none = [np.zeros(0, np.int64)]
+        texts, found, scores = np.concatenate(texts or none), np.concatenate(pieces_found or none), np.concatenate(scores or [np.zeros(0)])
+        items = self.piece_item[found] if len(found) else found
+        width = int(items.max(initial=0)) + 1
+        found, where = np.unique(texts * width + items, return_inverse=True)
         best = np.zeros(len(found))
-        np.maximum.at(best, where, score[good])
-        return found // (int(self.entry_item.max()) + 1), found % (int(self.entry_item.max()) + 1), best
-
-    def _terms(self, hashes: np.ndarray) -> np.ndarray:
-        seen = np.zeros(1 << 20, bool)
-        seen[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
-        likely = np.flatnonzero(seen[(hashes >> np.uint64(44)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes[likely]), len(self.vocabulary) - 1)
-        out = np.full(len(hashes), -1, np.int64)
-        out[likely] = np.where(self.vocabulary[at] == hashes[likely], at, -1)
-        return out
+        np.maximum.at(best, where, scores)
+        return found // width, found % width, best
+
+    def _portions(self, passage: np.ndarray, term: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Ranges of whole passages whose postings and blocks stay within the bounds; one passage at least."""
+        heads = np.append(np.flatnonzero(np.diff(passage, prepend=-1)), len(passage))
+        work = np.concatenate([[0], np.cumsum(np.diff(self.lists[0])[term])])[heads]
+        most = max(1, _CELLS // max(1, -(-len(self.piece_item) // BLOCK)))
+        i = 0
+        while i < len(heads) - 1:
+            j = min(len(heads) - 1, i + most, max(i + 1, int(np.searchsorted(work, work[i] + _POSTINGS, "right")) - 1))
+            yield int(heads[i]), int(heads[j])
+            i = j
+
+    def _live(self, passage: np.ndarray, term: np.ndarray, retrieve: float) -> np.ndarray:
+        """Marks the rows of passages for which the maxima of some block reach the threshold; frequent lists count with their maxima alone."""
+        blocks = max(1, -(-len(self.piece_item) // BLOCK))
+        local = passage - passage[0]
+        bound = np.zeros(int(local[-1] + 1) * blocks)
+        essential = np.flatnonzero(~self.aside[term])
+        which, at = _expand(self.block_lists[0], term[essential])
+        np.add.at(bound, local[essential][which] * blocks + self.block_lists[1][at], self.block_lists[2][at])
+        return (bound.reshape(-1, blocks).max(1) + self.slack >= retrieve - _SLACK)[local]
+
+    def _wand(self, passage: np.ndarray, term: np.ndarray, retrieve: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(passage, piece, score) of all pieces at or above the threshold; rows are the cursors of the passages."""
+        first, piece, impact = self.lists
+        block_first, block_of, block_top = self.block_lists
+        n, blocks = len(self.piece_item), max(1, -(-len(self.piece_item) // BLOCK))
+        key = np.repeat(np.arange(len(first) - 1), np.diff(first)) * (n + 1) + piece
+        block_key = np.repeat(np.arange(len(first) - 1), np.diff(block_first)) * blocks + block_of
+        place = first[term]
+        while len(passage):
+            doc = piece[place]
+            order = np.argsort(passage * (n + 1) + doc)
+            passage, term, place, doc = passage[order], term[order], place[order], doc[order]
+            heads = np.flatnonzero(np.diff(passage, prepend=-1))
+            owner = owners(np.append(heads, len(passage)))
+            summed = np.cumsum(self.most[term])
+            summed -= (summed[heads] - self.most[term[heads]])[owner]
+            pivot = np.minimum.reduceat(np.where(summed >= retrieve - _SLACK, np.arange(len(passage)), len(passage)), heads)
+            some = pivot < len(passage)
+            keep = some[owner]
+            pivot_doc = doc[np.minimum(pivot, len(passage) - 1)][owner]
+            upto = doc <= pivot_doc
+            near = np.flatnonzero(upto & keep)
+            want = term[near] * blocks + pivot_doc[near] // BLOCK
+            at = np.minimum(np.searchsorted(block_key, want), len(block_key) - 1)
+            top = np.where(block_key[at] == want, block_top[at], 0.0)
+            worth = (np.bincount(owner[near], top, len(heads)) >= retrieve - _SLACK)[owner]
+            ready = (doc[heads])[owner] == pivot_doc
+            scored = np.flatnonzero(keep & worth & ready & upto)
+            if len(scored):
+                score = np.bincount(owner[scored], impact[place[scored]], len(heads))
+                good = np.flatnonzero(score >= retrieve)
+                if len(good):
+                    yield passage[heads[good]], doc[heads[good]], score[good]
+            #: Without hope in the block, on to its end or to the next cursor, whichever comes first.
+            beyond = np.minimum.reduceat(np.where(upto, n, doc), heads)[owner]
+            target = np.where(worth, np.where(ready, pivot_doc + 1, pivot_doc), np.minimum((pivot_doc // BLOCK + 1) * BLOCK, beyond))
+            move = upto & keep & (doc < target)
+            place = place.copy()
+            place[move] = np.searchsorted(key, term[move] * (n + 1) + target[move])
+            keep &= place < first[term + 1]
+            passage, term, place = passage[keep], term[keep], place[keep]
 
     def leaks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text, item, score, question overlap, answer overlap) of verified leaks."""
-        hashes, first = tokens(data, offsets)
-        texts, items, scores = self.search(hashes, first)
+        words, first = tokens(data, offsets)
+        terms = self.terms(words)
+        texts, items, scores = self.search(terms, first)
         share = np.zeros((len(texts), 2))
-        last, own = -1, None
+        last, own = -1, {}
         for k, (t, i) in enumerate(zip(texts, items, strict=True)):
             if t != last:
-                part = hashes[first[t] : first[t + 1]]
-                last, own = t, (shingles(part), part)
-            for side, wanted in enumerate((self.questions[i], self.answers[i])):
-                share[k, side] = self._share(wanted, *own)
+                last, own = t, {}
+            for side, (size, wanted) in enumerate((self.questions[i], self.answers[i])):
+                if size not in own:
+                    own[size] = shingles(terms[first[t] : first[t + 1]], size) if first[t + 1] - first[t] >= size else set()
+                share[k, side] = len(wanted & own[size]) / len(wanted) if wanted else 1.0
         good = (share >= OVERLAP).all(1)
         return texts[good], items[good], scores[good], share[good, 0], share[good, 1]
 
-    @staticmethod
-    def _share(wanted: np.ndarray, own: np.ndarray, part: np.ndarray) -> float:
-        if not len(wanted):
-            return 1.0
-        if len(wanted) == 1:
-            for n in range(1, SHINGLE):
-                if n <= len(part) and wanted[0] in Prefix(part, "word").grams(n):
-                    return 1.0
-        return float(np.isin(wanted, own, assume_unique=True).mean())
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a batch of items: (word, pieces that hold it, words of it), and under no word the number of pieces."""
+    for batch in batches:
+        data, offsets = lowered(batch.column("text"))
+        for i, j in row_slices(offsets):
+            words, first = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            coded = words.dictionary_encode()
+            _, length, term, _, _ = _piece_terms(coded.indices.to_numpy().astype(np.int64), first, len(coded.dictionary))
+            held = np.bincount(term, minlength=len(coded.dictionary))
+            names = pa.concat_arrays([coded.dictionary.cast(pa.binary()), pa.array([None], pa.binary())])
+            yield pa.RecordBatch.from_arrays([names, pa.array(np.append(held, len(length))), pa.array(np.append(np.zeros(len(held), np.int64), length.sum()))], names=["word", "held", "words"])
 
 
-def indexes(items: DataFrame, at_once: int = ITEMS_AT_ONCE) -> list[tuple[list, ItemIndex]]:
-    """Indexes of at most `at_once` items (item_id, text). Items without words are left out; equal rows count once."""
+def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        _, first = tokens(*lowered(batch.column("text")))
+        yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("text"), pa.array(np.diff(first))], names=["item_id", "text", "n"])
+
+
+def indexes(items: DataFrame, shard_words: int = SHARD_WORDS) -> Iterator[tuple[bool, list, ItemIndex]]:
+    """(whether it is the only one, item ids, index) of the shards of items (item_id, text), one after the other.
+
+    Items without words are left out; equal rows count once.
+    """
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").distinct()
-    count = items.count()
-    parts = max(1, -(-count // at_once))
-    out = []
+    items = written(items.mapInArrow(lean(_sized), "item_id long, text string, n long").filter("n > 0"), "leak-items")
+    counts = written(items.select("text").mapInArrow(lean(_counted), "word binary, held long, words long").groupBy("word").agg(F.sum("held").alias("held"), F.sum("words").alias("words")), "leak-words")
+    total = counts.filter("word IS NULL").first()
+    words, n = (total.words, total.held) if total else (0, 0)
+    parts = max(1, -(-words // shard_words))
     for k in range(parts):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
-        rows = [r for r in rows if len(tokens(*lowered(pa.array([r.text])))[0])]
-        out.append(([r.item_id for r in rows], ItemIndex.build([r.text for r in rows])))
-    return out
+        shard = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
+        rows = shard.orderBy("item_id", "text").select("item_id", "text").collect()
+        wanted = counts.filter("word IS NOT NULL")
+        if parts > 1:
+            wanted = wanted.join(shard.select("text").mapInArrow(lean(_counted), "word binary, held long, words long").select("word").distinct(), "word", "left_semi")
+        found = wanted.select("word", "held").toArrow() if rows else None
+        statistics = found and Statistics(n, words / n, found.column("word").combine_chunks().cast(pa.large_binary()), found.column("held").to_numpy())
+        yield parts == 1, [r.item_id for r in rows], ItemIndex.build([r.text for r in rows], statistics)
 
 
 def _searched(ids: list, index: ItemIndex):
@@ -240,23 +336,28 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     Words are runs of letters and digits in lower case. Null and empty texts leak
     nothing; items without words match nothing; a null doc_id stays null. Repeated
-    rows of `docs` give repeated pairs. Other columns are ignored.
+    rows of `docs` give repeated pairs, repeated items count once. Other columns are
+    ignored. No rows, or no items, give no pairs.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = [rows.mapInArrow(_searched(*x), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double") for x in indexes(items)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+    out = None
+    for only, ids, index in indexes(items):
+        found = rows.mapInArrow(lean(_searched(ids, index)), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+        found = found if only else written(found, "leaks")
+        out = found if out is None else out.unionByName(found)
     return out
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, whose text holds no item."""
-    out = docs
-    for _, index in indexes(items):
-        names = out.columns
+    """The rows of `docs`, all columns, whose text holds no item.
+
+    Null and empty texts hold none and stay; repeated rows stay or go together; columns
+    of any name pass through; without items all rows stay.
+    """
+    out, place = docs, docs.columns.index("text")
+    for only, _, index in indexes(items):
 
-        def kept(batches: Iterator[pa.RecordBatch], index: ItemIndex = index, place: int = names.index("text")) -> Iterator[pa.RecordBatch]:
+        def kept(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 data, offsets = lowered(batch.column(place))
                 keep = np.ones(batch.num_rows, bool)
@@ -264,5 +365,6 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
                     keep[index.leaks(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0] + i] = False
                 yield batch.filter(pa.array(keep))
 
-        out = out.mapInArrow(kept, out.schema)
+        out = out.mapInArrow(lean(kept), out.schema)
+        out = out if only else written(out, "leak-free")
     return out

@@ -3,9 +3,11 @@
 import datetime
 import html
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from support import SCHEMA, edge_frame, edge_rows, ordered, prose
@@ -247,11 +249,51 @@ def test_items_go_in_several_indexes(spark, monkeypatch):
     items = spark.createDataFrame(_items(), "item_id long, text string")
     docs = spark.createDataFrame([(i, t) for i, t in _items()], "doc_id long, text string")
     whole = ordered(decontaminate.find_leaks(docs, items).select("doc_id", "item_id").collect())
-    monkeypatch.setattr(decontaminate.indexes, "__defaults__", (7,))
+    monkeypatch.setattr(decontaminate.indexes, "__defaults__", (400,))
     assert ordered(decontaminate.find_leaks(docs, items).select("doc_id", "item_id").collect()) == whole
     assert decontaminate.clean(docs, items).count() == len(_items()) - len({d for d, _ in whole})
 
 
+def test_wand_retrieves_all_above_the_threshold(monkeypatch):
+    """Against scores summed for every passage and piece; also where portions hold one passage each."""
+    rng = np.random.default_rng(5)
+    items = [" ".join(f"w{min(199, int(rng.pareto(0.7) * 3))}" for _ in range(rng.integers(5, 200))) for _ in range(60)]
+    index = decontaminate.ItemIndex.build(items)
+    texts = [" ".join(f"w{min(220, int(rng.pareto(0.7) * 3))}" for _ in range(n)) for n in (0, 3, 50, 128, 129, 700)] + [items[3], items[7] + " " + items[9]]
+    words, first = decontaminate.tokens(*decontaminate.lowered(pa.array(texts)))
+    terms = index.terms(words)
+    for retrieve in (0.3, 0.5, 0.8):
+        want = {}
+        for t in range(len(texts)):
+            own = terms[first[t] : first[t + 1]]
+            for p in range(0, max(1, len(own) - decontaminate.STRIDE), decontaminate.STRIDE):
+                seen = [x for x in set(own[p : p + decontaminate.PASSAGE].tolist()) if x >= 0]
+                score = np.zeros(len(index.piece_item))
+                for x in seen:
+                    a, b = index.lists[0][x : x + 2]
+                    score[index.lists[1][a:b]] += index.lists[2][a:b]
+                for d in np.flatnonzero(score >= retrieve):
+                    k = (t, int(index.piece_item[d]))
+                    want[k] = max(want.get(k, 0), score[d])
+        for bounds in ((1 << 20, 1 << 20), (1, 1)):
+            monkeypatch.setattr(decontaminate, "_POSTINGS", bounds[0])
+            monkeypatch.setattr(decontaminate, "_CELLS", bounds[1])
+            got = {(int(t), int(i)): s for t, i, s in zip(*index.search(terms, first, retrieve), strict=True)}
+            assert got == pytest.approx(want) and len(want) > 5
+
+
+def test_long_items_against_a_long_text_in_bounded_memory():
+    rng = np.random.default_rng(6)
+    items = [" ".join(f"v{k}" for k in rng.integers(0, 3000, 3000)) for _ in range(60)]
+    index = decontaminate.ItemIndex.build(items)
+    data, offsets = decontaminate.lowered(pa.array([" ".join(f"v{k}" for k in rng.integers(0, 3000, 30_000)) + " " + items[5]]))
+    tracemalloc.start()
+    texts, found, *_ = index.leaks(data, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert list(zip(texts.tolist(), found.tolist(), strict=True)) == [(0, 5)] and peak < 300 << 20
+
+
 def test_leak_edge_cases(spark):
     items = spark.createDataFrame([(1, edge_rows()[0][1]), (1, edge_rows()[0][1])], "item_id long, text string")
     got = decontaminate.find_leaks(edge_frame(spark), items)
