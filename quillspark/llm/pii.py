@@ -11,12 +11,27 @@ and each text is handled where it is read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import warnings
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 10
+#: Setting of the session that holds the key; without it the example key is taken, which anyone can read here.
+KEY_SETTING = "spark.quillspark.pii.key"
 KEY = "quillspark-example-key"
 
+#: Lengths of IBANs by country.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: Country codes of phone numbers of one and of two places; all others have three.
+_CODE_1, _CODE_2 = "^[17]", "^(?:2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+#: Letters as (first code, number of codes) that change among themselves, beyond ASCII.
+_LETTERS = ((224, 23), (192, 23), (256, 128), (945, 17), (963, 7), (913, 17), (931, 7), (1072, 32), (1040, 32), (1104, 16), (1024, 16), (1488, 27), (1569, 26), (1601, 10), (2309, 49), (3585, 46), (12353, 86), (12449, 90), (19968, 20989), (44032, 11172))
+
 _NOT_INSIDE = r"(?<![\p{L}\p{N}_.%+-])"
 _EMAIL = r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"
 _PHONE = r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|\d{3}([.-])\d{3}\1\d{4}(?![\d.-]*\d)"
@@ -24,8 +39,9 @@ _DATE = r"\d{4}-\d{2}-\d{2}(?![\d-])|\d{1,2}([/.])\d{1,2}\2\d{4}(?!\d)"
 _SSN = r"\d{3}-\d{2}-\d{4}(?![\d-])"
 _ADDRESS = r"\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"
 _CARD = r"\d{13,19}(?![\p{L}\p{N}])|\d{4}([ -])\d{4}\3\d{4}\3\d{1,7}(?!\d)|\d{4}([ -])\d{6}\4\d{5}(?!\d)"
-_IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
-PATTERN = f"{_NOT_INSIDE}(?:{_EMAIL}|{_PHONE}|{_DATE}|{_SSN}|{_ADDRESS}|{_CARD}|{_IBAN})"
+_IBAN = "(?:" + "|".join(rf"(?:{'|'.join(c.split())})\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in _IBAN_LENGTHS.items()) + r")(?![\p{L}\p{N}])"
+_ADDRESS_6 = r"(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])"
+PATTERN = f"{_NOT_INSIDE}(?:{_EMAIL}|{_PHONE}|{_DATE}|{_SSN}|{_ADDRESS}|{_ADDRESS_6}|{_CARD}|{_IBAN})"
 
 #: 270 * 271 days from 1900-01-01, to 2100-05-01.
 _DAYS = (270, 271)
@@ -69,9 +85,11 @@ class Pseudonyms:
         shift = "CAST(conv(substr(h, CAST((j % 16) * 4 + 1 AS INT), 4), 16, 10) AS INT)"
 
         def within(base: int, size: int) -> str:
-            return f"WHEN c BETWEEN {base} AND {base + size - 1} THEN chr({base} + pmod(c - {base} + {shift}, {size}))"
+            code = f"{base} + pmod(c - {base} + {shift}, {size})"
+            sign = f"chr({code})" if base < 256 else f"decode(unhex(lpad(hex({code}), 4, '0')), 'UTF-16BE')"
+            return f"WHEN c BETWEEN {base} AND {base + size - 1} THEN {sign}"
 
-        moved = f"CASE {within(48, 10)} {within(97, 26)} {within(65, 26)} {within(224, 23)} {within(192, 23)} ELSE substr(s.l, CAST(j AS INT), 1) END"
+        moved = f"CASE {within(48, 10)} {within(97, 26)} {within(65, 26)} WHEN c < 192 THEN substr(s.l, CAST(j AS INT), 1) {' '.join(within(*x) for x in _LETTERS)} ELSE substr(s.l, CAST(j AS INT), 1) END"
         moved = self.let("c", code, moved)
         half = f"IF(length(s.l) = 0, '', array_join(transform(sequence(1, greatest(1, length(s.l))), j -> {moved}), ''))"
         half = self.let("h", f"sha2(concat_ws('|', {self.key}, '{kind}', i, s.r), 256)", half)
@@ -120,6 +138,20 @@ class Pseudonyms:
         net = self._network("ipv4", f"{part[0]} * 256 + {part[1]}", f"{part[2]} * 256 + {part[3]}", "65536", "65536")
         return f"IF({' AND '.join(f'{p} < 256' for p in part)}, {self.let('z', net, out)}, {m})"
 
+    def address_6(self, m: str) -> str:
+        """IPv6, the halves of network and interface each by themselves, so that one network stays one; written in full, so that all spellings of an address agree."""
+        left, right = f"split(substring_index({m}, '::', 1), ':')", f"IF(contains({m}, '::'), split(substring_index({m}, '::', -1), ':'), CAST(array() AS ARRAY<STRING>))"
+        full = self.let("a", left, self.let("b", right, "IF(size(a) + size(b) BETWEEN 3 AND 8, concat(a, array_repeat('0', 8 - size(a) - size(b)), b), NULL)"))
+
+        def number(k: int) -> str:
+            return f"CAST(conv(concat(lpad(element_at(v, {k}), 4, '0'), lpad(element_at(v, {k + 1}), 4, '0')), 16, 10) AS BIGINT)"
+
+        def half(k: int) -> str:
+            net = self._network(f"ipv6-{k}", number(k), number(k + 2), "4294967296", "4294967296")
+            return self.let("z", net, "concat_ws(':', " + ", ".join(f"lower(hex(z.{c} {op}))" for c in "lr" for op in ("DIV 65536", "% 65536")) + ")")
+
+        return self.let("v", full, f"IF(v IS NULL, {m}, concat({half(1)}, ':', {half(5)}))")
+
     def date(self, m: str) -> str:
         """Days of 1900-01-01 to 2100-05-01; day first before month first where both can be."""
 
@@ -164,15 +196,15 @@ class Pseudonyms:
         return f"concat({self.let('y', f'substring_index({m}, chr(64), 1)', self.letters('email', 'y'))}, '@', substring_index({m}, chr(64), -1))"
 
     def phone(self, m: str) -> str:
-        """The country code stays; the other digits are permuted."""
-        code = f"length(regexp_extract({m}, '^[+]([0-9]{{1,3}})', 1))"
-        body = self.let("y", f"substr(d, {code} + 1)", f"IF(length(y) < 6, y, {self.digits('phone', 'y')})")
-        return self.let("d", self.bare(m), self.let("w", f"concat(substr(d, 1, {code}), {body})", self.refilled(m, "w")))
+        """The country code stays; the other digits are permuted, whatever stands between them, and alike with the code +1 and without one."""
+        code = f"CASE WHEN NOT startswith({m}, '+') THEN 0 WHEN d RLIKE '{_CODE_1}' THEN 1 WHEN d RLIKE '{_CODE_2}' THEN 2 ELSE 3 END"
+        body = self.let("y", "substr(d, cc + 1)", f"IF(length(y) < 6, y, {self.digits('phone', 'y')})")
+        return self.let("d", self.bare(m), self.let("cc", code, self.let("w", f"concat(substr(d, 1, cc), {body})", self.refilled(m, "w"))))
 
     def of(self, m: str) -> str:
         """The pseudonym of a match, or the match where it is not valid."""
         return (
-            f"CASE WHEN contains({m}, '@') THEN {self.email(m)} WHEN {m} RLIKE '^[A-Z]' THEN {self.iban(m)} "
+            f"CASE WHEN contains({m}, '@') THEN {self.email(m)} WHEN contains({m}, ':') THEN {self.address_6(m)} WHEN {m} RLIKE '^[A-Z]' THEN {self.iban(m)} "
             f"WHEN {m} RLIKE '^[+(]|^[0-9]{{3}}[.-][0-9]{{3}}[.-][0-9]{{4}}$' THEN {self.phone(m)} "
             f"WHEN {m} RLIKE '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' THEN {self.ssn(m)} "
             f"WHEN {m} RLIKE '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$|^[0-9]{{1,2}}[/.][0-9]{{1,2}}[/.][0-9]{{4}}$' THEN {self.date(m)} "
@@ -180,9 +212,17 @@ class Pseudonyms:
         )
 
 
-def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key set for the session; the example key, with a warning, where none is."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms under the example key can be undone by anyone", stacklevel=2)
+    return key or KEY
+
+
+def replaced(docs: DataFrame, key: str | None = None) -> DataFrame:
     """`docs` with `text` pseudonymized and a struct column `_pii` (text, n) beside it; rows without candidates are passed by."""
-    name = Pseudonyms(key)
+    name = Pseudonyms(key or session_key(docs.sparkSession))
     pattern = _quoted(PATTERN)
     found = f"regexp_extract_all(text, {pattern}, 0)"
     gaps = f"split(text, {pattern}, -1)"
@@ -193,8 +233,8 @@ def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
     return docs.withColumn("_pii", F.expr(f"CASE WHEN text RLIKE {pattern} THEN {both} ELSE {plain} END"))
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """Per row: doc_id, text with pseudonyms, n_replaced.
+def pseudonymize(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """Per row: doc_id, text with pseudonyms, n_replaced. Without `key`, that of the session (`KEY_SETTING`).
 
     A null text stays null and an empty one empty, with nothing replaced. Values
     that fail validation (a number with a wrong check digit, the 31st of June)
@@ -205,8 +245,12 @@ def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
     return replaced(rows, key).select("doc_id", F.col("_pii.text").alias("text"), F.col("_pii.n").alias("n_replaced"))
 
 
-def with_pseudonyms(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """`docs` with all its columns, `text` pseudonymized, and `n_chars`, if there is one, following it."""
+def with_pseudonyms(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """`docs` with all its columns, `text` pseudonymized, and `n_chars`, if there is one, following it.
+
+    Null and empty texts stay as they are, with their `n_chars`; repeated rows stay
+    repeated, columns of any name pass through, no rows give no rows.
+    """
     rows = replaced(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text")), key)
     fresh = {"text": F.col("_pii.text")}
     if "n_chars" in docs.columns:
