@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import written
+from quillspark.llm.shared import lean, written
 from quillspark.llm.text import Prefix, Words, mix, owners, row_slices, text_bytes
 
-#: Bound of the fit: rated rows.
-TRAIN_ROWS = 6_000
+#: Bounds of the fit: rated rows, and features of all of them together (rows are left out from the end of the sample).
+TRAIN_ROWS, TRAIN_FEATURES = 12_000, 8_000_000
 DIMENSIONS = 1 << 17
+_PORTION = 1 << 20
 #: A row is selected if the probability of this grade or a better one reaches TAIL.
 GRADE, TAIL = 1, 0.5
 
@@ -95,7 +96,8 @@ class OrdinalModel:
 def fit_cumulative_link(first: np.ndarray, buckets: np.ndarray, values: np.ndarray, grades: np.ndarray, n_grades: int, rounds: int = 150, rate: float = 0.08, ridge: float = 2e-4) -> OrdinalModel:
     """Maximum likelihood by Adam; thresholds are the first one and positive gaps, so they stay ordered.
 
-    Row i has features first[i]:first[i + 1]. Numbers are held in 32 bits, as the driver fits.
+    Row i has features first[i]:first[i + 1]. Numbers are held in 32 bits and summed in
+    portions of _PORTION, as the driver fits.
     """
     n = len(grades)
     used = np.flatnonzero(np.bincount(buckets, minlength=DIMENSIONS))
@@ -113,7 +115,10 @@ def fit_cumulative_link(first: np.ndarray, buckets: np.ndarray, values: np.ndarr
     for t in range(1, rounds + 1):
         w = theta[:d].astype(np.float32)
         cuts = np.concatenate([theta[d : d + 1], np.exp(theta[d + 1 :])]).cumsum()
-        line = np.bincount(rows, w[slot] * values, n)
+        line = np.zeros(n)
+        for a in range(0, len(slot), _PORTION):
+            some = slice(a, a + _PORTION)
+            line += np.bincount(rows[some], w[slot[some]] * values[some], n)
         upper = np.concatenate([np.ones((n, 1)), 1 / (1 + np.exp(np.clip(cuts - line[:, None], -50, 50))), np.zeros((n, 1))], 1)
         slope = upper * (1 - upper)
         p = np.maximum(upper[every, grades] - upper[every, grades + 1], 1e-9)
@@ -122,7 +127,11 @@ def fit_cumulative_link(first: np.ndarray, buckets: np.ndarray, values: np.ndarr
         d_cuts[every, grades] -= slope[every, grades] / p
         d_cuts[every, grades + 1] += slope[every, grades + 1] / p
         back = d_cuts[:, 1:-1].mean(0)[::-1].cumsum()[::-1]
-        g_w = np.bincount(slot, d_line[rows] * values, d) / n - ridge * theta[:d]
+        g_w = np.zeros(d)
+        for a in range(0, len(slot), _PORTION):
+            some = slice(a, a + _PORTION)
+            g_w += np.bincount(slot[some], d_line[rows[some]] * values[some], d)
+        g_w = g_w / n - ridge * theta[:d]
         g = np.concatenate([g_w, back[:1], back[1:] * np.exp(theta[d + 1 :])])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -152,8 +161,15 @@ def fit(docs: DataFrame, ratings: DataFrame, train_rows: int = TRAIN_ROWS) -> Or
     picked = ratings.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("grade").cast("int").alias("grade")).filter("doc_id IS NOT NULL AND grade >= 0")
     picked = picked.groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text")).mapInArrow(_features, "doc_id long, grade int, buckets array<int>, values array<float>")
-    table = written(sample, "quality-sample").orderBy("doc_id").toArrow()
+    sample = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text")).mapInArrow(lean(_features), "doc_id long, grade int, buckets array<int>, values array<float>")
+    sample = written(sample, "quality-sample")
+    #: One number a row, of `train_rows` rows at most, shows where the features go over their bound.
+    sizes = sample.select("doc_id", F.size("buckets").alias("n"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").toArrow()
+    over = np.flatnonzero(np.cumsum(sizes.column("n").to_numpy()) > TRAIN_FEATURES)
+    if len(over):
+        h, doc = (sizes.column(c)[int(over[0])].as_py() for c in ("h", "doc_id"))
+        sample = sample.filter(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id") < F.struct(F.lit(h).alias("h"), F.lit(doc).alias("doc_id")))
+    table = sample.orderBy("doc_id").toArrow()
     if not table.num_rows:
         return OrdinalModel(np.zeros(DIMENSIONS, np.float32), np.zeros(1))
     lists = table.column("buckets").combine_chunks()
@@ -165,7 +181,8 @@ def fit(docs: DataFrame, ratings: DataFrame, train_rows: int = TRAIN_ROWS) -> Or
 def score(docs: DataFrame, model: OrdinalModel, columns: list[str] | None = None, grade: int = GRADE, tail: float = TAIL) -> DataFrame:
     """doc_id, expected_grade, tail_probability, selected for every row; or, with `columns`, those columns of the selected rows.
 
-    A null or empty text is scored as no words.
+    A null or empty text is scored as no words; repeated rows are scored alike, columns of
+    any name pass through, a null doc_id stays null, no rows give no rows.
     """
     names = columns or ["doc_id"]
     schema = docs.select(*names).schema
@@ -182,9 +199,9 @@ def score(docs: DataFrame, model: OrdinalModel, columns: list[str] | None = None
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails.sum(1)), pa.array(at), pa.array(at >= tail)], names=["doc_id", "expected_grade", "tail_probability", "selected"])
 
     if columns:
-        return docs.select(*names).mapInArrow(scored, schema)
+        return docs.select(*names).mapInArrow(lean(scored), schema)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(scored, "doc_id long, expected_grade double, tail_probability double, selected boolean")
+    return rows.mapInArrow(lean(scored), "doc_id long, expected_grade double, tail_probability double, selected boolean")
 
 
 def grades(labels: DataFrame) -> DataFrame:
