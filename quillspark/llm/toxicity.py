@@ -19,12 +19,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import written
+from quillspark.llm.shared import lean, written
 from quillspark.llm.text import Prefix, owners, row_slices, text_bytes
 
-#: Bounds of the fit: labelled rows, and entries of the lexicon.
+#: Bound of the fit: labelled rows. The lexicon follows from it: an entry is in a share of the toxic texts.
 TRAIN_ROWS = 16_000
-LEXICON = 4_096
 #: Word beginnings of so many bytes stand beside whole words.
 BEGINNINGS = (5, 7, 9)
 THRESHOLD = 0.3
@@ -319,9 +318,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Tox
     counts = {(r.half, r.label): r["count"] for r in sample.groupBy("half", "label").count().collect()}
     totals = np.array([counts.get((k // 2, k % 2), 0) for k in range(4)], float)
     n_pos, n_neg = max(1.0, totals[1] + totals[3]), max(1.0, totals[0] + totals[2])
-    grouped = sample.select("text", "half", "label").mapInArrow(_counted, "h long, neg0 long, pos0 long, neg1 long, pos1 long").groupBy("h").agg(*(F.sum(c).alias(c) for c in ("neg0", "pos0", "neg1", "pos1")))
+    grouped = sample.select("text", "half", "label").mapInArrow(lean(_counted), "h long, neg0 long, pos0 long, neg1 long, pos1 long").groupBy("h").agg(*(F.sum(c).alias(c) for c in ("neg0", "pos0", "neg1", "pos1")))
     odds = F.log((F.expr("pos0 + pos1") + 0.5) / n_pos) - F.log((F.expr("neg0 + neg1") + 0.5) / n_neg)
-    rows = grouped.filter(F.expr("pos0 + pos1") >= max(SUPPORT, SUPPORT_SHARE * n_pos)).withColumn("odds", odds).filter(F.col("odds") >= TIERS[0]).orderBy(F.desc(F.expr("(pos0 + pos1) * odds")), "h").limit(LEXICON).collect()
+    rows = grouped.filter(F.expr("pos0 + pos1") >= max(SUPPORT, SUPPORT_SHARE * n_pos)).withColumn("odds", odds).filter(F.col("odds") >= TIERS[0]).select("h", "neg0", "pos0", "neg1", "pos1").collect()
     whole, crossed = _lexicon(rows, (0, 1), totals), [_lexicon(rows, (1,), totals), _lexicon(rows, (0,), totals)]
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,7 +334,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Tox
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), lists], names=["doc_id", "label", "x"])
 
-    table = sample.mapInArrow(described, "doc_id long, label int, x array<double>").orderBy("doc_id").toArrow()
+    table = sample.mapInArrow(lean(described), "doc_id long, label int, x array<double>").orderBy("doc_id").toArrow()
     x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
     y = table.column("label").to_numpy().astype(float)
     part = np.arange(len(y)) % 5
@@ -357,7 +356,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(values), pa.array((values >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lean(scored), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def held_out(doc_id):
