@@ -6,8 +6,8 @@ such sums, and each is quantized to two bits (Gray code): one 32-bit integer per
 frame. Recordings with equal fingerprints form a class.
 
 The queries of a search are a stated set of recordings. Their fingerprints go to
-the tasks in blocks of `BLOCK_QUERIES`, each an inverted index over the 16-bit
-halves; all classes stream past. Hits vote for an offset, the best offset of each
+the tasks in blocks of about `BLOCK_PRINTS` integers, each an inverted index over the
+16-bit halves, one block after the other; all classes stream past each. Hits vote for an offset, the best offset of each
 pair is confirmed by the share of differing bits over the overlap.
 """
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import written
+from quillspark.llm.shared import lean, written
 
 RATE, FRAME, HOP = 4_000, 1_024, 512
 #: Frames that one integer looks at.
@@ -29,11 +29,12 @@ LOWEST_HZ, HIGHEST_HZ = 100.0, 1_800.0
 MAX_BIT_ERROR = 0.15
 #: A match overlaps by so many integers at least, and needs so many votes to be confirmed.
 MIN_OVERLAP, MIN_VOTES = 16, 2
-BLOCK_QUERIES = 2_000
+#: Integers of the queries that are held at once; a longer recording is a block of its own.
+BLOCK_PRINTS = 250_000
 #: Hits that a task expands at once.
 _HITS = 2_000_000
 
-NOTES, NOTE_SAMPLES = 64, 512
+NOTE_SAMPLES = 512
 
 
 def _filters() -> list[tuple[int, int, int, int, int]]:
@@ -104,11 +105,11 @@ def fingerprints(features: np.ndarray) -> np.ndarray:
 
 
 def sonified(vectors: np.ndarray) -> np.ndarray:
-    """PCM of vectors (rows x any size): each value is a note, its pitch in semitones from the value; at most NOTES notes.
+    """PCM of vectors (rows x any size): each value is a note, its pitch in semitones from the value.
 
     It stands in for an audio column where the tables have none.
     """
-    v = np.nan_to_num(vectors.astype(np.float64), nan=0.0, posinf=0.0, neginf=0.0)[:, :NOTES]
+    v = np.nan_to_num(vectors.astype(np.float64), nan=0.0, posinf=0.0, neginf=0.0)
     pitch = np.rint(18 * np.tanh(4 * v))
     hz = 440.0 * 2 ** (pitch / 12)
     step = np.repeat(hz / RATE, NOTE_SAMPLES, axis=1)
@@ -131,7 +132,7 @@ def recordings(embeddings: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pcm, pa.binary())], names=["media_id", "pcm"])
 
     rows = embeddings.select(F.col("vec_id").cast("long").alias("media_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    return rows.mapInArrow(run, "media_id long, pcm binary")
+    return rows.mapInArrow(lean(run), "media_id long, pcm binary")
 
 
 def fingerprinted(media: DataFrame) -> DataFrame:
@@ -150,7 +151,7 @@ def fingerprinted(media: DataFrame) -> DataFrame:
                         prints[k] = row.view(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.list_(pa.int32()))], names=["media_id", "prints"])
 
-    return media.select(F.col("media_id").cast("long").alias("media_id"), "pcm").mapInArrow(run, "media_id long, prints array<int>")
+    return media.select(F.col("media_id").cast("long").alias("media_id"), "pcm").mapInArrow(lean(run), "media_id long, prints array<int>")
 
 
 class Block:
@@ -249,15 +250,16 @@ def align(media: DataFrame, every: int = 100) -> DataFrame:
     classes = some.groupBy("print_hash").agg(F.min(F.struct("own", "prints")).alias("one"), F.max(F.coalesce(F.col("media_id") % every == 0, F.lit(False))).alias("asked"))
     classes = written(classes.select("print_hash", F.col("one.own").alias("class_id"), F.col("one.prints").alias("prints"), "asked"), "chroma-classes")
     asked = classes.filter("asked").select("class_id", "prints")
-    parts = max(1, -(-asked.count() // BLOCK_QUERIES))
-    found = []
+    volume = asked.agg(F.sum(F.size("prints"))).first()[0] or 0
+    parts = max(1, -(-volume // BLOCK_PRINTS))
+    pairs = None
     for k in range(parts):
-        rows = asked.filter(F.pmod(F.xxhash64("class_id"), F.lit(parts)) == k).orderBy("class_id").collect()
-        block = Block([r.class_id for r in rows], [np.array(r.prints, np.int32).view(np.uint32) for r in rows])
-        found.append(classes.select("class_id", "prints").mapInArrow(_searched(block), "class_id long, query_class long, offset int, votes long, bit_error double"))
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
+        rows = asked.filter(F.pmod(F.xxhash64("class_id"), F.lit(parts)) == k).orderBy("class_id").toArrow()
+        block = Block(rows.column("class_id").to_pylist(), [np.array(x, np.int32).view(np.uint32) for x in rows.column("prints").to_pylist()])
+        found = classes.select("class_id", "prints").mapInArrow(lean(_searched(block)), "class_id long, query_class long, offset int, votes long, bit_error double")
+        #: Searched before the next block is made, so that the driver holds one.
+        found = written(found, "chroma-pairs") if parts > 1 else found
+        pairs = found if pairs is None else pairs.unionByName(found)
     lists = pairs.groupBy("class_id").agg(F.sort_array(F.collect_list(F.struct("query_class", "offset", "votes", "bit_error"))).alias("matches"))
     members = some.select("media_id", "print_hash", F.size("prints").cast("long").alias("n_prints")).join(classes.select("print_hash", "class_id"), "print_hash")
     out = members.join(lists, "class_id", "left").select("media_id", "class_id", "n_prints", "matches")

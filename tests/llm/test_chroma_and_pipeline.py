@@ -63,7 +63,7 @@ def test_search_in_several_blocks(spark, monkeypatch):
     media = spark.createDataFrame([(50 * i, _sound(i % 4).tobytes()) for i in range(16)], "media_id long, pcm binary")
     whole = ordered((r.media_id, r.class_id, r.n_matches) for r in chroma.align(media).collect())
     assert {c for _, c, _ in whole} == {0, 50, 100, 150}
-    monkeypatch.setattr(chroma, "BLOCK_QUERIES", 1)
+    monkeypatch.setattr(chroma, "BLOCK_PRINTS", 1)
     monkeypatch.setattr(chroma, "_HITS", 10)
     assert ordered((r.media_id, r.class_id, r.n_matches) for r in chroma.align(media).collect()) == whole
 

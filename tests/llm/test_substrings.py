@@ -169,6 +169,14 @@ def test_backward_search_gives_matching_statistics_and_holders():
     assert seen > 5
 
 
+def test_range_minima():
+    rng = np.random.default_rng(4)
+    values = rng.integers(0, 50, 300).astype(np.uint8)
+    first = rng.integers(0, 300, 500)
+    last = np.minimum(first + rng.integers(0, 300, 500), 299)
+    assert fm_dedup.Minima(values).of(first, last).tolist() == [int(values[a : b + 1].min()) for a, b in zip(first, last, strict=True)]
+
+
 def test_contexts_meet_every_earlier_one_of_their_anchor():
     rng = np.random.default_rng(2)
     texts = [rng.integers(1, 3, rng.integers(4, 12)) for _ in range(40)]

@@ -1,7 +1,9 @@
 """Personal data, quality, toxicity, leaks, tokens and pages."""
 
 import datetime
+import hashlib
 import html
+import ipaddress
 import re
 import tracemalloc
 import zlib
@@ -83,6 +85,67 @@ def test_dates_are_a_permutation(spark):
     assert sorted(r[0] for r in df.collect()) == days
 
 
+def feistel(key, kind, left, right, a, b):
+    """The network on Z_a x Z_b, written anew."""
+    for i in range(1, pii.ROUNDS + 1):
+        h = hashlib.sha256(f"{key}|{kind}|{i}|{right}".encode()).hexdigest()[:13]
+        left, right = right, (left + int(h, 16)) % (a if i % 2 else b)
+    return left, right
+
+
+def feistel_digits(key, kind, d):
+    a, b = (len(d) + 1) // 2, len(d) // 2
+    left, right = feistel(key, kind, int(d[:a]), int(d[a:]), 10**a, 10**b)
+    return f"{left:0{a}d}{right:0{b}d}"
+
+
+def test_pseudonyms_against_an_independent_network(spark):
+    got, n = replaced(spark, "card 4111 1111 1111 1111", "ip 10.0.200.7", "call +49 30 1234567", "id 123-45-6789", "on 2020-02-29", key="k")
+    body = "4111" + feistel_digits("k", "card", "11111111111")
+    card = next(body + c for c in "0123456789" if luhn(body + c))
+    left, right = feistel("k", "ipv4", 10 * 256, 200 * 256 + 7, 65536, 65536)
+    phone = feistel_digits("k", "phone", "301234567")
+    area, serial = feistel("k", "ssn", 122 * 99 + 44, 6788, 898 * 99, 9999)
+    area, group = divmod(area, 99)
+    day = (datetime.date(2020, 2, 29) - datetime.date(1900, 1, 1)).days
+    high, low = feistel("k", "date", day // 271, day % 271, 270, 271)
+    assert n == [1] * 5 and got == [
+        "card " + " ".join(card[i : i + 4] for i in range(0, 16, 4)),
+        f"ip {left // 256}.{left % 256}.{right // 256}.{right % 256}",
+        f"call +49 {phone[:2]} {phone[2:]}",
+        f"id {area + (2 if area >= 665 else 1):03d}-{group + 1:02d}-{serial + 1:04d}",
+        f"on {datetime.date(1900, 1, 1) + datetime.timedelta(high * 271 + low)}",
+    ]
+
+
+def test_one_value_has_one_pseudonym_in_all_spellings(spark):
+    got, n = replaced(spark, "+1 415 555 2671", "+14155552671", "(415) 555-2671", "415-555-2671", "2001:db8::1", "2001:0DB8:0:0:0:0:0:0001", "2001:db8::2")
+    assert n == [1] * 7
+    bare = [re.sub(r"[^0-9]", "", x) for x in got[:4]]
+    assert bare[0] == bare[1] == "1" + bare[2] == "1" + bare[3]
+    a, b, c = (ipaddress.ip_address(x) for x in got[4:])
+    assert a == b != c and int(a) >> 64 == int(c) >> 64 != 0x20010DB800000000
+
+
+def test_names_beyond_latin_and_what_stands_after_an_iban(spark):
+    got, n = replaced(spark, "иван@пример.рф", "Ο λόγος: γιώργος@example.gr", "田中@example.jp", "BE68 5390 0754 7034 EUR", "to DE89370400440532013000 2024 X1", "12:30:45 and a::b c::d")
+    assert n == [1, 1, 1, 1, 1, 0]
+    assert re.fullmatch(r"[а-я]{4}@пример[.]рф", got[0]) and "иван" not in got[0]
+    assert "γιώργος" not in got[1] and re.fullmatch(r"[一-鿿]{2}@example[.]jp", got[2]) and "田中" not in got[2]
+    assert got[3].endswith(" EUR") and iban_ok(got[3][:-4]) and got[4].endswith(" 2024 X1") and iban_ok(got[4][3:25])
+
+
+def test_the_key_comes_from_the_session(spark):
+    df = spark.createDataFrame([(1, "mail ada@example.org")], "doc_id long, text string")
+    with pytest.warns(UserWarning):
+        plain = pii.pseudonymize(df).first().text
+    spark.conf.set(pii.KEY_SETTING, "other")
+    try:
+        assert pii.pseudonymize(df).first().text == pii.pseudonymize(df, "other").first().text != plain
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_pii_edge_cases(spark):
     got = pii.pseudonymize(edge_frame(spark))
     assert ordered(got.collect()) == ordered([(r[0], r[1], 0) for r in edge_rows()])
@@ -135,6 +198,18 @@ def test_cumulative_link_gradient_reaches_the_maximum():
         assert likelihood(w + step, t) < best + 1e-6 and likelihood(w, t + [step, 0]) < best + 1e-6 and likelihood(w, t + [0, step]) < best + 1e-6
 
 
+def test_the_sample_has_a_bound_in_features(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(i, 40)) for i in range(40)], "doc_id long, text string")
+    ratings = spark.createDataFrame([(i, i % 3) for i in range(40)], "doc_id long, grade int")
+    seen = []
+    plain = quality.fit_cumulative_link
+    monkeypatch.setattr(quality, "fit_cumulative_link", lambda first, *a: seen.append(len(first) - 1) or plain(first, *a))
+    quality.fit(docs, ratings)
+    monkeypatch.setattr(quality, "TRAIN_FEATURES", 500)
+    quality.fit(docs, ratings)
+    assert seen[0] == 40 and 5 < seen[1] < 15
+
+
 def test_quality_edge_cases(spark):
     docs = edge_frame(spark)
     none = spark.createDataFrame([(None, 1), (3, None)], "doc_id long, grade int")
