@@ -17,8 +17,8 @@ fingerprint of a word k-gram inside it). The steps:
    (Burrows-Wheeler transform in a wavelet matrix with packed ranks) and those with it
    stream past: so each context meets every earlier one of its anchor. Streams go from
    right to left in lockstep, a word extends the match by one backward step, a mismatch
-   shortens it until the step succeeds; where the matching statistic reaches `window`,
-   the interval gives the smallest document that holds the window;
+   first shortens it to what the nearest suffixes after that word share; where the
+   matching statistic reaches `window`, its interval gives the smallest document;
 5. intervals above the threshold go back to the documents, which cut them out.
 
 Words are compared by their bytes; context and row keys are hashes of whole bytes.
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.gram_load import Levels, bounded_anchors, frequent_cells, grams_of_runs
-from quillspark.llm.shared import row_key, shuffle_partitions, written
+from quillspark.llm.shared import lean, row_key, shuffle_partitions, written
 from quillspark.llm.text import Prefix, Words, covered, digests, owners, pieces, row_slices, text_bytes, window_anchors
 
 WINDOW = 50
@@ -44,7 +44,7 @@ GRAM = 8
 SHARD_CONTEXTS = 8_000
 SHARD_BYTES = 4 << 20
 #: Windows of one stream; longer contexts are several.
-STREAM_WINDOWS = 256
+STREAM_WINDOWS = 64
 _LAST = (1 << 63) - 1
 
 _ANCHOR_SCHEMA = "anchor long, span long, doc long, rid binary, start int, windows int"
@@ -67,45 +67,66 @@ class WaveletMatrix:
             self.levels.append((words, before, zeros))
             values = np.concatenate([values[bit == 0], values[bit == 1]])
 
+    def places(self, symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where the first `ends` elements that equal the symbol end in the last arrangement; the difference of two such places counts symbols."""
+        at = ends
+        for b, (words, before, zeros) in zip(range(self.bits - 1, -1, -1), self.levels, strict=True):
+            block = at >> 6
+            ones = before[block] + np.bitwise_count(words[block] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+            at = np.where(symbols >> b & 1, zeros + ones, at - ones)
+        return at
+
     def ranks(self, symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """How often each symbol occurs before its end."""
-        lo, hi = np.zeros(len(ends), np.int64), ends
-        for b, (words, before, zeros) in zip(range(self.bits - 1, -1, -1), self.levels, strict=True):
-            one = ((symbols >> b) & 1).astype(bool)
-            lo1, hi1 = self._ones(words, before, lo), self._ones(words, before, hi)
-            lo = np.where(one, zeros + lo1, lo - lo1)
-            hi = np.where(one, zeros + hi1, hi - hi1)
-        return hi - lo
+        return self.places(symbols, ends) - self.places(symbols, np.zeros(len(ends), np.int64))
 
-    @staticmethod
-    def _ones(words: np.ndarray, before: np.ndarray, at: np.ndarray) -> np.ndarray:
-        block = at >> 6
-        mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return before[block] + np.bitwise_count(words[block] & mask)
+
+class Minima:
+    """Smallest of any range of small numbers, from the smallest of all ranges of 1, 2, 4, ... of them."""
+
+    def __init__(self, values: np.ndarray):
+        self.levels = np.zeros((max(1, len(values).bit_length()), len(values)), values.dtype)
+        self.levels[0] = values
+        for k in range(1, len(self.levels)):
+            half = 1 << k - 1
+            self.levels[k] = self.levels[k - 1]
+            self.levels[k, :-half] = np.minimum(self.levels[k - 1, :-half], self.levels[k - 1, half:])
+
+    def of(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Of first..last, both included; first must not be larger."""
+        k = np.frexp(last - first + 1)[1] - 1
+        return np.minimum(self.levels[k, first], self.levels[k, last - (1 << k) + 1])
 
 
 class FMIndex:
     """Over texts of symbols from 1 up, each closed by a separator; matches are followed up to `window` symbols.
 
-    It keeps the transform as a wavelet matrix, symbol counts, the capped lengths that
-    neighbouring suffixes share (one byte each), and the smallest value of the texts in
-    each interval of `window` symbols; neither the texts nor the suffix array.
+    It keeps the transform as a wavelet matrix, symbol counts, where each symbol occurs in
+    the transform, the capped lengths that neighbouring suffixes share (a byte each, and
+    their range minima), and the smallest value of the texts in each interval of `window`
+    symbols; neither the texts nor the suffix array.
     """
 
     def __init__(self, codes: np.ndarray, first: np.ndarray, window: int, values: np.ndarray):
         rows = owners(first)
-        self.n = n = len(codes) + len(first) - 1
+        n = len(codes) + len(first) - 1
         text = np.zeros(n, np.int64)
         text[np.arange(len(codes)) + rows] = codes
         order = self._suffixes(text, window + 1)
         self.window, self.largest = window, int(text.max(initial=0))
-        self.bwt = WaveletMatrix(text[order - 1], max(1, self.largest.bit_length()))
+        transform = text[order - 1]
+        self.bwt = WaveletMatrix(transform, max(1, self.largest.bit_length()))
         self.smaller = np.zeros(self.largest + 2, np.int64)
         np.cumsum(np.bincount(text, minlength=self.largest + 1), out=self.smaller[1:])
-        self.shared = self._shared(text, order, window)
-        self._starts: dict[int, np.ndarray] = {}
+        every = np.arange(self.largest + 1)
+        #: A backward step is this and the place of the symbol in the wavelet matrix.
+        self.shift = self.smaller[:-1] - self.bwt.places(every, np.zeros(len(every), np.int64))
+        self.occurs = np.argsort(transform, kind="stable").astype(np.int32)
+        shared = self._shared(text, order, window)
+        self.shared = Minima(shared)
+        self.heads = np.flatnonzero(shared[:-1] < window)
         owner = np.repeat(np.arange(len(first) - 1), np.diff(first) + 1)
-        self.least = np.minimum.reduceat(values[owner[order]], self.starts(window))
+        self.least = np.minimum.reduceat(values[owner[order]], self.heads)
 
     @staticmethod
     def _suffixes(text: np.ndarray, depth: int) -> np.ndarray:
@@ -139,60 +160,42 @@ class FMIndex:
             shared[live] += 1
         return shared
 
-    def starts(self, depth: int) -> np.ndarray:
-        """Where the intervals of suffixes that share `depth` symbols begin."""
-        if depth not in self._starts:
-            self._starts[depth] = np.flatnonzero(self.shared[:-1] < depth).astype(np.int32)
-        return self._starts[depth]
-
-    def around(self, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """The interval of `depth` shared symbols that holds each place."""
-        if not depth:
-            return np.zeros(len(at), np.int64), np.full(len(at), self.n)
-        starts = self.starts(depth)
-        k = np.searchsorted(starts, at, "right")
-        return starts[k - 1].astype(np.int64), np.append(starts, self.n)[k].astype(np.int64)
-
-    def back(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One backward step. Symbols that the index does not hold give empty intervals."""
-        known = symbol <= self.largest
-        symbol = np.where(known, symbol, 0)
-        both = self.bwt.ranks(np.tile(symbol, 2), np.concatenate([lo, hi])) + np.tile(self.smaller[symbol], 2)
-        return both[: len(lo)], np.where(known, both[len(lo) :], 0)
+    def back(self, symbol: np.ndarray, row: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One backward step of matches, each given by a suffix that starts with it and its length.
+
+        Of the suffixes after the symbol, the nearest ones above and below the match share
+        most with it: what they share is kept, the rest of the match is cut off. Symbols
+        that the index does not hold give matches of length 0.
+        """
+        symbol = np.where(symbol <= self.largest, symbol, 0)
+        begin, end = self.smaller[symbol], self.smaller[symbol + 1]
+        step = self.bwt.places(symbol, row) + self.shift[symbol]
+        below, above = (step < end) & (symbol > 0), (step > begin) & (symbol > 0)
+        kept = np.full((2, len(row)), -1)
+        at = self.occurs[step[below]].astype(np.int64)
+        same = at == row[below]
+        kept[0, below] = np.where(same, length[below], np.minimum(length[below], self.shared.of(np.minimum(row[below] + 1, at + same), at + same)))
+        at = self.occurs[step[above] - 1].astype(np.int64)
+        kept[1, above] = np.minimum(length[above], self.shared.of(at + 1, row[above]))
+        best = kept.max(0)
+        return np.where(best < 0, 0, np.where(kept[0] == best, step, step - 1)), np.minimum(best + 1, self.window)
 
     def stream(self, codes: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Matching statistics of some texts in lockstep: yields (texts, places, lengths capped at `window`, places of an interval's first suffix)."""
+        """Matching statistics of some texts in lockstep, from right to left: yields (texts, places, lengths capped at `window`, a suffix that matches)."""
         size = np.diff(first)
         texts = np.arange(len(size))
-        lo, hi, length = np.zeros(len(texts), np.int64), np.full(len(texts), self.n), np.zeros(len(texts), np.int64)
+        row, length = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         for step in range(1, int(size.max(initial=0)) + 1):
             live = size[texts] >= step
             if not live.all():
-                texts, lo, hi, length = texts[live], lo[live], hi[live], length[live]
+                texts, row, length = texts[live], row[live], length[live]
             place = size[texts] - step
-            symbol = codes[first[texts] + place]
-            full = np.flatnonzero(length == self.window)
-            lo[full], hi[full] = self.around(lo[full], self.window - 1)
-            length[full] = self.window - 1
-            todo = np.arange(len(texts))
-            while len(todo):
-                new_lo, new_hi = self.back(symbol[todo], lo[todo], hi[todo])
-                good = new_lo < new_hi
-                done = todo[good]
-                lo[done], hi[done] = new_lo[good], new_hi[good]
-                length[done] += 1
-                todo = todo[~good]
-                todo = todo[length[todo] > 0]
-                depth = np.maximum(self.shared[lo[todo]], self.shared[hi[todo]]).astype(np.int64)
-                for d in np.unique(depth):
-                    some = todo[depth == d]
-                    lo[some], hi[some] = self.around(lo[some], int(d))
-                    length[some] = d
-            yield texts, place, length, lo
-
-    def holders(self, at: np.ndarray) -> np.ndarray:
-        """The smallest value of the texts in the interval of `window` symbols that holds each place."""
-        return self.least[np.searchsorted(self.starts(self.window), at, "right") - 1]
+            row, length = self.back(codes[first[texts] + place], row, length)
+            yield texts, place, length, row
+
+    def holders(self, row: np.ndarray) -> np.ndarray:
+        """The smallest value of the texts that hold the first `window` symbols of a suffix."""
+        return self.least[np.searchsorted(self.heads, row, "right") - 1]
 
 
 def _anchors(window: int, k: int, levels: Levels, crowded: np.ndarray | None = None):
@@ -268,10 +271,10 @@ def repeats_of_earlier(codes: np.ndarray, first: np.ndarray, anchor: np.ndarray,
         text = np.repeat(asked, parts)
         begin = STREAM_WINDOWS * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
         size = np.minimum(STREAM_WINDOWS, windows[text] - begin) + window - 1
-        for texts, places, lengths, at in index.stream(*_picked(codes, first, text, begin, size)):
+        for texts, places, lengths, row in index.stream(*_picked(codes, first, text, begin, size)):
             whole = np.flatnonzero(lengths == window)
             texts, places = texts[whole], places[whole]
-            earlier = index.holders(at[whole]) < doc[text[texts]]
+            earlier = index.holders(row[whole]) < doc[text[texts]]
             out[cut[text[texts]] + begin[texts] + places] |= earlier
     return out
 
@@ -320,10 +323,10 @@ def earlier_ranges(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     """
     marks = frequent_cells(rows, lambda data, offsets: Prefix(Words(data, offsets).hashes(), "word").grams(gram))
     anchors, shared = bounded_anchors(
-        lambda late: written(rows.mapInArrow(_anchors(window, gram, Levels(marks, late)), _ANCHOR_SCHEMA), "fm-anchors"),
+        lambda late: written(rows.mapInArrow(lean(_anchors(window, gram, Levels(marks, late))), _ANCHOR_SCHEMA), "fm-anchors"),
         #: Written, so that the join below stands on plain exchanges and Spark can split a hot anchor among tasks.
         lambda anchors: written(anchors.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high").select("anchor", "n"), "fm-shared"),
-        lambda late, crowded: rows.mapInArrow(_anchors(window, gram, Levels(marks, late), crowded), "gram long, n long"),
+        lambda late, crowded: rows.mapInArrow(lean(_anchors(window, gram, Levels(marks, late), crowded)), "gram long, n long"),
         shard_contexts,
     )
     #: Rows that share rid are one row. Grouped without the anchor, so that the shuffle after the join stays and the join may be split.
@@ -332,7 +335,7 @@ def earlier_ranges(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     several = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     picks = distinct.join(several, "anchor", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("anchor", "span", "start", "windows", "doc")).alias("picks"))
     contexts = written(
-        rows.join(picks, "rid").dropDuplicates(["rid"]).select("text", "picks").mapInArrow(_contexts(window), "anchor long, span long, windows int, doc long, content binary"),
+        rows.join(picks, "rid").dropDuplicates(["rid"]).select("text", "picks").mapInArrow(lean(_contexts(window)), "anchor long, span long, windows int, doc long, content binary"),
         "fm-contexts",
     )
     volume = contexts.agg(F.sum(F.length("content"))).first()[0] or 0
@@ -398,4 +401,4 @@ def dedup_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     """
     rows = keyed(docs)
     ranges = earlier_ranges(rows.select("doc", "rid", "text"), window, gram)
-    return rows.select("doc_id", "text", "rid").join(ranges, "rid", "left").select("doc_id", "text", "ranges").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.select("doc_id", "text", "rid").join(ranges, "rid", "left").select("doc_id", "text", "ranges").mapInArrow(lean(_cut), "doc_id long, n_words long, n_removed long, kept_sha256 string")

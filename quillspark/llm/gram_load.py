@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import written
+from quillspark.llm.shared import lean, written
 from quillspark.llm.text import byte_parts, text_bytes
 
 CELL_BITS = 17
@@ -97,7 +97,7 @@ def frequent_cells(rows: DataFrame, grams_of: Callable[[np.ndarray, np.ndarray],
         some = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(count[some])], names=["cell", "n"])
 
-    load = written(rows.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")), "gram-load")
+    load = written(rows.select("text").mapInArrow(lean(run), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")), "gram-load")
     whole = load.agg(F.sum("n")).first()[0] or 0
     cells = [r.cell for r in load.filter(F.col("n") > max(LEAST, TIMES * whole / CELLS)).select("cell").collect()]
     if not cells:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.fm_dedup import binary_bytes, runs_of
 from quillspark.llm.gram_load import Levels, bounded_anchors, frequent_cells, grams_of_runs
-from quillspark.llm.shared import row_key, shuffle_partitions, written
+from quillspark.llm.shared import lean, row_key, shuffle_partitions, written
 from quillspark.llm.text import Prefix, byte_parts, covered, digests, owners, row_slices, text_bytes, window_anchors
 
 LENGTH = 200
@@ -182,10 +182,10 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, sha
     """
     marks = frequent_cells(rows, lambda data, offsets: Prefix(data, "byte").grams(gram))
     anchors, shared = bounded_anchors(
-        lambda late: written(rows.mapInArrow(_anchors(length, gram, Levels(marks, late)), _ANCHOR_SCHEMA), "suffix-anchors"),
+        lambda late: written(rows.mapInArrow(lean(_anchors(length, gram, Levels(marks, late))), _ANCHOR_SCHEMA), "suffix-anchors"),
         #: Written, so that the join below stands on plain exchanges and Spark can split a hot anchor among tasks.
         lambda anchors: written(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.bool_or("again").alias("again")).filter("n > 1 OR again").select("anchor", "n"), "suffix-shared"),
-        lambda late, crowded: rows.mapInArrow(_anchors(length, gram, Levels(marks, late), crowded), "gram long, n long"),
+        lambda late, crowded: rows.mapInArrow(lean(_anchors(length, gram, Levels(marks, late), crowded)), "gram long, n long"),
         shard_contexts,
     )
     #: Rows that share rid are one row with a count. Grouped without the anchor, so that the shuffle after the join stays and the join may be split.
@@ -194,7 +194,7 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, sha
     several = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("again") & (F.col("copies") == 1)).alias("again")).filter("n > 1 OR again").select("anchor")
     picks = distinct.join(several, "anchor", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("anchor", "span", "start", "windows", "copies")).alias("picks"))
     contexts = written(
-        rows.join(picks, "rid").dropDuplicates(["rid"]).select("text", "picks").mapInArrow(_contexts(length), "anchor long, span long, windows int, copies long, content binary"),
+        rows.join(picks, "rid").dropDuplicates(["rid"]).select("text", "picks").mapInArrow(lean(_contexts(length)), "anchor long, span long, windows int, copies long, content binary"),
         "suffix-contexts",
     )
     volume = contexts.agg(F.sum(F.length("content"))).first()[0] or 0
@@ -246,4 +246,4 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     """
     rows = keyed(docs)
     ranges = repeated_ranges(rows.select("rid", "text"), length, gram)
-    return rows.join(ranges, "rid", "left").select("doc_id", "text", "ranges").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.join(ranges, "rid", "left").select("doc_id", "text", "ranges").mapInArrow(lean(_cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
