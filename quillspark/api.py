@@ -46,8 +46,8 @@ def fit_random_forest(df: DataFrame, label: str, features: Sequence[str], id_col
     return RandomForest(num_trees, max_depth, min_samples_split, subsample_ratio).fit(df, _named(df, features), resolve(df, label), id_col)
 
 
-def fit_kmeans(df: DataFrame, features: Sequence[str], k: int = 8, max_iterations: int = 100) -> KMeansModel:
-    return KMeans(k, max_iterations).fit(df, _named(df, features))
+def fit_kmeans(df: DataFrame, features: Sequence[str], k: int = 8, max_iterations: int = 100, id_col: str | None = None) -> KMeansModel:
+    return KMeans(k, max_iterations).fit(df, _named(df, features), id_col)
 
 
 def fit_pca(df: DataFrame, features: Sequence[str], n_components: int = 2) -> PCAModel:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.functions.expr import nearest, squared_distance
+from quillspark.functions.expr import column, nearest, squared_distance
 from quillspark.sources.features import resolve, to_features
 
 #: Beyond so many literals (centroids x features) rows are assigned in Arrow batches.
@@ -51,12 +51,7 @@ class KMeansModel:
             for batch in batches:
                 columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
                 x = columns[0].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if array else np.stack([c.to_numpy(zero_copy_only=False) for c in columns], axis=1)
-                best, least = np.zeros(len(x), np.int32), np.full(len(x), np.inf)
-                for i, p in enumerate(points):
-                    d = ((x.astype(np.float64) - p) ** 2).sum(1)
-                    closer = d < least
-                    best[closer], least[closer] = i, d[closer]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best)], names=[*batch.schema.names, output])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest_points(x.astype(np.float64), points))], names=[*batch.schema.names, output])
 
         return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(output, T.IntegerType())]))
 
@@ -65,6 +60,25 @@ class KMeansModel:
         return spark.createDataFrame([(i, j, float(x)) for i, c in enumerate(self.centroids) for j, x in enumerate(c)], "cluster int, dimension int, value double")
 
 
+def nearest_points(x: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """The nearest point of each row, the lowest of equals, 0 where a value is NaN.
+
+    One matrix product gives all distances but for rounding; points that it leaves
+    within its error of the nearest are measured directly.
+    """
+    norms = (points**2).sum(1)
+    rough = norms - 2 * (x @ points.T)
+    least = rough.min(1, keepdims=True)
+    slack = 1e-12 * x.shape[1] * (norms.max() + (x**2).sum(1, keepdims=True))
+    near = ~(rough > least + slack)
+    best = near.argmax(1).astype(np.int32)
+    for i in np.flatnonzero(near.sum(1) > 1):
+        some = np.flatnonzero(near[i])
+        d = ((x[i] - points[some]) ** 2).sum(1)
+        best[i] = 0 if np.isnan(d).any() else some[np.argmin(d)]
+    return best
+
+
 class KMeans:
     """Lloyd's iterations from k-means++ seeds or given centroids.
 
@@ -80,10 +94,11 @@ class KMeans:
             raise ValueError(f"unknown rule for empty clusters {empty!r}")
         self.k, self.max_iterations, self.tolerance, self.seed, self.initial, self.empty = k, max_iterations, tolerance, seed, initial_centroids, empty
 
-    def fit(self, df: DataFrame, features: Sequence[str]) -> KMeansModel:
-        rows = to_features(df, features).persist()
+    def fit(self, df: DataFrame, features: Sequence[str], id_col: str | None = None) -> KMeansModel:
+        """With a row id, drawn seeds do not depend on how the rows are laid out."""
+        rows = to_features(df, features, id_col=id_col if self.initial is None else None).persist()
         try:
-            centroids = [tuple(map(float, c)) for c in self.initial] if self.initial is not None else self._seeds(rows, features)
+            centroids = [tuple(map(float, c)) for c in self.initial] if self.initial is not None else self._seeds(rows, features, id_col)
             done = 0
             for done in range(1, self.max_iterations + 1):
                 fresh = self._step(rows, features, centroids)
@@ -96,28 +111,32 @@ class KMeans:
         return KMeansModel(tuple(features), tuple(centroids), done)
 
     def _step(self, rows: DataFrame, features: Sequence[str], centroids: list[tuple[float, ...]]) -> list[tuple[float, ...]]:
-        assigned = KMeansModel(tuple(features), tuple(centroids)).transform(rows, "_cluster")
-        means = {r["_cluster"]: tuple(r[f"m{j}"] for j in range(len(features))) for r in assigned.groupBy("_cluster").agg(*(F.avg(c).alias(f"m{j}") for j, c in enumerate(features))).collect()}
+        names = [f"f{j}" for j in range(len(features))]
+        points = rows.select(*(column(c).alias(n) for c, n in zip(features, names, strict=True)))
+        assigned = KMeansModel(tuple(names), tuple(centroids)).transform(points, "cluster")
+        means = {r["cluster"]: tuple(r[f"m{j}"] for j in range(len(names))) for r in assigned.groupBy("cluster").agg(*(F.avg(c).alias(f"m{j}") for j, c in enumerate(names))).collect()}
         rest = (lambda i: (0.0,) * len(features)) if self.empty == "origin" else (lambda i: centroids[i])
         return [means.get(i) or rest(i) for i in range(len(centroids))]
 
-    def _seeds(self, rows: DataFrame, features: Sequence[str]) -> list[tuple[float, ...]]:
+    def _seeds(self, rows: DataFrame, features: Sequence[str], id_col: str | None = None) -> list[tuple[float, ...]]:
         """D^2 sampling as a race: the row with the largest ln(u) / D^2 wins, with u hashed from the row and the step.
 
         One aggregate a seed, and no running sum over all rows. Rows that are seeds
         already have no distance and stay out; if none is left, the first one by value
         is taken again.
         """
-        keyed = rows.withColumn("_h", F.xxhash64(F.monotonically_increasing_id(), *features))
-        point = F.struct(*features)
-        first = keyed.agg(F.count(F.lit(1)).alias("n"), F.min_by(point, F.struct(F.xxhash64(F.lit(self.seed), "_h"), *features)).alias("p")).first()
+        names = [f"f{j}" for j in range(len(features))]
+        own = column(id_col) if id_col else F.monotonically_increasing_id()
+        keyed = rows.select(*(column(c).alias(n) for c, n in zip(features, names, strict=True)), F.xxhash64(own, *map(column, features)).alias("h"))
+        point = F.struct(*names)
+        first = keyed.agg(F.count(F.lit(1)).alias("n"), F.min_by(point, F.struct(F.xxhash64(F.lit(self.seed), "h"), *names)).alias("p")).first()
         if not first.n:
             raise ValueError("no rows")
         k = min(self.k, first.n)
         seeds = [tuple(first.p)]
         while len(seeds) < k:
-            distance = F.least(*(squared_distance(features, s) for s in seeds), F.lit(float("inf")))
-            u = (F.pmod(F.xxhash64(F.lit(self.seed), F.lit(len(seeds)), "_h"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+            distance = F.least(*(squared_distance(names, s) for s in seeds), F.lit(float("inf")))
+            u = (F.pmod(F.xxhash64(F.lit(self.seed), F.lit(len(seeds)), "h"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
             race = F.when((distance > 0) & ~F.isnan(distance), F.log(u) / F.when(distance > 0, distance))
             best = keyed.agg(F.max_by(point, race).alias("p")).first().p
             seeds.append(tuple(best) if best is not None else seeds[0])

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.expr import linear
+from quillspark.functions.expr import column, linear
 from quillspark.operators.gram import moments
 
 
@@ -36,7 +36,7 @@ class PCAModel:
     def transform(self, df: DataFrame, prefix: str = "pc") -> DataFrame:
         """Columns `<prefix>0`...: the centred row times each component."""
         if len(self.features) == 1 and self.n_features > 1:
-            parts = [F.aggregate(F.zip_with(F.col(self.features[0]), F.array(*map(F.lit, w)), lambda x, y: x.cast("double") * y), F.lit(-float(np.dot(w, self.mean))), lambda s, x: s + x) for w in self.components]
+            parts = [F.aggregate(F.zip_with(column(self.features[0]), F.array(*map(F.lit, w)), lambda x, y: x.cast("double") * y), F.lit(-float(np.dot(w, self.mean))), lambda s, x: s + x) for w in self.components]
         else:
             parts = [self.expr(k) for k in range(self.n_components)]
         return df.select("*", *(p.alias(f"{prefix}{k}") for k, p in enumerate(parts)))

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.expr import column
 from quillspark.sources.features import numeric
 
 #: Up to so many columns are summed as expressions.
@@ -114,7 +115,7 @@ def moments(df: DataFrame, names: Sequence[str]) -> Moments:
         for i, j in pairs(d):
             centred[i, j] = centred[j, i] = row[f"s_{i}_{j}"] * row.n
         return Moments(row.n, np.array([row[f"m_{i}"] for i in range(d)]), centred)
-    rows = df.select(F.col(names[0]).cast("array<double>").alias("x")) if array else df.select(*(numeric(df, c) for c in names))
+    rows = df.select(column(names[0]).cast("array<double>").alias("x")) if array else df.select(*(numeric(df, c) for c in names))
     n, one, _ = wide_sums(rows)
     if not n:
         raise ValueError("no rows")
@@ -131,4 +132,4 @@ def gram(df: DataFrame, names: Sequence[str]) -> np.ndarray:
         for r in gram_frame(df, names).collect():
             out[r.i, r.j] = r.value or 0.0
         return out
-    return wide_sums(df.select(F.col(names[0]).cast("array<double>").alias("x")) if array else df.select(*(numeric(df, c) for c in names)))[2]
+    return wide_sums(df.select(column(names[0]).cast("array<double>").alias("x")) if array else df.select(*(numeric(df, c) for c in names)))[2]

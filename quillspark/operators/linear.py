@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.expr import linear, positive, sigmoid
+from quillspark.functions.expr import column, linear, positive, sigmoid
 from quillspark.operators.gram import gram, moments
 from quillspark.sources.features import to_features
 
@@ -118,7 +118,7 @@ class LogisticRegression:
             raise ValueError("sgd needs a row id for the order of the rows")
         rows = to_features(df, features, label, id_col)
         if self.solver == "sgd":
-            rows = rows.sortWithinPartitions(id_col)
+            rows = rows.sortWithinPartitions(column(id_col))
         rows = rows.persist()
         try:
             w, b = np.zeros(len(features)), 0.0
@@ -130,8 +130,8 @@ class LogisticRegression:
         return LogisticRegressionModel(tuple(features), tuple(map(float, w)), float(b))
 
     def _batch(self, rows, features, label, w, b, rate):
-        off = sigmoid(linear(features, w, b)) - F.when(positive(F.col(label)), 1.0).otherwise(0.0)
-        means = rows.withColumn("_off", off).agg(F.avg("_off"), *(F.avg(F.col("_off") * F.col(c)) for c in features)).first()
+        off = sigmoid(linear(features, w, b)) - F.when(positive(column(label)), 1.0).otherwise(0.0)
+        means = rows.select(off.alias("off"), *(column(c).alias(f"f{j}") for j, c in enumerate(features))).agg(F.avg("off"), *(F.avg(F.col("off") * F.col(f"f{j}")) for j in range(len(features)))).first()
         if means[0] is None:
             raise ValueError("no rows")
         return w - rate * (np.array(means[1:], float) + self.l2 * w), b - rate * means[0]

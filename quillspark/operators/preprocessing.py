@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.expr import column
 from quillspark.sources.features import numeric, resolve
 
 #: Smaller spreads count as none; the divisor is then 1.
@@ -24,12 +25,12 @@ class ScalerModel:
 
     def expr(self, name: str, value: Column | None = None) -> Column:
         i = [n.lower() for n in self.names].index(name.lower())
-        return ((F.col(name) if value is None else value) - F.lit(self.shifts[i])) / F.lit(self.scales[i])
+        return ((column(name) if value is None else value) - F.lit(self.shifts[i])) / F.lit(self.scales[i])
 
     def transform(self, df: DataFrame) -> DataFrame:
         """The fitted columns scaled, all others as they are; works on streaming frames too."""
         own = {resolve(df, n): n for n in self.names}
-        return df.select(*(self.expr(own[c], numeric(df, c, "keep")).alias(c) if c in own else F.col(f"`{c}`") for c in df.columns))
+        return df.select(*(self.expr(own[c], numeric(df, c, "keep")).alias(c) if c in own else column(c) for c in df.columns))
 
 
 class StandardScalerModel(ScalerModel):
@@ -102,7 +103,7 @@ class OneHotModel:
         return len(self.categories)
 
     def expr(self, i: int) -> Column:
-        return F.when(F.col(self.name) == F.lit(self.categories[i]), 1.0).otherwise(0.0)
+        return F.when(column(self.name) == F.lit(self.categories[i]), 1.0).otherwise(0.0)
 
     def transform(self, df: DataFrame, prefix: str = "onehot_", start: int = 0) -> DataFrame:
         """Columns `<prefix><start + i>`; an unknown or null category is zero in all."""
@@ -111,7 +112,7 @@ class OneHotModel:
 
 def category_order(df: DataFrame, name: str, id_col: str) -> DataFrame:
     """(category, first_id): the order of first occurrence by row id, from a partial minimum."""
-    return df.filter(F.col(name).isNotNull()).groupBy(F.col(name).cast("int").alias("category")).agg(F.min(id_col).alias("first_id"))
+    return df.filter(column(name).isNotNull()).groupBy(column(name).cast("int").alias("category")).agg(F.min(column(id_col)).alias("first_id"))
 
 
 class OneHotEncoder:

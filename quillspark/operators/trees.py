@@ -2,12 +2,13 @@
 
 The rows of a tree have positions 0, 1, 2, ... in the order of the row id (in a
 forest, of the draws). They lie in blocks of `BLOCK` positions, so a group of work is
-bounded. A level takes three aggregates, for all trees and nodes at once:
+bounded. A level takes two jobs, for all trees and nodes at once:
 
-1. rows and positives by node, and where each block begins within each node;
-2. candidates: the rows of a node at every `max(1, n // 32)`-th place, which are at
-   most 63 values a feature;
-3. rows and positives at or below each candidate.
+1. candidates: the rows of a node at every `max(1, n // 32)`-th place, which are at
+   most 63 values a feature; at the root the place is the position, below it a count
+   by block tells where each block begins within each node;
+2. rows and positives at or below each candidate, which also give the sizes of the
+   nodes of the next level.
 
 The driver sees counts by node and candidate, never rows. Nodes are numbered as in
 a heap (children of i are 2i + 1 and 2i + 2).
@@ -26,8 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.functions.expr import positive
-from quillspark.sources.features import numeric, to_features
+from quillspark.functions.expr import column, positive
+from quillspark.sources.features import to_features
 
 BLOCK = 1 << 16
 CANDIDATES = 32
@@ -125,13 +126,11 @@ def _columns(table: pa.Table, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def _counter(d: int, state: list[dict], wanted: frozenset, depth: int):
     def counted(key, table):
         tree, block = key[0].as_py(), key[1].as_py()
-        x, y, _ = _columns(table, d)
-        node = route(x, state[tree], depth)
-        ids, at = np.unique(node, return_inverse=True)
-        keep = np.array([(tree, int(i)) in wanted for i in ids], bool)
-        n, p = np.bincount(at, minlength=len(ids)), np.bincount(at, y, len(ids)).astype(np.int64)
+        x, _, _ = _columns(table, d)
+        node, n = np.unique(route(x, state[tree], depth), return_counts=True)
+        keep = np.array([(tree, int(i)) in wanted for i in node], bool)
         m = int(keep.sum())
-        return pa.table({"tree": pa.array([tree] * m, pa.int32()), "block": pa.array([block] * m, pa.int64()), "node": pa.array(ids[keep]), "n": pa.array(n[keep].astype(np.int64)), "p": pa.array(p[keep])})
+        return pa.table({"tree": pa.array([tree] * m, pa.int32()), "block": pa.array([block] * m, pa.int64()), "node": pa.array(node[keep]), "n": pa.array(n[keep].astype(np.int64))})
 
     return counted
 
@@ -159,109 +158,115 @@ def _picker(d: int, state: list[dict], steps: dict, depth: int):
 
 
 def _binner(d: int, state: list[dict], cuts: dict, depth: int):
-    def binned(key, table):
-        tree = key[0].as_py()
-        x, y, _ = _columns(table, d)
-        node = route(x, state[tree], depth)
-        parts = []
-        for i in np.unique(node):
-            if (tree, int(i)) in cuts:
-                here = node == i
-                for f, cut in enumerate(cuts[(tree, int(i))]):
-                    at = np.searchsorted(cut, x[here, f], "left")
-                    n, p = np.bincount(at, minlength=len(cut) + 1), np.bincount(at, y[here], len(cut) + 1)
-                    some = np.flatnonzero(n)
-                    parts.append(pd.DataFrame({"tree": tree, "node": i, "feature": f, "bin": some, "n": n[some], "p": p[some].astype(np.int64)}))
-        out = pd.concat(parts) if parts else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("tree", "node", "feature", "bin", "n", "p")})
-        return pa.Table.from_pandas(out, schema=pa.schema([("tree", pa.int32()), ("node", pa.int64()), ("feature", pa.int32()), ("bin", pa.int32()), ("n", pa.int64()), ("p", pa.int64())]), preserve_index=False)
+    """Rows and positives between the cuts of each node and feature, added up in the task."""
+
+    def binned(batches):
+        sums = {key: [np.zeros((2, len(c) + 1), np.int64) for c in cut] for key, cut in cuts.items()}
+        for batch in batches:
+            tree, y = batch.column("tree").to_numpy(), batch.column("y").to_numpy()
+            x = np.stack([batch.column(f"f{i}").to_numpy() for i in range(d)], axis=1)
+            for t in np.unique(tree):
+                rows = np.flatnonzero(tree == t)
+                node = route(x[rows], state[t], depth)
+                for i in np.unique(node):
+                    if (int(t), int(i)) in cuts:
+                        here = rows[node == i]
+                        for f, cut in enumerate(cuts[(int(t), int(i))]):
+                            at = np.searchsorted(cut, x[here, f], "left")
+                            sums[(int(t), int(i))][f][0] += np.bincount(at, minlength=len(cut) + 1)
+                            sums[(int(t), int(i))][f][1] += np.bincount(at, y[here], len(cut) + 1).astype(np.int64)
+        cells = [(t, i, f, k, int(two[0, k]), int(two[1, k])) for (t, i), each in sums.items() for f, two in enumerate(each) for k in np.flatnonzero(two[0])]
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        names = ["tree", "node", "feature", "bin", "n", "p"]
+        yield pa.RecordBatch.from_arrays([pa.array([c[k] for c in cells], kinds[k]) for k in range(6)], names=names)
 
     return binned
 
 
-def _grow(samples: DataFrame, d: int, max_depth: int, min_split: int, trees: int) -> list[_Growing]:
-    """`samples`: tree, pos (dense from 0 in each tree), y (0 or 1), f0..; it is dealt by (tree, block) once and kept."""
+def _grow(samples: DataFrame, d: int, max_depth: int, min_split: int, trees: int, size: int) -> list[_Growing]:
+    """`samples`: tree, pos (dense from 0 to `size` in each tree), y (0 or 1), f0..; it is dealt by (tree, block) once and kept."""
     dealt = samples.withColumn("block", F.floor(F.col("pos") / BLOCK).cast("long")).repartition("tree", "block").persist()
     growing = [_Growing() for _ in range(trees)]
-    open_ = {(t, 0) for t in range(trees)}
+    totals: dict[tuple[int, int], tuple[int, int | None]] = {(t, 0): (size, None) for t in range(trees)}
+    open_ = set(totals)
     try:
         for depth in range(max_depth + 1):
-            if not open_:
+            split_here = {(t, i): max(1, n // CANDIDATES) for t, i in open_ for n, p in [totals[(t, i)]] if depth < max_depth and n >= max(2, min_split) and (p is None or 0 < p < n)}
+            if not split_here:
                 break
             state = [dict(g.splits) for g in growing]
-            by_block = dealt.groupBy("tree", "block").applyInArrow(_counter(d, state, frozenset(open_), depth), "tree int, block long, node long, n long, p long").persist()
-            try:
-                totals = {(r.tree, r.node): (r.n, r.p) for r in by_block.groupBy("tree", "node").agg(F.sum("n").alias("n"), F.sum("p").alias("p")).collect()}
-                split_here = {}
-                for t, i in open_:
-                    n, p = totals.get((t, i), (0, 0))
-                    growing[t].leaves[i] = 1.0 if p >= n - p and n else 0.0
-                    if depth < max_depth and n >= max(2, min_split) and 0 < p < n:
-                        split_here[(t, i)] = max(1, n // CANDIDATES)
-                open_ = set()
-                if not split_here:
-                    continue
+            if depth:
+                groups = dealt.groupBy("tree", "block")
+                by_block = groups.applyInArrow(_counter(d, state, frozenset(split_here), depth), "tree int, block long, node long, n long")
                 before = by_block.withColumn("before", F.sum("n").over(_running()) - F.col("n")).select("tree", "block", "node", "before")
-
                 schema = "tree int, node long, rank long, " + ", ".join(f"f{i} double" for i in range(d))
-                chosen = dealt.groupBy("tree", "block").cogroup(before.groupBy("tree", "block")).applyInArrow(_picker(d, state, split_here, depth), schema).toPandas()
-            finally:
-                by_block.unpersist()
-            values = {key: group.sort_values("rank") for key, group in chosen.groupby(["tree", "node"])}
+                chosen = groups.cogroup(before.groupBy("tree", "block")).applyInArrow(_picker(d, state, split_here, depth), schema).toPandas()
+            else:
+                chosen = dealt.filter(F.col("pos") % max(1, size // CANDIDATES) == 0).select("tree", F.lit(0).cast("long").alias("node"), F.col("pos").alias("rank"), *(f"f{i}" for i in range(d))).toPandas()
+            values = {(int(t), int(i)): group.sort_values("rank") for (t, i), group in chosen.groupby(["tree", "node"])}
             cuts = {key: [np.unique(c[~np.isnan(c)]) for c in (g[f"f{i}"].to_numpy() for i in range(d))] for key, g in values.items()}
 
-            bins = dealt.groupBy("tree", "block").applyInArrow(_binner(d, state, cuts, depth), "tree int, node long, feature int, bin int, n long, p long")
+            bins = dealt.select("tree", "y", *(f"f{i}" for i in range(d))).mapInArrow(_binner(d, state, cuts, depth), "tree int, node long, feature int, bin int, n long, p long")
             bins = bins.groupBy("tree", "node", "feature", "bin").agg(F.sum("n").alias("n"), F.sum("p").alias("p")).toPandas()
-            below = {key: g for key, g in bins.groupby(["tree", "node", "feature"])}
+            below = {(int(t), int(i), int(f)): g for (t, i, f), g in bins.groupby(["tree", "node", "feature"])}
+            open_ = set()
             for (t, i), group in values.items():
+                whole = below[(t, i, 0)]
+                totals[(t, i)] = n, p = int(whole["n"].sum()), int(whole["p"].sum())
                 candidates = []
                 for f in range(d):
                     cut = cuts[(t, i)][f]
                     n_cum, p_cum = np.zeros(len(cut) + 1, np.int64), np.zeros(len(cut) + 1, np.int64)
-                    g = below.get((t, i, f))
-                    if g is not None:
-                        n_cum[g["bin"]], p_cum[g["bin"]] = g["n"], g["p"]
+                    g = below[(t, i, f)]
+                    n_cum[g["bin"]], p_cum[g["bin"]] = g["n"], g["p"]
                     n_cum, p_cum = n_cum.cumsum(), p_cum.cumsum()
                     for rank, value in zip(group["rank"], group[f"f{f}"], strict=True):
                         if not np.isnan(value):
                             k = int(np.searchsorted(cut, value))
                             candidates.append((f, int(rank), float(value), int(n_cum[k]), int(p_cum[k])))
-                found = best_split(candidates, *totals[(t, i)])
+                found = best_split(candidates, n, p)
                 if found and found.gain > MIN_GAIN:
                     growing[t].splits[i] = found[:2]
+                    _, _, _, n_left, p_left = next(c for c in candidates if (c[0], c[2]) == found[:2])
+                    totals[(t, 2 * i + 1)], totals[(t, 2 * i + 2)] = (n_left, p_left), (n - n_left, p - p_left)
                     open_ |= {(t, 2 * i + 1), (t, 2 * i + 2)}
+        unknown = {t for (t, _), (_, p) in totals.items() if p is None}
+        if unknown:
+            for r in dealt.groupBy("tree").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).collect():
+                totals[(r.tree, 0)] = (r.n, r.p)
+        for (t, i), (n, p) in totals.items():
+            growing[t].leaves[i] = 1.0 if n and (p or 0) >= n - (p or 0) else 0.0
     finally:
         dealt.unpersist()
     return growing
 
 
 def _running():
-
-
     return Window.partitionBy("tree", "node").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
 
 
-def positions(df: DataFrame, id_col: str) -> DataFrame:
-    """`pos`: the place of each row in the order of the id, dense from 0, without a window over all rows.
+def positions(df: DataFrame, id_col: str) -> tuple[DataFrame, int]:
+    """`df` with `pos`, the place of each row in the order of the id, dense from 0, and the number of rows.
 
-    Rows are dealt by ranges of the id and sorted there; the rows before a partition
-    are the only numbers that reach the driver.
+    Rows are dealt by ranges of the id, numbered there, and moved on by the rows of the
+    ranges before, whose counts are the only numbers that reach the driver. The bounds
+    of the ranges are fixed first, so a range that is computed again holds the same rows.
     """
-    ranged = df.repartitionByRange(F.col(id_col)).sortWithinPartitions(id_col).withColumn("_part", F.spark_partition_id()).persist()
-    counts = ranged.groupBy("_part").count().orderBy("_part").collect()
-    before = {r["_part"]: b for r, b in zip(counts, np.concatenate([[0], np.cumsum([r["count"] for r in counts])]), strict=False)}
-    schema = T.StructType([*df.schema.fields, T.StructField("pos", T.LongType())])
-
-    def numbered(batches):
-        at = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            part = batch.column(batch.num_columns - 1)[0].as_py()
-            at = int(before[part]) if at is None else at
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.arange(at, at + batch.num_rows))], names=[*batch.schema.names[:-1], "pos"])
-            at += batch.num_rows
-
-    return ranged.mapInArrow(numbered, schema)
+    key = column(id_col)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)] or [0.5], 1_000).alias("b")).first().b if isinstance(df.schema[id_col].dataType, T.NumericType) else None
+    if found is None:
+        #: Other kinds of ids have no quantiles; a sample by hash bounds their ranges.
+        rows = df.filter(key.isNotNull()).select(key.alias("b")).orderBy(F.xxhash64("b"), "b").limit(20 * parts).toPandas()["b"].sort_values()
+        found = list(rows.iloc[:: max(1, len(rows) // parts)])
+    bounds = sorted(set(found))
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < key)) if bounds else F.lit(0)
+    ranged = df.withColumn("_part", F.when(key.isNull(), -1).otherwise(part))
+    counts = {r["_part"]: r["count"] for r in ranged.groupBy("_part").count().collect()}
+    before = np.concatenate([[0], np.cumsum([counts.get(k, 0) for k in range(-1, len(bounds) + 1)])]).tolist()
+    offset = F.element_at(F.array(*(F.lit(b).cast("long") for b in before)), F.col("_part") + 2)
+    numbered = ranged.withColumn("pos", F.row_number().over(Window.partitionBy("_part").orderBy(key)).cast("long") - 1 + offset)
+    return numbered.drop("_part"), int(before[-1])
 
 
 def tree_expr(nodes: Sequence[Node], features: Sequence[str], at: int = 0) -> Column:
@@ -269,7 +274,7 @@ def tree_expr(nodes: Sequence[Node], features: Sequence[str], at: int = 0) -> Co
     node = nodes[at]
     if node.is_leaf:
         return F.lit(node.value)
-    left = F.col(features[node.feature]) <= F.lit(node.threshold)
+    left = column(features[node.feature]) <= F.lit(node.threshold)
     return F.when(left, tree_expr(nodes, features, node.left)).otherwise(tree_expr(nodes, features, node.right))
 
 
@@ -313,12 +318,18 @@ class RandomForestModel:
     def num_trees(self) -> int:
         return len(self.trees)
 
+    def probability(self) -> Column:
+        """The share of trees that vote 1."""
+        return sum((tree_expr(t, self.features) for t in self.trees[1:]), tree_expr(self.trees[0], self.features)) / F.lit(float(self.num_trees))
+
+    def expr(self) -> Column:
+        return F.when(self.probability() >= 0.5, 1.0).otherwise(0.0)
+
     def transform(self, df: DataFrame, output: str = "prediction", probability: str | None = "probability") -> DataFrame:
         """The share of trees that vote 1, and 1 where it is one half or more. Small forests are expressions, others Arrow batches."""
         if sum(map(len, self.trees)) <= 256:
-            p = sum((tree_expr(t, self.features) for t in self.trees[1:]), tree_expr(self.trees[0], self.features)) / F.lit(float(self.num_trees))
-            out = df.withColumn(output, F.when(p >= 0.5, 1.0).otherwise(0.0))
-            return out.withColumn(probability, p) if probability else out
+            out = df.withColumn(output, self.expr())
+            return out.withColumn(probability, self.probability()) if probability else out
         return _scored(df, self.features, self.trees, output, probability)
 
 
@@ -342,21 +353,21 @@ class DecisionTree:
         self.max_depth, self.min_samples_split = max_depth, min_samples_split
 
     def fit(self, df: DataFrame, features: Sequence[str], label: str, id_col: str) -> DecisionTreeModel:
-        samples = positions(_samples(df, features, label, id_col), "_id").drop("_id").withColumn("tree", F.lit(0))
-        grown = _grow(samples, len(features), self.max_depth, self.min_samples_split, 1)[0]
+        numbered, n = positions(_samples(df, features, label, id_col), "_id")
+        grown = _grow(numbered.drop("_id").withColumn("tree", F.lit(0)), len(features), self.max_depth, self.min_samples_split, 1, n)[0]
         return DecisionTreeModel(tuple(features), grown.nodes(), self.max_depth, self.min_samples_split)
 
 
 def _samples(df: DataFrame, features: Sequence[str], label: str, id_col: str) -> DataFrame:
     rows = to_features(df, features, label, id_col)
-    return rows.select(F.col(id_col).alias("_id"), F.when(positive(F.col(label)), 1).otherwise(0).alias("y"), *(F.col(c).alias(f"f{i}") for i, c in enumerate(features)))
+    return rows.select(column(id_col).alias("_id"), F.when(positive(column(label)), 1).otherwise(0).alias("y"), *(column(c).alias(f"f{i}") for i, c in enumerate(features)))
 
 
 def bootstrap(spark, trees: int, rows: int, size: int, seed: int = 42) -> DataFrame:
-    """(tree, draw, pos): for each tree `size` positions of 0..rows-1, drawn with replacement by a hash of seed, tree and draw."""
+    """(tree, draw, pos): for each tree `size` positions of 0..rows-1, drawn with replacement by 60 bits of a hash of seed, tree and draw."""
     draws = spark.range(trees * size).select(F.floor(F.col("id") / size).cast("int").alias("tree"), (F.col("id") % size).alias("draw"))
     key = F.concat_ws(":", F.lit(seed) + F.lit(31) * F.col("tree"), F.col("draw"))
-    return draws.withColumn("pos", F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % rows)
+    return draws.withColumn("pos", F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long") % rows)
 
 
 class RandomForest:
@@ -367,31 +378,29 @@ class RandomForest:
         self.subsample_ratio, self.seed = min(1.0, max(0.1, subsample_ratio)), seed
 
     def fit(self, df: DataFrame, features: Sequence[str], label: str, id_col: str) -> RandomForestModel:
-        numbered = positions(_samples(df, features, label, id_col), "_id").drop("_id").persist()
-        try:
-            n = numbered.count()
-            if not n:
-                raise ValueError("no rows")
-            draws = bootstrap(df.sparkSession, self.num_trees, n, max(2, int(n * self.subsample_ratio)), self.seed)
-            samples = draws.join(numbered, "pos").drop("pos").withColumnRenamed("draw", "pos")
-            grown = _grow(samples, len(features), self.max_depth, self.min_samples_split, self.num_trees)
-        finally:
-            numbered.unpersist()
+        numbered, n = positions(_samples(df, features, label, id_col), "_id")
+        if not n:
+            raise ValueError("no rows")
+        size = max(2, int(n * self.subsample_ratio))
+        draws = bootstrap(df.sparkSession, self.num_trees, n, size, self.seed)
+        samples = draws.join(numbered.drop("_id"), "pos").drop("pos").withColumnRenamed("draw", "pos")
+        grown = _grow(samples, len(features), self.max_depth, self.min_samples_split, self.num_trees, size)
         return RandomForestModel(tuple(features), tuple(g.nodes() for g in grown), self.max_depth)
 
 
 def gini_candidates(df: DataFrame, feature: str, label: str, id_col: str) -> DataFrame:
-    """(threshold, gain) of the best first split on one feature, as a frame of one row; no row if there is none."""
-    model = DecisionTree(max_depth=1).fit(df, [feature], label, id_col)
-    root = model.nodes[0]
-    if root.is_leaf:
-        return df.sparkSession.createDataFrame([], "threshold double, gain double")
-    y = F.when(positive(numeric(df, label)), 1.0).otherwise(0.0)
-    left = F.when(numeric(df, feature) <= root.threshold, 1.0).otherwise(0.0)
-    sums = df.agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(y).alias("p"), F.sum(left).alias("nl"), F.sum(left * y).alias("pl"))
-
-    def gini(n: str, p: str) -> str:
-        return f"(1 - ({p} / {n}) * ({p} / {n}) - (1 - {p} / {n}) * (1 - {p} / {n}))"
-
-    gain = f"{gini('n', 'p')} - (nl / n) * {gini('nl', 'pl')} - ((n - nl) / n) * {gini('(n - nl)', '(p - pl)')}"
-    return sums.select(F.lit(root.threshold).alias("threshold"), F.expr(gain).alias("gain"))
+    """(threshold, gain) of the best first split on one feature, as a frame of one row; no row if there is none.
+
+    One aggregate over the candidates, which are at most 63 values.
+    """
+    rows, n = positions(_samples(df, [feature], label, id_col), "_id")
+    picked = rows.filter(F.col("pos") % max(1, n // CANDIDATES) == 0).select("pos", "f0").collect()
+    found = None
+    if picked:
+        cuts = sorted({r.f0 for r in picked if not np.isnan(r.f0)})
+        at_most = [(F.col("f0") <= c) & ~F.isnan("f0") for c in cuts]
+        sums = rows.agg(F.sum("y"), *(F.count_if(c) for c in at_most), *(F.sum(F.when(c, F.col("y")).otherwise(0)) for c in at_most)).first()
+        left = {c: (sums[1 + k], sums[1 + len(cuts) + k]) for k, c in enumerate(cuts)}
+        found = best_split([(0, r.pos, r.f0, *left[r.f0]) for r in picked if not np.isnan(r.f0)], n, sums[0])
+    found = [(found.threshold, found.gain)] if found and found.gain > MIN_GAIN else []
+    return df.sparkSession.createDataFrame(found, "threshold double, gain double")

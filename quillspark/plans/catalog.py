@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,14 +12,15 @@ from quillspark import api
 from quillspark.functions import expr
 from quillspark.operators.clustering import KMeans, KMeansModel
 from quillspark.operators.decomposition import PCA
-from quillspark.operators.gram import covariance_frame, gram_frame
+from quillspark.operators.gram import covariance_frame, gram_frame, moments
+from quillspark.operators.gram import gram as gram_matrix
 from quillspark.operators.histogram import build_histogram, discretize
 from quillspark.operators.linear import LinearRegression, LogisticRegression, project
 from quillspark.operators.metrics import accuracy_frame, mse_frame, r2_frame
 from quillspark.operators.preprocessing import MinMaxScaler, OneHotEncoder, StandardScaler, category_order, minmax_params, standard_params
-from quillspark.operators.trees import DecisionTree, RandomForest, bootstrap, gini_candidates
+from quillspark.operators.trees import DecisionTree, DecisionTreeModel, Node, RandomForest, RandomForestModel, bootstrap, gini_candidates
 from quillspark.plans import sql
-from quillspark.sources.features import read_features, to_features
+from quillspark.sources.features import column, from_columns, from_rows, read_features, row, to_features, to_matrix, value, with_column
 
 Query = Callable[[SparkSession, str], DataFrame]
 _FOUND: dict[str, tuple[Query, str | None]] = {}
@@ -59,6 +61,43 @@ def features_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_features(spark, f"{sf_dir}/lineitem.parquet", ["l_orderkey", "l_linenumber", "l_extendedprice"])
 
 
+@_query("SELECT CAST(l_quantity AS DOUBLE) AS quantity FROM lineitem")
+def features_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return column(_read(spark, sf_dir, "lineitem"), "L_QUANTITY").toDF("quantity")
+
+
+@_query("SELECT l_orderkey, l_linenumber, l_quantity * 2 + 1 AS l_quantity FROM lineitem")
+def features_with_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return with_column(rows, "L_Quantity", F.col("l_quantity") * 2 + 1)
+
+
+@_query("SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey = 7")
+def features_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return row(_read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_custkey", 7)
+
+
+@_query("SELECT CAST(7 AS BIGINT) AS c_custkey, (SELECT c_acctbal FROM customer WHERE c_custkey = 7) AS c_acctbal")
+def features_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(7, value(_read(spark, sf_dir, "customer"), "c_custkey", 7, "c_acctbal"))], "c_custkey long, c_acctbal double")
+
+
+_SUPPLIERS = "SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS row_id, CAST(s_nationkey AS DOUBLE) AS s_nationkey, s_acctbal FROM supplier"
+
+
+@_query(_SUPPLIERS)
+def features_from_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["s_nationkey", "s_acctbal"]
+    return from_rows(spark, to_matrix(_read(spark, sf_dir, "supplier"), names, "s_suppkey"), names)
+
+
+@_query(_SUPPLIERS)
+def features_from_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["s_nationkey", "s_acctbal"]
+    matrix = to_matrix(_read(spark, sf_dir, "supplier"), names, "s_suppkey")
+    return from_columns(spark, {c: matrix[:, k].tolist() for k, c in enumerate(names)})
+
+
 @_query("SELECT " + ", ".join(f"round(avg({c}), 6) AS {c}_mean, round(CASE WHEN stddev_pop({c}) <= 1e-8 THEN 1.0 ELSE stddev_pop({c}) END, 6) AS {c}_std" for c in SCALED) + " FROM lineitem")
 def std_scaler_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = standard_params(_read(spark, sf_dir, "lineitem"), SCALED)
@@ -379,6 +418,30 @@ def logistic_proba(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_logit_model(spark, sf_dir).transform(_logit(spark, sf_dir), "prediction", "p").select("u", "v", "p"), 5, "p")
 
 
+_SGD = "(SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS k, s_acctbal / 10000 AS u, s_nationkey / 25.0 AS v, CASE WHEN s_acctbal > 4000 THEN 1.0 ELSE 0.0 END AS y FROM supplier)"
+_SGD_EPOCHS, _SGD_RATE, _SGD_L2 = 3, 0.2, 0.001
+
+
+@_query(
+    f"WITH RECURSIVE x AS {_SGD}, n AS (SELECT count(*) AS n FROM x), "
+    "w AS (SELECT CAST(0 AS BIGINT) AS t, CAST(0 AS DOUBLE) AS wu, CAST(0 AS DOUBLE) AS wv, CAST(0 AS DOUBLE) AS b "
+    f"UNION ALL SELECT t + 1, wu - {_SGD_RATE} / (1 + 0.01 * (t // n)) * (off * u + {_SGD_L2} * wu), wv - {_SGD_RATE} / (1 + 0.01 * (t // n)) * (off * v + {_SGD_L2} * wv), b - {_SGD_RATE} / (1 + 0.01 * (t // n)) * off "
+    f"FROM (SELECT w.*, n.n, x.u, x.v, 1.0 / (1.0 + exp(-(wu * x.u + wv * x.v + b))) - x.y AS off FROM w, n, x WHERE x.k = w.t % n.n AND w.t < {_SGD_EPOCHS} * n.n)) "
+    "SELECT round(wu, 6) AS wu, round(wv, 6) AS wv, round(b, 6) AS b FROM w ORDER BY t DESC LIMIT 1"
+)
+def logistic_sgd_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") / 10000).alias("u"), (F.col("s_nationkey") / 25.0).alias("v"), F.when(F.col("s_acctbal") > 4000, 1.0).otherwise(0.0).alias("y"))
+    m = LogisticRegression(_SGD_RATE, _SGD_EPOCHS, _SGD_L2, "sgd").fit(rows.coalesce(1), ["u", "v"], "y", "s_suppkey")
+    return _rounded(spark.createDataFrame([(*m.weights, m.bias)], "wu double, wv double, b double"), 6, "wu", "wv", "b")
+
+
+@_query("WITH f AS (SELECT regr_slope(l_extendedprice / 1000, l_quantity) AS w, regr_intercept(l_extendedprice / 1000, l_quantity) AS c FROM lineitem) SELECT l_orderkey, l_linenumber, round(w * l_quantity + c, 3) + 0.0 AS prediction FROM lineitem, f")
+def linreg_singular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One feature given twice: the normal equations are singular but for the jitter, and predictions are those of one."""
+    rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("a"), F.col("l_quantity").alias("b"), (F.col("l_extendedprice") / 1000).alias("y"))
+    return _rounded(LinearRegression().fit(rows, ["a", "b"], "y").transform(rows).select("l_orderkey", "l_linenumber", "prediction"), 3, "prediction")
+
+
 # Principal components
 
 _PAIR = "(SELECT l_quantity AS a, l_extendedprice / 1000 AS b FROM lineitem)"
@@ -427,6 +490,41 @@ def pca_64d_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(m.explained_variance_ratio)), "component int, ratio double")
 
 
+_CELLS = "(SELECT i, j, {} FROM embeddings, range(64) a(i), range(64) b(j) GROUP BY i, j)"
+
+
+@_query("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(value, 4) + 0.0 AS value FROM " + _CELLS.format("sum(embedding[i + 1]::DOUBLE * embedding[j + 1]::DOUBLE) AS value"))
+def gram_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = gram_matrix(_read(spark, sf_dir, "embeddings").select("embedding"), ["embedding"])
+    return _rounded(spark.createDataFrame([(i, j, float(x)) for i, r in enumerate(m) for j, x in enumerate(r)], "i int, j int, value double"), 4, "value")
+
+
+@_query("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(value, 7) + 0.0 AS value FROM " + _CELLS.format("covar_samp(embedding[i + 1]::DOUBLE, embedding[j + 1]::DOUBLE) AS value"))
+def covariance_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = moments(_read(spark, sf_dir, "embeddings").select("embedding"), ["embedding"]).covariance
+    return _rounded(spark.createDataFrame([(i, j, float(x)) for i, r in enumerate(m) for j, x in enumerate(r)], "i int, j int, value double"), 7, "value")
+
+
+@_query("SELECT round(sum(CASE WHEN i = j THEN value ELSE 0 END), 6) AS trace, round(sum(value * value), 6) AS squares, CAST(64 AS BIGINT) AS components FROM " + _CELLS.format("covar_samp(embedding[i + 1]::DOUBLE, embedding[j + 1]::DOUBLE) AS value"))
+def pca_64d_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All variances of the embeddings: they sum to the trace of the covariance, and their squares to the squares of its cells."""
+    m = PCA(64).fit(_read(spark, sf_dir, "embeddings").select("embedding"), ["embedding"])
+    v = m.explained_variance
+    return _rounded(spark.createDataFrame([(sum(v), sum(x * x for x in v), len(v))], "trace double, squares double, components long"), 6, "trace", "squares")
+
+
+@_query("SELECT CAST(0 AS INTEGER) AS i, round(8.0, 6) AS ones, round(0.0, 6) AS rest UNION ALL SELECT CAST(1 AS INTEGER), round(8.0, 6), round(0.0, 6)")
+def pca_64d_orthonormal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of eight components V under the covariance C: the diagonals of VV' and of VCV' over the variances sum to 8, all else is 0."""
+    rows = _read(spark, sf_dir, "embeddings").select("embedding")
+    m = PCA(8).fit(rows, ["embedding"])
+    v, c = np.array(m.components), moments(rows, ["embedding"]).covariance
+    out = []
+    for i, product in enumerate((v @ v.T, v @ c @ v.T / np.array(m.explained_variance)[:, None])):
+        out.append((i, float(np.trace(product)), float(np.abs(product - np.diag(np.diag(product))).sum())))
+    return _rounded(spark.createDataFrame(out, "i int, ones double, rest double"), 6, "ones", "rest")
+
+
 # Trees
 
 _ORDERS = "(SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, CASE WHEN o_totalprice > 180000 OR o_orderpriority < '2' THEN 1 ELSE 0 END AS y, o_totalprice AS f0, CAST(o_custkey AS DOUBLE) AS f1 FROM orders)"
@@ -467,7 +565,27 @@ def tree_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.transform(numbered).groupBy("prediction").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("places"))
 
 
-_DRAWS = "SELECT CAST(t.range AS INTEGER) AS tree, d.range AS draw, ('0x' || substr(md5((42 + 31 * t.range)::VARCHAR || ':' || d.range::VARCHAR), 1, 8))::BIGINT % (SELECT count(*) FROM orders) AS pos FROM range(3) t, (SELECT unnest(range(CAST(floor((SELECT count(*) FROM orders) * 0.8) AS BIGINT))) AS range) d"
+_CHAIN = tuple(5.0 * (k + 1) for k in range(9))
+
+
+@_query("SELECT l_orderkey, l_linenumber, CASE " + " ".join(f"WHEN l_quantity <= {t} THEN {k % 2}.0::DOUBLE" for k, t in enumerate(_CHAIN)) + " ELSE 1.0::DOUBLE END AS prediction FROM lineitem")
+def tree_predict_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain of nine levels, which is applied in Arrow batches."""
+    nodes = []
+    for k, t in enumerate(_CHAIN):
+        nodes += [Node.branch(0, t, 2 * k + 1, 2 * k + 2), Node.leaf(float(k % 2))]
+    model = DecisionTreeModel(("l_quantity",), (*nodes, Node.leaf(1.0)), len(_CHAIN), 2)
+    return model.transform(_read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")).drop("l_quantity")
+
+
+@_query("SELECT o_orderkey, round(votes / 100.0, 6) AS probability, CASE WHEN votes >= 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction FROM (SELECT o_orderkey, (SELECT count(*) FROM range(100) r WHERE NOT o_totalprice <= 3000.0 * r.range) AS votes FROM orders)")
+def forest_predict_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred stumps, which are applied in Arrow batches."""
+    model = RandomForestModel(("o_totalprice",), tuple((Node.branch(0, 3000.0 * k, 1, 2), Node.leaf(0.0), Node.leaf(1.0)) for k in range(100)), 1)
+    return _rounded(model.transform(_read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")).drop("o_totalprice"), 6, "probability")
+
+
+_DRAWS = "SELECT CAST(t.range AS INTEGER) AS tree, d.range AS draw, ('0x' || substr(md5((42 + 31 * t.range)::VARCHAR || ':' || d.range::VARCHAR), 1, 15))::BIGINT % (SELECT count(*) FROM orders) AS pos FROM range(3) t, (SELECT unnest(range(CAST(floor((SELECT count(*) FROM orders) * 0.8) AS BIGINT))) AS range) d"
 
 
 @_query(f"SELECT tree, draw, pos FROM ({_DRAWS})")
@@ -517,7 +635,7 @@ def df_fit_random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def df_fit_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "events")
-    return api.fit_kmeans(rows, ["VALUE"], k=3, max_iterations=5).frame(spark)
+    return api.fit_kmeans(rows, ["VALUE"], k=3, max_iterations=5, id_col="event_id").frame(spark)
 
 
 @_query(_PCA + "SELECT CAST(0 AS INTEGER) AS component, round(l0 / (aa + bb), 7) AS ratio FROM c UNION ALL SELECT 1, round(l1 / (aa + bb), 7) FROM c")

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.functions.expr import column as named
+
 NUMERIC = (T.FloatType, T.DoubleType, T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.DecimalType)
 
 
@@ -26,7 +30,7 @@ def numeric(df: DataFrame, name: str, null_policy: str = "error") -> Column:
     kind = df.schema[c].dataType
     if not isinstance(kind, NUMERIC):
         raise TypeError(f"column {c!r} has type {kind.simpleString()}, which is not numeric")
-    value = F.col(f"`{c}`").cast("double")
+    value = named(c).cast("double")
     if null_policy == "error":
         value = F.when(value.isNull(), F.raise_error(F.lit(f"null in column {c}"))).otherwise(value)
     return value.alias(name)
@@ -46,10 +50,10 @@ def to_features(df: DataFrame, features: Sequence[str], label: str | None = None
         raise ValueError(f"unknown null policy {null_policy!r}")
     names = [*features, *([label] if label else [])]
     if null_policy == "drop":
-        df = df.dropna(subset=[resolve(df, c) for c in names])
+        df = df.filter(reduce(and_, [named(resolve(df, c)).isNotNull() & ~F.isnan(named(resolve(df, c)).cast("double")) for c in names]))
     columns = [numeric(df, c, null_policy) for c in names]
     if id_col:
-        columns.append(F.col(f"`{resolve(df, id_col)}`").alias(id_col))
+        columns.append(named(resolve(df, id_col)).alias(id_col))
     return df.select(*columns)
 
 
@@ -83,7 +87,7 @@ def column(df: DataFrame, name: str) -> DataFrame:
 
 def row(df: DataFrame, id_col: str, value) -> DataFrame:
     """The row with an id; a filter that reaches the scan."""
-    return df.filter(F.col(id_col) == F.lit(value))
+    return df.filter(named(id_col) == F.lit(value))
 
 
 def with_column(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -99,7 +103,7 @@ def value(df: DataFrame, id_col: str, key, name: str):
 
 def to_matrix(df: DataFrame, names: Sequence[str], id_col: str, max_rows: int = 100_000) -> np.ndarray:
     """Small frames only: rows in the order of the id as a matrix on the driver. More than `max_rows` rows are an error."""
-    rows = to_features(df, names, id_col=id_col, null_policy="keep").orderBy(id_col).limit(max_rows + 1).toPandas()
+    rows = to_features(df, names, id_col=id_col, null_policy="keep").orderBy(named(id_col)).limit(max_rows + 1).toPandas()
     if len(rows) > max_rows:
         raise ValueError(f"more than {max_rows} rows")
     return rows[list(names)].to_numpy(float)

@@ -325,3 +325,41 @@ def test_models_on_a_stream(spark, tmp_path):
     query.awaitTermination(60)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == 30 and accuracy(got, "y", "prediction") >= 0.9
+
+
+def test_names_with_dots_and_names_of_our_own(spark):
+    rows = [(float(i), float(i % 7), float(i > 20), i) for i in range(40)]
+    df = spark.createDataFrame(rows, "`a.b` double, _off double, `cluster` double, id long")
+    names = ["a.b", "_off"]
+    assert LinearRegression().fit(df, names, "cluster").transform(df).count() == 40
+    assert LogisticRegression(epochs=2).fit(df, names, "cluster").transform(df).count() == 40
+    assert KMeans(2, 3).fit(df, ["a.b", "cluster"], "id").transform(df, "at").select("at").distinct().count() == 2
+    assert PCA(1).fit(df, names).transform(df).count() == 40
+    assert DecisionTree(2).fit(df, names, "cluster", "id").transform(df).filter("prediction = cluster").count() == 40
+
+
+def test_drawn_seeds_do_not_depend_on_the_layout(spark):
+    df = spark.createDataFrame([(i, float(i * i % 101), float(i % 13)) for i in range(300)], "id long, x double, y double")
+    fits = {KMeans(4, 1).fit(d, ["x", "y"], "id").centroids for d in (df.coalesce(1), df.repartition(5), df.orderBy("y"))}
+    assert len({tuple(tuple(round(v, 9) for v in c) for c in f) for f in fits}) == 1
+
+
+def test_positions_of_other_ids_nulls_and_ties(spark):
+    from quillspark.operators.trees import positions
+
+    df = spark.createDataFrame([(x,) for x in ["b", "a", None, "c", "b", "zz", "y"]], "k string")
+    numbered, n = positions(df, "k")
+    got = [r.k for r in numbered.orderBy("pos").collect()]
+    assert n == 7 and got == [None, "a", "b", "b", "c", "y", "zz"] and sorted(r.pos for r in numbered.collect()) == list(range(7))
+    assert positions(df.limit(0), "k")[1] == 0
+
+
+def test_nearest_points_with_ties_and_nan():
+    from quillspark.operators.clustering import nearest_points
+
+    rng = np.random.default_rng(0)
+    x, points = rng.normal(0, 1, (500, 16)) + 1000, rng.normal(0, 1, (9, 16)) + 1000
+    points[4] = points[2]
+    x[3, 5] = np.nan
+    want = [0 if np.isnan(r).any() else int(np.argmin(((r - points) ** 2).sum(1))) for r in x]
+    assert nearest_points(x, points).tolist() == want
