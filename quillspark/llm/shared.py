@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Rows of one Arrow batch between Spark and Python; texts are long, and a task holds a batch several times over.
-MOST_BATCH_ROWS = 1_000
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Rows and bytes of one Arrow batch between Spark and Python; texts are long, and a task holds a batch several times over.
+MOST_BATCH_ROWS, MOST_BATCH_BYTES = 1_000, 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,10 +29,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size for texts, if it is larger."""
-    rows = int(spark.conf.get(BATCH_ROWS))
-    if rows <= 0 or rows > MOST_BATCH_ROWS:
-        spark.conf.set(BATCH_ROWS, str(MOST_BATCH_ROWS))
+    """Lower the session's Arrow batch size for texts, if it is larger. It stays so, as results are computed later."""
+    for name, most in ((BATCH_ROWS, MOST_BATCH_ROWS), (BATCH_BYTES, MOST_BATCH_BYTES)):
+        now = spark.conf.get(name)
+        #: Values with a unit, of which only bytes are not larger, are lowered too.
+        now = int(now.rstrip("bB")) if now.rstrip("bB").lstrip("-").isdigit() else -1
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
