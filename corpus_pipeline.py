@@ -1,7 +1,12 @@
 """From raw documents to token ids: quality, near duplicates, benchmark leaks, personal data, tokens.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before
-it kept. All but the last return the columns of `docs`.
+it kept. All but the last return the columns of `docs`, whatever their names.
+
+In all stages a null or an empty text is a text without words: it is scored as such,
+has no near duplicate, holds no benchmark item and no personal data, and has no
+tokens. A null doc_id stays null. Repeated rows fare alike, but of rows that agree in
+id and text the second stage keeps one. No rows give no rows.
 """
 
 from __future__ import annotations
