@@ -14,8 +14,8 @@
    estimate, which drops pairs far below the threshold; the rest are confirmed on
    full sets.
 5. Members that no link ties to the largest component of their family (classes
-   chained by buckets) are compared with the whole family, in blocks of
-   `BLOCK_SETS` sets against slices of `SLICE_SETS` of the others; a block counts
+   chained by buckets) are compared with the whole family, in blocks of about
+   `BLOCK_SHINGLES` shingles against slices of `SLICE_SHINGLES`; a block counts
    common shingles through an index of its sets, and only links leave it. So no link between two classes of a family
    is lost, and pairs are never written out.
 6. Links give components, named at the end by their smallest document.
@@ -42,9 +42,10 @@ BANDS, ROWS, BITS = 24, 4, 2
 THRESHOLD, STAGE_THRESHOLD = 85, 80
 #: A pair is dropped unconfirmed if its estimate is so far (in percent) below the threshold: over five standard deviations.
 SLACK = 25
-BLOCK_SETS = 256
-#: Sets of a family that one block is held against in one task.
-SLICE_SETS = 1024
+#: Shingles of the sets that one task indexes, and of those that stream past it.
+BLOCK_SHINGLES, SLICE_SHINGLES = 1 << 20, 1 << 22
+#: Leading bits of row keys that mark candidates for the second scan.
+MARK_BITS = 24
 
 _PERMUTATIONS = BANDS * ROWS
 _rng = np.random.default_rng(20240607)
@@ -122,13 +123,30 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("doc", "rid")), pa.array(n), *(pa.array(s.view(np.int64)) for s in sums), *lists], names=["doc", "rid", "n", "set1", "set2", "bands", "bits"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = text_bytes(batch.column("text"))
-        for i, j in row_slices(offsets):
-            words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower=True)
-            hashes, first = distinct_in_rows(*shingle_hashes(words, SHINGLE))
-            yield pa.RecordBatch.from_arrays([batch.column("rep").slice(i, j - i), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashes.view(np.int64)))], names=["rep", "shingles"])
+def _sets(marks: np.ndarray):
+    """The shingles of rows whose key is marked; a few others are marked by chance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, offsets, keys = batch.column("rid").buffers()
+            keys = np.frombuffer(keys, np.uint8)[16 * batch.column("rid").offset :][: 16 * batch.num_rows].reshape(-1, 16).astype(np.int64)
+            cell = keys[:, 0] << 16 | keys[:, 1] << 8 | keys[:, 2]
+            batch = batch.filter(pa.array((marks[cell >> 3] >> (cell & 7) & 1).astype(bool)))
+            data, offsets = text_bytes(batch.column("text"))
+            for i, j in row_slices(offsets):
+                words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower=True)
+                hashes, first = distinct_in_rows(*shingle_hashes(words, SHINGLE))
+                yield pa.RecordBatch.from_arrays([batch.column("rid").slice(i, j - i), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashes.view(np.int64)))], names=["rid", "shingles"])
+
+    return run
+
+
+def _marks(rids: DataFrame) -> np.ndarray:
+    """A bitmap of the leading bits of some row keys, of one size however many there are."""
+    cells = rids.select(F.conv(F.hex(F.substring("rid", 1, MARK_BITS // 8)), 16, 10).cast("int").alias("cell")).distinct().toArrow().column("cell").to_numpy()
+    marks = np.zeros(1 << MARK_BITS - 3, np.uint8)
+    np.bitwise_or.at(marks, cells >> 3, (1 << (cells & 7)).astype(np.uint8))
+    return marks
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -146,8 +164,8 @@ def estimate(a: str, b: str) -> str:
 
 def _blocks(members: DataFrame, queries: DataFrame) -> DataFrame:
     """Blocks of unsettled sets beside slices of their family: one row for each family set and block, and for each unsettled set and slice."""
-    part = F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.ceil(F.col("unsettled") / BLOCK_SETS)).cast("long")).cast("int")
-    slices = F.greatest(F.lit(1), F.ceil(F.col("whole") / SLICE_SETS)).cast("int")
+    part = F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.ceil(F.col("unsettled_shingles") / BLOCK_SHINGLES)).cast("long")).cast("int")
+    slices = F.greatest(F.lit(1), F.ceil(F.col("whole_shingles") / SLICE_SHINGLES)).cast("int")
     queries = written(queries.withColumn("block", part).withColumn("slices", slices), "minhash-queries")
     blocks = queries.select("family", "block").distinct()
     others = members.withColumn("slice", F.pmod(F.xxhash64(F.lit("slice"), "rep"), slices.cast("long")).cast("int")).join(blocks, "family")
@@ -232,11 +250,10 @@ def links(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, DataFr
     buckets = written(keys.join(full, "band"), "minhash-buckets")
     forget(full)
     candidates = written(classes.join(buckets.select("rep").distinct(), "rep", "left_semi").select("rep", "rid", "n", "bits"), "minhash-candidates")
-    #: A written table of keys: where it is small enough for a broadcast, Spark does not shuffle all texts.
-    chosen = written(candidates.select("rid", "rep"), "minhash-chosen")
-    sets = docs.select("rid", "text").join(chosen, "rid").dropDuplicates(["rep"]).select("rep", "text")
-    sets = written(sets.mapInArrow(lean(_sets), "rep long, shingles array<long>"), "minhash-sets")
-    forget(chosen)
+    #: Texts are not shuffled: the scan makes the sets of marked rows, and only those meet the candidates.
+    sets = docs.select("rid", "text").mapInArrow(lean(_sets(_marks(candidates))), "rid binary, shingles array<long>")
+    sets = sets.join(candidates.select("rid", "rep").hint("merge"), "rid").dropDuplicates(["rep"]).select("rep", "shingles")
+    sets = written(sets, "minhash-sets")
 
     alone = sets.select("rep", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("rep").alias("rep")).filter("df = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
     able = candidates.join(alone, "rep", "left").withColumn("alone", F.coalesce("alone", F.lit(0))).filter(f"100 * (n - alone) >= {threshold} * n")
@@ -256,8 +273,9 @@ def links(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, DataFr
     families = components(spokes.select(F.col("hub").alias("a"), F.col("rep").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("family"))
     parts = components(first_links).select(F.col("node").alias("rep"), "component")
     placed = written(families.join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "minhash-placed")
-    sizes = placed.groupBy("family", "component").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.groupBy("family").agg(F.max(F.struct("size", "component")).alias("largest"), F.sum("size").alias("whole")).select("family", F.col("largest.component").alias("main"), "whole", (F.col("whole") - F.col("largest.size")).alias("unsettled")).filter("unsettled > 0")
+    sizes = placed.join(able.select("rep", "n"), "rep").groupBy("family", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
+    largest = sizes.groupBy("family").agg(F.max(F.struct("size", "component", "shingles")).alias("largest"), F.count(F.lit(1)).alias("components"), F.sum("shingles").alias("whole_shingles"))
+    largest = largest.filter("components > 1").select("family", F.col("largest.component").alias("main"), "whole_shingles", (F.col("whole_shingles") - F.col("largest.shingles")).alias("unsettled_shingles"))
     open_ = placed.join(largest, "family").join(sets, "rep")
     blocks = _blocks(open_, open_.filter("component <> main"))
     blocks = blocks.repartition("family", "block", "slice").sortWithinPartitions("family", "block", "slice", F.desc("query")).select("family", "block", "slice", "rep", "component", "shingles", "query")
@@ -291,10 +309,11 @@ def _labelled(docs: DataFrame, threshold: int) -> DataFrame:
     degree = both.groupBy("rep").agg(F.count(F.lit(1)).alias("n_confirmed"))
     linked = written(labels.join(classes, "rep"), "minhash-linked")
     heads = linked.groupBy("component").agg(F.min(F.struct("doc", "rid")).alias("head"))
-    linked = written(linked.join(heads, "component").join(degree, "rep", "left").select("rep", "head", "n_confirmed"), "minhash-heads")
+    headed = written(linked.join(heads, "component").join(degree, "rep", "left").select("rep", "head", "n_confirmed"), "minhash-heads")
+    forget(linked, found)
     #: One written table on the other side, so that Spark can split a class of very many members.
     named = F.coalesce("head", F.struct("doc", "rid"))
-    placed = written(classes.join(linked, "rep", "left").select("rep", F.col("doc").alias("class_id"), named["doc"].alias("component_id"), named["rid"].alias("kept_rid"), "n_confirmed"), "minhash-labels")
+    placed = written(classes.join(headed, "rep", "left").select("rep", F.col("doc").alias("class_id"), named["doc"].alias("component_id"), named["rid"].alias("kept_rid"), "n_confirmed"), "minhash-labels")
     out = members.join(placed, "rep", "left")
     return out.select(
         "rid",

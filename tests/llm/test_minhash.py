@@ -57,8 +57,8 @@ def test_edge_cases(spark):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_families_of_edited_copies(spark, seed, monkeypatch):
     """Chains and stars of edits around the threshold; hubs alone would miss some links."""
-    monkeypatch.setattr(minhash, "BLOCK_SETS", 7)
-    monkeypatch.setattr(minhash, "SLICE_SETS", 16)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 800)
+    monkeypatch.setattr(minhash, "SLICE_SHINGLES", 1_800)
     rng = random.Random(seed)
     rows, k = [], 0
     for f in range(5):
