@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import lean, written
+from quillspark.llm.shared import forget, lean, written
 from quillspark.llm.text import owners, pieces, row_slices, text_bytes
 
 STRIDE = 64
@@ -317,6 +317,7 @@ def indexes(items: DataFrame, shard_words: int = SHARD_WORDS) -> Iterator[tuple[
         found = wanted.select("word", "held").toArrow() if rows else None
         statistics = found and Statistics(n, words / n, found.column("word").combine_chunks().cast(pa.large_binary()), found.column("held").to_numpy())
         yield parts == 1, [r.item_id for r in rows], ItemIndex.build([r.text for r in rows], statistics)
+    forget(items, counts)
 
 
 def _searched(ids: list, index: ItemIndex):

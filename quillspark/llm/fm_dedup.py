@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.gram_load import Levels, bounded_anchors, frequent_cells, grams_of_runs
-from quillspark.llm.shared import lean, row_key, shuffle_partitions, written
+from quillspark.llm.shared import forget, lean, row_key, shuffle_partitions, written
 from quillspark.llm.text import Prefix, Words, covered, digests, owners, pieces, row_slices, text_bytes, window_anchors
 
 WINDOW = 50
@@ -331,6 +331,7 @@ def earlier_ranges(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     )
     #: Rows that share rid are one row. Grouped without the anchor, so that the shuffle after the join stays and the join may be split.
     found = written(anchors.join(shared, "anchor", "left_semi").groupBy("rid", "doc", "start", "span", "windows").agg(F.min("anchor").alias("anchor")), "fm-candidates")
+    forget(anchors, shared)
     distinct = written(found.groupBy("anchor", "span").agg(F.min(F.struct("doc", "rid", "start", "windows")).alias("one")).select("anchor", "span", "one.*"), "fm-distinct")
     several = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     picks = distinct.join(several, "anchor", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("anchor", "span", "start", "windows", "doc")).alias("picks"))
@@ -343,11 +344,14 @@ def earlier_ranges(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     runs = contexts.withColumn("shard", F.pmod("anchor", F.lit(shards))).groupBy("shard").applyInArrow(_searched_shard(window), "anchor long, span long, run_start int, run_end int")
     runs = runs.groupBy("anchor", "span").agg(F.collect_list(F.struct("run_start", "run_end")).alias("runs"))
     known = written(distinct.select("anchor", "span", F.col("doc").alias("low")).join(runs, ["anchor", "span"], "left"), "fm-runs")
+    forget(contexts, distinct)
     #: A later document than the context's first loses it whole, the first what still earlier ones hold.
     whole = F.array(F.struct(F.lit(0).alias("run_start"), F.col("windows").alias("run_end")))
     hits = found.join(known, ["anchor", "span"]).withColumn("runs", F.when(F.col("doc") > F.col("low"), whole).otherwise(F.col("runs"))).filter("runs IS NOT NULL")
     hits = hits.select("rid", F.expr(f"transform(runs, r -> struct(start + r.run_start AS start, start + r.run_end + {window - 1} AS end))").alias("ranges"))
-    return written(hits.groupBy("rid").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "fm-ranges")
+    ranges = written(hits.groupBy("rid").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "fm-ranges")
+    forget(found, known)
+    return ranges
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import lean, written
+from quillspark.llm.shared import forget, lean, written
 from quillspark.llm.text import byte_parts, text_bytes
 
 CELL_BITS = 17
@@ -78,7 +78,9 @@ def bounded_anchors(anchored: Callable[[np.ndarray], DataFrame], shared: Callabl
         crowded = np.setdiff1d(crowded, late)
         if not len(crowded):
             return anchors, kept
-        late = np.union1d(late, np.union1d(crowded, _longs(grams(late, crowded).groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") > most).select("gram"))))
+        more = np.union1d(crowded, _longs(grams(late, crowded).groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") > most).select("gram")))
+        late = np.union1d(late, more)
+        forget(anchors, kept)
 
 
 def _longs(column: DataFrame) -> np.ndarray:
@@ -100,6 +102,7 @@ def frequent_cells(rows: DataFrame, grams_of: Callable[[np.ndarray, np.ndarray],
     load = written(rows.select("text").mapInArrow(lean(run), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")), "gram-load")
     whole = load.agg(F.sum("n")).first()[0] or 0
     cells = [r.cell for r in load.filter(F.col("n") > max(LEAST, TIMES * whole / CELLS)).select("cell").collect()]
+    forget(load)
     if not cells:
         return None
     marks = np.zeros(CELLS, bool)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import lean, written
+from quillspark.llm.shared import forget, lean, written
 from quillspark.llm.text import Prefix, Words, mix, owners, row_slices, text_bytes
 
 #: Bounds of the fit: rated rows, and features of all of them together (rows are left out from the end of the sample).
@@ -162,7 +162,7 @@ def fit(docs: DataFrame, ratings: DataFrame, train_rows: int = TRAIN_ROWS) -> Or
     picked = picked.groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sample = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text")).mapInArrow(lean(_features), "doc_id long, grade int, buckets array<int>, values array<float>")
-    sample = written(sample, "quality-sample")
+    sample = whole = written(sample, "quality-sample")
     #: One number a row, of `train_rows` rows at most, shows where the features go over their bound.
     sizes = sample.select("doc_id", F.size("buckets").alias("n"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").toArrow()
     over = np.flatnonzero(np.cumsum(sizes.column("n").to_numpy()) > TRAIN_FEATURES)
@@ -170,6 +170,7 @@ def fit(docs: DataFrame, ratings: DataFrame, train_rows: int = TRAIN_ROWS) -> Or
         h, doc = (sizes.column(c)[int(over[0])].as_py() for c in ("h", "doc_id"))
         sample = sample.filter(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id") < F.struct(F.lit(h).alias("h"), F.lit(doc).alias("doc_id")))
     table = sample.orderBy("doc_id").toArrow()
+    forget(whole)
     if not table.num_rows:
         return OrdinalModel(np.zeros(DIMENSIONS, np.float32), np.zeros(1))
     lists = table.column("buckets").combine_chunks()

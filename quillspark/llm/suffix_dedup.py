@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.fm_dedup import binary_bytes, runs_of
 from quillspark.llm.gram_load import Levels, bounded_anchors, frequent_cells, grams_of_runs
-from quillspark.llm.shared import lean, row_key, shuffle_partitions, written
+from quillspark.llm.shared import forget, lean, row_key, shuffle_partitions, written
 from quillspark.llm.text import Prefix, byte_parts, covered, digests, owners, row_slices, text_bytes, window_anchors
 
 LENGTH = 200
@@ -190,6 +190,7 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, sha
     )
     #: Rows that share rid are one row with a count. Grouped without the anchor, so that the shuffle after the join stays and the join may be split.
     found = written(anchors.join(shared, "anchor", "left_semi").groupBy("rid", "start", "span", "windows", "again").agg(F.min("anchor").alias("anchor"), F.count(F.lit(1)).alias("copies")), "suffix-candidates")
+    forget(anchors, shared)
     distinct = written(found.groupBy("anchor", "span").agg(F.min(F.struct("rid", "start", "windows", "again")).alias("one"), F.sum("copies").alias("copies")).select("anchor", "span", "one.*", "copies"), "suffix-distinct")
     several = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("again") & (F.col("copies") == 1)).alias("again")).filter("n > 1 OR again").select("anchor")
     picks = distinct.join(several, "anchor", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("anchor", "span", "start", "windows", "copies")).alias("picks"))
@@ -205,8 +206,11 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, sha
     runs = runs.groupBy("anchor", "span").agg(F.collect_list(F.struct("run_start", "run_end")).alias("runs"))
     known = distinct.join(runs, ["anchor", "span"], "left").select("anchor", "span", F.when(F.col("copies") > 1, whole).otherwise(F.col("runs")).alias("runs"))
     known = written(known.filter("runs IS NOT NULL"), "suffix-runs")
+    forget(contexts, distinct)
     hits = found.join(known, ["anchor", "span"]).select("rid", F.expr(f"transform(runs, r -> struct(start + r.run_start AS start, start + r.run_end + {length - 1} AS end))").alias("ranges"))
-    return written(hits.groupBy("rid").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "suffix-ranges")
+    ranges = written(hits.groupBy("rid").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "suffix-ranges")
+    forget(found, known)
+    return ranges
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

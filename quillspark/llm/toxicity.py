@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import lean, written
+from quillspark.llm.shared import forget, lean, written
 from quillspark.llm.text import Prefix, owners, row_slices, text_bytes
 
 #: Bound of the fit: labelled rows. The lexicon follows from it: an entry is in a share of the toxic texts.
@@ -335,6 +335,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Tox
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), lists], names=["doc_id", "label", "x"])
 
     table = sample.mapInArrow(lean(described), "doc_id long, label int, x array<double>").orderBy("doc_id").toArrow()
+    forget(sample)
     x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
     y = table.column("label").to_numpy().astype(float)
     part = np.arange(len(y)) % 5

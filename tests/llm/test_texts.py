@@ -4,12 +4,16 @@ import datetime
 import hashlib
 import html
 import ipaddress
+import os
 import re
+import time
 import tracemalloc
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from support import SCHEMA, edge_frame, edge_rows, ordered, prose
@@ -393,6 +397,17 @@ def test_ids_equal_the_library(spark):
     assert [r.ids for r in both] == [r.ids for r in got] and all(r.restored for r in both)
 
 
+def test_odd_segments_equal_the_library():
+    """Texts that polynomials modulo 2^64 confuse, very many characters, and long segments of which some can be cut nowhere."""
+    v = sentencepiece_codec.vocabulary(sentencepiece_codec.MODEL)
+    bits = [bin(i).count("1") & 1 for i in range(4096)]
+    rng = np.random.default_rng(7)
+    texts = ["".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits), "".join(map(chr, range(0x3400, 0xD000))) + "".join(map(chr, range(0x20000, 0x28000)))]
+    texts += ["".join(rng.choice(list("etaoinshrdlu"), 6_000)), "a" * 3_000, "ab" * 2_000, "theinternational" * 300, "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 4_000)))]
+    got = sentencepiece_codec.Encoder(v).encode(texts)
+    assert [x.tolist() for x in got] == v.processor.encode(texts)
+
+
 def test_token_edge_cases(spark):
     got = sentencepiece_codec.round_trip(edge_frame(spark)).collect()
     assert len(got) == len(edge_rows()) and all(r.restored for r in got)
@@ -478,3 +493,31 @@ def test_raw_elements_end_where_they_end():
             assert html_blocks.main_texts([b + article + after]) == [want], b
     assert html_blocks.main_texts([article + "<script>var a = '<p>no</p>'"]) == [want]
     assert html_blocks.main_texts(["<svg><select>" * 100_000 + article]) == [want]
+
+
+def _articles(page):
+    """What the articles of a page say, cut out by another way: the words between their tags."""
+    body = re.search(r"<article>(.*?)(?:</article>|<footer>|$)", page, re.S)
+    return html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"<script.*?</script>|<style.*?</style>|<!--.*?-->", " ", body[1] if body else "", flags=re.S))).split()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_articles_of_the_pages_table_are_kept_and_nothing_else():
+    pages = [p or "" for p in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])["html"].to_pylist()]
+    got = [Counter(t.split()) for t in html_blocks.main_texts(pages)]
+    want = [Counter(_articles(p)) for p in pages]
+    common = sum((g & w).total() for g, w in zip(got, want, strict=True))
+    assert common >= 0.99 * sum(w.total() for w in want) and common >= 0.99 * sum(g.total() for g in got)
+
+
+@pytest.mark.parametrize("page", ["<a b " * 200_000, '<p a="' * 150_000, "<a title='x> " * 80_000, "<div>" * 60_000 + "</section></p>" * 60_000, "<p><article>" + "<div>" * 60_000 + "</p>" * 200_000, "<title>" * 100_000, "<!--" * 200_000, "<" * 500_000])
+def test_broken_pages_take_time_in_proportion(page):
+    began = time.process_time()
+    html_blocks.main_texts([page])
+    assert time.process_time() - began < 10
+
+
+def test_pages_in_other_languages_and_buttons():
+    body = "Der Rat der Stadt hat gestern beschlossen, die alte Brücke zu erneuern, weil das Holz nach vielen Jahren morsch geworden ist."
+    page = f"<html><head><title>T</title><body><ul><li><a href=/>Start</a></li></ul><div class=inhalt><h1>Die Brücke</h1><p>{body}</p><button>Mehr</button><p>{body}</p></div><div class=kommentare><p>{body}</p></div><div id=werbung>{body}</div>"
+    assert html_blocks.main_texts([page]) == [f"Die Brücke\n{body}\n{body}"]
