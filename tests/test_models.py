@@ -352,6 +352,12 @@ def test_positions_of_other_ids_nulls_and_ties(spark):
     got = [r.k for r in numbered.orderBy("pos").collect()]
     assert n == 7 and got == [None, "a", "b", "b", "c", "y", "zz"] and sorted(r.pos for r in numbered.collect()) == list(range(7))
     assert positions(df.limit(0), "k")[1] == 0
+    numbers = spark.createDataFrame([(float(i * 7919 % 1009), i) for i in range(1009)], "k double, i long")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        assert [r.k for r in positions(numbers, "k")[0].orderBy("pos").collect()] == [float(i) for i in range(1009)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_nearest_points_with_ties_and_nan():
