@@ -13,10 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import forget, lean, written
+from quillspark.llm.shared import give_back, forget, lean, written
 from quillspark.llm.text import Prefix, Words, mix, owners, row_slices, text_bytes
 
 #: Bounds of the fit: rated rows, and features of all of them together (rows are left out from the end of the sample).
@@ -100,12 +101,14 @@ def fit_cumulative_link(first: np.ndarray, buckets: np.ndarray, values: np.ndarr
     portions of _PORTION, as the driver fits.
     """
     n = len(grades)
-    used = np.flatnonzero(np.bincount(buckets, minlength=DIMENSIONS))
+    seen = np.zeros(DIMENSIONS, bool)
+    seen[buckets] = True
+    used = np.flatnonzero(seen)
     place = np.zeros(DIMENSIONS, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
     slot = place[buckets]
     rows = np.repeat(np.arange(n, dtype=np.int32), np.diff(first))
-    values = values.astype(np.float32)
+    values = values.astype(np.float32, copy=False)
     share = np.array([(grades >= k).mean() for k in range(1, n_grades)]).clip(1e-3, 1 - 1e-3)
     start = np.maximum.accumulate(-np.log(share / (1 - share)) + 1e-2 * np.arange(n_grades - 1))
     gaps = np.log(np.maximum(np.diff(start), 1e-2))
@@ -173,10 +176,13 @@ def fit(docs: DataFrame, ratings: DataFrame, train_rows: int = TRAIN_ROWS) -> Or
     forget(whole)
     if not table.num_rows:
         return OrdinalModel(np.zeros(DIMENSIONS, np.float32), np.zeros(1))
-    lists = table.column("buckets").combine_chunks()
-    first = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+    first = np.concatenate([[0], np.cumsum(pc.list_value_length(table.column("buckets")).to_numpy())])
     grades = table.column("grade").to_numpy().astype(np.int64)
-    return fit_cumulative_link(first, lists.flatten().to_numpy(), table.column("values").combine_chunks().flatten().to_numpy(), grades, max(2, int(grades.max()) + 1))
+    buckets, values = (np.concatenate([x.flatten().to_numpy() for x in table.column(c).chunks]) for c in ("buckets", "values"))
+    #: The driver holds the sample once.
+    del table
+    give_back()
+    return fit_cumulative_link(first, buckets, values, grades, max(2, int(grades.max()) + 1))
 
 
 def score(docs: DataFrame, model: OrdinalModel, columns: list[str] | None = None, grade: int = GRADE, tail: float = TAIL) -> DataFrame:

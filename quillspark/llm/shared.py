@@ -56,7 +56,8 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _give_back() -> None:
+def give_back() -> None:
+    """Free memory of this process goes back to the system."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -72,7 +73,7 @@ def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
         try:
             yield from function(batches)
         finally:
-            _give_back()
+            give_back()
 
     return run
 
