@@ -124,13 +124,11 @@ class ItemIndex:
     lists: tuple
     block_lists: tuple
     most: np.ndarray
-    aside: np.ndarray
-    slack: float
     questions: list
     answers: list
 
     @classmethod
-    def build(cls, texts: list[str], statistics: Statistics | None = None, retrieve: float = RETRIEVE) -> ItemIndex:
+    def build(cls, texts: list[str], statistics: Statistics | None = None) -> ItemIndex:
         words, first = tokens(*lowered(pa.array(texts, pa.string())))
         coded = words.dictionary_encode()
         vocabulary, terms = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
@@ -150,12 +148,7 @@ class ItemIndex:
         block_lists = _csr(block_pair // blocks, len(vocabulary), block_pair % blocks, top)
         most = np.zeros(len(vocabulary))
         np.maximum.at(most, term, impact)
-        order = np.argsort(-own, kind="stable")
-        total = np.cumsum(most[order])
-        k = int(np.searchsorted(total, 0.3 * retrieve, "right"))
-        aside = np.zeros(len(vocabulary), bool)
-        aside[order[:k]] = True
-        index = cls(vocabulary, piece_item, lists, block_lists, most, aside, float(total[k - 1]) if k else 0.0, [], [])
+        index = cls(vocabulary, piece_item, lists, block_lists, most, [], [])
         for text in texts:
             for side, part in zip((index.questions, index.answers), question_and_answer(text), strict=True):
                 own_terms = index.terms(tokens(*lowered(pa.array([part], pa.string())))[0])
@@ -182,9 +175,9 @@ class ItemIndex:
         passage, term = pair // max(1, len(self.vocabulary)), pair % max(1, len(self.vocabulary))
         pieces_found, texts, scores = [], [], []
         for a, b in self._portions(passage, term):
-            live = self._live(passage[a:b], term[a:b], retrieve)
-            some = a + np.flatnonzero(live)
-            for p, piece, score in self._wand(passage[some], term[some], retrieve):
+            begin, end = self._live(passage[a:b], term[a:b], retrieve)
+            some = np.flatnonzero(begin < end)
+            for p, piece, score in self._wand(passage[a + some], term[a + some], begin[some], end[some], retrieve):
                 texts.append(np.searchsorted(passage_first, p, "right") - 1)
                 pieces_found.append(piece)
                 scores.append(score)
@@ -208,28 +201,31 @@ class ItemIndex:
             yield int(heads[i]), int(heads[j])
             i = j
 
-    def _live(self, passage: np.ndarray, term: np.ndarray, retrieve: float) -> np.ndarray:
-        """Marks the rows of passages for which the maxima of some block reach the threshold; frequent lists count with their maxima alone."""
+    def _live(self, passage: np.ndarray, term: np.ndarray, retrieve: float) -> tuple[np.ndarray, np.ndarray]:
+        """For each row the pieces from the first to the last block whose maxima reach the threshold for its passage, none if there is none."""
         blocks = max(1, -(-len(self.piece_item) // BLOCK))
         local = passage - passage[0]
         bound = np.zeros(int(local[-1] + 1) * blocks)
-        essential = np.flatnonzero(~self.aside[term])
-        which, at = _expand(self.block_lists[0], term[essential])
-        np.add.at(bound, local[essential][which] * blocks + self.block_lists[1][at], self.block_lists[2][at])
-        return (bound.reshape(-1, blocks).max(1) + self.slack >= retrieve - _SLACK)[local]
-
-    def _wand(self, passage: np.ndarray, term: np.ndarray, retrieve: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(passage, piece, score) of all pieces at or above the threshold; rows are the cursors of the passages."""
+        which, at = _expand(self.block_lists[0], term)
+        np.add.at(bound, local[which] * blocks + self.block_lists[1][at], self.block_lists[2][at])
+        open_ = bound.reshape(-1, blocks) >= retrieve - _SLACK
+        begin, end = open_.argmax(1) * BLOCK, (blocks - open_[:, ::-1].argmax(1)) * BLOCK
+        return begin[local], np.where(open_.any(1), end, 0)[local]
+
+    def _wand(self, passage: np.ndarray, term: np.ndarray, begin: np.ndarray, end: np.ndarray, retrieve: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(passage, piece, score) of all pieces at or above the threshold; rows are the cursors of the passages, each over its pieces begin:end."""
         first, piece, impact = self.lists
         block_first, block_of, block_top = self.block_lists
         n, blocks = len(self.piece_item), max(1, -(-len(self.piece_item) // BLOCK))
         key = np.repeat(np.arange(len(first) - 1), np.diff(first)) * (n + 1) + piece
         block_key = np.repeat(np.arange(len(first) - 1), np.diff(block_first)) * blocks + block_of
-        place = first[term]
+        place, stop = np.searchsorted(key, np.concatenate([term * (n + 1) + begin, term * (n + 1) + np.minimum(end, n)])).reshape(2, -1)
+        some = place < stop
+        passage, term, place, stop = passage[some], term[some], place[some], stop[some]
         while len(passage):
             doc = piece[place]
             order = np.argsort(passage * (n + 1) + doc)
-            passage, term, place, doc = passage[order], term[order], place[order], doc[order]
+            passage, term, place, stop, doc = passage[order], term[order], place[order], stop[order], doc[order]
             heads = np.flatnonzero(np.diff(passage, prepend=-1))
             owner = owners(np.append(heads, len(passage)))
             summed = np.cumsum(self.most[term])
@@ -257,8 +253,8 @@ class ItemIndex:
             move = upto & keep & (doc < target)
             place = place.copy()
             place[move] = np.searchsorted(key, term[move] * (n + 1) + target[move])
-            keep &= place < first[term + 1]
-            passage, term, place = passage[keep], term[keep], place[keep]
+            keep &= place < stop
+            passage, term, place, stop = passage[keep], term[keep], place[keep], stop[keep]
 
     def leaks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text, item, score, question overlap, answer overlap) of verified leaks."""
