@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import chroma, decontaminate, fm_dedup, html_blocks, minhash, pii, quality, sentencepiece_codec, suffix_dedup, toxicity
+from quillspark.llm import chroma, decontaminate, fm_dedup, hard_negatives, html_blocks, merkle, minhash, pii, quality, sentencepiece_codec, suffix_dedup, toxicity
 from quillspark.llm.shared import table
 
 
@@ -51,6 +51,14 @@ def op7_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chroma.align(chroma.recordings(table(spark, sf_dir, "embeddings")))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_feistel_pseudonyms,
@@ -63,8 +71,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_toxicity_trees,
         op9_bm25_decontamination,
         op10_html_blocks,
+        op12_merkle_manifest,
+        op13_hard_negatives,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_merkle_manifest": merkle.SQL, "op13_hard_negatives": hard_negatives.SQL}
