@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import chroma, decontaminate, fm_dedup, hard_negatives, html_blocks, merkle, minhash, pii, quality, sentencepiece_codec, suffix_dedup, toxicity
+from quillspark.llm import chroma, decontaminate, fm_dedup, hard_negatives, html_blocks, merkle, minhash, pii, quality, rules, sentencepiece_codec, suffix_dedup, toxicity
 from quillspark.llm.shared import table
 
 
@@ -51,6 +51,10 @@ def op7_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chroma.align(chroma.recordings(table(spark, sf_dir, "embeddings")))
 
 
+def op11_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_toxicity_trees,
         op9_bm25_decontamination,
         op10_html_blocks,
+        op11_isolation_rules,
         op12_merkle_manifest,
         op13_hard_negatives,
     )}
