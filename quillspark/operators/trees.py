@@ -1,38 +1,49 @@
-"""Binary decision trees and random forests, grown level by level over blocks of rows.
-
-The rows of a tree have positions 0, 1, 2, ... in the order of the row id (in a
-forest, of the draws). They lie in blocks of `BLOCK` positions, so a group of work is
-bounded. A level takes two jobs, for all trees and nodes at once:
-
-1. candidates: the rows of a node at every `max(1, n // 32)`-th place, which are at
-   most 63 values a feature; at the root the place is the position, below it a count
-   by block tells where each block begins within each node;
-2. rows and positives at or below each candidate, which also give the sizes of the
-   nodes of the next level.
-
-The driver sees counts by node and candidate, never rows. Nodes are numbered as in
-a heap (children of i are 2i + 1 and 2i + 2).
+"""Binary decision trees and random forests, grown level by level from histograms.
+
+The table is kept once: features as an array, their codes (the cell of each value
+between quantiles of its feature), the code of the row id, and how often each tree drew
+the row. A tree carries no rows; the node of a row follows from its features and the
+splits so far, which are small arrays. For all trees and nodes of a level there are
+
+1. rows and positives by node, feature and code, and rows by node and code of the id; of
+   two siblings only the smaller is counted, the larger is what the parent has besides;
+2. the candidates, which are the rows of a node at every `max(1, n // 32)`-th place in
+   the order of the id (at most 63): the counts by id code say in which cells they lie,
+   and those rows are fetched, after finer counts where a cell holds many;
+3. rows at or below each candidate. Where all values of a cell are equal the counts of
+   step 1 give them; else the rows of the cells in question are counted once more.
+
+All of it is aggregates of Spark SQL functions. The driver sees counts by node and cell
+and the candidates, never a share of the rows. Below the root the order is that of the
+id in every node; rows that share an id go by a hash of their values.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
+from math import exp
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.functions.expr import column, positive
+from quillspark.functions.expr import column, literals, positive
 from quillspark.sources.features import to_features
 
-BLOCK = 1 << 16
 CANDIDATES = 32
 MIN_GAIN = 1e-6
+#: Cells of a feature and of the row id.
+FEATURE_CELLS, ID_CELLS = 256, 1024
+#: Bounds of what the driver takes at once: cells counted, rows that may be candidates, candidate values.
+MOST_CELLS, MOST_ROWS, MOST_VALUES = 1 << 22, 1 << 17, 1 << 18
+#: Values of the sample that the cells come from.
+SAMPLED_VALUES = 1 << 18
+#: Histograms kept to subtract from, in bytes; beyond, both siblings are counted.
+KEPT_BYTES = 1 << 28
 #: Deeper trees are applied in Arrow batches instead of as one expression.
 EXPRESSION_DEPTH = 8
 
@@ -59,190 +70,334 @@ class Split(NamedTuple):
     feature: int
     threshold: float
     gain: float
-
-
-@dataclass
-class _Growing:
-    """Splits and leaves of one tree by heap number."""
-
-    splits: dict[int, tuple[int, float]] = field(default_factory=dict)
-    leaves: dict[int, float] = field(default_factory=dict)
-
-    def nodes(self) -> tuple[Node, ...]:
-        """Flat, each node before its left subtree, that before its right one."""
+    n_left: int
+    p_left: int
+
+
+class _Nodes:
+    """The nodes of all trees by number: roots first, both children of a node side by side."""
+
+    def __init__(self, trees: int):
+        self.trees = trees
+        self.split: list[Split | None] = [None] * trees
+        self.left = [-1] * trees
+        self.rows = [0] * trees
+        self.positives = [0] * trees
+
+    def branch(self, at: int, split: Split) -> tuple[int, int]:
+        self.split[at], self.left[at] = split, len(self.split)
+        n, p = self.rows[at], self.positives[at]
+        self.split += [None, None]
+        self.left += [-1, -1]
+        self.rows += [split.n_left, n - split.n_left]
+        self.positives += [split.p_left, p - split.p_left]
+        return self.left[at], self.left[at] + 1
+
+    def flat(self, tree: int) -> tuple[Node, ...]:
+        """A tree, each node before its left subtree, that before its right one."""
         out: list[Node | None] = []
 
         def add(i: int) -> int:
             at = len(out)
-            if i in self.splits:
-                out.append(None)
-                f, t = self.splits[i]
-                left = add(2 * i + 1)
-                out[at] = Node.branch(f, t, left, add(2 * i + 2))
+            if self.split[i] is None:
+                out.append(Node.leaf(1.0 if self.rows[i] and 2 * self.positives[i] >= self.rows[i] else 0.0))
             else:
-                out.append(Node.leaf(self.leaves.get(i, 0.0)))
+                out.append(None)
+                left = add(self.left[i])
+                out[at] = Node.branch(*self.split[i][:2], left, add(self.left[i] + 1))
             return at
 
-        add(0)
+        add(tree)
         return tuple(out)
 
 
-def route(x: np.ndarray, splits: dict[int, tuple[int, float]], depth: int) -> np.ndarray:
-    """Heap number that each row has reached; a NaN goes right."""
-    node = np.zeros(len(x), np.int64)
-    for _ in range(depth):
-        for i in np.unique(node):
-            if i in splits:
-                f, t = splits[i]
-                here = node == i
-                node[here] = np.where(x[here, f] <= t, 2 * i + 1, 2 * i + 2)
-    return node
-
-
-def best_split(candidates: list[tuple[int, int, float, int, int]], n: int, pos: int) -> Split | None:
-    """The split of the largest Gini gain over (feature order, rank, threshold, n left, positives left); the first of equals."""
+def best_split(values: np.ndarray, n_left: np.ndarray, p_left: np.ndarray, n: int, pos: int) -> Split | None:
+    """The split of the largest Gini gain over candidates (features x places): the first of equals, features first. NaN is none."""
     if n < 2 or pos in (0, n):
         return None
 
-    def gini(total: int, ones: int) -> float:
+    def gini(total: np.ndarray, ones: np.ndarray) -> np.ndarray:
         p = ones / total
         return 1.0 - p * p - (1.0 - p) * (1.0 - p)
 
-    best, parent = None, gini(n, pos)
-    for f, _, t, n_left, p_left in sorted(candidates, key=lambda c: c[:2]):
-        if 0 < n_left < n:
-            gain = parent - (n_left / n) * gini(n_left, p_left) - ((n - n_left) / n) * gini(n - n_left, pos - p_left)
-            if gain > 0 and (best is None or gain > best.gain):
-                best = Split(f, t, gain)
-    return best
-
-
-def _columns(table: pa.Table, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.argsort(table.column("pos").to_numpy(), kind="stable")
-    x = np.stack([table.column(f"f{i}").to_numpy() for i in range(d)], axis=1)[order] if d else np.zeros((table.num_rows, 0))
-    return x, table.column("y").to_numpy()[order].astype(np.int64), order
-
-
-def _counter(d: int, state: list[dict], wanted: frozenset, depth: int):
-    def counted(key, table):
-        tree, block = key[0].as_py(), key[1].as_py()
-        x, _, _ = _columns(table, d)
-        node, n = np.unique(route(x, state[tree], depth), return_counts=True)
-        keep = np.array([(tree, int(i)) in wanted for i in node], bool)
-        m = int(keep.sum())
-        return pa.table({"tree": pa.array([tree] * m, pa.int32()), "block": pa.array([block] * m, pa.int64()), "node": pa.array(node[keep]), "n": pa.array(n[keep].astype(np.int64))})
-
-    return counted
-
-
-def _picker(d: int, state: list[dict], steps: dict, depth: int):
-    def picked(key, table, starts):
-        tree = key[0].as_py()
-        x, _, _ = _columns(table, d)
-        node = route(x, state[tree], depth)
-        begin = dict(zip(starts.column("node").to_pylist(), starts.column("before").to_pylist(), strict=True))
-        nodes, ranks, rows = [], [], []
-        for i in np.unique(node):
-            if (tree, int(i)) in steps:
-                here = np.flatnonzero(node == i)
-                rank = begin[int(i)] + np.arange(len(here))
-                take = rank % steps[(tree, int(i))] == 0
-                nodes.append(np.full(int(take.sum()), i))
-                ranks.append(rank[take])
-                rows.append(here[take])
-        nothing = [np.zeros(0, np.int64)]
-        rows = np.concatenate(rows or nothing)
-        return pa.table({"tree": pa.array([tree] * len(rows), pa.int32()), "node": pa.array(np.concatenate(nodes or nothing)), "rank": pa.array(np.concatenate(ranks or nothing)), **{f"f{i}": pa.array(x[rows, i]) for i in range(d)}})
-
-    return picked
-
-
-def _binner(d: int, state: list[dict], cuts: dict, depth: int):
-    """Rows and positives between the cuts of each node and feature, added up in the task."""
-
-    def binned(batches):
-        sums = {key: [np.zeros((2, len(c) + 1), np.int64) for c in cut] for key, cut in cuts.items()}
-        for batch in batches:
-            tree, y = batch.column("tree").to_numpy(), batch.column("y").to_numpy()
-            x = np.stack([batch.column(f"f{i}").to_numpy() for i in range(d)], axis=1)
-            for t in np.unique(tree):
-                rows = np.flatnonzero(tree == t)
-                node = route(x[rows], state[t], depth)
-                for i in np.unique(node):
-                    if (int(t), int(i)) in cuts:
-                        here = rows[node == i]
-                        for f, cut in enumerate(cuts[(int(t), int(i))]):
-                            at = np.searchsorted(cut, x[here, f], "left")
-                            sums[(int(t), int(i))][f][0] += np.bincount(at, minlength=len(cut) + 1)
-                            sums[(int(t), int(i))][f][1] += np.bincount(at, y[here], len(cut) + 1).astype(np.int64)
-        cells = [(t, i, f, k, int(two[0, k]), int(two[1, k])) for (t, i), each in sums.items() for f, two in enumerate(each) for k in np.flatnonzero(two[0])]
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-        names = ["tree", "node", "feature", "bin", "n", "p"]
-        yield pa.RecordBatch.from_arrays([pa.array([c[k] for c in cells], kinds[k]) for k in range(6)], names=names)
-
-    return binned
-
-
-def _grow(samples: DataFrame, d: int, max_depth: int, min_split: int, trees: int, size: int) -> list[_Growing]:
-    """`samples`: tree, pos (dense from 0 to `size` in each tree), y (0 or 1), f0..; it is dealt by (tree, block) once and kept."""
-    dealt = samples.withColumn("block", F.floor(F.col("pos") / BLOCK).cast("long")).repartition("tree", "block").persist()
-    growing = [_Growing() for _ in range(trees)]
-    totals: dict[tuple[int, int], tuple[int, int | None]] = {(t, 0): (size, None) for t in range(trees)}
-    open_ = set(totals)
+    real = ~np.isnan(values) & (n_left > 0) & (n_left < n)
+    nl = np.where(real, n_left, 1)
+    gain = gini(n, pos) - (nl / n) * gini(nl, p_left) - ((n - nl) / n) * gini(n - nl, pos - p_left)
+    gain = np.where(real, gain, -1.0)
+    f, k = np.unravel_index(np.argmax(gain), gain.shape)
+    if not gain[f, k] > 0:
+        return None
+    return Split(int(f), float(values[f, k]), float(gain[f, k]), int(n_left[f, k]), int(p_left[f, k]))
+
+
+def _below(cuts: Sequence[float], value: Column, kind: str) -> Column:
+    """How many of the sorted cuts are smaller: among one of every group, then within a group."""
+    if not len(cuts):
+        return F.lit(0)
+    width = int(len(cuts) ** 0.5) + 1
+    every = literals(cuts, kind)
+    group = F.size(F.filter(literals(cuts[::width], kind), lambda c: c < value))
+    return F.when(group == 0, 0).otherwise((group - 1) * width + F.size(F.filter(F.slice(every, (group - 1) * width + 1, width), lambda c: c < value)))
+
+
+class _Cells(NamedTuple):
+    """Counts of one node: rows and positives by feature and code, rows by code of the id."""
+
+    n: np.ndarray
+    p: np.ndarray
+    ids: np.ndarray
+
+    def minus(self, other: _Cells) -> _Cells:
+        return _Cells(self.n - other.n, self.p - other.p, self.ids - other.ids)
+
+
+class _Table:
+    """The coded table: key (the row id as a number), y, x, c (codes of the features, then of the key), w (draws by tree)."""
+
+    def __init__(self, rows: DataFrame, d: int, weights: Column, trees: int):
+        """`rows`: key, y, f0.. ; `weights` may use `key`."""
+        self.d, self.trees = d, trees
+        cores = rows.sparkSession.sparkContext.defaultParallelism
+        self.spread = None
+        if rows.rdd.getNumPartitions() < cores:
+            #: A small table in a few files would leave cores idle in every job.
+            self.spread = rows = rows.repartition(cores).persist()
+        each = [F.col(f"f{i}") for i in range(d)]
+        known = rows.agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")).first()
+        self.rows = known.n
+        #: A null id comes before all others.
+        first = max((known.least or 0) - 1, -(1 << 63))
+        share = min(1.0, max(SAMPLED_VALUES // (d + 1), FEATURE_CELLS) / max(known.n, 1))
+        sample = rows.select("key", *each).sample(share, 42).toArrow()
+        self.cuts = [_quantiles(sample.column(f"f{i}"), FEATURE_CELLS) for i in range(d)]
+        ids = _quantiles(sample.column("key"), ID_CELLS)
+        code = [F.when(F.isnan(c), len(q) + 1).otherwise(_below(q.tolist(), c, "double")) for c, q in zip(each, self.cuts, strict=True)]
+        keyed = rows.withColumn("key", F.coalesce("key", F.lit(first)))
+        self.base = keyed.select("key", "y", F.array(*each).alias("x"), F.array(*code, _below(ids.tolist(), F.col("key"), "bigint")).cast("array<int>").alias("c"), weights.alias("w")).persist()
+
+    def measure(self) -> _Cells:
+        """Counts of the whole table, each row once; also notes which cells hold one value only, and the span of the key in each."""
+        by = self.base.select("key", "y", "x", F.posexplode("c").alias("f", "code")).groupBy("f", "code")
+        value = F.get("x", "f")
+        found = by.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p"), F.min(value).alias("low"), F.max(value).alias("high"), F.min("key").alias("first"), F.max("key").alias("last")).toArrow()
+        f, code, n, p = (found.column(c).to_numpy() for c in ("f", "code", "n", "p"))
+        self.single = np.zeros((self.d, FEATURE_CELLS + 2), bool)
+        own = f < self.d
+        self.single[f[own], code[own]] = (found.column("low").to_numpy() == found.column("high").to_numpy())[own]
+        if self.spread is not None:
+            self.spread.unpersist()
+        key = {int(c): (a, b) for c, a, b, mine in zip(code, found.column("first").to_pylist(), found.column("last").to_pylist(), ~own, strict=True) if mine}
+        self.key_span = key
+        return self._cells(f, code, n, p)
+
+    def _cells(self, f: np.ndarray, code: np.ndarray, n: np.ndarray, p: np.ndarray) -> _Cells:
+        out = _Cells(np.zeros((self.d, FEATURE_CELLS + 2), np.int64), np.zeros((self.d, FEATURE_CELLS + 2), np.int64), np.zeros(ID_CELLS + 1, np.int64))
+        own = f < self.d
+        out.n[f[own], code[own]], out.p[f[own], code[own]] = n[own], p[own]
+        out.ids[code[~own]] = n[~own]
+        return out
+
+    def routed(self, nodes: _Nodes, depth: int, slots: Sequence[int]) -> DataFrame:
+        """The rows at the nodes `slots`, with `slot`, the place of their node there, and `w`, how often they count."""
+        kept = ("key", "y", "x", "c", "w")
+        rows = self.base.select(*kept[:-1], F.posexplode("w").alias("node", "w")).filter("w > 0")
+        feature = literals([-1 if s is None else s.feature for s in nodes.split], "int")
+        cut, left = literals([0.0 if s is None else s.threshold for s in nodes.split], "double"), literals(nodes.left, "int")
+        for _ in range(depth):
+            f = F.get(feature, "node")
+            right = F.when(F.get("x", f) <= F.get(cut, "node"), 0).otherwise(1)
+            rows = _then(rows, kept, "node", F.when(f >= 0, F.get(left, "node") + right).otherwise(F.col("node")))
+        place = np.full(len(nodes.split), -1)
+        place[list(slots)] = np.arange(len(slots))
+        return _then(rows, kept, "slot", F.get(literals(place.tolist(), "int"), "node")).filter("slot >= 0")
+
+    def histograms(self, nodes: _Nodes, depth: int, slots: Sequence[int]) -> dict[int, _Cells]:
+        out, width = {}, FEATURE_CELLS + ID_CELLS
+        for some in _chunks(slots, MOST_CELLS // (self.d * FEATURE_CELLS + ID_CELLS)):
+            cells = self.routed(nodes, depth, some).select("slot", "y", "w", F.posexplode("c").alias("f", "code"))
+            key = (F.col("slot").cast("long") * (self.d + 1) + F.col("f")) * width + F.col("code")
+            found = cells.select(key.alias("cell"), "w", (F.col("w") * F.col("y")).alias("p")).groupBy("cell").agg(F.sum("w").alias("n"), F.sum("p").alias("p")).toArrow()
+            cell, n, p = (found.column(c).to_numpy() for c in ("cell", "n", "p"))
+            order = np.argsort(cell, kind="stable")
+            cell, n, p = cell[order], n[order], p[order]
+            ends = np.searchsorted(cell, np.arange(len(some) + 1) * (self.d + 1) * width)
+            for k, node in enumerate(some):
+                mine = slice(ends[k], ends[k + 1])
+                out[node] = self._cells(cell[mine] // width % (self.d + 1), cell[mine] % width, n[mine], p[mine])
+        return out
+
+    def candidates(self, nodes: _Nodes, depth: int, cells: dict[int, _Cells]) -> dict[int, np.ndarray]:
+        """For each node the features of its candidates (places x features)."""
+        out = {}
+        for some in _chunks(list(cells), max(1, MOST_ROWS // (2 * CANDIDATES))):
+            places = {node: np.arange(0, nodes.rows[node], max(1, nodes.rows[node] // CANDIDATES)) for node in some}
+            wanted = {}
+            for k, node in enumerate(some):
+                upto = np.cumsum(cells[node].ids)
+                for code in np.unique(np.searchsorted(upto, places[node], "right")):
+                    wanted[k, int(code)] = (int(upto[code] - cells[node].ids[code]), int(cells[node].ids[code]))
+            out |= self._fetched(self.routed(nodes, depth, some), some, places, wanted)
+        return out
+
+    def _fetched(self, rows: DataFrame, some: Sequence[int], places: dict[int, np.ndarray], wanted: dict[tuple[int, int], tuple[int, int]]) -> dict[int, np.ndarray]:
+        """`wanted`: by slot and code of the id, how many rows of the node lie before, and how many there."""
+        words = ID_CELLS // 32 + 1
+        bits = np.zeros(len(some) * words, np.int64)
+        for k, code in wanted:
+            bits[k * words + code // 32] |= 1 << code % 32
+        code = F.element_at("c", -1)
+        word = F.get(literals(bits.tolist(), "bigint"), F.col("slot") * words + F.floor(code / 32).cast("int"))
+        hash_ = F.pmod(F.xxhash64("x", "y"), F.lit(1 << 32)).alias("h")
+        hits = rows.filter(F.getbit(word, code % 32) == 1).select("slot", code.alias("cell"), "key", hash_, "x", "w")
+        if sum(n for _, n in wanted.values()) > MOST_ROWS:
+            hits, wanted = self._narrowed(hits, some, places, wanted)
+            hits = hits.groupBy("slot", "cell", "key", "h", "x").agg(F.sum("w").alias("w"))
+        found = hits.toArrow()
+        slot, cell, key, h, w = (found.column(c).to_numpy() for c in ("slot", "cell", "key", "h", "w"))
+        x = found.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, self.d)
+        order = np.lexsort((*x.T[::-1], h, key, slot))
+        slot, cell, w, x = slot[order], cell[order], w[order].astype(np.int64), x[order]
+        bounds, out = np.searchsorted(slot, np.arange(len(some) + 1)), {}
+        for k, node in enumerate(some):
+            mine = slice(bounds[k], bounds[k + 1])
+            within = np.cumsum(w[mine])
+            first = np.ones(len(within), bool)
+            first[1:] = cell[mine][1:] != cell[mine][:-1]
+            heads = np.flatnonzero(first)
+            before = np.array([wanted[k, int(c)][0] for c in cell[mine][heads]]) - (within - w[mine])[heads]
+            upto = within + np.repeat(before, np.diff(np.append(heads, len(within))))
+            out[node] = x[mine][np.searchsorted(upto, places[node], "right")]
+        return out
+
+    def _narrowed(self, hits: DataFrame, some: Sequence[int], places: dict[int, np.ndarray], wanted: dict[tuple[int, int], tuple[int, int]]) -> tuple[DataFrame, dict]:
+        """Cells that hold few rows, or only rows of one id and hash: each is cut into equal spans again and again.
+
+        What is joined has a row for each cell with a candidate, at most 63 a node.
+        """
+        spark, wide = hits.sparkSession, F.col("key").cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("h").cast("decimal(38,0)")
+        hits = hits.withColumn("k", wide.cast("decimal(38,0)"))
+        spans = {(k, c): (self.key_span[c][0] << 32, (self.key_span[c][1] << 32) + (1 << 32) - 1) for k, c in wanted}
+        while sum(n for _, n in wanted.values()) > MOST_ROWS and any(a < b for a, b in spans.values()):
+            table = spark.createDataFrame([(k, c, str(a), str(b - a + 1)) for (k, c), (a, b) in spans.items()], "slot int, cell int, low string, span string")
+            table = table.select("slot", "cell", F.col("low").cast("decimal(38,0)").alias("low"), F.col("span").cast("decimal(38,0)").alias("span"))
+            part = F.expr(f"cast((k - low) * {ID_CELLS} div span as int)")
+            hits = hits.join(F.broadcast(table), ["slot", "cell"]).withColumn("part", part).drop("low", "span")
+            counts = hits.groupBy("slot", "cell", "part").agg(F.sum("w").alias("n"), F.min("k").cast("string").alias("a"), F.max("k").cast("string").alias("b")).collect()
+            by: dict[tuple[int, int], list] = {}
+            for r in counts:
+                by.setdefault((r.slot, r.cell), []).append(r)
+            finer, spans, names = {}, {}, []
+            for (k, c), parts in by.items():
+                before, _ = wanted[k, c]
+                for r in sorted(parts, key=lambda r: r.part):
+                    at = places[some[k]]
+                    if np.searchsorted(at, before) < np.searchsorted(at, before + r.n):
+                        name = len(names)
+                        names.append((k, c, r.part, name))
+                        finer[k, name], spans[k, name] = (before, r.n), (int(r.a), int(r.b))
+                    before += r.n
+            wanted = finer
+            hits = hits.join(F.broadcast(spark.createDataFrame(names, "slot int, cell int, part int, name int")), ["slot", "cell", "part"]).drop("cell", "part").withColumnRenamed("name", "cell")
+        return hits, wanted
+
+    def at_or_below(self, nodes: _Nodes, depth: int, cells: dict[int, _Cells], values: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """For each node the rows and the positives at or below each value (features x places); 0 for a NaN."""
+        codes = {node: np.stack([np.searchsorted(q, v) for q, v in zip(self.cuts, x.T, strict=True)]) for node, x in values.items()}
+        each = np.arange(self.d)[:, None]
+        out, open_ = {}, []
+        for node, x in values.items():
+            code, real = codes[node], ~np.isnan(x.T)
+            code[~real] = 0
+            whole = self.single[each, code]
+            last = code + whole
+            n, p = (np.concatenate([np.zeros((self.d, 1), np.int64), a.cumsum(1)], axis=1) for a in cells[node][:2])
+            out[node] = (np.where(real, n[each, last], 0), np.where(real, p[each, last], 0))
+            if (real & ~whole).any():
+                open_.append((node, real & ~whole))
+        width = 2 * CANDIDATES
+        for some in _chunks(open_, max(1, MOST_VALUES // (width * self.d))):
+            words = (FEATURE_CELLS + 1) // 32 + 1
+            bits, cuts = np.zeros(len(some) * self.d * words, np.int64), np.full((len(some) * self.d, width), np.nan)
+            for k, (node, mine) in enumerate(some):
+                for f in np.flatnonzero(mine.any(1)):
+                    own = np.unique(values[node][mine[f], f])
+                    cuts[k * self.d + f, : len(own)] = own
+                    for c in np.unique(codes[node][f, mine[f]]).tolist():
+                        bits[(k * self.d + f) * words + c // 32] |= 1 << c % 32
+            rows = self.routed(nodes, depth, [node for node, _ in some]).select("slot", "y", "x", "w", F.posexplode(F.slice("c", 1, self.d)).alias("f", "code"))
+            at = F.col("slot") * self.d + F.col("f")
+            word = F.get(literals(bits.tolist(), "bigint"), at * words + F.floor(F.col("code") / 32).cast("int"))
+            value = F.get("x", "f")
+            rows = rows.filter(F.getbit(word, F.col("code") % 32) == 1).select(at.alias("at"), "code", "w", (F.col("w") * F.col("y")).alias("p"), F.size(F.filter(F.slice(literals(cuts.ravel().tolist(), "double"), at * width + 1, width), lambda c: c < value)).alias("bin"))
+            found = rows.groupBy("at", "code", "bin").agg(F.sum("w").alias("n"), F.sum("p").alias("p")).toArrow()
+            at, code, bin_, n, p = (found.column(c).to_numpy() for c in ("at", "code", "bin", "n", "p"))
+            inside = {}
+            for i in range(len(at)):
+                inside.setdefault((int(at[i]), int(code[i])), []).append((int(bin_[i]), int(n[i]), int(p[i])))
+            for k, (node, mine) in enumerate(some):
+                for f, j in np.argwhere(mine):
+                    here = int(np.searchsorted(cuts[k * self.d + f], values[node][j, f]))
+                    for b, more_n, more_p in inside.get((k * self.d + int(f), int(codes[node][f, j])), ()):
+                        if b <= here:
+                            out[node][0][f, j] += more_n
+                            out[node][1][f, j] += more_p
+        return out
+
+
+def _quantiles(values: pa.ChunkedArray, cells: int) -> np.ndarray:
+    """Different values at the bounds of about equal cells. They steer work only; counts and candidates are exact wherever they lie."""
+    v = values.drop_null().to_numpy()
+    v = np.sort(v[~np.isnan(v)] if v.dtype.kind == "f" else v)
+    return np.unique(v[np.arange(1, cells) * len(v) // cells]) if len(v) else v
+
+
+def _then(rows: DataFrame, kept: Sequence[str], name: str, value: Column) -> DataFrame:
+    """The columns `kept` and one computed from columns of `rows`, as a list of one that is unfolded: filters on it are not moved beneath, where a chain of such columns would be written out over and over."""
+    return rows.select(*kept, F.explode(F.array(value)).alias(name))
+
+
+def _chunks(items: Sequence, size: int) -> Iterable[Sequence]:
+    size = max(1, size)
+    return (items[i : i + size] for i in range(0, len(items), size))
+
+
+def _grow(rows: DataFrame, d: int, max_depth: int, min_split: int, trees: int, weights: Column | None = None) -> _Nodes:
+    """`rows`: key, y (0 or 1), f0..; `weights` are the draws of each row by tree, once for one tree if none are given."""
+    nodes = _Nodes(trees)
+    table = _Table(rows, d, F.array(F.lit(1)) if weights is None else weights, trees)
     try:
-        for depth in range(max_depth + 1):
-            split_here = {(t, i): max(1, n // CANDIDATES) for t, i in open_ for n, p in [totals[(t, i)]] if depth < max_depth and n >= max(2, min_split) and (p is None or 0 < p < n)}
-            if not split_here:
+        if not table.rows:
+            return nodes
+        whole = table.measure()
+        cells = {0: whole} if weights is None else table.histograms(nodes, 0, range(trees))
+        for t in range(trees):
+            nodes.rows[t], nodes.positives[t] = int(cells[t].ids.sum()), int(cells[t].p[0].sum())
+
+        def open_(at: int) -> bool:
+            n = nodes.rows[at]
+            return n >= max(2, min_split) and 0 < nodes.positives[at] < n
+
+        for depth in range(max_depth):
+            cells = {at: c for at, c in cells.items() if open_(at)}
+            if not cells:
                 break
-            state = [dict(g.splits) for g in growing]
-            if depth:
-                groups = dealt.groupBy("tree", "block")
-                by_block = groups.applyInArrow(_counter(d, state, frozenset(split_here), depth), "tree int, block long, node long, n long")
-                before = by_block.withColumn("before", F.sum("n").over(_running()) - F.col("n")).select("tree", "block", "node", "before")
-                schema = "tree int, node long, rank long, " + ", ".join(f"f{i} double" for i in range(d))
-                chosen = groups.cogroup(before.groupBy("tree", "block")).applyInArrow(_picker(d, state, split_here, depth), schema).toPandas()
-            else:
-                chosen = dealt.filter(F.col("pos") % max(1, size // CANDIDATES) == 0).select("tree", F.lit(0).cast("long").alias("node"), F.col("pos").alias("rank"), *(f"f{i}" for i in range(d))).toPandas()
-            values = {(int(t), int(i)): group.sort_values("rank") for (t, i), group in chosen.groupby(["tree", "node"])}
-            cuts = {key: [np.unique(c[~np.isnan(c)]) for c in (g[f"f{i}"].to_numpy() for i in range(d))] for key, g in values.items()}
-
-            bins = dealt.select("tree", "y", *(f"f{i}" for i in range(d))).mapInArrow(_binner(d, state, cuts, depth), "tree int, node long, feature int, bin int, n long, p long")
-            bins = bins.groupBy("tree", "node", "feature", "bin").agg(F.sum("n").alias("n"), F.sum("p").alias("p")).toPandas()
-            below = {(int(t), int(i), int(f)): g for (t, i, f), g in bins.groupby(["tree", "node", "feature"])}
-            open_ = set()
-            for (t, i), group in values.items():
-                whole = below[(t, i, 0)]
-                totals[(t, i)] = n, p = int(whole["n"].sum()), int(whole["p"].sum())
-                candidates = []
-                for f in range(d):
-                    cut = cuts[(t, i)][f]
-                    n_cum, p_cum = np.zeros(len(cut) + 1, np.int64), np.zeros(len(cut) + 1, np.int64)
-                    g = below[(t, i, f)]
-                    n_cum[g["bin"]], p_cum[g["bin"]] = g["n"], g["p"]
-                    n_cum, p_cum = n_cum.cumsum(), p_cum.cumsum()
-                    for rank, value in zip(group["rank"], group[f"f{f}"], strict=True):
-                        if not np.isnan(value):
-                            k = int(np.searchsorted(cut, value))
-                            candidates.append((f, int(rank), float(value), int(n_cum[k]), int(p_cum[k])))
-                found = best_split(candidates, n, p)
+            values = table.candidates(nodes, depth, cells)
+            counts = table.at_or_below(nodes, depth, cells, values)
+            pairs = []
+            for at in cells:
+                found = best_split(values[at].T, *counts[at], nodes.rows[at], nodes.positives[at])
                 if found and found.gain > MIN_GAIN:
-                    growing[t].splits[i] = found[:2]
-                    _, _, _, n_left, p_left = next(c for c in candidates if (c[0], c[2]) == found[:2])
-                    totals[(t, 2 * i + 1)], totals[(t, 2 * i + 2)] = (n_left, p_left), (n - n_left, p - p_left)
-                    open_ |= {(t, 2 * i + 1), (t, 2 * i + 2)}
-        unknown = {t for (t, _), (_, p) in totals.items() if p is None}
-        if unknown:
-            for r in dealt.groupBy("tree").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).collect():
-                totals[(r.tree, 0)] = (r.n, r.p)
-        for (t, i), (n, p) in totals.items():
-            growing[t].leaves[i] = 1.0 if n and (p or 0) >= n - (p or 0) else 0.0
+                    pairs.append((at, *nodes.branch(at, found)))
+            pairs = [p for p in pairs if depth + 1 < max_depth and (open_(p[1]) or open_(p[2]))]
+            if len(pairs) * sum(a.nbytes for a in whole) <= KEPT_BYTES:
+                small = {p: min(p[1:], key=lambda i: nodes.rows[i]) for p in pairs}
+                counted = table.histograms(nodes, depth + 1, list(small.values()))
+                cells = {i: counted[small[p]] if i == small[p] else cells[p[0]].minus(counted[small[p]]) for p in pairs for i in p[1:]}
+            else:
+                cells = table.histograms(nodes, depth + 1, [i for p in pairs for i in p[1:] if open_(i)])
+        return nodes
     finally:
-        dealt.unpersist()
-    return growing
-
-
-def _running():
-    return Window.partitionBy("tree", "node").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+        table.base.unpersist()
 
 
 def positions(df: DataFrame, id_col: str) -> tuple[DataFrame, int]:
@@ -366,9 +521,8 @@ class DecisionTree:
         self.max_depth, self.min_samples_split = max_depth, min_samples_split
 
     def fit(self, df: DataFrame, features: Sequence[str], label: str, id_col: str) -> DecisionTreeModel:
-        numbered, n = positions(_samples(df, features, label, id_col), "_id")
-        grown = _grow(numbered.drop("_id").withColumn("tree", F.lit(0)), len(features), self.max_depth, self.min_samples_split, 1, n)[0]
-        return DecisionTreeModel(tuple(features), grown.nodes(), self.max_depth, self.min_samples_split)
+        nodes = _grow(_keyed(_samples(df, features, label, id_col)), len(features), self.max_depth, self.min_samples_split, 1)
+        return DecisionTreeModel(tuple(features), nodes.flat(0), self.max_depth, self.min_samples_split)
 
 
 def _samples(df: DataFrame, features: Sequence[str], label: str, id_col: str) -> DataFrame:
@@ -376,44 +530,85 @@ def _samples(df: DataFrame, features: Sequence[str], label: str, id_col: str) ->
     return rows.select(column(id_col).alias("_id"), F.when(positive(column(label)), 1).otherwise(0).alias("y"), *(column(c).alias(f"f{i}") for i, c in enumerate(features)))
 
 
+def _keyed(samples: DataFrame) -> DataFrame:
+    """`_id` as a whole number `key` of the same order: itself, days, microseconds, or for other types its position."""
+    kind = samples.schema["_id"].dataType
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        return samples.withColumn("key", F.col("_id").cast("long"))
+    if isinstance(kind, T.DateType):
+        return samples.withColumn("key", F.unix_date("_id").cast("long"))
+    if isinstance(kind, T.TimestampType):
+        return samples.withColumn("key", F.unix_micros("_id"))
+    return positions(samples, "_id")[0].withColumnRenamed("pos", "key")
+
+
 def bootstrap(spark, trees: int, rows: int, size: int, seed: int = 42) -> DataFrame:
     """(tree, draw, pos): for each tree `size` positions of 0..rows-1, drawn with replacement by 60 bits of a hash of seed, tree and draw."""
     draws = spark.range(trees * size).select(F.floor(F.col("id") / size).cast("int").alias("tree"), (F.col("id") % size).alias("draw"))
     key = F.concat_ws(":", F.lit(seed) + F.lit(31) * F.col("tree"), F.col("draw"))
-    return draws.withColumn("pos", F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long") % rows)
+    return draws.withColumn("pos", _bits(key) % rows)
+
+
+def _bits(text: Column) -> Column:
+    """60 bits of a hash."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def poisson_steps(mean: float) -> list[int]:
+    """The shares of 2^60 up to which a Poisson variable is 0, 1, 2, ..."""
+    steps, term, total, k = [], exp(-mean), 0.0, 0
+    while (total := total + term) < 1.0 and int(total * (1 << 60)) not in steps[-1:] and k < 64:
+        steps.append(int(total * (1 << 60)))
+        k += 1
+        term *= mean / k
+    return steps
+
+
+def multiplicities(key: Column, trees: int, ratio: float, seed: int = 42) -> Column:
+    """How often each tree draws a row: a Poisson variable of mean `ratio`, by a hash of seed, tree and row id.
+
+    Draws with replacement come to this when rows are many; a row's share needs no other row.
+    """
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: _bits(F.concat_ws(":", (F.lit(seed) + 31 * t).cast("string"), key.cast("string"))))
+    steps = literals(poisson_steps(ratio), "bigint")
+    return F.transform(hashes, lambda h: F.size(F.filter(steps, lambda s: s <= h)))
 
 
 class RandomForest:
-    """Bagged trees: each on `subsample_ratio` of the rows, drawn with replacement, with all features."""
+    """Bagged trees with all features, each on about `subsample_ratio` of the rows, drawn with replacement.
+
+    By default a row knows by its id how often each tree draws it, so bagging needs no
+    shuffle and the number of draws is that share of the rows on average; rows that
+    share an id are drawn together. With `exact` the number is fixed: draws are positions in the order of
+    the id, counted by row (a sort, and a join of rows x trees x ratio draws).
+    """
 
-    def __init__(self, num_trees: int = 100, max_depth: int = 8, min_samples_split: int = 2, subsample_ratio: float = 0.8, seed: int = 42):
+    def __init__(self, num_trees: int = 100, max_depth: int = 8, min_samples_split: int = 2, subsample_ratio: float = 0.8, seed: int = 42, exact: bool = False):
         self.num_trees, self.max_depth, self.min_samples_split = max(1, num_trees), max_depth, min_samples_split
-        self.subsample_ratio, self.seed = min(1.0, max(0.1, subsample_ratio)), seed
+        self.subsample_ratio, self.seed, self.exact = min(1.0, max(0.1, subsample_ratio)), seed, exact
 
     def fit(self, df: DataFrame, features: Sequence[str], label: str, id_col: str) -> RandomForestModel:
-        numbered, n = positions(_samples(df, features, label, id_col), "_id")
-        if not n:
-            raise ValueError("no rows")
-        size = max(2, int(n * self.subsample_ratio))
-        draws = bootstrap(df.sparkSession, self.num_trees, n, size, self.seed)
-        samples = draws.join(numbered.drop("_id"), "pos").drop("pos").withColumnRenamed("draw", "pos")
-        grown = _grow(samples, len(features), self.max_depth, self.min_samples_split, self.num_trees, size)
-        return RandomForestModel(tuple(features), tuple(g.nodes() for g in grown), self.max_depth)
+        samples = _samples(df, features, label, id_col)
+        if self.exact:
+            rows, n = positions(samples, "_id")
+            draws = bootstrap(df.sparkSession, self.num_trees, n, max(2, int(n * self.subsample_ratio)), self.seed) if n else None
+            rows = rows.withColumnRenamed("pos", "key")
+            if n:
+                times = draws.groupBy("pos", "tree").count().groupBy(F.col("pos").alias("key")).agg(F.map_from_entries(F.collect_list(F.struct("tree", "count"))).alias("times"))
+                rows = rows.join(times, "key", "left")
+            else:
+                rows = rows.withColumn("times", F.create_map().cast("map<int,bigint>"))
+            weights = F.transform(F.sequence(F.lit(0), F.lit(self.num_trees - 1)), lambda t: F.coalesce(F.col("times")[t], F.lit(0)).cast("int"))
+        else:
+            rows = _keyed(samples)
+            weights = multiplicities(F.col("key"), self.num_trees, self.subsample_ratio, self.seed)
+        nodes = _grow(rows, len(features), self.max_depth, self.min_samples_split, self.num_trees, weights)
+        if not any(nodes.rows):
+            raise ValueError("no rows were drawn")
+        return RandomForestModel(tuple(features), tuple(nodes.flat(t) for t in range(self.num_trees)), self.max_depth)
 
 
 def gini_candidates(df: DataFrame, feature: str, label: str, id_col: str) -> DataFrame:
-    """(threshold, gain) of the best first split on one feature, as a frame of one row; no row if there is none.
-
-    One aggregate over the candidates, which are at most 63 values.
-    """
-    rows, n = positions(_samples(df, [feature], label, id_col), "_id")
-    picked = rows.filter(F.col("pos") % max(1, n // CANDIDATES) == 0).select("pos", "f0").collect()
-    found = None
-    if picked:
-        cuts = sorted({r.f0 for r in picked if not np.isnan(r.f0)})
-        at_most = [(F.col("f0") <= c) & ~F.isnan("f0") for c in cuts]
-        sums = rows.agg(F.sum("y"), *(F.count_if(c) for c in at_most), *(F.sum(F.when(c, F.col("y")).otherwise(0)) for c in at_most)).first()
-        left = {c: (sums[1 + k], sums[1 + len(cuts) + k]) for k, c in enumerate(cuts)}
-        found = best_split([(0, r.pos, r.f0, *left[r.f0]) for r in picked if not np.isnan(r.f0)], n, sums[0])
-    found = [(found.threshold, found.gain)] if found and found.gain > MIN_GAIN else []
-    return df.sparkSession.createDataFrame(found, "threshold double, gain double")
+    """(threshold, gain) of the best first split on one feature, as a frame of one row; no row if there is none."""
+    root = _grow(_keyed(_samples(df, [feature], label, id_col)), 1, 1, 2, 1).split[0]
+    return df.sparkSession.createDataFrame([(root.threshold, root.gain)] if root else [], "threshold double, gain double")

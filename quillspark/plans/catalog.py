@@ -18,7 +18,7 @@ from quillspark.operators.histogram import build_histogram, discretize
 from quillspark.operators.linear import LinearRegression, LogisticRegression, project
 from quillspark.operators.metrics import accuracy_frame, mse_frame, r2_frame
 from quillspark.operators.preprocessing import MinMaxScaler, OneHotEncoder, StandardScaler, category_order, minmax_params, standard_params
-from quillspark.operators.trees import DecisionTree, DecisionTreeModel, Node, RandomForest, RandomForestModel, bootstrap, gini_candidates
+from quillspark.operators.trees import DecisionTree, DecisionTreeModel, Node, RandomForest, RandomForestModel, bootstrap, gini_candidates, multiplicities, poisson_steps
 from quillspark.plans import sql
 from quillspark.sources.features import column, from_columns, from_rows, read_features, row, to_features, to_matrix, value, with_column
 
@@ -596,7 +596,7 @@ def forest_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _STUMPS = (
     f"WITH rows AS {_ORDERS}, draws AS ({_DRAWS}), "
-    + ", ".join(f"s{t} AS (SELECT d.draw AS pos, r.y, r.f0, r.f1 FROM draws d JOIN rows r ON r.pos = d.pos WHERE d.tree = {t}), {sql.split(f'b{t}', f's{t}', 2)}, {sql.side(f'l{t}', f's{t}', f'b{t}', 2, True)}, {sql.side(f'h{t}', f's{t}', f'b{t}', 2, False)}" for t in range(3))
+    + ", ".join(f"s{t} AS (SELECT r.pos, r.y, r.f0, r.f1 FROM draws d JOIN rows r ON r.pos = d.pos WHERE d.tree = {t}), {sql.split(f'b{t}', f's{t}', 2)}, {sql.side(f'l{t}', f's{t}', f'b{t}', 2, True)}, {sql.side(f'h{t}', f's{t}', f'b{t}', 2, False)}" for t in range(3))
 )
 
 
@@ -610,7 +610,7 @@ _PROBABILITY = f"SELECT y, ({' + '.join(map(_vote, range(3)))}) / 3.0 AS p FROM
 
 def _stumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _orders(spark, sf_dir)
-    return api.fit_random_forest(rows, "Y", ["F0", "F1"], "o_orderkey", num_trees=3, max_depth=1).transform(rows)
+    return RandomForest(3, 1, exact=True).fit(rows, ["f0", "f1"], "y", "o_orderkey").transform(rows)
 
 
 @_query(_STUMPS + f" SELECT round(p, 6) AS probability, count(*) AS n FROM ({_PROBABILITY}) GROUP BY 1")
@@ -626,12 +626,56 @@ def forest_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Fits from a DataFrame in one call
 
 
-@_query()
+def _drawn(tree: int) -> str:
+    """How often a tree draws an order."""
+    return f"len(list_filter({poisson_steps(0.8)}, lambda s: s <= ('0x' || substr(md5('{42 + 31 * tree}:' || o_orderkey::VARCHAR), 1, 15))::BIGINT))"
+
+
+@_query("SELECT o_orderkey, CAST(t.range AS INTEGER) AS tree, CAST(CASE t.range " + " ".join(f"WHEN {t} THEN {_drawn(t)}" for t in range(3)) + " END AS INTEGER) AS draws FROM orders, range(3) t")
+def forest_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "orders")
+    return rows.select("o_orderkey", F.posexplode(multiplicities(F.col("o_orderkey"), 3, 0.8)).alias("tree", "draws"))
+
+
+_KEYED = _ORDERS.replace("(SELECT ", "(SELECT o_orderkey, ", 1)
+_FOREST = (
+    f"WITH rows AS {_KEYED}, "
+    + ", ".join(f"d{t} AS (SELECT r.* FROM (SELECT *, unnest(range({_drawn(t)})) FROM rows) x JOIN rows r USING (pos)), {sql.tree(f't{t}', f'd{t}', 2, 4)}, {sql.routed(f'v{t}', 'rows', f't{t}', 2, 4)}" for t in range(5))
+    + f", votes AS (SELECT pos, ({' + '.join(f'v{t}.value' for t in range(5))}) / 5.0 AS p FROM v0 {' '.join(f'JOIN v{t} USING (pos)' for t in range(1, 5))})"
+)
+
+
+@_query(_FOREST + " SELECT CASE WHEN p >= 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction, count(*) AS count FROM votes GROUP BY 1")
 def df_fit_random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _orders(spark, sf_dir)
     return api.fit_random_forest(rows, "y", ["f0", "f1"], "o_orderkey", num_trees=5, max_depth=4).transform(rows).groupBy("prediction").count()
 
 
+@_query(_FOREST + " SELECT round(p, 6) AS probability, count(*) AS n, CAST(sum(pos) AS BIGINT) AS places FROM votes GROUP BY 1")
+def forest_deep_proba(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five trees of four levels: the votes of every order."""
+    rows = _orders(spark, sf_dir)
+    numbered = rows.withColumn("pos", F.col("o_orderkey") - rows.agg(F.min("o_orderkey")).first()[0])
+    voted = api.fit_random_forest(rows, "y", ["f0", "f1"], "o_orderkey", num_trees=5, max_depth=4).transform(numbered)
+    return voted.groupBy(F.round("probability", 6).alias("probability")).agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("places"))
+
+
+_DEEP = f"WITH rows AS {_ORDERS}, {sql.tree('t', 'rows', 2, 5)} SELECT CAST(node AS INTEGER) AS node, CAST(f AS INTEGER) AS feature, t AS threshold, CASE WHEN f IS NULL THEN value END AS value FROM t WHERE value IS NOT NULL"
+
+
+@_query(_DEEP)
+def tree_fit_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of five levels: every split and leaf, numbered as in a heap."""
+    model = DecisionTree(max_depth=5).fit(_orders(spark, sf_dir), ["f0", "f1"], "y", "o_orderkey")
+    out, todo = [], [(0, 0)]
+    while todo:
+        at, heap = todo.pop()
+        node = model.nodes[at]
+        out.append((heap, None if node.is_leaf else node.feature, None if node.is_leaf else node.threshold, node.value if node.is_leaf else None))
+        todo += [] if node.is_leaf else [(node.left, 2 * heap + 1), (node.right, 2 * heap + 2)]
+    return spark.createDataFrame(out, "node int, feature int, threshold double, value double")
+
+
 @_query()
 def df_fit_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "events")

@@ -64,3 +64,28 @@ def side(name: str, source: str, splits: str, d: int, left: bool) -> str:
     """CTE of the rows of `source` that go to one side of a split."""
     pick = "CASE s.f " + " ".join(f"WHEN {i} THEN r.f{i}" for i in range(d)) + " END"
     return f"{name} AS (SELECT r.* FROM {source} r, {splits} s WHERE {'' if left else 'NOT '}({pick} <= s.t))"
+
+
+def tree(name: str, source: str, d: int, depth: int) -> str:
+    """CTE <name> (node, f, t, value) of a tree of `source`: nodes numbered as in a heap, f null in leaves."""
+    out, nodes = [], []
+    for i in range(2 ** (depth + 1) - 1):
+        rows = f"{name}_rows{i}" if i else source
+        if i:
+            out.append(side(rows, f"{name}_rows{(i - 1) // 2}" if i > 2 else source, f"{name}_at{(i - 1) // 2}", d, i % 2 == 1))
+        inner = i < 2**depth - 1
+        if inner:
+            out.append(split(f"{name}_at{i}", rows, d))
+        leaf = f"(SELECT CASE WHEN 2 * sum(y) >= count(*) THEN 1.0::DOUBLE WHEN count(*) > 0 THEN 0.0::DOUBLE END FROM {rows})"
+        found = f"(SELECT {{}} FROM {name}_at{i})" if inner else "NULL"
+        nodes.append(f"SELECT {i} AS node, {found.format('f')} AS f, {found.format('t')} AS t, {leaf} AS value")
+    return ",\n".join([*out, f"{name} AS ({' UNION ALL '.join(nodes)})"])
+
+
+def routed(name: str, source: str, splits: str, d: int, depth: int) -> str:
+    """CTE <name>: the rows of `source` with `value`, what the tree `splits` gives them."""
+    pick = "CASE s.f " + " ".join(f"WHEN {i} THEN r.f{i}" for i in range(d)) + " END"
+    out = [f"{name}_0 AS (SELECT *, 0 AS node FROM {source})"]
+    for k in range(depth):
+        out.append(f"{name}_{k + 1} AS (SELECT r.* REPLACE (CASE WHEN s.f IS NULL THEN r.node WHEN {pick} <= s.t THEN 2 * r.node + 1 ELSE 2 * r.node + 2 END AS node) FROM {name}_{k} r JOIN {splits} s USING (node))")
+    return ",\n".join([*out, f"{name} AS (SELECT r.*, s.value FROM {name}_{depth} r JOIN {splits} s USING (node))"])

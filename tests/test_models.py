@@ -10,7 +10,7 @@ from quillspark.operators.clustering import KMeans, KMeansModel
 from quillspark.operators.decomposition import PCA
 from quillspark.operators.linear import JITTER, LinearRegression, LogisticRegression, solve_spd
 from quillspark.operators.metrics import accuracy, r2_score
-from quillspark.operators.trees import DecisionTree, Node, RandomForest, best_split, bootstrap
+from quillspark.operators.trees import DecisionTree, Node, RandomForest, bootstrap, multiplicities, poisson_steps
 from quillspark.sources.features import from_columns, from_rows
 from quillspark.streaming.apply import apply_models, stream_parquet, write_parquet
 
@@ -200,15 +200,21 @@ def test_fewer_rows_than_clusters(spark):
 # Trees
 
 
+def _gini(y):
+    p = y.sum() / len(y)
+    return 1.0 - p * p - (1.0 - p) * (1.0 - p)
+
+
 def _brute_split(values, y):
-    n, step = len(y), max(1, len(y) // 32)
-    candidates = []
+    n, best = len(y), None
     for f in range(values.shape[1]):
-        for rank in range(0, n, step):
-            t = values[rank, f]
+        for t in values[:: max(1, n // 32), f]:
             left = values[:, f] <= t
-            candidates.append((f, rank, t, int(left.sum()), int(y[left].sum())))
-    return best_split(candidates, n, int(y.sum()))
+            if left.any() and not left.all():
+                gain = _gini(y) - (left.sum() / n) * _gini(y[left]) - ((~left).sum() / n) * _gini(y[~left])
+                if gain > 0 and (best is None or gain > best[2]):
+                    best = (f, t, gain)
+    return best
 
 
 def _brute_tree(x, y, depth, at=0):
@@ -224,22 +230,67 @@ def _brute_tree(x, y, depth, at=0):
     return {at: found[:2], **a[0], **b[0]}, {**leaf, **a[1], **b[1]}
 
 
-@pytest.mark.parametrize("n", [20, 63, 200, 600])
-def test_tree_equals_a_recursive_one(spark, n, monkeypatch):
-    from quillspark.operators import trees
+def _heap(nodes, at=0, heap=0):
+    node = nodes[at]
+    return {} if node.is_leaf else {heap: (node.feature, node.threshold), **_heap(nodes, node.left, 2 * heap + 1), **_heap(nodes, node.right, 2 * heap + 2)}
 
-    monkeypatch.setattr(trees, "BLOCK", 64)
+
+@pytest.mark.parametrize("n", [20, 63, 200, 600])
+def test_tree_equals_a_recursive_one(spark, n):
     x = np.round(rng.uniform(0, 10, (n, 3)), 1)
     y = ((x[:, 0] > 5) ^ (x[:, 1] > 3)).astype(float)
     df, names = _frame(spark, x, y)
     m = DecisionTree(4).fit(df.repartition(3), names, "y", "row_id")
-    splits, _ = _brute_tree(x, y.astype(int), 4)
+    assert _heap(m.nodes) == _brute_tree(x, y.astype(int), 4)[0]
+
+
+@pytest.mark.parametrize("bounds", [{"MOST_ROWS": 8}, {"MOST_CELLS": 1, "MOST_VALUES": 1}, {"KEPT_BYTES": 0}, {"FEATURE_CELLS": 4, "ID_CELLS": 32}])
+def test_tree_does_not_depend_on_the_bounds_of_its_work(spark, bounds, monkeypatch):
+    """Continuous values, skewed ids, NaN: fetched after finer counts, in portions, without kept histograms, or from few cells."""
+    from quillspark.operators import trees
+
+    for name, value in bounds.items():
+        monkeypatch.setattr(trees, name, value)
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(900, 2))
+    x[draw.random(900) < 0.05, 1] = NAN
+    y = (x[:, 0] * np.nan_to_num(x[:, 1]) > 0).astype(int)
+    ids = np.sort((draw.pareto(0.4, 900) * 1000).astype(np.int64) * 1000 + np.arange(900))
+    df = spark.createDataFrame([(int(i), float(a), float(b), int(c)) for i, (a, b), c in zip(ids, x, y, strict=True)], "id long, a double, b double, y int")
+    assert _heap(DecisionTree(4).fit(df, ["a", "b"], "y", "id").nodes) == _brute_tree(x, y, 4)[0]
+
+
+@pytest.mark.parametrize("kind", ["string", "timestamp", "date", "double", "int"])
+def test_tree_takes_ids_of_all_kinds(spark, kind):
+    x = np.round(rng.uniform(0, 10, (300, 2)), 1)
+    y = (x[:, 0] > x[:, 1]).astype(int)
+    df = spark.createDataFrame([(i, float(a), float(b), int(c)) for i, ((a, b), c) in enumerate(zip(x, y, strict=True))], "id int, a double, b double, y int")
+    own = {"string": F.format_string("%05d", "id"), "timestamp": F.timestamp_micros(F.col("id").cast("long") * 7), "date": F.date_from_unix_date("id"), "double": F.col("id") / 7, "int": F.col("id")}[kind]
+    m = DecisionTree(3).fit(df.withColumn("id", own), ["a", "b"], "y", "id")
+    assert _heap(m.nodes) == _brute_tree(x, y, 3)[0]
+
+
+def test_rows_of_one_id_go_by_a_hash_of_their_values(spark, monkeypatch):
+    """A third of the rows have one id, some none: any layout gives the same tree, and no cell is fetched whole."""
+    from quillspark.operators import trees
+
+    draw = np.random.default_rng(9)
+    rows = [(None if i % 11 == 0 else 5 if i % 3 == 0 else i, float(draw.integers(200)), int(draw.integers(2))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, a double, y int")
+    whole = DecisionTree(3).fit(df, ["a"], "y", "id").nodes
+    assert DecisionTree(3).fit(df.orderBy("a").coalesce(1), ["a"], "y", "id").nodes == whole
+    monkeypatch.setattr(trees, "MOST_ROWS", 100)
+    assert DecisionTree(3).fit(df.repartition(3, "y"), ["a"], "y", "id").nodes == whole
 
-    def numbered(at, heap):
-        node = m.nodes[at]
-        return {} if node.is_leaf else {heap: (node.feature, node.threshold), **numbered(node.left, 2 * heap + 1), **numbered(node.right, 2 * heap + 2)}
 
-    assert numbered(0, 0) == splits
+def test_fit_runs_no_python_and_no_window(spark):
+    from quillspark.operators import trees
+
+    df, names = _frame(spark, rng.uniform(size=(50, 2)), rng.integers(0, 2, 50).astype(float))
+    table = trees._Table(trees._keyed(trees._samples(df, names, "y", "row_id")), 2, F.array(F.lit(1)), 1)
+    plan = table.routed(trees._Nodes(1), 2, [0])._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Window" not in plan
+    table.base.unpersist()
 
 
 def test_tree_thresholds_and_order_of_nodes(spark):
@@ -288,6 +339,35 @@ def test_forest(spark):
     assert RandomForest(0, subsample_ratio=0.0).num_trees == 1 and RandomForest(subsample_ratio=0.0).subsample_ratio == 0.1
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_forest_equals_trees_of_the_rows_drawn(spark, exact):
+    x = np.round(rng.uniform(0, 10, (400, 2)), 2)
+    y = ((x[:, 0] > 5) ^ (x[:, 1] > 3)).astype(int)
+    df, names = _frame(spark, x, y.astype(float))
+    m = RandomForest(3, 3, exact=exact).fit(df, names, "y", "row_id")
+    if exact:
+        draws = bootstrap(spark, 3, 400, 320).groupBy("pos", "tree").count().collect()
+        times = {(r.tree, r.pos): r["count"] for r in draws}
+    else:
+        times = {(t, r.row_id): k for r in df.select("row_id", multiplicities(F.col("row_id"), 3, 0.8).alias("w")).collect() for t, k in enumerate(r.w)}
+    for t, nodes in enumerate(m.trees):
+        drawn = np.repeat(np.arange(400), [times.get((t, i), 0) for i in range(400)])
+        assert _heap(nodes) == _brute_tree(x[drawn], y[drawn], 3)[0]
+
+
+def test_multiplicities_are_poisson(spark):
+    draws = spark.range(20_000).select(F.explode(multiplicities(F.col("id"), 2, 0.8)).alias("w"))
+    share = {r.w: r["count"] / 40_000 for r in draws.groupBy("w").count().collect()}
+    assert share[0] == pytest.approx(np.exp(-0.8), abs=0.01) and share[1] == pytest.approx(0.8 * np.exp(-0.8), abs=0.01) and share[3] == pytest.approx(0.8**3 / 6 * np.exp(-0.8), abs=0.01)
+    assert poisson_steps(0.8) == sorted(set(poisson_steps(0.8)))
+
+
+def test_forest_without_rows(spark):
+    for exact in (False, True):
+        with pytest.raises(ValueError, match="no rows"):
+            RandomForest(2, exact=exact).fit(spark.createDataFrame([], "id long, a double, y double"), ["a"], "y", "id")
+
+
 def test_bootstrap_draws_with_replacement(spark):
     rows = bootstrap(spark, 2, 50, 40).collect()
     assert len(rows) == 80 and all(0 <= r.pos < 50 for r in rows)
