@@ -1,7 +1,8 @@
-"""k-means: seeding by an exponential race, then one aggregate per iteration."""
+"""k-means: seeding by oversampled rounds (k-means||), then one aggregate per iteration."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -16,6 +17,10 @@ from quillspark.sources.features import resolve, to_features
 
 #: Beyond so many literals (centroids x features) rows are assigned in Arrow batches.
 EXPRESSION_LITERALS = 512
+#: Up to so many literals seeding compares rows with points by an expression.
+SEED_LITERALS = 64
+#: A round of seeding draws so many rows for each cluster on average, and so many at least; there are two rounds, and more while there are fewer rows than clusters.
+OVERSAMPLING, LEAST_DRAWS, ROUNDS = 2, 24, 2
 
 
 @dataclass(frozen=True)
@@ -119,25 +124,74 @@ class KMeans:
         return [means.get(i) or rest(i) for i in range(len(centroids))]
 
     def _seeds(self, rows: DataFrame, features: Sequence[str], id_col: str | None = None) -> list[tuple[float, ...]]:
-        """D^2 sampling as a race: the row with the largest ln(u) / D^2 wins, with u hashed from the row and the step.
-
-        One aggregate a seed, and no running sum over all rows. Rows that are seeds
-        already have no distance and stay out; if none is left, the first one by value
-        is taken again.
+        """Seeds from two rounds of draws and a clustering of what they gave.
+
+        In a round each row is drawn with a probability in proportion to its squared
+        distance to the rows drawn before, which takes one job for the sum of distances and
+        one for the draws. Each row counts for the nearest drawn one (one job); of the drawn
+        rows, whose number depends on k alone, the driver takes k by D^2 sampling. Draws are hashes of
+        the row id, or of the row's values without one. Rows with values that are not finite
+        are not drawn. If there are fewer different rows than clusters the first seed is repeated.
         """
         names = [f"f{j}" for j in range(len(features))]
-        own = column(id_col) if id_col else F.monotonically_increasing_id()
-        keyed = rows.select(*(column(c).alias(n) for c, n in zip(features, names, strict=True)), F.xxhash64(own, *map(column, features)).alias("h"))
-        point = F.struct(*names)
-        first = keyed.agg(F.count(F.lit(1)).alias("n"), F.min_by(point, F.struct(F.xxhash64(F.lit(self.seed), "h"), *names)).alias("p")).first()
+        own = column(id_col) if id_col else F.xxhash64(*map(column, features))
+        keyed = rows.select(*(column(c).alias(n) for c, n in zip(features, names, strict=True)), own.alias("own"), F.coalesce(own.cast("string"), F.lit("null")).alias("key"))
+        point = F.struct(*names, "own", "key")
+
+        def unit(step: str) -> Column:
+            return (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(self.seed)), F.lit(step), F.col("key"))), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
+
+        odd = F.exists(F.array(*names), lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
+        first = keyed.agg(F.count(F.lit(1)).alias("n"), F.min_by(point, F.struct(odd, unit("first"), "own", *names)).alias("p")).first()
         if not first.n:
             raise ValueError("no rows")
         k = min(self.k, first.n)
-        seeds = [tuple(first.p)]
-        while len(seeds) < k:
-            distance = F.least(*(squared_distance(names, s) for s in seeds), F.lit(float("inf")))
-            u = (F.pmod(F.xxhash64(F.lit(self.seed), F.lit(len(seeds)), "h"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-            race = F.when((distance > 0) & ~F.isnan(distance), F.log(u) / F.when(distance > 0, distance))
-            best = keyed.agg(F.max_by(point, race).alias("p")).first().p
-            seeds.append(tuple(best) if best is not None else seeds[0])
-        return seeds
+        drawn, rounds, wanted = [first.p], 0, max(OVERSAMPLING * k, LEAST_DRAWS)
+        while k > 1 and (rounds < ROUNDS or len(drawn) < k):
+            far = _with_nearest(keyed, names, [p[: len(names)] for p in drawn]).withColumn("d", F.when((F.col("d") > 0) & (F.col("d") < float("inf")), F.col("d")))
+            whole = far.agg(F.sum("d")).first()[0]
+            if not whole:
+                break
+            more = far.filter(unit(f"draw{rounds}") < F.col("d") * (wanted / whole)).select(*names, "own", "key").collect()
+            more.sort(key=lambda p: (p.own is not None, *([p.own] if p.own is not None else []), *p[: len(names)]))
+            fresh: dict[tuple, object] = {}
+            for p in more:
+                fresh.setdefault(p[: len(names)], p)
+            drawn += fresh.values()
+            rounds += 1
+        points = np.array([p[: len(names)] for p in drawn], float)
+        if len(drawn) <= k:
+            return [tuple(p) for p in points.tolist()] + [tuple(points[0].tolist())] * (k - len(drawn))
+        weights = np.zeros(len(points))
+        for r in _with_nearest(keyed.select(*names), names, points.tolist()).groupBy("near").count().collect():
+            weights[r["near"]] = r["count"]
+        return [tuple(p) for p in points[_weighted_seeds(points, weights, [p.key for p in drawn], k, self.seed)].tolist()]
+
+
+def _with_nearest(points: DataFrame, names: Sequence[str], to: Sequence[Sequence[float]]) -> DataFrame:
+    """`points` with `near`, the number of the nearest of `to` (the lowest of equals, 0 if a value is NaN), and `d`, its squared distance."""
+    if len(to) * len(names) <= SEED_LITERALS:
+        return points.withColumns({"near": nearest(names, to), "d": F.least(*(squared_distance(names, p) for p in to), F.lit(float("inf")))})
+    fixed = np.array(to, float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], axis=1)
+            near = nearest_points(x, fixed)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near), pa.array(((x - fixed[near]) ** 2).sum(1))], names=[*batch.schema.names, "near", "d"])
+
+    return points.mapInArrow(run, T.StructType([*points.schema.fields, T.StructField("near", T.IntegerType()), T.StructField("d", T.DoubleType())]))
+
+
+def _weighted_seeds(points: np.ndarray, weights: np.ndarray, keys: Sequence[str], k: int, seed: int) -> list[int]:
+    """D^2 sampling of k weighted points as a race: the largest ln(u) / (weight * D^2) wins, with u hashed from key and step."""
+    chosen, distance = [], np.ones(len(points))
+    for step in range(k):
+        u = np.array([(int(hashlib.md5(f"{seed}:seed{step}:{key}".encode()).hexdigest()[:13], 16) + 0.5) / float(1 << 52) for key in keys])
+        mass = weights * distance
+        some = mass > 0
+        race = np.where(some, np.log(u) / np.where(some, mass, 1.0), -np.inf)
+        chosen.append(int(np.argmax(race)) if some.any() else chosen[0])
+        new = ((points - points[chosen[-1]]) ** 2).sum(1)
+        distance = new if step == 0 else np.minimum(distance, new)
+    return chosen

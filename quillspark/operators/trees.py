@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions.expr import column, literals, positive
-from quillspark.sources.features import to_features
+from quillspark.sources.features import spread, to_features
 
 CANDIDATES = 32
 MIN_GAIN = 1e-6
 #: Cells of a feature and of the row id.
-FEATURE_CELLS, ID_CELLS = 256, 1024
+FEATURE_CELLS, ID_CELLS = 128, 1024
 #: Bounds of what the driver takes at once: cells counted, rows that may be candidates, candidate values.
 MOST_CELLS, MOST_ROWS, MOST_VALUES = 1 << 22, 1 << 17, 1 << 18
 #: Values of the sample that the cells come from.
@@ -157,23 +157,25 @@ class _Table:
     def __init__(self, rows: DataFrame, d: int, weights: Column, trees: int):
         """`rows`: key, y, f0.. ; `weights` may use `key`."""
         self.d, self.trees = d, trees
-        cores = rows.sparkSession.sparkContext.defaultParallelism
-        self.spread = None
-        if rows.rdd.getNumPartitions() < cores:
-            #: A small table in a few files would leave cores idle in every job.
-            self.spread = rows = rows.repartition(cores).persist()
+        dealt = spread(rows)
+        #: Kept until it is coded, if it had to be dealt out.
+        self.spread = None if dealt is rows else dealt.persist()
+        rows = dealt
         each = [F.col(f"f{i}") for i in range(d)]
-        known = rows.agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")).first()
+        known = rows.agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least"), F.max("key").alias("most")).first()
         self.rows = known.n
         #: A null id comes before all others.
         first = max((known.least or 0) - 1, -(1 << 63))
         share = min(1.0, max(SAMPLED_VALUES // (d + 1), FEATURE_CELLS) / max(known.n, 1))
-        sample = rows.select("key", *each).sample(share, 42).toArrow()
+        sample = rows.select(*each).sample(share, 42).toArrow()
         self.cuts = [_quantiles(sample.column(f"f{i}"), FEATURE_CELLS) for i in range(d)]
-        ids = _quantiles(sample.column("key"), ID_CELLS)
+        #: Equal spans of ids; where one holds many rows, finer counts follow.
+        width = ((known.most or 0) - first) // ID_CELLS + 1
+        key = "key" if width < 1 << 52 else "cast(key as decimal(20,0))"
+        cell = F.expr(f"cast(({key} - ({first}L)) div {width}L as int)" if first > -(1 << 63) else f"cast((cast(key as decimal(20,0)) + 9223372036854775808BD) div {width}L as int)")
         code = [F.when(F.isnan(c), len(q) + 1).otherwise(_below(q.tolist(), c, "double")) for c, q in zip(each, self.cuts, strict=True)]
         keyed = rows.withColumn("key", F.coalesce("key", F.lit(first)))
-        self.base = keyed.select("key", "y", F.array(*each).alias("x"), F.array(*code, _below(ids.tolist(), F.col("key"), "bigint")).cast("array<int>").alias("c"), weights.alias("w")).persist()
+        self.base = keyed.select("key", "y", F.array(*each).alias("x"), F.array(*code, cell).cast("array<int>").alias("c"), weights.alias("w")).persist()
 
     def measure(self) -> _Cells:
         """Counts of the whole table, each row once; also notes which cells hold one value only, and the span of the key in each."""
@@ -314,40 +316,41 @@ class _Table:
             out[node] = (np.where(real, n[each, last], 0), np.where(real, p[each, last], 0))
             if (real & ~whole).any():
                 open_.append((node, real & ~whole))
-        width = 2 * CANDIDATES
-        for some in _chunks(open_, max(1, MOST_VALUES // (width * self.d))):
-            words = (FEATURE_CELLS + 1) // 32 + 1
-            bits, cuts = np.zeros(len(some) * self.d * words, np.int64), np.full((len(some) * self.d, width), np.nan)
+        cells_each = FEATURE_CELLS + 2
+        for some in _chunks(open_, max(1, MOST_VALUES // (cells_each * self.d))):
+            #: The values in question, by node, feature and cell; where those of a cell begin, and their number.
+            cuts, begin, size = [], np.zeros(len(some) * self.d * cells_each, np.int64), np.zeros(len(some) * self.d * cells_each, np.int64)
             for k, (node, mine) in enumerate(some):
                 for f in np.flatnonzero(mine.any(1)):
-                    own = np.unique(values[node][mine[f], f])
-                    cuts[k * self.d + f, : len(own)] = own
-                    for c in np.unique(codes[node][f, mine[f]]).tolist():
-                        bits[(k * self.d + f) * words + c // 32] |= 1 << c % 32
+                    own, first = np.unique(values[node][mine[f], f], return_index=True)
+                    cell, start, number = np.unique(codes[node][f, mine[f]][first], return_index=True, return_counts=True)
+                    at = (k * self.d + f) * cells_each + cell
+                    begin[at], size[at] = len(cuts) + start, number
+                    cuts += own.tolist()
             rows = self.routed(nodes, depth, [node for node, _ in some]).select("slot", "y", "x", "w", F.posexplode(F.slice("c", 1, self.d)).alias("f", "code"))
-            at = F.col("slot") * self.d + F.col("f")
-            word = F.get(literals(bits.tolist(), "bigint"), at * words + F.floor(F.col("code") / 32).cast("int"))
-            value = F.get("x", "f")
-            rows = rows.filter(F.getbit(word, F.col("code") % 32) == 1).select(at.alias("at"), "code", "w", (F.col("w") * F.col("y")).alias("p"), F.size(F.filter(F.slice(literals(cuts.ravel().tolist(), "double"), at * width + 1, width), lambda c: c < value)).alias("bin"))
-            found = rows.groupBy("at", "code", "bin").agg(F.sum("w").alias("n"), F.sum("p").alias("p")).toArrow()
-            at, code, bin_, n, p = (found.column(c).to_numpy() for c in ("at", "code", "bin", "n", "p"))
-            inside = {}
-            for i in range(len(at)):
-                inside.setdefault((int(at[i]), int(code[i])), []).append((int(bin_[i]), int(n[i]), int(p[i])))
+            at = (F.col("slot") * self.d + F.col("f")) * cells_each + F.col("code")
+            value, number = F.get("x", "f"), F.get(literals(size.tolist(), "int"), "at")
+            inside = F.filter(F.slice(literals(cuts, "double"), F.get(literals(begin.tolist(), "int"), "at") + 1, number), lambda c: c < value)
+            rows = rows.select("y", "w", "x", "f", at.alias("at")).filter(number > 0).select("at", "w", (F.col("w") * F.col("y")).alias("p"), F.size(inside).alias("bin"))
+            found = rows.groupBy("at", "bin").agg(F.sum("w").alias("n"), F.sum("p").alias("p")).toArrow()
+            more: dict[int, list[tuple[int, int, int]]] = {}
+            for at, bin_, n, p in zip(*(found.column(c).to_pylist() for c in ("at", "bin", "n", "p")), strict=True):
+                more.setdefault(at, []).append((bin_, n, p))
             for k, (node, mine) in enumerate(some):
                 for f, j in np.argwhere(mine):
-                    here = int(np.searchsorted(cuts[k * self.d + f], values[node][j, f]))
-                    for b, more_n, more_p in inside.get((k * self.d + int(f), int(codes[node][f, j])), ()):
-                        if b <= here:
-                            out[node][0][f, j] += more_n
-                            out[node][1][f, j] += more_p
+                    at = int((k * self.d + f) * cells_each + codes[node][f, j])
+                    here = int(np.searchsorted(cuts[begin[at] : begin[at] + size[at]], values[node][j, f]))
+                    for bin_, n, p in more.get(at, ()):
+                        if bin_ <= here:
+                            out[node][0][f, j] += n
+                            out[node][1][f, j] += p
         return out
 
 
 def _quantiles(values: pa.ChunkedArray, cells: int) -> np.ndarray:
     """Different values at the bounds of about equal cells. They steer work only; counts and candidates are exact wherever they lie."""
     v = values.drop_null().to_numpy()
-    v = np.sort(v[~np.isnan(v)] if v.dtype.kind == "f" else v)
+    v = np.sort(v[~np.isnan(v)])
     return np.unique(v[np.arange(1, cells) * len(v) // cells]) if len(v) else v
 
 

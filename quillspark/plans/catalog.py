@@ -333,9 +333,26 @@ def kmeans_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(model.centroid_norms_sq)), "cluster int, norm double").withColumn("norm", F.round("norm", 5))
 
 
-@_query()
+_LINE = "(SELECT *, l_orderkey * 8 + l_linenumber AS line FROM lineitem)"
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "lineitem")
+    return rows.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line"), F.col("l_quantity").alias("x0"), (F.col("l_discount") * 100).alias("x1"))
+
+
+@_query(f"WITH {sql.kmeans('lineitem', _POINTS, sql.kmeans_seeds(_LINE, 'line', _POINTS, 5, 24), 5)} SELECT CAST(cl AS INTEGER) AS cluster, count(*) AS count FROM a5 GROUP BY cl")
 def kmeans_plus_plus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return KMeans(5, 10).fit(_points(spark, sf_dir), ["x0", "x1"]).transform(_points(spark, sf_dir)).groupBy("cluster").count()
+    """Drawn seeds and five steps; the counts are those of the last assignment."""
+    rows = _lines(spark, sf_dir)
+    return KMeans(5, 4, 0.0).fit(rows, ["x0", "x1"], "line").transform(rows).groupBy("cluster").count()
+
+
+@_query(f"WITH {sql.kmeans_seeds(_LINE, 'line', _POINTS, 12, 24)} SELECT CAST(id AS INTEGER) AS cluster, round(x0, 6) AS x0, round(x1, 6) AS x1 FROM c0")
+def kmeans_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve drawn seeds, without a step."""
+    model = KMeans(12, 0).fit(_lines(spark, sf_dir), ["x0", "x1"], "line")
+    return _rounded(spark.createDataFrame([(i, *c) for i, c in enumerate(model.centroids)], "cluster int, x0 double, x1 double"), 6, "x0", "x1")
 
 
 # Linear models
@@ -676,10 +693,10 @@ def tree_fit_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "node int, feature int, threshold double, value double")
 
 
-@_query()
+@_query(sql.kmeans_query("events", ["value"], sql.kmeans_seeds("events", "event_id", ["value"], 3, 24), 5))
 def df_fit_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "events")
-    return api.fit_kmeans(rows, ["VALUE"], k=3, max_iterations=5, id_col="event_id").frame(spark)
+    return _rounded(api.fit_kmeans(rows, ["VALUE"], k=3, max_iterations=5, id_col="event_id").frame(spark), 6, "value")
 
 
 @_query(_PCA + "SELECT CAST(0 AS INTEGER) AS component, round(l0 / (aa + bb), 7) AS ratio FROM c UNION ALL SELECT 1, round(l1 / (aa + bb), 7) FROM c")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 
-def kmeans(source: str, features: Sequence[str], init: Sequence[Sequence[float]], iterations: int) -> str:
-    """CTEs c0..cN (id, x0..) and a_k; empty clusters go to the origin."""
+def kmeans(source: str, features: Sequence[str], init: Sequence[Sequence[float]] | str, iterations: int) -> str:
+    """CTEs c0..cN (id, x0..) and a_k; empty clusters go to the origin. `init` are centroids, or CTEs that end in c0."""
     d = len(features)
     xs = ", ".join(f"x{j}" for j in range(d))
     out = [f"pts AS (SELECT {', '.join(f'CAST({f} AS DOUBLE) AS x{j}' for j, f in enumerate(features))} FROM {source})"]
-    out.append(f"c0(id, {xs}) AS (VALUES {', '.join('(' + ', '.join([str(i), *(f'CAST({x!r} AS DOUBLE)' for x in c)]) + ')' for i, c in enumerate(init))})")
+    out.append(init if isinstance(init, str) else f"c0(id, {xs}) AS (VALUES {', '.join('(' + ', '.join([str(i), *(f'CAST({x!r} AS DOUBLE)' for x in c)]) + ')' for i, c in enumerate(init))})")
     for t in range(1, iterations + 1):
         distance = " + ".join(f"(p.x{j} - c.x{j}) * (p.x{j} - c.x{j})" for j in range(d))
         best = f"(SELECT list_min(list({{'d': {distance}, 'i': c.id}})) FROM c{t - 1} c)"
@@ -21,7 +21,30 @@ def kmeans(source: str, features: Sequence[str], init: Sequence[Sequence[float]]
     return ",\n".join(out)
 
 
-def kmeans_query(source: str, features: Sequence[str], init: Sequence[Sequence[float]], iterations: int) -> str:
+def kmeans_seeds(source: str, key: str, features: Sequence[str], k: int, draws: int, rounds: int = 2, seed: int = 42) -> str:
+    """CTEs that end in c0 (id, x0..): seeds of rows whose id is `key`, from rounds of about `draws` draws."""
+    d = len(features)
+    xs = [f"x{j}" for j in range(d)]
+    names = ", ".join(xs)
+    away = lambda a, b: " + ".join(f"({a}.{x} - {b}.{x}) * ({a}.{x} - {b}.{x})" for x in xs)
+    unit = lambda step: f"((('0x' || substr(md5('{seed}:{step}:' || own::VARCHAR), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE)"
+    out = [f"own AS (SELECT {key} AS own, {', '.join(f'CAST({f} AS DOUBLE) AS {x}' for f, x in zip(features, xs, strict=True))} FROM {source})", f"drawn0 AS (SELECT -1 AS round, * FROM own ORDER BY {unit('first')}, own LIMIT 1)"]
+    for r in range(rounds):
+        out.append(f"far{r} AS (SELECT p.*, (SELECT min({away('p', 'c')}) FROM drawn{r} c) AS d FROM own p)")
+        fresh = f"SELECT {r} AS round, own, {names} FROM far{r}, (SELECT sum(d) AS whole FROM far{r}) WHERE d > 0 AND {unit(f'draw{r}')} < d * ({draws} / whole) QUALIFY row_number() OVER (PARTITION BY {names} ORDER BY own) = 1"
+        out.append(f"drawn{r + 1} AS (SELECT * FROM drawn{r} UNION ALL {fresh})")
+    out.append(f"ranked AS (SELECT *, row_number() OVER (ORDER BY round, own) - 1 AS i FROM drawn{rounds})")
+    out.append(f"near AS (SELECT (SELECT list_min(list({{'d': {away('p', 'c')}, 'i': c.i}})) FROM ranked c).i AS i FROM own p)")
+    out.append("left0 AS (SELECT r.*, w.n AS mass, CAST('inf' AS DOUBLE) AS d FROM ranked r JOIN (SELECT i, count(*) AS n FROM near GROUP BY i) w USING (i))")
+    for step in range(k):
+        mass = "mass" if step == 0 else "mass * d"
+        out.append(f"best{step} AS (SELECT * FROM left{step} ORDER BY CASE WHEN {mass} > 0 THEN ln({unit(f'seed{step}')}) / ({mass}) END DESC NULLS LAST, i LIMIT 1)")
+        out.append(f"left{step + 1} AS (SELECT l.* REPLACE (least(l.d, {away('l', 'b')}) AS d) FROM left{step} l, best{step} b)")
+    out.append("c0 AS (" + " UNION ALL ".join(f"SELECT {step} AS id, {names} FROM best{step}" for step in range(k)) + ")")
+    return ",\n".join(out)
+
+
+def kmeans_query(source: str, features: Sequence[str], init: Sequence[Sequence[float]] | str, iterations: int) -> str:
     rows = " UNION ALL ".join(f"SELECT CAST(id AS INTEGER) AS cluster, CAST({j} AS INTEGER) AS dimension, round(x{j}, 6) AS value FROM c{iterations}" for j in range(len(features)))
     return f"WITH {kmeans(source, features, init, iterations)}\n{rows}"
 

@@ -57,6 +57,12 @@ def to_features(df: DataFrame, features: Sequence[str], label: str | None = None
     return df.select(*columns)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, dealt out anew if it lies in fewer partitions than there are cores: for a small table that is kept and read again and again."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_features(spark: SparkSession, path: str, features: Sequence[str], label: str | None = None, id_col: str | None = None, null_policy: str = "error") -> DataFrame:
     """`to_features` of a Parquet table."""
     return to_features(spark.read.parquet(path), features, label, id_col, null_policy)

@@ -182,6 +182,35 @@ def test_ties_nan_and_empty_clusters(spark):
     assert KMeans(3, 1, 0.0, initial_centroids=start, empty="previous").fit(df, ["a"]).centroids[2] == (1000.0,)
 
 
+@pytest.mark.parametrize("limit", [256, 1])
+def test_drawn_seeds_cover_many_groups_in_few_jobs(spark, limit, monkeypatch):
+    """A seed for each of forty groups, whatever form compares rows with points, in at most seven jobs with rows."""
+    from quillspark.operators import clustering
+
+    monkeypatch.setattr(clustering, "SEED_LITERALS", limit)
+    centres = np.array([(i * 100.0, j * 100.0) for i in range(8) for j in range(5)])
+    x = np.repeat(centres, 25, axis=0) + rng.uniform(-1, 1, (1000, 2))
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id long, a double, b double")
+    calls = []
+    own = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: calls.append(1) or own(self))
+    seeds = np.array(KMeans(40, 0).fit(df, ["a", "b"], "id").centroids)
+    assert 3 < len(calls) <= 7
+    near = ((seeds[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+    assert len(seeds) == 40 and len(set(near.tolist())) >= 38
+
+
+def test_seeds_of_odd_values(spark):
+    rows = [(i, float(i % 3), 1.0) for i in range(50)] + [(None, NAN, 1.0), (60, float("inf"), 1.0), (None, 7.0, 2.0), (3, 7.0, 9.0)]
+    df = spark.createDataFrame(rows, "id long, a double, b double")
+    seeds = KMeans(4, 0).fit(df, ["a", "b"], "id").centroids
+    assert len(set(seeds)) == 4 and np.isfinite(seeds).all()
+    few = KMeans(9, 0).fit(df.filter("id < 50 AND b = 1.0"), ["a", "b"], "id").centroids
+    assert len(few) == 9 and len(set(few)) == 3
+    plain = {KMeans(4, 0).fit(d, ["a", "b"]).centroids for d in (df.coalesce(1), df.repartition(7), df.orderBy("b"))}
+    assert len(plain) == 1
+
+
 def test_tolerance_is_on_the_squared_shift(spark):
     df = from_columns(spark, {"a": [0.0, 0.2]})
     assert KMeans(1, 50, 0.02, initial_centroids=[[0.0]]).fit(df, ["a"]).iterations == 1
