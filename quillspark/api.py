@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from quillspark.operators.clustering import KMeans, KMeansModel
 from quillspark.operators.decomposition import PCA, PCAModel
 from quillspark.operators.linear import LinearRegression, LinearRegressionModel, LogisticRegression, LogisticRegressionModel
-from quillspark.operators.preprocessing import MinMaxScaler, OneHotEncoder, OneHotModel, ScalerModel, StandardScaler
+from quillspark.operators.preprocessing import MinMaxScaler, OneHotEncoder, OneHotModel, ScalerModel, SparseOneHotModel, StandardScaler, VectorScalerModel
 from quillspark.operators.trees import DecisionTree, DecisionTreeModel, RandomForest, RandomForestModel
 from quillspark.sources.features import resolve
 
@@ -18,11 +18,11 @@ def _named(df: DataFrame, names: Sequence[str]) -> list[str]:
     return [resolve(df, c) for c in names]
 
 
-def fit_standard_scaler(df: DataFrame, features: Sequence[str]) -> ScalerModel:
+def fit_standard_scaler(df: DataFrame, features: Sequence[str]) -> ScalerModel | VectorScalerModel:
     return StandardScaler().fit(df, _named(df, features))
 
 
-def fit_minmax_scaler(df: DataFrame, features: Sequence[str]) -> ScalerModel:
+def fit_minmax_scaler(df: DataFrame, features: Sequence[str]) -> ScalerModel | VectorScalerModel:
     return MinMaxScaler().fit(df, _named(df, features))
 
 
@@ -30,6 +30,10 @@ def fit_one_hot(df: DataFrame, name: str, id_col: str) -> OneHotModel:
     return OneHotEncoder().fit(df, resolve(df, name), id_col)
 
 
+def fit_sparse_one_hot(df: DataFrame, name: str, id_col: str) -> SparseOneHotModel:
+    return OneHotEncoder().fit_sparse(df, resolve(df, name), id_col)
+
+
 def fit_linear(df: DataFrame, label: str, features: Sequence[str], alpha: float = 0.0, fit_intercept: bool = True) -> LinearRegressionModel:
     return LinearRegression(alpha, fit_intercept).fit(df, _named(df, features), resolve(df, label))
 

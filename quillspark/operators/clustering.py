@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions.expr import column, nearest, squared_distance
+from quillspark.operators.vectors import combined, is_vector, matrix, vector
 from quillspark.sources.features import resolve, to_features
 
 #: Beyond so many literals (centroids x features) rows are assigned in Arrow batches.
 EXPRESSION_LITERALS = 512
+#: From so many points on they are compared in groups.
+GROUPED = 128
 #: Up to so many literals seeding compares rows with points by an expression.
 SEED_LITERALS = 64
 #: A round of seeding draws so many rows for each cluster on average, and so many at least; there are two rounds, and more while there are fewer rows than clusters.
@@ -46,17 +49,17 @@ class KMeansModel:
 
     def transform(self, df: DataFrame, output: str = "cluster") -> DataFrame:
         """The number of the nearest centroid beside each row; no shuffle."""
-        array = len(self.features) == 1 and self.dimensions > 1
+        array = len(self.features) == 1 and is_vector(df, self.features[0])
         if not array and self.k * self.dimensions <= EXPRESSION_LITERALS:
             return df.withColumn(output, self.expr())
-        points = np.array(self.centroids)
+        nearest_to = NearestPoints(np.array(self.centroids))
         names = [resolve(df, c) for c in self.features]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
                 x = columns[0].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if array else np.stack([c.to_numpy(zero_copy_only=False) for c in columns], axis=1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest_points(x.astype(np.float64), points))], names=[*batch.schema.names, output])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest_to(x.astype(np.float64)))], names=[*batch.schema.names, output])
 
         return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(output, T.IntegerType())]))
 
@@ -65,23 +68,98 @@ class KMeansModel:
         return spark.createDataFrame([(i, j, float(x)) for i, c in enumerate(self.centroids) for j, x in enumerate(c)], "cluster int, dimension int, value double")
 
 
-def nearest_points(x: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """The nearest point of each row, the lowest of equals, 0 where a value is NaN.
+class NearestPoints:
+    """The nearest of fixed points for each row of a matrix, the lowest of equals, 0 where a value is NaN.
 
-    One matrix product gives all distances but for rounding; points that it leaves
-    within its error of the nearest are measured directly.
+    Matrix products give distances but for rounding; points that they leave within their
+    error of the nearest are measured directly. Many points lie in groups around pivots: a
+    row is compared with the pivots and with the nearest group, and then only with groups
+    that the triangle inequality leaves a chance.
     """
-    norms = (points**2).sum(1)
-    rough = norms - 2 * (x @ points.T)
-    least = rough.min(1, keepdims=True)
-    slack = 1e-12 * x.shape[1] * (norms.max() + (x**2).sum(1, keepdims=True))
-    near = ~(rough > least + slack)
-    best = near.argmax(1).astype(np.int32)
-    for i in np.flatnonzero(near.sum(1) > 1):
-        some = np.flatnonzero(near[i])
-        d = ((x[i] - points[some]) ** 2).sum(1)
-        best[i] = 0 if np.isnan(d).any() else some[np.argmin(d)]
-    return best
+
+    def __init__(self, points: np.ndarray, grouped: int = GROUPED):
+        self.points, self.norms = points, (points**2).sum(1)
+        self.groups: list[np.ndarray] = []
+        if len(points) >= grouped and np.isfinite(points).all():
+            #: Pivots as far apart as can be, about as many as points in a group.
+            far, pivots = ((points - points[0]) ** 2).sum(1), [0]
+            for _ in range(int(len(points) ** 0.5) - 1):
+                pivots.append(int(far.argmax()))
+                far = np.minimum(far, ((points - points[pivots[-1]]) ** 2).sum(1))
+            own = ((points[:, None] - points[pivots][None]) ** 2).sum(2).argmin(1)
+            self.groups = [np.flatnonzero(own == g) for g in range(len(pivots)) if (own == g).any()]
+            self.centres = np.stack([points[g].mean(0) for g in self.groups])
+            self.radii = np.array([np.sqrt(((points[g] - c) ** 2).sum(1).max()) for g, c in zip(self.groups, self.centres, strict=True)])
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        best = np.zeros(len(x), np.int32)
+        real = np.flatnonzero(np.isfinite(x).all(1)) if self.groups else np.arange(len(x))
+        if self.groups:
+            best[real] = self._by_group(x[real])
+            rest = np.setdiff1d(np.arange(len(x)), real)
+            best[rest] = self._all(x[rest])
+            return best
+        return self._all(x)
+
+    def _all(self, x: np.ndarray) -> np.ndarray:
+        if not len(x):
+            return np.zeros(0, np.int32)
+        with np.errstate(invalid="ignore"):
+            rough = self.norms - 2 * (x @ self.points.T)
+            near = ~(rough > rough.min(1, keepdims=True) + self._slack(x)[:, None])
+        best = near.argmax(1).astype(np.int32)
+        for i in np.flatnonzero(near.sum(1) > 1):
+            best[i] = self._measured(x[i], np.flatnonzero(near[i]))
+        return best
+
+    def _slack(self, x: np.ndarray) -> np.ndarray:
+        return 1e-12 * x.shape[1] * (self.norms.max() + (x**2).sum(1))
+
+    def _measured(self, row: np.ndarray, some: np.ndarray) -> int:
+        with np.errstate(invalid="ignore"):
+            d = ((row - self.points[some]) ** 2).sum(1)
+        return 0 if np.isnan(d).any() else int(some[np.argmin(d)])
+
+    def _by_group(self, x: np.ndarray) -> np.ndarray:
+        if not len(x):
+            return np.zeros(0, np.int32)
+        own, slack = (x**2).sum(1), self._slack(x)
+        away = np.sqrt(np.maximum(own[:, None] + (self.centres**2).sum(1) - 2 * (x @ self.centres.T), 0))
+        low = np.maximum(away - self.radii, 0)
+        low = np.maximum(low**2 * (1 - 1e-9) - 4 * slack[:, None], 0)
+        least, first = np.full(len(x), np.inf), away.argmin(1)
+        found_row, found_point, found_rough = [], [], []
+
+        def compare(rows: np.ndarray, g: int) -> None:
+            rough = own[rows, None] + self.norms[self.groups[g]] - 2 * (x[rows] @ self.points[self.groups[g]].T)
+            least[rows] = np.minimum(least[rows], rough.min(1))
+            i, j = np.nonzero(rough <= (least[rows] + slack[rows])[:, None])
+            found_row.append(rows[i])
+            found_point.append(self.groups[g][j])
+            found_rough.append(rough[i, j])
+
+        for g in range(len(self.groups)):
+            rows = np.flatnonzero(first == g)
+            if len(rows):
+                compare(rows, g)
+        for g in range(len(self.groups)):
+            rows = np.flatnonzero((low[:, g] <= least + slack) & (first != g))
+            if len(rows):
+                compare(rows, g)
+        row, point, rough = map(np.concatenate, (found_row, found_point, found_rough))
+        keep = rough <= (least + slack)[row]
+        row, point = row[keep], point[keep]
+        order = np.lexsort((point, row))
+        row, point = row[order], point[order]
+        start = np.searchsorted(row, np.arange(len(x) + 1))
+        best = point[start[:-1]].astype(np.int32)
+        for i in np.flatnonzero(np.diff(start) > 1):
+            best[i] = self._measured(x[i], point[start[i] : start[i + 1]])
+        return best
+
+
+def nearest_points(x: np.ndarray, points: np.ndarray) -> np.ndarray:
+    return NearestPoints(points)(x)
 
 
 class KMeans:
@@ -100,8 +178,14 @@ class KMeans:
         self.k, self.max_iterations, self.tolerance, self.seed, self.initial, self.empty = k, max_iterations, tolerance, seed, initial_centroids, empty
 
     def fit(self, df: DataFrame, features: Sequence[str], id_col: str | None = None) -> KMeansModel:
-        """With a row id, drawn seeds do not depend on how the rows are laid out."""
-        rows = to_features(df, features, id_col=id_col if self.initial is None else None).persist()
+        """Features are number columns, or one array column. Drawn seeds depend on the row id, or on the values without one, not on how the rows are laid out."""
+        if any(is_vector(df, c) for c in features):
+            if len(features) > 1:
+                raise TypeError("an array column stands alone, without other features")
+            more = [column(resolve(df, id_col)).alias(id_col)] if id_col and self.initial is None else []
+            rows = df.select(vector(df, features[0]), *more).persist()
+        else:
+            rows = to_features(df, features, id_col=id_col if self.initial is None else None).persist()
         try:
             centroids = [tuple(map(float, c)) for c in self.initial] if self.initial is not None else self._seeds(rows, features, id_col)
             done = 0
@@ -116,6 +200,8 @@ class KMeans:
         return KMeansModel(tuple(features), tuple(centroids), done)
 
     def _step(self, rows: DataFrame, features: Sequence[str], centroids: list[tuple[float, ...]]) -> list[tuple[float, ...]]:
+        if is_vector(rows, features[0]):
+            return self._vector_step(rows, features[0], centroids)
         names = [f"f{j}" for j in range(len(features))]
         points = rows.select(*(column(c).alias(n) for c, n in zip(features, names, strict=True)))
         assigned = KMeansModel(tuple(names), tuple(centroids)).transform(points, "cluster")
@@ -123,6 +209,22 @@ class KMeans:
         rest = (lambda i: (0.0,) * len(features)) if self.empty == "origin" else (lambda i: centroids[i])
         return [means.get(i) or rest(i) for i in range(len(centroids))]
 
+    def _vector_step(self, rows: DataFrame, name: str, centroids: list[tuple[float, ...]]) -> list[tuple[float, ...]]:
+        """Tasks assign their rows and add them up by cluster: k x (d + 1) numbers each."""
+        points, nearest_to = np.array(centroids), NearestPoints(np.array(centroids))
+
+        def part(x: np.ndarray) -> np.ndarray:
+            member = np.zeros((len(x), len(points)))
+            member[np.arange(len(x)), nearest_to(x)] = 1.0
+            return np.column_stack([member.T @ x, member.sum(0)])
+
+        sums = combined(rows.select(column(name)), part)
+        if sums is None:
+            return [(0.0,) * points.shape[1] if self.empty == "origin" else c for c in centroids]
+        sums = sums.reshape(len(points), -1)
+        means = sums[:, :-1] / np.maximum(sums[:, -1:], 1)
+        return [tuple(m.tolist()) if n or self.empty == "origin" else c for m, n, c in zip(means, sums[:, -1], centroids, strict=True)]
+
     def _seeds(self, rows: DataFrame, features: Sequence[str], id_col: str | None = None) -> list[tuple[float, ...]]:
         """Seeds from two rounds of draws and a clustering of what they gave.
 
@@ -141,25 +243,30 @@ class KMeans:
         def unit(step: str) -> Column:
             return (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(self.seed)), F.lit(step), F.col("key"))), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
 
-        odd = F.exists(F.array(*names), lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
+        array = is_vector(rows, features[0])
+
+        def flat(p) -> tuple[float, ...]:
+            return tuple(p[0]) if array else tuple(p[: len(names)])
+
+        odd = F.exists(F.col(names[0]) if array else F.array(*names), lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
         first = keyed.agg(F.count(F.lit(1)).alias("n"), F.min_by(point, F.struct(odd, unit("first"), "own", *names)).alias("p")).first()
         if not first.n:
             raise ValueError("no rows")
         k = min(self.k, first.n)
         drawn, rounds, wanted = [first.p], 0, max(OVERSAMPLING * k, LEAST_DRAWS)
         while k > 1 and (rounds < ROUNDS or len(drawn) < k):
-            far = _with_nearest(keyed, names, [p[: len(names)] for p in drawn]).withColumn("d", F.when((F.col("d") > 0) & (F.col("d") < float("inf")), F.col("d")))
+            far = _with_nearest(keyed, names, [flat(p) for p in drawn]).withColumn("d", F.when((F.col("d") > 0) & (F.col("d") < float("inf")), F.col("d")))
             whole = far.agg(F.sum("d")).first()[0]
             if not whole:
                 break
             more = far.filter(unit(f"draw{rounds}") < F.col("d") * (wanted / whole)).select(*names, "own", "key").collect()
-            more.sort(key=lambda p: (p.own is not None, *([p.own] if p.own is not None else []), *p[: len(names)]))
+            more.sort(key=lambda p: (p.own is not None, *([p.own] if p.own is not None else []), *flat(p)))
             fresh: dict[tuple, object] = {}
             for p in more:
-                fresh.setdefault(p[: len(names)], p)
+                fresh.setdefault(flat(p), p)
             drawn += fresh.values()
             rounds += 1
-        points = np.array([p[: len(names)] for p in drawn], float)
+        points = np.array([flat(p) for p in drawn], float)
         if len(drawn) <= k:
             return [tuple(p) for p in points.tolist()] + [tuple(points[0].tolist())] * (k - len(drawn))
         weights = np.zeros(len(points))
@@ -170,14 +277,15 @@ class KMeans:
 
 def _with_nearest(points: DataFrame, names: Sequence[str], to: Sequence[Sequence[float]]) -> DataFrame:
     """`points` with `near`, the number of the nearest of `to` (the lowest of equals, 0 if a value is NaN), and `d`, its squared distance."""
-    if len(to) * len(names) <= SEED_LITERALS:
+    if len(to) * len(names) <= SEED_LITERALS and len(to[0]) == len(names) and not is_vector(points, names[0]):
         return points.withColumns({"near": nearest(names, to), "d": F.least(*(squared_distance(names, p) for p in to), F.lit(float("inf")))})
     fixed = np.array(to, float)
+    nearest_to = NearestPoints(fixed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], axis=1)
-            near = nearest_points(x, fixed)
+            x = matrix(batch.select(names))
+            near = nearest_to(x)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near), pa.array(((x - fixed[near]) ** 2).sum(1))], names=[*batch.schema.names, "near", "d"])
 
     return points.mapInArrow(run, T.StructType([*points.schema.fields, T.StructField("near", T.IntegerType()), T.StructField("d", T.DoubleType())]))

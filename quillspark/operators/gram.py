@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.expr import column
+from quillspark.operators.vectors import is_vector, matrix, vector
 from quillspark.sources.features import numeric
 
 #: Up to so many columns are summed as expressions.
@@ -44,23 +44,15 @@ def _long(sums: DataFrame, d: int) -> DataFrame:
     return sums.select(F.explode(F.array(*cells)).alias("cell")).select("cell.i", "cell.j", "cell.value")
 
 
-def _matrix(batch: pa.RecordBatch) -> np.ndarray:
-    """Rows of an Arrow batch as a matrix: one array column of equal lengths, or number columns."""
-    if batch.num_columns == 1 and (pa.types.is_list(batch.schema.types[0]) or pa.types.is_large_list(batch.schema.types[0])):
-        flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        return flat.reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 0))
-    return np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns], axis=1)
-
-
 def wide_sums(rows: DataFrame, shift: np.ndarray | None = None) -> tuple[int, np.ndarray, np.ndarray]:
-    """(n, sum x, sum xx') of x less `shift`, over all rows of number columns or one array column."""
+    """(n, sum x, sum xx') of x less `shift`, over all rows of number and array columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, one, two = 0, None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch)
+            x = matrix(batch)
             x = x if shift is None else x - shift
             n += len(x)
             one = x.sum(0) if one is None else one + x.sum(0)
@@ -102,8 +94,8 @@ class Moments:
 
 
 def moments(df: DataFrame, names: Sequence[str]) -> Moments:
-    """Of number columns, or of one array column. The wide form takes two passes, the mean first, so that large means do not cancel."""
-    array = len(names) == 1 and df.schema[names[0]].dataType.typeName() == "array"
+    """Of number columns and array columns, side by side. The wide form takes two passes, the mean first, so that large means do not cancel."""
+    array = any(is_vector(df, c) for c in names)
     d = len(names)
     if not array and d <= NARROW:
         aggregates = [F.count(F.lit(1)).alias("n"), *(F.avg(numeric(df, c)).alias(f"m_{i}") for i, c in enumerate(names))]
@@ -115,7 +107,7 @@ def moments(df: DataFrame, names: Sequence[str]) -> Moments:
         for i, j in pairs(d):
             centred[i, j] = centred[j, i] = row[f"s_{i}_{j}"] * row.n
         return Moments(row.n, np.array([row[f"m_{i}"] for i in range(d)]), centred)
-    rows = df.select(column(names[0]).cast("array<double>").alias("x")) if array else df.select(*(numeric(df, c) for c in names))
+    rows = _columns(df, names)
     n, one, _ = wide_sums(rows)
     if not n:
         raise ValueError("no rows")
@@ -126,10 +118,13 @@ def moments(df: DataFrame, names: Sequence[str]) -> Moments:
 
 def gram(df: DataFrame, names: Sequence[str]) -> np.ndarray:
     """X'X as a matrix on the driver, d x d."""
-    array = len(names) == 1 and df.schema[names[0]].dataType.typeName() == "array"
-    if not array and len(names) <= NARROW:
+    if len(names) <= NARROW and not any(is_vector(df, c) for c in names):
         out = np.zeros((len(names), len(names)))
         for r in gram_frame(df, names).collect():
             out[r.i, r.j] = r.value or 0.0
         return out
-    return wide_sums(df.select(column(names[0]).cast("array<double>").alias("x")) if array else df.select(*(numeric(df, c) for c in names)))[2]
+    return wide_sums(_columns(df, names))[2]
+
+
+def _columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    return df.select(*(vector(df, c) if is_vector(df, c) else numeric(df, c) for c in names))

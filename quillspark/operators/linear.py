@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.expr import column, linear, positive, sigmoid
+from quillspark.functions.expr import SIGMOID_LIMIT, column, linear, positive, sigmoid
 from quillspark.operators.gram import gram, moments
-from quillspark.sources.features import to_features
+from quillspark.operators.vectors import combined, dot, is_vector, vector
+from quillspark.sources.features import numeric, to_features
 
 #: Added to the diagonal where no ridge is asked for, and put in place of vanishing pivots.
 JITTER = 1e-6
@@ -41,6 +42,13 @@ def solve_spd(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
+def score(features: Sequence[str], weights: Sequence[float], bias: float) -> Column:
+    """weights . features + bias, where the features are columns or one array column."""
+    if len(weights) != len(features):
+        return dot(features[0], list(weights)) + F.lit(float(bias))
+    return linear(features, weights, bias)
+
+
 @dataclass(frozen=True)
 class LinearRegressionModel:
     features: tuple[str, ...]
@@ -51,17 +59,17 @@ class LinearRegressionModel:
 
     @property
     def n_features(self) -> int:
-        return len(self.features)
+        return len(self.weights)
 
     def expr(self) -> Column:
-        return linear(self.features, self.weights, self.intercept)
+        return score(self.features, self.weights, self.intercept)
 
     def transform(self, df: DataFrame, output: str = "prediction") -> DataFrame:
         return df.withColumn(output, self.expr())
 
 
 class LinearRegression:
-    """Least squares with an optional ridge `alpha` on the sum scale; the intercept is not penalized. One aggregate."""
+    """Least squares with an optional ridge `alpha` on the sum scale; the intercept is not penalized. One aggregate. The features may be one array column."""
 
     def __init__(self, alpha: float = 0.0, fit_intercept: bool = True):
         if alpha < 0:
@@ -70,12 +78,15 @@ class LinearRegression:
 
     def fit(self, df: DataFrame, features: Sequence[str], label: str) -> LinearRegressionModel:
         names = [*features, label]
-        d = len(features)
+        if len(features) > 1 and any(is_vector(df, c) for c in features):
+            raise TypeError("an array column stands alone, without other features")
         if self.fit_intercept:
             m = moments(df, names)
             sums, mean = m.centred, m.mean
         else:
-            sums, mean = gram(df, names), np.zeros(d + 1)
+            sums = gram(df, names)
+            mean = np.zeros(len(sums))
+        d = len(mean) - 1
         weights = solve_spd(sums[:d, :d] + np.eye(d) * (self.alpha if self.alpha > 0 else JITTER), sums[:d, d])
         intercept = float(mean[d] - weights @ mean[:d]) if self.fit_intercept else 0.0
         return LinearRegressionModel(tuple(features), tuple(map(float, weights)), intercept, self.alpha, self.fit_intercept)
@@ -88,7 +99,7 @@ class LogisticRegressionModel:
     bias: float
 
     def probability(self) -> Column:
-        return sigmoid(linear(self.features, self.weights, self.bias))
+        return sigmoid(score(self.features, self.weights, self.bias))
 
     def expr(self) -> Column:
         p = self.probability()
@@ -116,6 +127,10 @@ class LogisticRegression:
     def fit(self, df: DataFrame, features: Sequence[str], label: str, id_col: str | None = None) -> LogisticRegressionModel:
         if self.solver == "sgd" and not id_col:
             raise ValueError("sgd needs a row id for the order of the rows")
+        if any(is_vector(df, c) for c in features):
+            if len(features) > 1 or self.solver == "sgd":
+                raise TypeError("an array column stands alone, and is fitted by batch descent")
+            return self._fit_vectors(df, features[0], label)
         rows = to_features(df, features, label, id_col)
         if self.solver == "sgd":
             rows = rows.sortWithinPartitions(column(id_col))
@@ -129,6 +144,28 @@ class LogisticRegression:
             rows.unpersist()
         return LogisticRegressionModel(tuple(features), tuple(map(float, w)), float(b))
 
+    def _fit_vectors(self, df: DataFrame, name: str, label: str) -> LogisticRegressionModel:
+        """Batch descent on an array column: a task adds up its part of the gradient."""
+        rows, w, b = df.select(vector(df, name), numeric(df, label)).persist(), None, 0.0
+
+        def slope(m: np.ndarray, w: np.ndarray | None, b: float) -> np.ndarray:
+            x = m[:, :-1]
+            z = np.full(len(x), b) if w is None else x @ w + b
+            off = np.where(z > SIGMOID_LIMIT, 1.0, np.where(z < -SIGMOID_LIMIT, 0.0, 1 / (1 + np.exp(-np.clip(z, -SIGMOID_LIMIT, SIGMOID_LIMIT))))) - (m[:, -1] > 0.5)
+            return np.concatenate([off @ x, [off.sum(), len(x)]])
+
+        try:
+            for epoch in range(self.epochs):
+                sums = combined(rows, lambda m, w=w, b=b: slope(m, w, b))
+                if sums is None:
+                    raise ValueError("no rows")
+                w = np.zeros(len(sums) - 2) if w is None else w
+                rate = self.learning_rate / (1 + 0.01 * epoch)
+                w, b = w - rate * (sums[:-2] / sums[-1] + self.l2 * w), b - rate * sums[-2] / sums[-1]
+        finally:
+            rows.unpersist()
+        return LogisticRegressionModel((name,), tuple(map(float, () if w is None else w)), float(b))
+
     def _batch(self, rows, features, label, w, b, rate):
         off = sigmoid(linear(features, w, b)) - F.when(positive(column(label)), 1.0).otherwise(0.0)
         means = rows.select(off.alias("off"), *(column(c).alias(f"f{j}") for j, c in enumerate(features))).agg(F.avg("off"), *(F.avg(F.col("off") * F.col(f"f{j}")) for j in range(len(features)))).first()

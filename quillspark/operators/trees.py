@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions.expr import column, literals, positive
-from quillspark.sources.features import spread, to_features
+from quillspark.operators.vectors import is_vector, matrix, vector
+from quillspark.sources.features import numeric, resolve, spread, to_features
 
 CANDIDATES = 32
 MIN_GAIN = 1e-6
@@ -403,8 +404,8 @@ def _grow(rows: DataFrame, d: int, max_depth: int, min_split: int, trees: int, w
         table.base.unpersist()
 
 
-def positions(df: DataFrame, id_col: str) -> tuple[DataFrame, int]:
-    """`df` with `pos`, the place of each row in the order of the id, dense from 0, and the number of rows.
+def positions(df: DataFrame, id_col: str, *then: str) -> tuple[DataFrame, int]:
+    """`df` with `pos`, the place of each row in the order of the id (and the columns `then`), dense from 0, and the number of rows.
 
     Rows are dealt by ranges of the id, numbered there, and moved on by the rows of the
     ranges before, whose counts are the only numbers that reach the driver. The bounds
@@ -422,7 +423,7 @@ def positions(df: DataFrame, id_col: str) -> tuple[DataFrame, int]:
     counts = {r["_part"]: r["count"] for r in ranged.groupBy("_part").count().collect()}
     before = np.concatenate([[0], np.cumsum([counts.get(k, 0) for k in range(-1, len(bounds) + 1)])]).tolist()
     offset = F.element_at(F.array(*(F.lit(b).cast("long") for b in before)), F.col("_part") + 2)
-    numbered = ranged.withColumn("pos", F.row_number().over(Window.partitionBy("_part").orderBy(key)).cast("long") - 1 + offset)
+    numbered = ranged.withColumn("pos", F.row_number().over(Window.partitionBy("_part").orderBy(key, *map(column, then))).cast("long") - 1 + offset)
     return numbered.drop("_part"), int(before[-1])
 
 
@@ -440,13 +441,13 @@ def _bounds_below(key: Column, bounds: list) -> Column:
     return F.when(group == 0, 0).otherwise((group - 1) * width + smaller(F.element_at(F.array(*(F.array(*map(F.lit, g)) for g in groups)), group)))
 
 
-def tree_expr(nodes: Sequence[Node], features: Sequence[str], at: int = 0) -> Column:
-    """A tree as nested conditions; NaN goes right."""
+def tree_expr(nodes: Sequence[Node], features: Sequence[str], at: int = 0, vector: bool = False) -> Column:
+    """A tree as nested conditions, on columns or on the places of one array column; NaN goes right."""
     node = nodes[at]
     if node.is_leaf:
         return F.lit(node.value)
-    left = column(features[node.feature]) <= F.lit(node.threshold)
-    return F.when(left, tree_expr(nodes, features, node.left)).otherwise(tree_expr(nodes, features, node.right))
+    value = F.get(column(features[0]), node.feature).cast("double") if vector else column(features[node.feature])
+    return F.when(value <= F.lit(node.threshold), tree_expr(nodes, features, node.left, vector)).otherwise(tree_expr(nodes, features, node.right, vector))
 
 
 def _walk(x: np.ndarray, nodes: Sequence[Node]) -> np.ndarray:
@@ -466,9 +467,10 @@ class DecisionTreeModel:
     nodes: tuple[Node, ...]
     max_depth: int
     min_samples_split: int
+    vector: bool = False
 
     def expr(self) -> Column:
-        return tree_expr(self.nodes, self.features)
+        return tree_expr(self.nodes, self.features, 0, self.vector)
 
     def transform(self, df: DataFrame, output: str = "prediction") -> DataFrame:
         if self.max_depth <= EXPRESSION_DEPTH:
@@ -484,6 +486,7 @@ class RandomForestModel:
     features: tuple[str, ...]
     trees: tuple[tuple[Node, ...], ...]
     max_depth: int
+    vector: bool = False
 
     @property
     def num_trees(self) -> int:
@@ -491,7 +494,7 @@ class RandomForestModel:
 
     def probability(self) -> Column:
         """The share of trees that vote 1."""
-        return sum((tree_expr(t, self.features) for t in self.trees[1:]), tree_expr(self.trees[0], self.features)) / F.lit(float(self.num_trees))
+        return sum((tree_expr(t, self.features, 0, self.vector) for t in self.trees[1:]), tree_expr(self.trees[0], self.features, 0, self.vector)) / F.lit(float(self.num_trees))
 
     def expr(self) -> Column:
         return F.when(self.probability() >= 0.5, 1.0).otherwise(0.0)
@@ -509,7 +512,7 @@ def _scored(df: DataFrame, features: Sequence[str], trees: Sequence[Sequence[Nod
 
     def run(batches):
         for batch in batches:
-            x = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(float) for c in features], axis=1)
+            x = matrix(batch.select(list(features)))
             p = sum(_walk(x, t) for t in trees) / len(trees)
             more = [pa.array(np.where(p >= 0.5, 1.0, 0.0)), *([pa.array(p)] if probability else [])]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *(f.name for f in extra)])
@@ -524,13 +527,24 @@ class DecisionTree:
         self.max_depth, self.min_samples_split = max_depth, min_samples_split
 
     def fit(self, df: DataFrame, features: Sequence[str], label: str, id_col: str) -> DecisionTreeModel:
-        nodes = _grow(_keyed(_samples(df, features, label, id_col)), len(features), self.max_depth, self.min_samples_split, 1)
-        return DecisionTreeModel(tuple(features), nodes.flat(0), self.max_depth, self.min_samples_split)
-
-
-def _samples(df: DataFrame, features: Sequence[str], label: str, id_col: str) -> DataFrame:
+        samples, d = _samples(df, features, label, id_col)
+        nodes = _grow(_keyed(samples), d, self.max_depth, self.min_samples_split, 1)
+        return DecisionTreeModel(tuple(features), nodes.flat(0), self.max_depth, self.min_samples_split, is_vector(df, features[0]))
+
+
+def _samples(df: DataFrame, features: Sequence[str], label: str, id_col: str) -> tuple[DataFrame, int]:
+    """(_id, y, f0..) and the number of features, which are columns or the places of one array column."""
+    if any(is_vector(df, c) for c in features):
+        if len(features) > 1:
+            raise TypeError("an array column stands alone, without other features")
+        x = vector(df, features[0])
+        first = df.select(F.size(x).alias("d")).first()
+        d = first.d if first else 0
+        other = F.raise_error(F.lit("vectors of different lengths"))
+        rows = df.select(column(resolve(df, id_col)).alias("_id"), numeric(df, label).alias("y"), F.when(F.size(x) == d, x).otherwise(other).alias("x"))
+        return rows.select("_id", F.when(positive(F.col("y")), 1).otherwise(0).alias("y"), *(F.get("x", i).alias(f"f{i}") for i in range(d))), d
     rows = to_features(df, features, label, id_col)
-    return rows.select(column(id_col).alias("_id"), F.when(positive(column(label)), 1).otherwise(0).alias("y"), *(column(c).alias(f"f{i}") for i, c in enumerate(features)))
+    return rows.select(column(id_col).alias("_id"), F.when(positive(column(label)), 1).otherwise(0).alias("y"), *(column(c).alias(f"f{i}") for i, c in enumerate(features))), len(features)
 
 
 def _keyed(samples: DataFrame) -> DataFrame:
@@ -591,7 +605,7 @@ class RandomForest:
         self.subsample_ratio, self.seed, self.exact = min(1.0, max(0.1, subsample_ratio)), seed, exact
 
     def fit(self, df: DataFrame, features: Sequence[str], label: str, id_col: str) -> RandomForestModel:
-        samples = _samples(df, features, label, id_col)
+        samples, d = _samples(df, features, label, id_col)
         if self.exact:
             rows, n = positions(samples, "_id")
             draws = bootstrap(df.sparkSession, self.num_trees, n, max(2, int(n * self.subsample_ratio)), self.seed) if n else None
@@ -605,13 +619,13 @@ class RandomForest:
         else:
             rows = _keyed(samples)
             weights = multiplicities(F.col("key"), self.num_trees, self.subsample_ratio, self.seed)
-        nodes = _grow(rows, len(features), self.max_depth, self.min_samples_split, self.num_trees, weights)
+        nodes = _grow(rows, d, self.max_depth, self.min_samples_split, self.num_trees, weights)
         if not any(nodes.rows):
             raise ValueError("no rows were drawn")
-        return RandomForestModel(tuple(features), tuple(nodes.flat(t) for t in range(self.num_trees)), self.max_depth)
+        return RandomForestModel(tuple(features), tuple(nodes.flat(t) for t in range(self.num_trees)), self.max_depth, is_vector(df, features[0]))
 
 
 def gini_candidates(df: DataFrame, feature: str, label: str, id_col: str) -> DataFrame:
     """(threshold, gain) of the best first split on one feature, as a frame of one row; no row if there is none."""
-    root = _grow(_keyed(_samples(df, [feature], label, id_col)), 1, 1, 2, 1).split[0]
+    root = _grow(_keyed(_samples(df, [feature], label, id_col)[0]), 1, 1, 2, 1).split[0]
     return df.sparkSession.createDataFrame([(root.threshold, root.gain)] if root else [], "threshold double, gain double")

@@ -283,6 +283,25 @@ def covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(covariance_frame(_read(spark, sf_dir, "lineitem").select(*_THREE), _THREE), 5, "value")
 
 
+_FIRST = "(SELECT {0} AS category, row_number() OVER (ORDER BY min(l_orderkey * 8 + l_linenumber), {0}) - 1 AS place FROM lineitem WHERE {0} IS NOT NULL GROUP BY {0})"
+
+
+@_query(f"SELECT l_orderkey, l_linenumber, (SELECT count(DISTINCT l_partkey) FROM lineitem) AS size, place, 1.0::DOUBLE AS value FROM lineitem JOIN {_FIRST.format('l_partkey')} ON category = l_partkey")
+def onehot_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many categories as there are parts: a table joined to the rows, and one value a row."""
+    rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line"))
+    out = api.fit_sparse_one_hot(rows, "L_PARTKEY", "line").transform(rows)
+    return out.select("l_orderkey", "l_linenumber", F.col("onehot.size").alias("size"), F.col("onehot.indices")[0].alias("place"), F.col("onehot.values")[0].alias("value"))
+
+
+@_query(f"SELECT l_orderkey, l_linenumber, place FROM lineitem JOIN {_FIRST.format('l_returnflag')} ON category = l_returnflag")
+def onehot_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line"))
+    model = OneHotEncoder().fit(rows, "l_returnflag", "line")
+    at = F.array(*(F.col(f"onehot_{i}") for i in range(model.num_categories)))
+    return model.transform(rows).select("l_orderkey", "l_linenumber", (F.array_position(at, F.lit(1.0)) - 1).alias("place"))
+
+
 # k-means
 
 _POINTS = ("l_quantity", "l_discount * 100")
@@ -542,6 +561,71 @@ def pca_64d_orthonormal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(spark.createDataFrame(out, "i int, ones double, rest double"), 6, "ones", "rest")
 
 
+# Array columns
+
+_PLACES = "(SELECT vec_id, i, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(64) r(i))"
+_VECTOR_INIT = "c0 AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 3)"
+
+
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+
+
+def _unfolded(rows: DataFrame, digits: int) -> DataFrame:
+    return _rounded(rows.select("vec_id", F.posexplode("embedding").alias("dimension", "value")), digits, "value")
+
+
+@_query(f"SELECT vec_id, CAST(i AS INTEGER) AS dimension, round((v - avg(v) OVER w) / stddev_pop(v) OVER w, 6) + 0.0 AS value FROM {_PLACES} WINDOW w AS (PARTITION BY i)")
+def vector_std_scaler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _embeddings(spark, sf_dir)
+    return _unfolded(StandardScaler().fit(rows, ["embedding"]).transform(rows), 6)
+
+
+@_query(f"SELECT vec_id, CAST(i AS INTEGER) AS dimension, round((v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w), 6) + 0.0 AS value FROM {_PLACES} WINDOW w AS (PARTITION BY i)")
+def vector_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _embeddings(spark, sf_dir)
+    return _unfolded(MinMaxScaler().fit(rows, ["embedding"]).transform(rows), 6)
+
+
+def _vector_steps(n: int) -> str:
+    out = [_VECTOR_INIT]
+    for t in range(n):
+        out.append(f"a{t} AS (SELECT e.vec_id, list_min(list({{'d': list_distance(e.embedding::DOUBLE[], c.v), 'i': c.id}})).i AS cl FROM embeddings e, c{t} c GROUP BY e.vec_id)")
+        out.append(f"c{t + 1} AS (SELECT cl AS id, list(m ORDER BY i) AS v FROM (SELECT cl, i, avg(v) AS m FROM a{t} JOIN {_PLACES} USING (vec_id) GROUP BY cl, i) GROUP BY cl)")
+    return ", ".join(out)
+
+
+@_query(f"WITH {_vector_steps(3)} SELECT CAST(id AS INTEGER) AS cluster, CAST(i AS INTEGER) AS dimension, round(v[i + 1], 6) + 0.0 AS value FROM c3, range(64) r(i)")
+def vector_kmeans_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _embeddings(spark, sf_dir)
+    start = [r.embedding for r in rows.filter("vec_id < 3").orderBy("vec_id").collect()]
+    return _rounded(KMeans(3, 3, 0.0, initial_centroids=start).fit(rows, ["embedding"]).frame(spark), 6, "value")
+
+
+@_query("SELECT vec_id, round(3 * embedding[1]::DOUBLE - 2 * embedding[2]::DOUBLE + 1, 4) + 0.0 AS prediction FROM embeddings")
+def vector_linreg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label that is linear in two places of a vector of 64: the predictions are the label."""
+    rows = _embeddings(spark, sf_dir).withColumn("y", 3 * F.col("embedding")[0].cast("double") - 2 * F.col("embedding")[1].cast("double") + 1)
+    return _rounded(LinearRegression(1e-9).fit(rows, ["embedding"], "y").transform(rows).select("vec_id", "prediction"), 4, "prediction")
+
+
+_VECTOR_LOGIT = (
+    f"WITH x AS (SELECT vec_id, list(v ORDER BY i) AS v, CASE WHEN list(v ORDER BY i)[1] > 0 THEN 1.0 ELSE 0.0 END AS y FROM {_PLACES} GROUP BY vec_id), w0 AS (SELECT list_transform(range(64), lambda i: 0.0::DOUBLE) AS w, 0.0::DOUBLE AS b), "
+    + ", ".join(
+        f"o{t} AS (SELECT x.*, 1.0 / (1.0 + exp(-(list_inner_product(x.v, w.w) + w.b))) - y AS off FROM x, w{t} w), "
+        f"w{t + 1} AS (SELECT list(w.w[i + 1] - {0.5 / (1 + 0.01 * t)!r} * (g + 0.001 * w.w[i + 1]) ORDER BY i) AS w, any_value(w.b - {0.5 / (1 + 0.01 * t)!r} * h) AS b FROM (SELECT i, avg(off * v[i + 1]) AS g, avg(off) AS h FROM o{t}, range(64) r(i) GROUP BY i), w{t} w)"
+        for t in range(4)
+    )
+)
+
+
+@_query(_VECTOR_LOGIT + " SELECT CAST(i AS INTEGER) AS dimension, round(w[i + 1], 7) + 0.0 AS weight FROM w4, range(64) r(i)")
+def vector_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _embeddings(spark, sf_dir).withColumn("y", (F.col("embedding")[0] > 0).cast("double"))
+    model = LogisticRegression(0.5, 4, 0.001).fit(rows, ["embedding"], "y")
+    return _rounded(spark.createDataFrame(list(enumerate(model.weights)), "dimension int, weight double"), 7, "weight")
+
+
 # Trees
 
 _ORDERS = "(SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, CASE WHEN o_totalprice > 180000 OR o_orderpriority < '2' THEN 1 ELSE 0 END AS y, o_totalprice AS f0, CAST(o_custkey AS DOUBLE) AS f1 FROM orders)"

@@ -10,6 +10,7 @@ from quillspark.operators.clustering import KMeans, KMeansModel
 from quillspark.operators.decomposition import PCA
 from quillspark.operators.linear import JITTER, LinearRegression, LogisticRegression, solve_spd
 from quillspark.operators.metrics import accuracy, r2_score
+from quillspark.operators.preprocessing import StandardScaler
 from quillspark.operators.trees import DecisionTree, Node, RandomForest, bootstrap, multiplicities, poisson_steps
 from quillspark.sources.features import from_columns, from_rows
 from quillspark.streaming.apply import apply_models, stream_parquet, write_parquet
@@ -316,7 +317,7 @@ def test_fit_runs_no_python_and_no_window(spark):
     from quillspark.operators import trees
 
     df, names = _frame(spark, rng.uniform(size=(50, 2)), rng.integers(0, 2, 50).astype(float))
-    table = trees._Table(trees._keyed(trees._samples(df, names, "y", "row_id")), 2, F.array(F.lit(1)), 1)
+    table = trees._Table(trees._keyed(trees._samples(df, names, "y", "row_id")[0]), 2, F.array(F.lit(1)), 1)
     plan = table.routed(trees._Nodes(1), 2, [0])._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Window" not in plan
     table.base.unpersist()
@@ -420,6 +421,57 @@ def test_shared_interfaces(spark):
     assert isinstance(RandomForest(1, 1).fit(df, names, "y", "row_id"), Transformer)
 
 
+# Array columns
+
+
+def test_fits_on_an_array_column_equal_those_on_columns(spark):
+    x = np.round(rng.uniform(-3, 5, (300, 6)), 2)
+    y = (x[:, 1] - x[:, 4] > 0).astype(float)
+    df, names = _frame(spark, x, y)
+    both = df.withColumn("v", F.array(*names)).repartition(3).persist()
+    a, b = api.fit_standard_scaler(both, ["V"]), api.fit_standard_scaler(both, names)
+    assert np.allclose(a.shifts, b.shifts) and np.allclose(a.scales, b.scales)
+    scaled = a.transform(both).select("v", "row_id").orderBy("row_id").collect()
+    assert np.allclose([r.v for r in scaled], (x - x.mean(0)) / x.std(0))
+    a, b = api.fit_minmax_scaler(both, ["v"]), api.fit_minmax_scaler(both, names)
+    assert np.allclose(a.shifts, b.shifts) and np.allclose(a.scales, b.scales)
+    for alpha, intercept in ((0.0, True), (3.0, False)):
+        a, b = (LinearRegression(alpha, intercept).fit(both, f, "y") for f in (["v"], names))
+        assert np.allclose(a.weights, b.weights) and a.intercept == pytest.approx(b.intercept) and a.n_features == 6
+        assert np.allclose([r.prediction for r in a.transform(both).orderBy("row_id").collect()], [r.prediction for r in b.transform(both).orderBy("row_id").collect()])
+    a, b = (LogisticRegression(0.3, 5).fit(both, f, "y") for f in (["v"], names))
+    assert np.allclose(a.weights, b.weights) and a.bias == pytest.approx(b.bias)
+    assert a.transform(both, "p1", "p").join(b.transform(both, "q1", "q"), "row_id").filter("p1 <> q1 OR abs(p - q) > 1e-9").count() == 0
+    start = x[:4]
+    a, b = (KMeans(4, 3, 0.0, initial_centroids=start).fit(both, f) for f in (["v"], names))
+    assert np.allclose(a.centroids, b.centroids) and a.transform(both).join(b.transform(both, "other"), "row_id").filter("cluster <> other").count() == 0
+    assert KMeans(5, 0).fit(both, ["v"], "row_id").centroids == KMeans(5, 0).fit(both, names, "row_id").centroids
+    a, b = (DecisionTree(3).fit(both, f, "y", "row_id") for f in (["v"], names))
+    assert a.nodes == b.nodes and a.transform(both).join(b.transform(both, "other"), "row_id").filter("prediction <> other").count() == 0
+    a, b = (RandomForest(3, 2).fit(both, f, "y", "row_id") for f in (["v"], names))
+    assert a.trees == b.trees
+    many = type(a)(a.features, a.trees * 60, a.max_depth, True)
+    assert [r.probability for r in many.transform(both).orderBy("row_id").collect()] == pytest.approx([r.probability for r in b.transform(both).orderBy("row_id").collect()])
+    both.unpersist()
+
+
+def test_odd_array_columns(spark):
+    rows = spark.createDataFrame([(1, [1.0, 2.0], 1.0), (2, [3.0, None], 0.0)], "id long, v array<double>, y double")
+    for fit in (lambda d: StandardScaler().fit(d, ["v"]), lambda d: KMeans(2).fit(d, ["v"]), lambda d: LinearRegression().fit(d, ["v"], "y")):
+        with pytest.raises(Exception, match="null in column v"):
+            fit(rows)
+        with pytest.raises(Exception, match="different lengths"):
+            fit(spark.createDataFrame([(1, [1.0, 2.0], 1.0), (2, [3.0], 0.0), (3, [3.0, 4.0, 5.0], 0.0)], rows.schema).coalesce(1))
+        with pytest.raises(ValueError):
+            fit(rows.limit(0))
+    with pytest.raises(TypeError):
+        KMeans(2).fit(rows, ["v", "y"])
+    empty = KMeans(2, 1, 0.0, initial_centroids=[[0.0, 0.0], [9.0, 9.0]], empty="previous").fit(rows.filter("id = 1"), ["v"])
+    assert empty.centroids == ((1.0, 2.0), (9.0, 9.0))
+    constant = StandardScaler().fit(spark.createDataFrame([([5.0, float(i)],) for i in range(4)], "v array<float>"), ["v"])
+    assert constant.scales[0] == 1.0 and constant.shifts == (5.0, 1.5)
+
+
 # Streams
 
 
@@ -469,6 +521,23 @@ def test_positions_of_other_ids_nulls_and_ties(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+@pytest.mark.parametrize(("n", "k", "d"), [(3000, 1000, 8), (500, 130, 2), (400, 300, 40)])
+def test_points_in_groups_give_the_same_nearest(n, k, d):
+    """Clustered and spread points, doubled points, far offsets, values that are not finite."""
+    from quillspark.operators.clustering import NearestPoints
+
+    draw = np.random.default_rng(k)
+    points = draw.normal(size=(k, d)) * 3 + draw.integers(0, 4, (k, 1)) * 25 + 1e3
+    points[k // 2 : k // 2 + 20] = points[:20]
+    x = np.concatenate([points[draw.integers(0, k, n)] + draw.normal(size=(n, d)), points[:50], draw.normal(size=(50, d)) * 500])
+    x[5, 0], x[6, 1], x[7, 0] = NAN, float("inf"), -float("inf")
+    got = NearestPoints(points)(x)
+    with np.errstate(invalid="ignore"):
+        want = [0 if not np.isfinite(r).all() else int(np.argmin(((r - points) ** 2).sum(1))) for r in x]
+    assert got.tolist() == want
+    assert NearestPoints(points)(x[:0]).tolist() == []
+
+
 def test_nearest_points_with_ties_and_nan():
     from quillspark.operators.clustering import nearest_points
 

@@ -76,3 +76,29 @@ def test_mse_and_r2(spark):
     assert metrics.r2_score(_pairs(spark, [4, 4], [1, 9]), "a", "p") == 1.0
     with pytest.raises(ValueError):
         metrics.r2_score(spark.createDataFrame([], "a double, p double"), "a", "p")
+
+
+def test_sparse_one_hot_of_many_and_of_string_categories(spark):
+    from quillspark import api
+
+    rows = [(i, f"c{i * 7919 % 30_011}" if i % 50 else None, i % 3) for i in range(40_000)]
+    df = spark.createDataFrame(rows, "id long, k string, onehot int").repartition(5)
+    model = api.fit_sparse_one_hot(df, "K", "id")
+    order = list(dict.fromkeys(k for _, k, _ in rows if k))
+    assert model.num_categories == len(order) > 20_000
+    assert {r["category"]: r["index"] for r in model.table.collect()} == {k: i for i, k in enumerate(order)}
+    more = spark.createDataFrame([(1, order[7], 0), (2, None, 0), (3, "new", 0)], df.schema)
+    got = {r.id: r.out for r in model.transform(more, "out").collect()}
+    assert (got[1].size, got[1].indices, got[1]["values"]) == (len(order), [7], [1.0])
+    assert got[2].indices == got[3].indices == [] and got[2]["values"] == []
+    model.unpersist()
+    few = api.fit_one_hot(df.filter("id < 30"), "k", "id")
+    assert few.categories == tuple(k for k in order[: few.num_categories])
+
+
+def test_sparse_one_hot_of_numbers_ties_and_no_rows(spark):
+    from quillspark import api
+
+    df = spark.createDataFrame([(1, 9.0), (1, 4.0), (2, 9.0), (None, 3.0), (5, None)], "id long, k double")
+    assert {r["category"]: r["index"] for r in api.fit_sparse_one_hot(df, "k", "id").table.collect()} == {3: 0, 4: 1, 9: 2}
+    assert api.fit_sparse_one_hot(df.limit(0), "k", "id").num_categories == 0
