@@ -25,11 +25,15 @@ def total(terms: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a + b, terms) if terms else F.lit(0.0)
 
 
-def literals(values: Sequence[float], kind: str) -> Column:
-    """A constant array, however long, of `int`, `bigint` or `double`: sent as one text, which the optimizer turns into values."""
+def literal_sql(values: Sequence[float], kind: str) -> str:
+    """A constant array, however long, of `int`, `bigint` or `double` in SQL: one text, which the optimizer turns into values."""
     if not len(values):
-        return F.array().cast(f"array<{kind}>")
-    return F.split(F.lit(",".join(map(repr, map(float if kind == "double" else int, values)))), ",").cast(f"array<{kind}>")
+        return f"cast(array() as array<{kind}>)"
+    return f"cast(split('{','.join(map(repr, map(float if kind == 'double' else int, values)))}', ',') as array<{kind}>)"
+
+
+def literals(values: Sequence[float], kind: str) -> Column:
+    return F.expr(literal_sql(values, kind))
 
 
 def linear(columns: Sequence[str], weights: Sequence[float], bias: float = 0.0) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from quillspark.functions.expr import column, nearest, squared_distance
 from quillspark.operators.vectors import combined, is_vector, matrix, vector
-from quillspark.sources.features import resolve, to_features
+from quillspark.sources.features import resolve, spread, to_features
 
 #: Beyond so many literals (centroids x features) rows are assigned in Arrow batches.
 EXPRESSION_LITERALS = 512
@@ -92,6 +92,8 @@ class NearestPoints:
             self.radii = np.array([np.sqrt(((points[g] - c) ** 2).sum(1).max()) for g, c in zip(self.groups, self.centres, strict=True)])
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
+        if x.shape[1] != self.points.shape[1] and len(x):
+            raise ValueError("vectors of different lengths than the points")
         best = np.zeros(len(x), np.int32)
         real = np.flatnonzero(np.isfinite(x).all(1)) if self.groups else np.arange(len(x))
         if self.groups:
@@ -253,13 +255,15 @@ class KMeans:
         if not first.n:
             raise ValueError("no rows")
         k = min(self.k, first.n)
+        keyed = spread(keyed, first.n).persist()
         drawn, rounds, wanted = [first.p], 0, max(OVERSAMPLING * k, LEAST_DRAWS)
         while k > 1 and (rounds < ROUNDS or len(drawn) < k):
-            far = _with_nearest(keyed, names, [flat(p) for p in drawn]).withColumn("d", F.when((F.col("d") > 0) & (F.col("d") < float("inf")), F.col("d")))
+            far = _with_nearest(keyed, names, [flat(p) for p in drawn]).withColumn("d", F.expr("if(d > 0 and d < double('infinity'), d, null)")).persist()
             whole = far.agg(F.sum("d")).first()[0]
+            more = far.filter(unit(f"draw{rounds}") < F.col("d") * (wanted / whole)).select(*names, "own", "key").collect() if whole else []
+            far.unpersist()
             if not whole:
                 break
-            more = far.filter(unit(f"draw{rounds}") < F.col("d") * (wanted / whole)).select(*names, "own", "key").collect()
             more.sort(key=lambda p: (p.own is not None, *([p.own] if p.own is not None else []), *flat(p)))
             fresh: dict[tuple, object] = {}
             for p in more:
@@ -268,10 +272,12 @@ class KMeans:
             rounds += 1
         points = np.array([flat(p) for p in drawn], float)
         if len(drawn) <= k:
+            keyed.unpersist()
             return [tuple(p) for p in points.tolist()] + [tuple(points[0].tolist())] * (k - len(drawn))
         weights = np.zeros(len(points))
         for r in _with_nearest(keyed.select(*names), names, points.tolist()).groupBy("near").count().collect():
             weights[r["near"]] = r["count"]
+        keyed.unpersist()
         return [tuple(p) for p in points[_weighted_seeds(points, weights, [p.key for p in drawn], k, self.seed)].tolist()]
 
 

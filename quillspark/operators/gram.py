@@ -107,7 +107,7 @@ def moments(df: DataFrame, names: Sequence[str]) -> Moments:
         for i, j in pairs(d):
             centred[i, j] = centred[j, i] = row[f"s_{i}_{j}"] * row.n
         return Moments(row.n, np.array([row[f"m_{i}"] for i in range(d)]), centred)
-    rows = _columns(df, names)
+    rows = feature_columns(df, names)
     n, one, _ = wide_sums(rows)
     if not n:
         raise ValueError("no rows")
@@ -123,8 +123,9 @@ def gram(df: DataFrame, names: Sequence[str]) -> np.ndarray:
         for r in gram_frame(df, names).collect():
             out[r.i, r.j] = r.value or 0.0
         return out
-    return wide_sums(_columns(df, names))[2]
+    return wide_sums(feature_columns(df, names))[2]
 
 
-def _columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
+def feature_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The number and array columns of that name, as doubles."""
     return df.select(*(vector(df, c) if is_vector(df, c) else numeric(df, c) for c in names))

@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.expr import SIGMOID_LIMIT, column, linear, positive, sigmoid
-from quillspark.operators.gram import gram, moments
-from quillspark.operators.vectors import combined, dot, is_vector, vector
+from quillspark.operators.gram import feature_columns, gram, moments
+from quillspark.operators.vectors import combined, dot, is_vector, vector, width
 from quillspark.sources.features import numeric, to_features
 
 #: Added to the diagonal where no ridge is asked for, and put in place of vanishing pivots.
 JITTER = 1e-6
+#: More features are fitted by conjugate gradients; their steps at most, and the relative residual that ends them.
+WIDE, STEPS, SETTLED = 2_000, 1_000, 1e-13
 _PIVOT = 1e-12
 
 
@@ -69,17 +71,28 @@ class LinearRegressionModel:
 
 
 class LinearRegression:
-    """Least squares with an optional ridge `alpha` on the sum scale; the intercept is not penalized. One aggregate. The features may be one array column."""
+    """Least squares with an optional ridge `alpha` on the sum scale; the intercept is not penalized. One aggregate. The features may be one array column.
 
-    def __init__(self, alpha: float = 0.0, fit_intercept: bool = True):
+    `normal` sums and solves the d x d normal equations. `gradients` never forms them: each
+    step of conjugate gradients, preconditioned by the norms of the columns, is one job
+    that multiplies the rows with a vector and back, d numbers a task. `auto` takes the
+    second form for more than `WIDE` features.
+    """
+
+    def __init__(self, alpha: float = 0.0, fit_intercept: bool = True, solver: str = "auto"):
         if alpha < 0:
             raise ValueError("alpha must not be negative")
-        self.alpha, self.fit_intercept = float(alpha), fit_intercept
+        if solver not in ("auto", "normal", "gradients"):
+            raise ValueError(f"unknown solver {solver!r}")
+        self.alpha, self.fit_intercept, self.solver = float(alpha), fit_intercept, solver
 
     def fit(self, df: DataFrame, features: Sequence[str], label: str) -> LinearRegressionModel:
         names = [*features, label]
         if len(features) > 1 and any(is_vector(df, c) for c in features):
             raise TypeError("an array column stands alone, without other features")
+        ridge = self.alpha if self.alpha > 0 else JITTER
+        if self.solver == "gradients" or self.solver == "auto" and width(df, features) > WIDE:
+            return self._by_gradients(df, features, label, ridge)
         if self.fit_intercept:
             m = moments(df, names)
             sums, mean = m.centred, m.mean
@@ -87,10 +100,45 @@ class LinearRegression:
             sums = gram(df, names)
             mean = np.zeros(len(sums))
         d = len(mean) - 1
-        weights = solve_spd(sums[:d, :d] + np.eye(d) * (self.alpha if self.alpha > 0 else JITTER), sums[:d, d])
+        weights = solve_spd(sums[:d, :d] + np.eye(d) * ridge, sums[:d, d])
         intercept = float(mean[d] - weights @ mean[:d]) if self.fit_intercept else 0.0
         return LinearRegressionModel(tuple(features), tuple(map(float, weights)), intercept, self.alpha, self.fit_intercept)
 
+    def _by_gradients(self, df: DataFrame, features: Sequence[str], label: str, ridge: float) -> LinearRegressionModel:
+        rows = feature_columns(df, [*features, label]).persist()
+        try:
+            sums = combined(rows, lambda m: np.append(m.sum(0), len(m)))
+            if sums is None:
+                raise ValueError("no rows")
+            mean = sums[:-1] / sums[-1] if self.fit_intercept else np.zeros(len(sums) - 1)
+
+            def start(m: np.ndarray) -> np.ndarray:
+                m = m - mean
+                return np.concatenate([m[:, :-1].T @ m[:, -1], (m[:, :-1] ** 2).sum(0)])
+
+            def product(m: np.ndarray, p: np.ndarray) -> np.ndarray:
+                x = m[:, :-1] - mean[:-1]
+                return x.T @ (x @ p)
+
+            right, norms = np.split(combined(rows, start), 2)
+            norms = norms + ridge
+            w, r = np.zeros(len(right)), right.copy()
+            p = r / norms
+            size, target = r @ p, SETTLED**2 * (right @ (right / norms))
+            for _ in range(STEPS):
+                if size <= target:
+                    break
+                q = combined(rows, lambda m, p=p: product(m, p)) + ridge * p
+                step = size / (p @ q)
+                w, r = w + step * p, r - step * q
+                z = r / norms
+                size, last = r @ z, size
+                p = z + size / last * p
+        finally:
+            rows.unpersist()
+        intercept = float(mean[-1] - w @ mean[:-1]) if self.fit_intercept else 0.0
+        return LinearRegressionModel(tuple(features), tuple(map(float, w)), intercept, self.alpha, self.fit_intercept)
+
 
 @dataclass(frozen=True)
 class LogisticRegressionModel:

@@ -31,8 +31,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.functions.expr import column, literals, positive
-from quillspark.operators.vectors import is_vector, matrix, vector
+from quillspark.functions.expr import column, literal_sql, literals, positive
+from quillspark.operators.vectors import is_vector, matrix, vector, width
 from quillspark.sources.features import numeric, resolve, spread, to_features
 
 CANDIDATES = 32
@@ -158,10 +158,8 @@ class _Table:
     def __init__(self, rows: DataFrame, d: int, weights: Column, trees: int):
         """`rows`: key, y, f0.. ; `weights` may use `key`."""
         self.d, self.trees = d, trees
-        dealt = spread(rows)
-        #: Kept until it is coded, if it had to be dealt out.
-        self.spread = None if dealt is rows else dealt.persist()
-        rows = dealt
+        #: Kept until it is coded, so that what it comes from runs once.
+        self.raw = rows = rows.persist()
         each = [F.col(f"f{i}") for i in range(d)]
         known = rows.agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least"), F.max("key").alias("most")).first()
         self.rows = known.n
@@ -175,20 +173,18 @@ class _Table:
         key = "key" if width < 1 << 52 else "cast(key as decimal(20,0))"
         cell = F.expr(f"cast(({key} - ({first}L)) div {width}L as int)" if first > -(1 << 63) else f"cast((cast(key as decimal(20,0)) + 9223372036854775808BD) div {width}L as int)")
         code = [F.when(F.isnan(c), len(q) + 1).otherwise(_below(q.tolist(), c, "double")) for c, q in zip(each, self.cuts, strict=True)]
-        keyed = rows.withColumn("key", F.coalesce("key", F.lit(first)))
+        keyed = spread(rows, self.rows).withColumn("key", F.coalesce("key", F.lit(first)))
         self.base = keyed.select("key", "y", F.array(*each).alias("x"), F.array(*code, cell).cast("array<int>").alias("c"), weights.alias("w")).persist()
 
     def measure(self) -> _Cells:
         """Counts of the whole table, each row once; also notes which cells hold one value only, and the span of the key in each."""
-        by = self.base.select("key", "y", "x", F.posexplode("c").alias("f", "code")).groupBy("f", "code")
-        value = F.get("x", "f")
-        found = by.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p"), F.min(value).alias("low"), F.max(value).alias("high"), F.min("key").alias("first"), F.max("key").alias("last")).toArrow()
+        by = self.base.selectExpr("key", "y", "x", "posexplode(c) as (f, code)").groupBy("f", "code")
+        found = by.agg(*(F.expr(e) for e in ("count(1) as n", "sum(y) as p", "min(get(x, f)) as low", "max(get(x, f)) as high", "min(key) as first", "max(key) as last"))).toArrow()
         f, code, n, p = (found.column(c).to_numpy() for c in ("f", "code", "n", "p"))
         self.single = np.zeros((self.d, FEATURE_CELLS + 2), bool)
         own = f < self.d
         self.single[f[own], code[own]] = (found.column("low").to_numpy() == found.column("high").to_numpy())[own]
-        if self.spread is not None:
-            self.spread.unpersist()
+        self.raw.unpersist()
         key = {int(c): (a, b) for c, a, b, mine in zip(code, found.column("first").to_pylist(), found.column("last").to_pylist(), ~own, strict=True) if mine}
         self.key_span = key
         return self._cells(f, code, n, p)
@@ -203,23 +199,21 @@ class _Table:
     def routed(self, nodes: _Nodes, depth: int, slots: Sequence[int]) -> DataFrame:
         """The rows at the nodes `slots`, with `slot`, the place of their node there, and `w`, how often they count."""
         kept = ("key", "y", "x", "c", "w")
-        rows = self.base.select(*kept[:-1], F.posexplode("w").alias("node", "w")).filter("w > 0")
-        feature = literals([-1 if s is None else s.feature for s in nodes.split], "int")
-        cut, left = literals([0.0 if s is None else s.threshold for s in nodes.split], "double"), literals(nodes.left, "int")
+        rows = self.base.selectExpr(*kept[:-1], "posexplode(w) as (node, w)").where("w > 0")
+        feature = literal_sql([-1 if s is None else s.feature for s in nodes.split], "int")
+        cut, left = literal_sql([0.0 if s is None else s.threshold for s in nodes.split], "double"), literal_sql(nodes.left, "int")
         for _ in range(depth):
-            f = F.get(feature, "node")
-            right = F.when(F.get("x", f) <= F.get(cut, "node"), 0).otherwise(1)
-            rows = _then(rows, kept, "node", F.when(f >= 0, F.get(left, "node") + right).otherwise(F.col("node")))
+            rows = _then(rows, kept, "node", f"if(get({feature}, node) >= 0, get({left}, node) + if(get(x, get({feature}, node)) <= get({cut}, node), 0, 1), node)")
         place = np.full(len(nodes.split), -1)
         place[list(slots)] = np.arange(len(slots))
-        return _then(rows, kept, "slot", F.get(literals(place.tolist(), "int"), "node")).filter("slot >= 0")
+        return _then(rows, kept, "slot", f"get({literal_sql(place.tolist(), 'int')}, node)").where("slot >= 0")
 
     def histograms(self, nodes: _Nodes, depth: int, slots: Sequence[int]) -> dict[int, _Cells]:
         out, width = {}, FEATURE_CELLS + ID_CELLS
         for some in _chunks(slots, MOST_CELLS // (self.d * FEATURE_CELLS + ID_CELLS)):
-            cells = self.routed(nodes, depth, some).select("slot", "y", "w", F.posexplode("c").alias("f", "code"))
-            key = (F.col("slot").cast("long") * (self.d + 1) + F.col("f")) * width + F.col("code")
-            found = cells.select(key.alias("cell"), "w", (F.col("w") * F.col("y")).alias("p")).groupBy("cell").agg(F.sum("w").alias("n"), F.sum("p").alias("p")).toArrow()
+            cells = self.routed(nodes, depth, some).selectExpr("slot", "y", "w", "posexplode(c) as (f, code)")
+            cells = cells.selectExpr(f"(cast(slot as bigint) * {self.d + 1} + f) * {width} + code as cell", "w", "w * y as p")
+            found = cells.groupBy("cell").agg(F.expr("sum(w) as n"), F.expr("sum(p) as p")).toArrow()
             cell, n, p = (found.column(c).to_numpy() for c in ("cell", "n", "p"))
             order = np.argsort(cell, kind="stable")
             cell, n, p = cell[order], n[order], p[order]
@@ -248,10 +242,8 @@ class _Table:
         bits = np.zeros(len(some) * words, np.int64)
         for k, code in wanted:
             bits[k * words + code // 32] |= 1 << code % 32
-        code = F.element_at("c", -1)
-        word = F.get(literals(bits.tolist(), "bigint"), F.col("slot") * words + F.floor(code / 32).cast("int"))
-        hash_ = F.pmod(F.xxhash64("x", "y"), F.lit(1 << 32)).alias("h")
-        hits = rows.filter(F.getbit(word, code % 32) == 1).select("slot", code.alias("cell"), "key", hash_, "x", "w")
+        hits = rows.where(f"getbit(get({literal_sql(bits.tolist(), 'bigint')}, slot * {words} + shiftright(element_at(c, -1), 5)), element_at(c, -1) % 32) = 1")
+        hits = hits.selectExpr("slot", "element_at(c, -1) as cell", "key", "pmod(xxhash64(x, y), 4294967296) as h", "x", "w")
         if sum(n for _, n in wanted.values()) > MOST_ROWS:
             hits, wanted = self._narrowed(hits, some, places, wanted)
             hits = hits.groupBy("slot", "cell", "key", "h", "x").agg(F.sum("w").alias("w"))
@@ -328,12 +320,12 @@ class _Table:
                     at = (k * self.d + f) * cells_each + cell
                     begin[at], size[at] = len(cuts) + start, number
                     cuts += own.tolist()
-            rows = self.routed(nodes, depth, [node for node, _ in some]).select("slot", "y", "x", "w", F.posexplode(F.slice("c", 1, self.d)).alias("f", "code"))
-            at = (F.col("slot") * self.d + F.col("f")) * cells_each + F.col("code")
-            value, number = F.get("x", "f"), F.get(literals(size.tolist(), "int"), "at")
-            inside = F.filter(F.slice(literals(cuts, "double"), F.get(literals(begin.tolist(), "int"), "at") + 1, number), lambda c: c < value)
-            rows = rows.select("y", "w", "x", "f", at.alias("at")).filter(number > 0).select("at", "w", (F.col("w") * F.col("y")).alias("p"), F.size(inside).alias("bin"))
-            found = rows.groupBy("at", "bin").agg(F.sum("w").alias("n"), F.sum("p").alias("p")).toArrow()
+            rows = self.routed(nodes, depth, [node for node, _ in some]).selectExpr("slot", "y", "x", "w", f"posexplode(slice(c, 1, {self.d})) as (f, code)")
+            rows = rows.selectExpr("y", "w", "x", "f", f"(slot * {self.d} + f) * {cells_each} + code as at")
+            number = f"get({literal_sql(size.tolist(), 'int')}, at)"
+            inside = f"filter(slice({literal_sql(cuts, 'double')}, get({literal_sql(begin.tolist(), 'int')}, at) + 1, {number}), q -> q < get(x, f))"
+            rows = rows.where(f"{number} > 0").selectExpr("at", "w", "w * y as p", f"size({inside}) as bin")
+            found = rows.groupBy("at", "bin").agg(F.expr("sum(w) as n"), F.expr("sum(p) as p")).toArrow()
             more: dict[int, list[tuple[int, int, int]]] = {}
             for at, bin_, n, p in zip(*(found.column(c).to_pylist() for c in ("at", "bin", "n", "p")), strict=True):
                 more.setdefault(at, []).append((bin_, n, p))
@@ -355,9 +347,9 @@ def _quantiles(values: pa.ChunkedArray, cells: int) -> np.ndarray:
     return np.unique(v[np.arange(1, cells) * len(v) // cells]) if len(v) else v
 
 
-def _then(rows: DataFrame, kept: Sequence[str], name: str, value: Column) -> DataFrame:
+def _then(rows: DataFrame, kept: Sequence[str], name: str, value: str) -> DataFrame:
     """The columns `kept` and one computed from columns of `rows`, as a list of one that is unfolded: filters on it are not moved beneath, where a chain of such columns would be written out over and over."""
-    return rows.select(*kept, F.explode(F.array(value)).alias(name))
+    return rows.selectExpr(*kept, f"explode(array({value})) as {name}")
 
 
 def _chunks(items: Sequence, size: int) -> Iterable[Sequence]:
@@ -401,6 +393,7 @@ def _grow(rows: DataFrame, d: int, max_depth: int, min_split: int, trees: int, w
                 cells = table.histograms(nodes, depth + 1, [i for p in pairs for i in p[1:] if open_(i)])
         return nodes
     finally:
+        table.raw.unpersist()
         table.base.unpersist()
 
 
@@ -538,8 +531,7 @@ def _samples(df: DataFrame, features: Sequence[str], label: str, id_col: str) ->
         if len(features) > 1:
             raise TypeError("an array column stands alone, without other features")
         x = vector(df, features[0])
-        first = df.select(F.size(x).alias("d")).first()
-        d = first.d if first else 0
+        d = width(df, features)
         other = F.raise_error(F.lit("vectors of different lengths"))
         rows = df.select(column(resolve(df, id_col)).alias("_id"), numeric(df, label).alias("y"), F.when(F.size(x) == d, x).otherwise(other).alias("x"))
         return rows.select("_id", F.when(positive(F.col("y")), 1).otherwise(0).alias("y"), *(F.get("x", i).alias(f"f{i}") for i in range(d))), d
@@ -563,7 +555,7 @@ def bootstrap(spark, trees: int, rows: int, size: int, seed: int = 42) -> DataFr
     """(tree, draw, pos): for each tree `size` positions of 0..rows-1, drawn with replacement by 60 bits of a hash of seed, tree and draw."""
     draws = spark.range(trees * size).select(F.floor(F.col("id") / size).cast("int").alias("tree"), (F.col("id") % size).alias("draw"))
     key = F.concat_ws(":", F.lit(seed) + F.lit(31) * F.col("tree"), F.col("draw"))
-    return draws.withColumn("pos", _bits(key) % rows)
+    return draws.withColumn("pos", _bits(key) % max(rows, 1))
 
 
 def _bits(text: Column) -> Column:
@@ -608,14 +600,10 @@ class RandomForest:
         samples, d = _samples(df, features, label, id_col)
         if self.exact:
             rows, n = positions(samples, "_id")
-            draws = bootstrap(df.sparkSession, self.num_trees, n, max(2, int(n * self.subsample_ratio)), self.seed) if n else None
-            rows = rows.withColumnRenamed("pos", "key")
-            if n:
-                times = draws.groupBy("pos", "tree").count().groupBy(F.col("pos").alias("key")).agg(F.map_from_entries(F.collect_list(F.struct("tree", "count"))).alias("times"))
-                rows = rows.join(times, "key", "left")
-            else:
-                rows = rows.withColumn("times", F.create_map().cast("map<int,bigint>"))
-            weights = F.transform(F.sequence(F.lit(0), F.lit(self.num_trees - 1)), lambda t: F.coalesce(F.col("times")[t], F.lit(0)).cast("int"))
+            draws = bootstrap(df.sparkSession, self.num_trees, n, max(2, int(n * self.subsample_ratio)), self.seed)
+            each = F.array(*(F.count_if(F.col("tree") == t).cast("int") for t in range(self.num_trees)))
+            rows = rows.withColumnRenamed("pos", "key").join(draws.groupBy(F.col("pos").alias("key")).agg(each.alias("times")), "key", "left")
+            weights = F.coalesce("times", F.array_repeat(F.lit(0), self.num_trees))
         else:
             rows = _keyed(samples)
             weights = multiplicities(F.col("key"), self.num_trees, self.subsample_ratio, self.seed)

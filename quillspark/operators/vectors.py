@@ -33,6 +33,14 @@ def vector(df: DataFrame, name: str) -> Column:
     return F.when(c.isNull() | F.exists(value, lambda v: v.isNull()), F.raise_error(F.lit(f"null in column {name}"))).otherwise(value).alias(name)
 
 
+def width(df: DataFrame, features: list[str] | tuple[str, ...]) -> int:
+    """The number of features: of columns, or of places in the first row of an array column."""
+    if len(features) == 1 and is_vector(df, features[0]):
+        first = df.select(F.size(vector(df, features[0])).alias("d")).first()
+        return first.d if first else 0
+    return len(features)
+
+
 def matrix(batch: pa.RecordBatch) -> np.ndarray:
     """Rows of an Arrow batch: arrays of equal lengths and numbers, side by side."""
     parts = []

@@ -609,6 +609,24 @@ def vector_linreg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(LinearRegression(1e-9).fit(rows, ["embedding"], "y").transform(rows).select("vec_id", "prediction"), 4, "prediction")
 
 
+@_query("SELECT vec_id, round(3 * embedding[1]::DOUBLE - 2 * embedding[2]::DOUBLE + 1, 4) + 0.0 AS prediction FROM embeddings")
+def vector_linreg_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same label by conjugate gradients, as for very wide data."""
+    rows = _embeddings(spark, sf_dir).withColumn("y", 3 * F.col("embedding")[0].cast("double") - 2 * F.col("embedding")[1].cast("double") + 1)
+    return _rounded(LinearRegression(1e-9, solver="gradients").fit(rows, ["embedding"], "y").transform(rows).select("vec_id", "prediction"), 4, "prediction")
+
+
+@_query("SELECT CAST(i AS INTEGER) AS component, 1.0::DOUBLE AS norm, 0.0::DOUBLE AS residual, round((SELECT sum(c) FROM (SELECT var_samp(v) AS c FROM " + _PLACES + " GROUP BY i)), 6) AS trace FROM range(8) r(i)")
+def pca_krylov_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components sought without a covariance: each has norm 1, and the covariance takes it to its variance times itself."""
+    rows = _embeddings(spark, sf_dir).select("embedding")
+    m = PCA(8, "krylov").fit(rows, ["embedding"])
+    v, c = np.array(m.components), moments(rows, ["embedding"]).covariance
+    off = np.abs(v @ c - np.array(m.explained_variance)[:, None] * v).sum(1)
+    out = [(i, float((v[i] ** 2).sum()), float(off[i]), m.explained_variance[i] / m.explained_variance_ratio[i]) for i in range(8)]
+    return _rounded(spark.createDataFrame(out, "component int, norm double, residual double, trace double"), 6, "norm", "residual", "trace")
+
+
 _VECTOR_LOGIT = (
     f"WITH x AS (SELECT vec_id, list(v ORDER BY i) AS v, CASE WHEN list(v ORDER BY i)[1] > 0 THEN 1.0 ELSE 0.0 END AS y FROM {_PLACES} GROUP BY vec_id), w0 AS (SELECT list_transform(range(64), lambda i: 0.0::DOUBLE) AS w, 0.0::DOUBLE AS b), "
     + ", ".join(
@@ -761,7 +779,7 @@ def forest_deep_proba(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voted.groupBy(F.round("probability", 6).alias("probability")).agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("places"))
 
 
-_DEEP = f"WITH rows AS {_ORDERS}, {sql.tree('t', 'rows', 2, 5)} SELECT CAST(node AS INTEGER) AS node, CAST(f AS INTEGER) AS feature, t AS threshold, CASE WHEN f IS NULL THEN value END AS value FROM t WHERE value IS NOT NULL"
+_DEEP = f"WITH rows AS {_ORDERS}, {sql.tree('t', 'rows', 2, 5)} SELECT CAST(node AS INTEGER) AS node, CAST(coalesce(f, -1) AS INTEGER) AS feature, coalesce(t, 0.0::DOUBLE) AS threshold, CASE WHEN f IS NULL THEN value ELSE 0.0::DOUBLE END AS value FROM t WHERE value IS NOT NULL"
 
 
 @_query(_DEEP)
@@ -772,7 +790,7 @@ def tree_fit_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     while todo:
         at, heap = todo.pop()
         node = model.nodes[at]
-        out.append((heap, None if node.is_leaf else node.feature, None if node.is_leaf else node.threshold, node.value if node.is_leaf else None))
+        out.append((heap, node.feature, node.threshold, node.value))
         todo += [] if node.is_leaf else [(node.left, 2 * heap + 1), (node.right, 2 * heap + 2)]
     return spark.createDataFrame(out, "node int, feature int, threshold double, value double")
 

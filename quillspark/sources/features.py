@@ -57,10 +57,13 @@ def to_features(df: DataFrame, features: Sequence[str], label: str | None = None
     return df.select(*columns)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """`df`, dealt out anew if it lies in fewer partitions than there are cores: for a small table that is kept and read again and again."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+#: Tables up to this size are dealt out anew before they are read again and again.
+SMALL_ROWS = 4_000_000
+
+
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, which has so many rows, over all cores if it is small: a small table often lies in one file, which one core would read."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if rows <= SMALL_ROWS else df
 
 
 def read_features(spark: SparkSession, path: str, features: Sequence[str], label: str | None = None, id_col: str | None = None, null_policy: str = "error") -> DataFrame:

@@ -455,6 +455,53 @@ def test_fits_on_an_array_column_equal_those_on_columns(spark):
     both.unpersist()
 
 
+@pytest.mark.parametrize("shape", [(400, 64), (60, 300)])
+def test_krylov_components_equal_exact_ones(spark, shape):
+    """More rows than features, and fewer: then the covariance has not full rank."""
+    draw = np.random.default_rng(1)
+    x = draw.normal(size=shape) * np.linspace(3, 0.5, shape[1]) + 5
+    df = spark.createDataFrame([(list(map(float, r)),) for r in x], "v array<double>").repartition(4)
+    a, b = PCA(6, "krylov").fit(df, ["v"]), PCA(6, "exact").fit(df, ["v"])
+    assert np.allclose(a.explained_variance, b.explained_variance, rtol=1e-9) and np.allclose(a.explained_variance_ratio, b.explained_variance_ratio, rtol=1e-9)
+    assert np.allclose(np.abs((np.array(a.components) * np.array(b.components)).sum(1)), 1, atol=1e-7) and np.allclose(a.mean, b.mean)
+    assert PCA(9, "krylov").fit(df.select(F.slice("v", 1, 4).alias("v")), ["v"]).n_components == 4
+    flat = PCA(2, "krylov").fit(df.select(F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)).alias("v")), ["v"])
+    assert flat.explained_variance_ratio == (0.0, 0.0)
+    with pytest.raises(ValueError):
+        PCA(2, "krylov").fit(df.limit(0), ["v"])
+
+
+def test_five_thousand_columns(spark, monkeypatch):
+    """Only vectors of that length are held, no square of it."""
+    from quillspark.operators import decomposition, linear
+
+    draw = np.random.default_rng(2)
+    x = draw.normal(size=(80, 3)) @ draw.normal(size=(3, 5000)) + 0.001 * draw.normal(size=(80, 5000))
+    df = spark.createDataFrame([(list(map(float, r)), float(r[0] - r[1])) for r in x], "v array<double>, y double").repartition(3)
+    for module in (decomposition, linear):
+        monkeypatch.setattr(module, "moments", lambda *a: pytest.fail("the square was summed"))
+    m = PCA(3).fit(df, ["v"])
+    assert sum(m.explained_variance_ratio) > 0.99 and m.n_features == 5000
+    fit = LinearRegression(1e-3).fit(df, ["v"], "y")
+    got = fit.transform(df).select(F.max(F.abs(F.col("prediction") - F.col("y")))).first()[0]
+    assert got < 1e-2 and fit.n_features == 5000
+
+
+@pytest.mark.parametrize(("alpha", "intercept"), [(0.0, True), (5.0, True), (0.5, False)])
+def test_gradients_agree_with_the_normal_equations(spark, alpha, intercept):
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(500, 30)) * 10.0 ** draw.integers(-2, 3, 30) + 2
+    y = x @ draw.normal(size=30) + 0.1 * draw.normal(size=500)
+    df, names = _frame(spark, x, y)
+    arrays = df.select(F.array(*names).alias("v"), "y")
+    want = LinearRegression(alpha, intercept, "normal").fit(df, names, "y")
+    for rows, features in ((df, names), (arrays, ["v"])):
+        got = LinearRegression(alpha, intercept, "gradients").fit(rows, features, "y")
+        assert np.allclose(got.weights, want.weights, rtol=1e-8, atol=1e-8) and got.intercept == pytest.approx(want.intercept, abs=1e-6)
+    with pytest.raises(ValueError):
+        LinearRegression(solver="other")
+
+
 def test_odd_array_columns(spark):
     rows = spark.createDataFrame([(1, [1.0, 2.0], 1.0), (2, [3.0, None], 0.0)], "id long, v array<double>, y double")
     for fit in (lambda d: StandardScaler().fit(d, ["v"]), lambda d: KMeans(2).fit(d, ["v"]), lambda d: LinearRegression().fit(d, ["v"], "y")):
