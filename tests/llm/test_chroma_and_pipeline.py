@@ -151,11 +151,11 @@ def test_stages_call_the_operators():
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_queries_cover_their_tables(spark, name):
-    table = {"op7_chroma_fingerprints": "embeddings", "op10_html_blocks": "pages"}.get(name, "documents")
+    table = {"op7_chroma_fingerprints": "embeddings", "op10_html_blocks": "pages", "op13_hard_negatives": "embeddings"}.get(name, "documents")
     rows = catalog.queries()[name](spark, SF)
     n = rows.count()
-    assert n == spark.read.parquet(f"{SF}/{table}.parquet").count() or (name.startswith("op9_") and n > 0)
+    assert n == spark.read.parquet(f"{SF}/{table}.parquet").count() or (name.startswith(("op9_", "op13_")) and n > 0)
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in catalog.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in catalog.queries()) == list(range(1, 14))
