@@ -18,7 +18,7 @@ from quillspark.operators.histogram import build_histogram, discretize
 from quillspark.operators.linear import LinearRegression, LogisticRegression, project
 from quillspark.operators.metrics import accuracy_frame, mse_frame, r2_frame
 from quillspark.operators.preprocessing import MinMaxScaler, OneHotEncoder, StandardScaler, category_order, minmax_params, standard_params
-from quillspark.operators.trees import DecisionTree, DecisionTreeModel, Node, RandomForest, RandomForestModel, bootstrap, gini_candidates, multiplicities, poisson_steps
+from quillspark.operators.trees import DecisionTree, DecisionTreeModel, Node, RandomForestModel, bootstrap, gini_candidates, multiplicities, poisson_steps
 from quillspark.plans import sql
 from quillspark.sources.features import column, from_columns, from_rows, read_features, row, to_features, to_matrix, value, with_column
 
@@ -713,9 +713,15 @@ def forest_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bootstrap(spark, 3, n, int(n * 0.8))
 
 
-_STUMPS = (
-    f"WITH rows AS {_ORDERS}, draws AS ({_DRAWS}), "
-    + ", ".join(f"s{t} AS (SELECT r.pos, r.y, r.f0, r.f1 FROM draws d JOIN rows r ON r.pos = d.pos WHERE d.tree = {t}), {sql.split(f'b{t}', f's{t}', 2)}, {sql.side(f'l{t}', f's{t}', f'b{t}', 2, True)}, {sql.side(f'h{t}', f's{t}', f'b{t}', 2, False)}" for t in range(3))
+def _drawn(tree: int) -> str:
+    """How often a tree draws an order."""
+    return f"len(list_filter({poisson_steps(0.8)}, lambda s: s <= ('0x' || substr(md5('{42 + 31 * tree}:' || o_orderkey::VARCHAR), 1, 15))::BIGINT))"
+
+
+_KEYED = _ORDERS.replace("(SELECT ", "(SELECT o_orderkey, ", 1)
+_STUMPS = f"WITH rows AS {_KEYED}, " + ", ".join(
+    f"s{t} AS (SELECT r.* FROM (SELECT *, unnest(range({_drawn(t)})) FROM rows) x JOIN rows r USING (pos)), {sql.split(f'b{t}', f's{t}', 2)}, {sql.side(f'l{t}', f's{t}', f'b{t}', 2, True)}, {sql.side(f'h{t}', f's{t}', f'b{t}', 2, False)}"
+    for t in range(3)
 )
 
 
@@ -729,7 +735,7 @@ _PROBABILITY = f"SELECT y, ({' + '.join(map(_vote, range(3)))}) / 3.0 AS p FROM
 
 def _stumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _orders(spark, sf_dir)
-    return RandomForest(3, 1, exact=True).fit(rows, ["f0", "f1"], "y", "o_orderkey").transform(rows)
+    return api.fit_random_forest(rows, "Y", ["F0", "F1"], "o_orderkey", num_trees=3, max_depth=1).transform(rows)
 
 
 @_query(_STUMPS + f" SELECT round(p, 6) AS probability, count(*) AS n FROM ({_PROBABILITY}) GROUP BY 1")
@@ -745,18 +751,12 @@ def forest_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Fits from a DataFrame in one call
 
 
-def _drawn(tree: int) -> str:
-    """How often a tree draws an order."""
-    return f"len(list_filter({poisson_steps(0.8)}, lambda s: s <= ('0x' || substr(md5('{42 + 31 * tree}:' || o_orderkey::VARCHAR), 1, 15))::BIGINT))"
-
-
 @_query("SELECT o_orderkey, CAST(t.range AS INTEGER) AS tree, CAST(CASE t.range " + " ".join(f"WHEN {t} THEN {_drawn(t)}" for t in range(3)) + " END AS INTEGER) AS draws FROM orders, range(3) t")
 def forest_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "orders")
     return rows.select("o_orderkey", F.posexplode(multiplicities(F.col("o_orderkey"), 3, 0.8)).alias("tree", "draws"))
 
 
-_KEYED = _ORDERS.replace("(SELECT ", "(SELECT o_orderkey, ", 1)
 _FOREST = (
     f"WITH rows AS {_KEYED}, "
     + ", ".join(f"d{t} AS (SELECT r.* FROM (SELECT *, unnest(range({_drawn(t)})) FROM rows) x JOIN rows r USING (pos)), {sql.tree(f't{t}', f'd{t}', 2, 4)}, {sql.routed(f'v{t}', 'rows', f't{t}', 2, 4)}" for t in range(5))
