@@ -158,8 +158,7 @@ class _Table:
     def __init__(self, rows: DataFrame, d: int, weights: Column, trees: int):
         """`rows`: key, y, f0.. ; `weights` may use `key`."""
         self.d, self.trees = d, trees
-        #: Kept until it is coded, so that what it comes from runs once.
-        self.raw = rows = rows.persist()
+        self.raw = rows
         each = [F.col(f"f{i}") for i in range(d)]
         known = rows.agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least"), F.max("key").alias("most")).first()
         self.rows = known.n
@@ -360,8 +359,10 @@ def _chunks(items: Sequence, size: int) -> Iterable[Sequence]:
 def _grow(rows: DataFrame, d: int, max_depth: int, min_split: int, trees: int, weights: Column | None = None) -> _Nodes:
     """`rows`: key, y (0 or 1), f0..; `weights` are the draws of each row by tree, once for one tree if none are given."""
     nodes = _Nodes(trees)
-    table = _Table(rows, d, F.array(F.lit(1)) if weights is None else weights, trees)
+    #: Kept until it is coded, so that what it comes from runs once.
+    rows, table = rows.persist(), None
     try:
+        table = _Table(rows, d, F.array(F.lit(1)) if weights is None else weights, trees)
         if not table.rows:
             return nodes
         whole = table.measure()
@@ -393,8 +394,9 @@ def _grow(rows: DataFrame, d: int, max_depth: int, min_split: int, trees: int, w
                 cells = table.histograms(nodes, depth + 1, [i for p in pairs for i in p[1:] if open_(i)])
         return nodes
     finally:
-        table.raw.unpersist()
-        table.base.unpersist()
+        rows.unpersist()
+        if table is not None:
+            table.base.unpersist()
 
 
 def positions(df: DataFrame, id_col: str, *then: str) -> tuple[DataFrame, int]:
