@@ -237,8 +237,8 @@ def _class_key(classes: DataFrame) -> Column:
 def links(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, classes, links): members has doc, rid, n, rep for every row; classes the smallest doc and its rid of every rep; links has (a, b) between reps."""
     signed = written(docs.mapInArrow(lean(_signatures), "doc long, rid binary, n long, set1 long, set2 long, bands array<long>, bits array<long>"), "minhash-signatures")
-    #: One row for each set; null ids sort last, so a class is named by a real id where it has one.
-    classes = signed.filter("n > 0").groupBy("set1", "set2", "n").agg(F.min(F.struct(F.coalesce("doc", F.lit((1 << 63) - 1)).alias("doc"), F.col("rid").alias("rid"), "bands", "bits")).alias("one"))
+    #: One row for each set; null ids sort last, so a class is named by an id where it has one.
+    classes = signed.filter("n > 0").groupBy("set1", "set2", "n").agg(F.min(F.struct(F.isnull("doc").alias("nameless"), "doc", "rid", "bands", "bits")).alias("one"))
     classes = written(classes.select("set1", "set2", "n", F.col("one.doc").alias("doc"), F.col("one.rid").alias("rid"), F.col("one.bands").alias("bands"), F.col("one.bits").alias("bits")), "minhash-classes")
     key = _class_key(classes)
     classes = classes.withColumn("rep", key)
@@ -292,27 +292,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     holds the distinct shingles of five words, or the whole text if it has fewer.
     Rows whose sets share `THRESHOLD` percent of their union are linked;
     component_id is the smallest doc_id reachable, and `kept` tells whether it is
-    the row's own; of several texts of one component under that id, one is kept,
-    and unrelated texts under one id are components of their own. class_id is the smallest doc_id with the same set,
+    the row's own, so all rows of one component under that id are kept (`deduplicated`
+    keeps one of them); unrelated texts under one id are components of their own. class_id is the smallest doc_id with the same set,
     n_confirmed the links of that class which the search confirmed: enough to connect its component, not all that exist. Null and
     empty texts have no set and stay alone (class and component are their own
-    ids). A null doc_id counts as larger than all. Repeated rows are one class.
-    Other columns are ignored; no rows give no rows.
+    ids). A null doc_id counts as larger than all: class and component are null only
+    where no row of theirs has an id, and two nulls count as the same. Repeated rows
+    are one class. Other columns are ignored; no rows give no rows.
     """
-    return _labelled(docs, THRESHOLD).select("doc_id", "n_shingles", "component_id", "kept", "class_id", "n_confirmed")
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return _labelled(docs, THRESHOLD).select("doc_id", "n_shingles", "component_id", kept, "class_id", "n_confirmed")
 
 
 def _labelled(docs: DataFrame, threshold: int) -> DataFrame:
+    """Per row: rid, doc_id, n_shingles, component_id, `head` (whether its component keeps the row's text under its id), class_id, n_confirmed."""
     members, classes, found = links(keyed(docs), threshold)
     labels = components(found).select(F.col("node").alias("rep"), "component")
     both = found.select(F.col("a").alias("rep")).unionByName(found.select(F.col("b").alias("rep")))
     degree = both.groupBy("rep").agg(F.count(F.lit(1)).alias("n_confirmed"))
     linked = written(labels.join(classes, "rep"), "minhash-linked")
-    heads = linked.groupBy("component").agg(F.min(F.struct("doc", "rid")).alias("head"))
+    heads = linked.groupBy("component").agg(F.min(F.struct(F.isnull("doc").alias("nameless"), "doc", "rid")).alias("head"))
     headed = written(linked.join(heads, "component").join(degree, "rep", "left").select("rep", "head", "n_confirmed"), "minhash-heads")
     forget(linked, found)
     #: One written table on the other side, so that Spark can split a class of very many members.
-    named = F.coalesce("head", F.struct("doc", "rid"))
+    named = F.coalesce("head", F.struct(F.isnull("doc").alias("nameless"), "doc", "rid"))
     placed = written(classes.join(headed, "rep", "left").select("rep", F.col("doc").alias("class_id"), named["doc"].alias("component_id"), named["rid"].alias("kept_rid"), "n_confirmed"), "minhash-labels")
     out = members.join(placed, "rep", "left")
     return out.select(
@@ -320,7 +323,7 @@ def _labelled(docs: DataFrame, threshold: int) -> DataFrame:
         F.col("doc").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "doc").alias("component_id"),
-        F.coalesce(F.col("rid") == F.col("kept_rid"), F.lit(True)).alias("kept"),
+        F.coalesce(F.col("rid") == F.col("kept_rid"), F.lit(True)).alias("head"),
         F.coalesce("class_id", "doc").alias("class_id"),
         F.coalesce("n_confirmed", F.lit(0)).cast("long").alias("n_confirmed"),
     )
@@ -334,6 +337,6 @@ def deduplicated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     other columns any one stays. Columns of any name pass through, no rows give no rows.
     """
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keys = _labelled(rows.select("doc_id", "text"), threshold).filter("kept").select("rid").distinct()
+    keys = _labelled(rows.select("doc_id", "text"), threshold).filter("head").select("rid").distinct()
     rows = rows.select("row", "doc_id", F.coalesce("text", F.lit("")).alias("text")).select("row", row_key().alias("rid")).join(keys, "rid", "left_semi").dropDuplicates(["rid"])
     return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -18,7 +18,7 @@ def brute(rows):
         t = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
         w = WORDS.findall(t)
         sets.append(frozenset([tuple(w)] if 0 < len(w) < 5 else (tuple(w[i : i + 5]) for i in range(len(w) - 4))))
-        ids.append((1 << 63) - 1 if d is None else d)
+        ids.append(float("inf") if d is None else d)
     parent = list(range(len(rows)))
 
     def find(x):
@@ -34,17 +34,14 @@ def brute(rows):
     for (a, b), n in common.items():
         if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
             parent[find(a)] = find(b)
-    for i, d in enumerate(ids):
-        for j in range(i):
-            if ids[j] == d and sets[i] and sets[j]:
-                parent[find(i)] = find(j)
     least = {}
     for i, d in enumerate(ids):
         least[find(i)] = min(least.get(find(i), d), d)
     out = []
     for i, (d, _) in enumerate(rows):
-        c = least[find(i)] if sets[i] else d
-        out.append((d, len(sets[i]), c, c is None or c == ids[i]))
+        c = least[find(i)]
+        c = None if c == float("inf") else c
+        out.append((d, len(sets[i]), c, c == d))
     return ordered(out)
 
 
@@ -107,11 +104,23 @@ def test_null_and_repeated_ids_are_told_apart_by_their_texts(spark):
     near_a, near_d = a + " more", d + " more"
     rows = [(1, a), (None, near_a), (None, b), (5, near_a + " of it"), (5, b + " " + c), (5, c), (None, d), (None, near_d)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
+    labelled = minhash.near_duplicates(df).select("doc_id", "n_shingles", "component_id", "kept")
+    assert ordered(labelled.collect()) == brute(rows)
     got = {(r.doc_id, r.text) for r in minhash.deduplicated(df).collect()}
     last = (None, d) if (None, d) in got else (None, near_d)
     assert got == {(1, a), (None, b), (5, b + " " + c), (5, c), last}
 
 
+def test_rows_under_the_id_of_their_component_are_all_kept(spark):
+    a, b = prose(50, 120), prose(51, 120)
+    rows = [(7, a), (7, a + " more"), (9, a + " of it"), (None, b), (None, b + " more"), (None, prose(52, 120)), ((1 << 63) - 1, prose(53, 120))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.near_duplicates(df).select("doc_id", "n_shingles", "component_id", "kept")
+    assert ordered(got.collect()) == brute(rows)
+    assert {(r.doc_id, r.component_id, r.kept) for r in got.collect()} == {(7, 7, True), (9, 7, False), (None, None, True), ((1 << 63) - 1, (1 << 63) - 1, True)}
+    assert minhash.deduplicated(df).count() == 4
+
+
 def test_words_with_one_polynomial_are_different(spark):
     """A pair under the threshold by one long word, which polynomials modulo 2^64 cannot tell from its complement."""
     bits = [bin(i).count("1") & 1 for i in range(4096)]
