@@ -18,6 +18,7 @@ compared by their bytes.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -349,19 +350,45 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, whose text holds no item.
 
     Null and empty texts hold none and stay; repeated rows stay or go together; columns
-    of any name pass through; without items all rows stay.
+    of any name pass through; without items all rows stay. Where the items fill several
+    shards, each gives the keys (128 bits of the text) of the texts that leak, and one
+    anti-join takes those away; no shard writes the corpus.
     """
-    out, place = docs, docs.columns.index("text")
+    rows, leaks, through = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text")), [], docs
+    rows = rows.select("row", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5(F.encode("text", "UTF-8"))))
     for only, _, index in indexes(items):
+        if only:
+            #: One shard: the texts go through it on their way, nothing is joined.
+            through = docs.mapInArrow(lean(_free_of(index, docs.columns.index("text"))), docs.schema)
+        else:
+            leaks.append(written(rows.select("key", "text").mapInArrow(lean(_keys_of_leaks(index)), "key binary").distinct(), "leaking-keys"))
+    if not leaks:
+        return through
+    found = written(functools.reduce(DataFrame.unionByName, leaks).distinct(), "leaking-texts")
+    forget(*leaks)
+    return rows.join(found, "key", "left_anti").select(*(F.col("row")[c].alias(c) for c in docs.columns))
+
+
+def _leaking(index: ItemIndex, texts: pa.Array) -> np.ndarray:
+    """Marks of the texts that hold an item of the index."""
+    data, offsets = lowered(texts)
+    marks = np.zeros(len(texts), bool)
+    for i, j in row_slices(offsets):
+        marks[index.leaks(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0] + i] = True
+    return marks
+
+
+def _free_of(index: ItemIndex, place: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~_leaking(index, batch.column(place))))
 
-        def kept(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                data, offsets = lowered(batch.column(place))
-                keep = np.ones(batch.num_rows, bool)
-                for i, j in row_slices(offsets):
-                    keep[index.leaks(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0] + i] = False
-                yield batch.filter(pa.array(keep))
+    return run
 
-        out = out.mapInArrow(lean(kept), out.schema)
-        out = out if only else written(out, "leak-free")
-    return out
+
+def _keys_of_leaks(index: ItemIndex):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("key").filter(pa.array(_leaking(index, batch.column("text"))))], names=["key"])
+
+    return run

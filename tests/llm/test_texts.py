@@ -330,7 +330,14 @@ def test_items_go_in_several_indexes(spark, monkeypatch):
     whole = ordered(decontaminate.find_leaks(docs, items).select("doc_id", "item_id").collect())
     monkeypatch.setattr(decontaminate.indexes, "__defaults__", (400,))
     assert ordered(decontaminate.find_leaks(docs, items).select("doc_id", "item_id").collect()) == whole
-    assert decontaminate.clean(docs, items).count() == len(_items()) - len({d for d, _ in whole})
+    written, tables = decontaminate.written, []
+    monkeypatch.setattr(decontaminate, "written", lambda df, name: tables.append((name, df.columns)) or written(df, name))
+    rows = docs.select("doc_id", F.lit("clash").alias("key"), "text", F.lit(1).alias("row")).unionByName(docs.limit(1).selectExpr("null as doc_id", "null as key", "null as text", "null as row"))
+    clean = decontaminate.clean(rows, items)
+    assert clean.columns == rows.columns and clean.count() == len(_items()) + 1 - len({d for d, _ in whole})
+    #: Whatever the number of shards, keys of leaking texts are written and no texts.
+    assert sum(name == "leaking-keys" for name, _ in tables) >= 4
+    assert all(columns == ["key"] for name, columns in tables if name.startswith("leaking"))
 
 
 def test_wand_retrieves_all_above_the_threshold(monkeypatch):
