@@ -4,11 +4,13 @@ The distinct segments of a batch (a run of word marks and the characters up to t
 next) are one text. Its suffix array is built by rank doubling up to the longest
 piece; every piece of the vocabulary is found by binary search, which gives the
 range of suffixes that start with it; the ranges become edges (place, length,
-piece), sorted by place. The relaxation is that of the model: in byte-pair models
+piece), sorted by place and length; that sorted list is what the relaxation walks.
+The relaxation is that of the model: in byte-pair models
 the best-scored edge that joins two neighbouring tokens is taken first, the
 leftmost of equals. Short segments are relaxed in lockstep, one edge of each a round;
 in long ones a round takes every edge that is the best within the longest piece on
-either side, as nothing outside can change what happens there.
+either side, as nothing outside can change what happens there, and of equals in a row
+as many as follow each other from the left without a better edge coming up.
 
 Pieces never hold a word mark after another character (checked when the model is
 read), so segments are independent; so are their parts between two characters that
@@ -154,6 +156,18 @@ def _lower_bound(order: np.ndarray, keys: list[np.ndarray], wanted: list[np.ndar
         lo, hi = np.where(open_ & smaller, mid + 1, lo), np.where(open_ & ~smaller, mid, hi)
 
 
+def _least(values: np.ndarray, before: int, after: int) -> np.ndarray:
+    """The least of each value, `before` values on its left and `after` on its right."""
+    wanted = before + after + 1
+    least = np.concatenate([np.full(before, _NONE), values, np.full(after, _NONE)])
+    width = 1
+    while 2 * width <= wanted:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    rest = wanted - width
+    return np.minimum(least[: len(values)], least[rest : rest + len(values)])
+
+
 class Encoder:
     """Encodes batches; remembers segments it has seen."""
 
@@ -166,45 +180,53 @@ class Encoder:
         self.pool = np.zeros(0, np.int32)
         self.pool_first = np.zeros(1, np.int64)
 
-    def match(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The edges of all pieces in some segments: the piece by place and length, -1 where there is none."""
+    def match(self, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The edges of all pieces in some segments, by place and length: place * (longest + 1) + length, and the piece."""
         v = self.v
         left = np.repeat(first[1:], np.diff(first)) - np.arange(len(codes))
         order, keys = suffix_order(codes, left, v.depth)
         begin, end = _lower_bound(order, keys, v.low, False), _lower_bound(order, keys, v.high, True)
         count = end - begin
-        edge_piece = np.repeat(np.arange(len(count)), count)
-        place = order[np.arange(count.sum()) + np.repeat(begin - np.cumsum(count) + count, count)]
-        by_place = np.argsort(place, kind="stable")
-        place, edge_piece = place[by_place], edge_piece[by_place]
-        piece = np.full((len(codes) + 1, v.longest + 1), -1, np.int32)
-        piece[place, v.size[edge_piece]] = edge_piece
-        return piece
-
-    def _edges(self, piece: np.ndarray, start: np.ndarray, length: np.ndarray, segment: np.ndarray) -> np.ndarray:
-        """For each token the edge that joins it to the next, as rank and number in one; no edge is the largest rank."""
-        n = len(start)
-        both = np.zeros(n, np.int64)
-        both[:-1] = np.where(segment[1:] == segment[:-1], length[:-1] + length[1:], 0)
-        both[both > self.v.longest] = 0
-        joined = piece[start, both]
-        return np.where((both > 0) & (joined >= 0), self.v.rank[joined], _NONE).astype(np.int64) << 32 | np.arange(n)
-
-    def relax(self, piece: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        piece = np.repeat(np.arange(len(count), dtype=np.int32), count)
+        edge = order[np.arange(count.sum()) + np.repeat(begin - np.cumsum(count) + count, count)] * (v.longest + 1) + v.size[piece]
+        by_place = np.argsort(edge)
+        return edge[by_place], piece[by_place]
+
+    def joined(self, edges: tuple[np.ndarray, np.ndarray], start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The pieces of some lengths at some places, which should rise; -1 where there is none."""
+        edge, piece = edges
+        if not len(edge):
+            return np.full(len(start), -1, np.int32)
+        wanted = start * (self.v.longest + 1) + np.minimum(length, self.v.longest)
+        at = np.minimum(np.searchsorted(edge, wanted), len(edge) - 1)
+        return np.where((edge[at] == wanted) & (length <= self.v.longest), piece[at], -1)
+
+    def _ranks(self, edges: tuple[np.ndarray, np.ndarray], start: np.ndarray, length: np.ndarray, same: np.ndarray) -> np.ndarray:
+        """Ranks of the pieces of some lengths at some places, the largest where there is none or `same` does not hold."""
+        piece = self.joined(edges, start, length)
+        return np.where(same & (piece >= 0), self.v.rank[piece], _NONE)
+
+    def _next(self, edges: tuple[np.ndarray, np.ndarray], start: np.ndarray, length: np.ndarray, segment: np.ndarray) -> np.ndarray:
+        """For each token the rank of the edge that joins it to the next."""
+        both = length.copy()
+        both[:-1] += length[1:]
+        return self._ranks(edges, start, both, np.append(segment[1:] == segment[:-1], False))
+
+    def relax(self, edges: tuple[np.ndarray, np.ndarray], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens (place, length) of all segments, in order."""
         long = np.diff(first) > LOCKSTEP_CHARS
         segment = owners(first)
-        found = [self._lockstep(piece, np.flatnonzero(~long[segment]), segment), self._windowed(piece, np.flatnonzero(long[segment]), segment)]
+        found = [self._lockstep(edges, np.flatnonzero(~long[segment]), segment), self._windowed(edges, np.flatnonzero(long[segment]), segment)]
         place, length = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(place, kind="stable")
         return place[order], length[order]
 
-    def _lockstep(self, piece: np.ndarray, start: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _lockstep(self, edges: tuple[np.ndarray, np.ndarray], start: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A round takes the best edge of every segment."""
         places, lengths = [start[:0]], [start[:0]]
         length, segment = np.ones(len(start), np.int64), owner[start]
         while len(start):
-            best = self._edges(piece, start, length, segment)
+            best = self._next(edges, start, length, segment).astype(np.int64) << 32 | np.arange(len(start))
             heads = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
             least = np.minimum.reduceat(best, heads)
             done = (least >> 32) == _NONE
@@ -218,26 +240,44 @@ class Encoder:
             start, length, segment = start[keep], length[keep], segment[keep]
         return np.concatenate(places), np.concatenate(lengths)
 
-    def _windowed(self, piece: np.ndarray, start: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _windowed(self, edges: tuple[np.ndarray, np.ndarray], start: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A round takes every edge that is the best among those that begin within the longest piece on either side.
 
         An edge that could come before such a one and touch it would be built of edges
-        that lie there already and are better.
+        that lie there already and are better. Of equals within that reach of each other
+        the model takes one after the other from the left, skipping those whose left token
+        is gone, until one makes a better or equal edge; a round takes all up to that one.
         """
         length, reach = np.ones(len(start), np.int64), self.v.longest + 1
         while len(start):
-            edge = self._edges(piece, start, length, owner[start])
-            padded = np.full(len(edge) + 2 * reach, np.iinfo(np.int64).max)
-            padded[reach:-reach] = edge
-            least, width = padded, 1
-            while 2 * width <= 2 * reach + 1:
-                least = np.minimum(least[:-width], least[width:])
-                width *= 2
-            rest = 2 * reach + 1 - width
-            least = np.minimum(least[: len(edge)], least[rest : rest + len(edge)])
-            chosen = np.flatnonzero((edge == least) & (edge >> 32 != _NONE))
-            if not len(chosen):
+            segment = owner[start]
+            rank = self._next(edges, start, length, segment)
+            best = np.flatnonzero((rank == _least(rank, reach, reach)) & (rank != _NONE))
+            if not len(best):
                 break
+            #: An equal on the left that is not the best of its own surroundings comes first; all that follows waits for it.
+            others = rank.copy()
+            others[best] = _NONE
+            waits = _least(others, reach, 0)[best] == rank[best]
+            chain = np.cumsum(np.append(True, np.diff(best) > reach)) - 1
+            run = np.maximum.accumulate(np.where(np.append(True, np.diff(best) > 1), np.arange(len(best)), 0))
+            second = (np.arange(len(best)) - run) % 2 == 1
+            taken = best[~second]
+            after = length[taken] + length[taken + 1]
+            #: What the merged token makes with its neighbours: the next token as it is, the one before it as it is by then.
+            follower, before = np.minimum(taken + 2, len(start) - 1), np.maximum(taken - 1, 0)
+            merged = np.append(False, np.diff(taken) == 2)
+            leader = np.where(merged, taken - 2, before)
+            next_rank = self._ranks(edges, start[taken], after + length[follower], (follower == taken + 2) & (segment[follower] == segment[taken]))
+            leading = start[taken] - start[leader]
+            last_rank = self._ranks(edges, start[leader], after + leading, (taken > 0) & (segment[leader] == segment[taken]))
+            upset = np.zeros(len(best), bool)
+            upset[~second] = np.minimum(next_rank, last_rank) <= rank[taken]
+            #: Within a chain: nothing from the first that waits on, nothing after the first that upsets the order.
+            stops = np.cumsum(waits) + np.cumsum(upset) - upset
+            head = np.flatnonzero(np.append(True, np.diff(chain) > 0))
+            base = (np.cumsum(waits) - waits + np.cumsum(upset) - upset)[head]
+            chosen = best[~second & (stops == base[chain])]
             length[chosen] += length[chosen + 1]
             keep = np.ones(len(start), bool)
             keep[chosen + 1] = False
@@ -260,9 +300,9 @@ class Encoder:
         pools, count = [self.pool], np.zeros(len(fresh), np.int64)
         for i, j in row_slices(part_first, MATCH_CHARS):
             a, b = part_first[i], part_first[j]
-            piece = self.match(codes[a:b], part_first[i : j + 1] - a)
-            place, length = self.relax(piece, part_first[i : j + 1] - a)
-            token = piece[place, length]
+            edges = self.match(codes[a:b], part_first[i : j + 1] - a)
+            place, length = self.relax(edges, part_first[i : j + 1] - a)
+            token = self.joined(edges, place, length)
             single = np.where(token >= 0, self.v.ids[token], -1)
             place = place + a
             lost = single < 0

@@ -415,6 +415,26 @@ def test_odd_segments_equal_the_library():
     assert [x.tolist() for x in got] == v.processor.encode(texts)
 
 
+@pytest.mark.parametrize("unit", ["a", "ab", "-", "=", "aab", "ha", "0"])
+def test_runs_of_two_million_characters_equal_the_library(unit):
+    v = sentencepiece_codec.vocabulary(sentencepiece_codec.MODEL)
+    text = unit * (2_000_000 // len(unit))
+    began = time.process_time()
+    got = sentencepiece_codec.Encoder(v).encode([text])[0]
+    assert time.process_time() - began < 20
+    assert got.tolist() == v.processor.encode(text)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_long_segments_of_few_letters_equal_the_library(seed):
+    """Runs and repeats of all lengths, side by side."""
+    v = sentencepiece_codec.vocabulary(sentencepiece_codec.MODEL)
+    rng = np.random.default_rng(seed)
+    units = ["a", "e", "ab", "the", "in", "-", "ing", "o", "er", "s"]
+    texts = ["".join(rng.choice(units[: 2 + k % 9]) * int(rng.integers(1, 30)) for _ in range(200)) for k in range(18)]
+    assert [x.tolist() for x in sentencepiece_codec.Encoder(v).encode(texts)] == v.processor.encode(texts)
+
+
 def test_token_edge_cases(spark):
     got = sentencepiece_codec.round_trip(edge_frame(spark)).collect()
     assert len(got) == len(edge_rows()) and all(r.restored for r in got)
@@ -427,11 +447,11 @@ def test_suffix_ranges_are_all_occurrences():
     v = sentencepiece_codec.vocabulary(sentencepiece_codec.MODEL)
     text = "▁the▁that▁thethe"
     chars = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    piece = sentencepiece_codec.Encoder(v).match(v.codes(chars), np.array([0, 4, 9, 16]))
+    edge, piece = sentencepiece_codec.Encoder(v).match(v.codes(chars), np.array([0, 4, 9, 16]))
     known = {p: i for i, p in enumerate(v.pieces)}
     bounds = [4] * 4 + [9] * 5 + [16] * 7
     want = {(i, n): known[text[i : i + n]] for i in range(16) for n in range(1, v.longest + 1) if i + n <= bounds[i] and text[i : i + n] in known}
-    assert {(int(i), int(n)): int(piece[i, n]) for i, n in zip(*np.nonzero(piece >= 0), strict=True)} == want
+    assert {divmod(e, v.longest + 1): p for e, p in zip(edge.tolist(), piece.tolist(), strict=True)} == want and (np.diff(edge) > 0).all()
 
 
 def test_memory_of_segments_may_be_lost(monkeypatch):
