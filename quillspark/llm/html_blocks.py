@@ -2,7 +2,10 @@
 
 A page is cut into flat blocks at block-level tags. Each block is described by its
 words and link density, those of its neighbours, and what encloses it; a decision
-tree, trained on the small labelled table below, keeps or drops it. A page is one
+tree, trained on the small labelled table below, keeps or drops it. What the name of
+an element says counts with the share of the page's words that it encloses and
+whether it holds the headline, so a name on a wrapper of the whole page (`has-sidebar`,
+`comments-open`) drops nothing. Scripts without spaces count characters. A page is one
 row and one task handles it alone, so the work follows the input and needs no
 shuffle.
 """
@@ -43,26 +46,46 @@ BOUNDARIES = frozenset("article nav aside footer form header section main".split
 BOUNDED = frozenset("p li span ul ol".split())
 #: What names say, in the languages of the web's larger parts.
 #: What a tag or a name says of all it encloses, whatever comes between.
-STRONG = frozenset("nav navbar navigation menu menubar footer aside form dialog comment comments commentlist respond disqus kommentar kommentare commentaire commentaires comentario comentarios commenti comentários reacties cookie cookies consent gdpr breadcrumb breadcrumbs pagination pager search login signup subscribe newsletter fusszeile formular formulaire formulario recherche suche suchen buscar buscador cerca anmelden connexion iniciar brotkrumen infolettre boletin".split())
+STRONG = frozenset("nav navbar navigation menu menubar footer aside form dialog comment comments commentlist respond disqus kommentar kommentare commentaire commentaires comentario comentarios commenti comentários reacties kommentarii kommentariy otzyvy cookie cookies consent gdpr breadcrumb breadcrumbs pagination pager search login signup subscribe newsletter fusszeile formular formulaire formulario recherche suche suchen buscar buscador cerca anmelden connexion iniciar brotkrumen infolettre boletin podval poisk".split())
 #: What an article inside outweighs.
-WEAK = frozenset("header masthead sidebar side rail widget widgets ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner notice notices alert warning popup modal overlay toolbar share sharing social related recommended recommendations teaser trending popular copyright legal disclaimer tags meta byline skip toc footnotes complementary contentinfo kopfzeile seitenleiste werbung anzeige anzeigen hinweis hinweise teilen verwandte empfohlen impressum entete publicité publicite pub annonce annonces avis partager connexes mentions encabezado cabecera lateral publicidad anuncio anuncios aviso avisos compartir relacionados recomendados pubblicità pubblicita annuncio avviso condividi correlati anúncio propaganda reclame advertentie delen".split())
+WEAK = frozenset("header masthead sidebar side rail widget widgets ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner notice notices alert warning popup modal overlay toolbar share sharing social related recommended recommendations teaser trending popular copyright legal disclaimer tags meta byline skip toc footnotes complementary contentinfo kopfzeile seitenleiste werbung anzeige anzeigen hinweis hinweise teilen verwandte empfohlen impressum entete publicité publicite pub annonce annonces avis partager connexes mentions encabezado cabecera lateral publicidad anuncio anuncios aviso avisos compartir relacionados recomendados pubblicità pubblicita annuncio avviso condividi correlati anúncio propaganda reclame advertentie delen reklama".split())
 MAIN_NAMES = frozenset("article content main story post entry body text maincontent bodytext artikel inhalt beitrag contenu texte contenido artículo articulo cuerpo contenuto articolo conteúdo artigo inhoud".split())
 
-FEATURES = ("words", "link_density", "previous_words", "previous_link_density", "next_words", "next_link_density", "strong", "weak", "in_article", "main_name", "heading", "page_has_article", "sentence_end", "copyright")
+#: What may stand beside such a word in a name without changing what it says (`site-footer`, `comments-area`); any other word does (`comments-open`, `has-sidebar`, `search-results`).
+NEUTRAL = frozenset("site page main global primary secondary left right top bottom list area section box block container wrapper wrap inner outer item items bar body text content row col column group panel unit slot zone module links link form field the my".split())
+#: Characters of scripts without spaces, about two and about five to a word.
+_UNSPACED = (re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]"), 2), (re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]"), 5)
 
+FEATURES = ("words", "link_density", "previous_words", "previous_link_density", "next_words", "next_link_density", "strong", "weak", "in_article", "main_name", "heading", "page_has_article", "sentence_end", "copyright", "soft", "share", "holds_main")
 
-def _says(tag: str, attributes: str) -> tuple[bool, bool, bool]:
-    strong, weak, main = tag in STRONG, tag == "header", False
+
+def n_words(text: str) -> int:
+    """Words between spaces, and those that characters of scripts without spaces come to."""
+    n = text.count(" ") + 1
+    return n if text.isascii() else n + sum(len(c.findall(text)) // size for c, size in _UNSPACED)
+
+
+def _says(tag: str, attributes: str) -> tuple[bool, bool, bool, bool, bool]:
+    """(strong, named, soft, weak, main): by its tag or as hidden; by a whole name; by a part of a name, or a form; and the weaker kinds.
+
+    A whole name holds nothing but such words and neutral ones.
+    """
+    strong, named, soft, weak, main = tag in STRONG and tag != "form", False, tag == "form", tag == "header", False
     if tag != "body":
         for m in _NAMES.finditer(attributes):
-            for part in _PARTS.findall(m[2] or m[3] or m[4] or ""):
-                part = part.lower()
-                strong |= part in STRONG
-                weak |= part in WEAK
-                main |= part in MAIN_NAMES
+            for name in (m[2] or m[3] or m[4] or "").split():
+                parts = [part.lower() for part in _PARTS.findall(name)]
+                whole = all(p in STRONG or p in WEAK or p in NEUTRAL for p in parts)
+                for part in parts:
+                    named |= whole and part in STRONG
+                    soft |= not whole and (part in STRONG or part in WEAK)
+                    weak |= whole and part in WEAK
+                    main |= part in MAIN_NAMES
+        if tag == "form":
+            named = False
         strong |= "hidden" in attributes and bool(_HIDDEN.search(attributes))
         strong |= "none" in attributes and bool(_HIDDEN.search(attributes))
-    return strong, weak, main
+    return strong, named, soft, weak, main
 
 
 class _Scanner:
@@ -113,7 +136,8 @@ class _Scanner:
                 at = k
                 continue
             if page.startswith("<!--", at):
-                k = self.find("-->", at + 4)
+                #: `<!-->` and `<!--->` are comments already.
+                k = at + 2 if page.startswith("-->", at + 2) else at + 3 if page.startswith("-->", at + 3) else self.find("-->", at + 4)
                 at = len(page) if k < 0 else k + 3
                 continue
             close = page.startswith("</", at)
@@ -142,14 +166,41 @@ class _Scanner:
             yield "<" + tag, close, attributes
 
 
+class _Suspects:
+    """Elements that their names speak against, each with the words it encloses (without links) and whether it holds the headline or main element."""
+
+    def __init__(self):
+        self.parent, self.named, self.words, self.holds = [-1], [False], [0], [False]
+
+    def add(self, parent: int, named: bool, holds: bool) -> int:
+        for values, value in ((self.parent, parent), (self.named, named), (self.words, 0), (self.holds, holds)):
+            values.append(value)
+        return len(self.parent) - 1
+
+    def judged(self) -> list[tuple[bool, float, bool]]:
+        """(dropped by its name, share of the page's words, holds the headline) of every element; one that holds the headline and most of the page stays."""
+        for k in range(len(self.parent) - 1, 0, -1):
+            up = self.parent[k]
+            self.words[up] += self.words[k]
+            self.holds[up] |= self.holds[k]
+        out: list[tuple[bool, float, bool]] = [(False, 1.0, True)]
+        for k in range(1, len(self.parent)):
+            share = self.words[k] / self.words[0] if self.words[0] else 0.0
+            named = self.named[k] and not (self.holds[k] and share > 0.5)
+            out.append((named or out[self.parent[k]][0], share, self.holds[k]))
+        return out
+
+
 def blocks(page: str) -> tuple[list[str], list[tuple]]:
-    """Texts of the flat blocks in page order and what each is: (words, linked words, strong, weak, in article, main name, heading)."""
+    """Texts of the flat blocks in page order and what each is: (words, linked words, strong, weak, in article, main name, heading, soft, share, holds main)."""
     texts: list[str] = []
     facts: list[tuple] = []
     stack: list[tuple] = []
     places: dict[str, list[int]] = defaultdict(list)
     boundaries: list[int] = []
-    state = (False, False, False, False)
+    suspects = _Suspects()
+    #: Strong, weak, in article, main name, soft, innermost suspect.
+    state = (False, False, False, False, False, 0)
     heading, link = False, False
     parts: list[str] = []
     linked: list[str] = []
@@ -159,9 +210,12 @@ def blocks(page: str) -> tuple[list[str], list[tuple]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                n = text.count(" ") + 1
+                n = n_words(text)
+                around = " ".join(html.unescape(" ".join(linked)).split()) if linked else ""
+                in_links = min(n, n_words(around)) if around else 0
                 texts.append(text)
-                facts.append((n, min(n, len(html.unescape(" ".join(linked)).split())) if linked else 0, *state, heading))
+                facts.append((n, in_links, *state[:4], heading, *state[4:]))
+                suspects.words[state[5]] += n - in_links
             parts, linked = [], []
 
     def leave(k: int) -> None:
@@ -194,6 +248,8 @@ def blocks(page: str) -> tuple[list[str], list[tuple]]:
             flush()
         if tag in HEADINGS:
             heading = not close
+            if tag == "h1":
+                suspects.holds[state[5]] = True
         if tag in VOID or attributes.endswith("/") and tag not in CONTAINERS:
             continue
         if tag in CONTAINERS:
@@ -204,17 +260,22 @@ def blocks(page: str) -> tuple[list[str], list[tuple]]:
             else:
                 if tag in ("p", "li") and stack and stack[-1][0] == tag:
                     leave(len(stack) - 1)
-                strong, weak, main = _says(tag, attributes)
+                strong, named, soft, weak, main = _says(tag, attributes)
                 before = state
                 now_article = state[2]
-                if tag in ("article", "main") and not strong:
+                if tag in ("article", "main") and not strong and not named:
                     now_article = True
                     weak_now = weak
                 elif tag == "header" and state[2]:
-                    weak_now = state[1]
+                    weak_now, weak = state[1], False
                 else:
                     weak_now = weak or state[1]
-                fresh = (strong or state[0], weak_now, now_article, main or state[3])
+                suspect, opens_main = state[5], tag in ("article", "main") and not strong
+                if named or soft or weak:
+                    suspect = suspects.add(suspect, named, opens_main)
+                elif opens_main:
+                    suspects.holds[suspect] = True
+                fresh = (strong or state[0], weak_now, now_article, main or state[3], soft or state[4], suspect)
                 if fresh != state:
                     flush()
                 state = fresh
@@ -223,7 +284,13 @@ def blocks(page: str) -> tuple[list[str], list[tuple]]:
                     boundaries.append(len(stack))
                 stack.append((tag, before))
     flush()
-    return texts, facts
+    judged = suspects.judged()
+    out = []
+    for n, in_links, strong, weak, article, main, heading, soft, suspect in facts:
+        dropped, share, holds = judged[suspect]
+        share, holds = (share, holds) if weak or soft else (1.0, True)
+        out.append((n, in_links, strong or dropped, weak, article, main, heading, soft, share, holds))
+    return texts, out
 
 
 def features(facts: list[tuple], texts: list[str]) -> np.ndarray:
@@ -237,8 +304,9 @@ def features(facts: list[tuple], texts: list[str]) -> np.ndarray:
     out[:-1, 4:6] = out[1:, 0:2]
     out[:, 6:11] = base[:, 2:7]
     out[:, 11] = base[:, 4].max()
-    out[:, 12] = [t[-1] in ".!?:;\"'”’»)…" for t in texts]
+    out[:, 12] = [t[-1] in ".!?:;\"'”’»)…。！？」』）।۔؟" for t in texts]
     out[:, 13] = ["©" in t or "copyright" in t.lower() or "all rights reserved" in t.lower() for t in texts]
+    out[:, 14:] = base[:, 7:]
     return out
 
 
@@ -346,6 +414,37 @@ LABELLED_PAGES += tuple(
 )
 
 
+_JAPANESE = "夜のうちに川の水かさが増し、朝には低い畑がすっかり水に浸かったので、農夫たちは朝食もとらずに羊を丘へ連れて行った。村の誰もこれほどの春の洪水を覚えていなかった。"
+_STORY = f"<h1>+Flood in the valley</h1><p>+{_LONG}</p><p>+{_MIDDLE}</p><p>+{_LONG}</p>"
+_REPLIES = f"<h3>Comments</h3><div><p>{_LONG}</p><p>I agree.</p></div><div><p>{_MIDDLE}</p></div>"
+#: Names on wrappers of the page or of its article, and the same words on parts of it.
+LABELLED_PAGES += tuple(
+    f"{before}{opening}{inside}{story}{closing}{after}"
+    for opening, closing in (
+        ('<div id=page class="menu-closed">', "</div>"), ('<div class="site-main has-sidebar">', "</div>"), ("<div id=content class=search-results>", "</div>"), ("<form id=form1>", "</form>"),
+        ('<article class="post type-post comments-open">', "</article>"), ('<article class="newsletter-archive post">', "</article>"), ("<div class=no-banner>", "</div>"), ("<section class=with-related-posts>", "</section>"),
+    )
+    for before, inside, after in (
+        ("", "", ""),
+        (f"<nav>{_LINKS}</nav>", "", f"<footer><p>{_MIDDLE}</p></footer>"),
+        ("", f"<ul>{_LINKS}</ul>", f"<div id=comments class=comments-area>{_REPLIES}</div>"),
+        (f"<div class=site-header><p>{_MIDDLE}</p></div>", f"<div class=ad-slot>{_LONG}</div>", f"<div class=sidebar-left>{_LONG}</div>"),
+        (f"<div class=site-header><h1>Valley News</h1><p>{_MIDDLE}</p></div>", "", f"<div class=comments>{4 * _REPLIES}</div>"),
+    )
+    for story in (_STORY, _STORY[_STORY.index("<p>") :] if not after else _STORY)
+)
+LABELLED_PAGES += tuple(
+    f"<div class={wrapper}>{_STORY}<div class={name}><p>{_LONG}</p><p>{_MIDDLE}</p></div></div>{_REPLIES.replace('<h3>', '<div class=comment-list><h3>')}</div>"
+    for wrapper in ("page", "has-sidebar", "entry-content")
+    for name in ("related-stories", "cookie-settings", "newsletter-inline", "share-this", "comments-closed", "promo-large")
+)
+LABELLED_PAGES += (
+    f"<div><a href=/>ホーム</a> <a href=/n>ニュース</a></div><div>+{_JAPANESE}</div><div>+{_JAPANESE[:40]}</div>",
+    f"<div>+{_JAPANESE}</div><div>+{_JAPANESE}</div>",
+    f"<ul><li><a href=/>ホーム</a><li><a href=/n>ニュース</a></ul><h1>+谷の洪水</h1><p>+{_JAPANESE}</p><p>+{_JAPANESE[:36]}</p><div class=comments><p>{_JAPANESE}</p></div>",
+)
+
+
 @lru_cache(maxsize=1)
 def model() -> Tree:
     x, y = [], []

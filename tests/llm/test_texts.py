@@ -548,3 +548,36 @@ def test_pages_in_other_languages_and_buttons():
     body = "Der Rat der Stadt hat gestern beschlossen, die alte Brücke zu erneuern, weil das Holz nach vielen Jahren morsch geworden ist."
     page = f"<html><head><title>T</title><body><ul><li><a href=/>Start</a></li></ul><div class=inhalt><h1>Die Brücke</h1><p>{body}</p><button>Mehr</button><p>{body}</p></div><div class=kommentare><p>{body}</p></div><div id=werbung>{body}</div>"
     assert html_blocks.main_texts([page]) == [f"Die Brücke\n{body}\n{body}"]
+
+
+_PARAGRAPHS = [
+    "The council met on Tuesday evening to decide whether the old bridge over the river should be repaired or replaced by a new one.",
+    "Most of those who spoke wanted to keep it, since it has stood for two hundred years and carries the only road to the school.",
+]
+_NEWS = "<h1>Council keeps the bridge</h1>" + "".join(f"<p>{p}</p>" for p in _PARAGRAPHS)
+
+
+@pytest.mark.parametrize(
+    "opening",
+    ['<article class="post type-post comments-open">', "<div id=content class=search-results>", '<div class="site-main has-sidebar">', "<form id=aspnetForm>", "<div id=page class=menu-closed>", '<article class="newsletter-archive post">', "<div class=comments-enabled>", "<div class='l-page page--with-banner'>", "<section class=popular-science>"],
+)
+def test_names_of_wrappers_do_not_drop_the_article(opening):
+    want = "\n".join(["Council keeps the bridge", *_PARAGRAPHS])
+    closing = f"</{re.match(r'<(.*?)[ >]', opening)[1]}>"
+    menu, replies = "<ul><li><a href=/>Home</a><li><a href=/s>Sport</a></ul>", f"<div id=comments class=comments-area><h3>Comments</h3><p>{_PARAGRAPHS[1]}</p><p>Well said.</p></div>"
+    for page in (opening + _NEWS + closing, f"<nav>{menu}</nav>{opening}{_NEWS}{closing}<footer><p>All about us and our paper.</p></footer>", opening + menu + _NEWS + closing + replies, opening + _NEWS + replies + closing, opening + _NEWS + closing + 5 * replies):
+        assert html_blocks.main_texts([page]) == [want], page
+
+
+def test_names_of_parts_drop_them():
+    want = "\n".join(["Council keeps the bridge", *_PARAGRAPHS])
+    for name in ("comments", "comment-list", "site-footer", "sidebar-left", "cookie-banner", "related", "kommentarii", "ad-slot", "newsletter", "breadcrumbs"):
+        page = f"<body><div id=wrap class=has-sidebar><div class=entry-content>{_NEWS}</div><div class={name}><p>{_PARAGRAPHS[0]}</p><p>Yes.</p></div></div>"
+        assert html_blocks.main_texts([page]) == [want], name
+
+
+def test_scripts_without_spaces_and_empty_comments():
+    text = "市議会は火曜日の夜、川にかかる古い橋を修理するか、新しい橋に架け替えるかを決めるために集まった。発言した人の多くは橋を残すことを望んだ。"
+    assert html_blocks.main_texts([f"<body><div>{text}</div><div>{text}</div></body>"]) == [f"{text}\n{text}"]
+    for comment in ("<!-->", "<!--->", "<!---->", "<!-- x -->"):
+        assert html_blocks.main_texts([f"<article>{comment}{_NEWS}</article><!-- end -->"]) == ["\n".join(["Council keeps the bridge", *_PARAGRAPHS])]
