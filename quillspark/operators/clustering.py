@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions.expr import column, nearest, squared_distance
-from quillspark.operators.vectors import combined, is_vector, matrix, vector
+from quillspark.operators.vectors import appended, combined, is_vector, matrix, vector
 from quillspark.sources.features import resolve, spread, to_features
 
 #: Beyond so many literals (centroids x features) rows are assigned in Arrow batches.
 EXPRESSION_LITERALS = 512
+#: Rows and points with larger values are measured directly, as their squares may overflow.
+LARGEST = 1e140
 #: From so many points on they are compared in groups.
 GROUPED = 128
 #: Up to so many literals seeding compares rows with points by an expression.
@@ -53,15 +55,15 @@ class KMeansModel:
         if not array and self.k * self.dimensions <= EXPRESSION_LITERALS:
             return df.withColumn(output, self.expr())
         nearest_to = NearestPoints(np.array(self.centroids))
-        names = [resolve(df, c) for c in self.features]
+        places, names = [df.columns.index(resolve(df, c)) for c in self.features], [*df.columns, output]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
+                columns = [batch.column(i) for i in places]
                 x = columns[0].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if array else np.stack([c.to_numpy(zero_copy_only=False) for c in columns], axis=1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest_to(x.astype(np.float64)))], names=[*batch.schema.names, output])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest_to(x.astype(np.float64)))], names=names)
 
-        return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(output, T.IntegerType())]))
+        return appended(df, run, T.StructField(output, T.IntegerType()))
 
     def frame(self, spark) -> DataFrame:
         """(cluster, dimension, value) of the centroids."""
@@ -80,7 +82,7 @@ class NearestPoints:
     def __init__(self, points: np.ndarray, grouped: int = GROUPED):
         self.points, self.norms = points, (points**2).sum(1)
         self.groups: list[np.ndarray] = []
-        if len(points) >= grouped and np.isfinite(points).all():
+        if len(points) >= grouped and (np.abs(points) <= LARGEST).all():
             #: Pivots as far apart as can be, about as many as points in a group.
             far, pivots = ((points - points[0]) ** 2).sum(1), [0]
             for _ in range(int(len(points) ** 0.5) - 1):
@@ -95,7 +97,7 @@ class NearestPoints:
         if x.shape[1] != self.points.shape[1] and len(x):
             raise ValueError("vectors of different lengths than the points")
         best = np.zeros(len(x), np.int32)
-        real = np.flatnonzero(np.isfinite(x).all(1)) if self.groups else np.arange(len(x))
+        real = np.flatnonzero((np.abs(x) <= LARGEST).all(1)) if self.groups else np.arange(len(x))
         if self.groups:
             best[real] = self._by_group(x[real])
             rest = np.setdiff1d(np.arange(len(x)), real)
@@ -106,7 +108,7 @@ class NearestPoints:
     def _all(self, x: np.ndarray) -> np.ndarray:
         if not len(x):
             return np.zeros(0, np.int32)
-        with np.errstate(invalid="ignore"):
+        with np.errstate(invalid="ignore", over="ignore"):
             rough = self.norms - 2 * (x @ self.points.T)
             near = ~(rough > rough.min(1, keepdims=True) + self._slack(x)[:, None])
         best = near.argmax(1).astype(np.int32)
@@ -118,7 +120,7 @@ class NearestPoints:
         return 1e-12 * x.shape[1] * (self.norms.max() + (x**2).sum(1))
 
     def _measured(self, row: np.ndarray, some: np.ndarray) -> int:
-        with np.errstate(invalid="ignore"):
+        with np.errstate(invalid="ignore", over="ignore"):
             d = ((row - self.points[some]) ** 2).sum(1)
         return 0 if np.isnan(d).any() else int(some[np.argmin(d)])
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions.expr import column, literal_sql, literals, positive
-from quillspark.operators.vectors import is_vector, matrix, vector, width
+from quillspark.operators.vectors import appended, is_vector, matrix, vector, width
 from quillspark.sources.features import numeric, resolve, spread, to_features
 
 CANDIDATES = 32
@@ -47,6 +47,8 @@ SAMPLED_VALUES = 1 << 18
 KEPT_BYTES = 1 << 28
 #: Deeper trees are applied in Arrow batches instead of as one expression.
 EXPRESSION_DEPTH = 8
+#: Forests of more nodes in all are not written out as conditions.
+EXPRESSION_NODES = 256
 
 
 @dataclass(frozen=True)
@@ -445,6 +447,36 @@ def tree_expr(nodes: Sequence[Node], features: Sequence[str], at: int = 0, vecto
     return F.when(value <= F.lit(node.threshold), tree_expr(nodes, features, node.left, vector)).otherwise(tree_expr(nodes, features, node.right, vector))
 
 
+def forest_expr(trees: Sequence[Sequence[Node]], features: Sequence[str], vector: bool = False) -> Column:
+    """The mean value of trees of any number and depth, in SQL functions alone: constant arrays of all their nodes, walked level by level; NaN and null go right.
+
+    Leaves lead to themselves, so each tree takes as many steps as the deepest one.
+    """
+    feature, cut, left, right, value, roots, deepest = [], [], [], [], [], [], 0
+    for nodes in trees:
+        base, level = len(feature), [0]
+        roots.append(base)
+        for i, node in enumerate(nodes):
+            feature.append(0 if node.is_leaf else node.feature)
+            cut.append(0.0 if node.is_leaf else node.threshold)
+            left.append(base + (i if node.is_leaf else node.left))
+            right.append(base + (i if node.is_leaf else node.right))
+            value.append(node.value)
+        depth = 0
+        while level := [child for i in level if not nodes[i].is_leaf for child in (nodes[i].left, nodes[i].right)]:
+            depth += 1
+        deepest = max(deepest, depth)
+    x = column(features[0]).cast("array<double>") if vector else F.array(*(column(c).cast("double") for c in features))
+    feature, left, right, roots = (literals(v, "int") for v in (feature, left, right, roots))
+    cut, value, steps = literals(cut, "double"), literals(value, "double"), literals(range(deepest), "int")
+
+    def leaf(x: Column, root: Column) -> Column:
+        return F.aggregate(steps, root, lambda at, _: F.when(F.get(x, F.get(feature, at)) <= F.get(cut, at), F.get(left, at)).otherwise(F.get(right, at)))
+
+    #: A list of one names the features, which are then made once for all trees.
+    return F.get(F.transform(F.array(x), lambda x: F.aggregate(roots, F.lit(0.0), lambda total, root: total + F.get(value, leaf(x, root)))), F.lit(0)) / F.lit(float(len(trees)))
+
+
 def _walk(x: np.ndarray, nodes: Sequence[Node]) -> np.ndarray:
     feature, threshold, left, right, value, leaf = (np.array([getattr(n, c) for n in nodes]) for c in ("feature", "threshold", "left", "right", "value", "is_leaf"))
     at = np.zeros(len(x), np.int64)
@@ -465,7 +497,8 @@ class DecisionTreeModel:
     vector: bool = False
 
     def expr(self) -> Column:
-        return tree_expr(self.nodes, self.features, 0, self.vector)
+        """Nested conditions, or for deeper trees a walk through constant arrays."""
+        return tree_expr(self.nodes, self.features, 0, self.vector) if self.max_depth <= EXPRESSION_DEPTH else forest_expr([self.nodes], self.features, self.vector)
 
     def transform(self, df: DataFrame, output: str = "prediction") -> DataFrame:
         if self.max_depth <= EXPRESSION_DEPTH:
@@ -488,7 +521,9 @@ class RandomForestModel:
         return len(self.trees)
 
     def probability(self) -> Column:
-        """The share of trees that vote 1."""
+        """The share of trees that vote 1; nested conditions, or for larger forests a walk through constant arrays."""
+        if sum(map(len, self.trees)) > EXPRESSION_NODES:
+            return forest_expr(self.trees, self.features, self.vector)
         return sum((tree_expr(t, self.features, 0, self.vector) for t in self.trees[1:]), tree_expr(self.trees[0], self.features, 0, self.vector)) / F.lit(float(self.num_trees))
 
     def expr(self) -> Column:
@@ -496,7 +531,7 @@ class RandomForestModel:
 
     def transform(self, df: DataFrame, output: str = "prediction", probability: str | None = "probability") -> DataFrame:
         """The share of trees that vote 1, and 1 where it is one half or more. Small forests are expressions, others Arrow batches."""
-        if sum(map(len, self.trees)) <= 256:
+        if sum(map(len, self.trees)) <= EXPRESSION_NODES:
             out = df.withColumn(output, self.expr())
             return out.withColumn(probability, self.probability()) if probability else out
         return _scored(df, self.features, self.trees, output, probability)
@@ -505,14 +540,16 @@ class RandomForestModel:
 def _scored(df: DataFrame, features: Sequence[str], trees: Sequence[Sequence[Node]], output: str, probability: str | None) -> DataFrame:
     extra = [T.StructField(c, T.DoubleType()) for c in (output, probability) if c]
 
+    places, names = [df.columns.index(resolve(df, c)) for c in features], [*df.columns, *(f.name for f in extra)]
+
     def run(batches):
         for batch in batches:
-            x = matrix(batch.select(list(features)))
+            x = matrix(batch.select(places))
             p = sum(_walk(x, t) for t in trees) / len(trees)
             more = [pa.array(np.where(p >= 0.5, 1.0, 0.0)), *([pa.array(p)] if probability else [])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *(f.name for f in extra)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=names)
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *extra]))
+    return appended(df, run, *extra)
 
 
 class DecisionTree:

@@ -55,6 +55,11 @@ def matrix(batch: pa.RecordBatch) -> np.ndarray:
     return np.concatenate(parts, axis=1)
 
 
+def appended(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *extra: T.StructField) -> DataFrame:
+    """`df` and the columns that `run` puts behind those of its batches, which it knows by place, so that names with dots do no harm."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, T.StructType([*df.schema.fields, *extra]))
+
+
 def combined(rows: DataFrame, part: Callable[[np.ndarray], np.ndarray], how: str = "sum") -> np.ndarray | None:
     """`part` of the matrix of each batch, merged over all of them; flat, None without rows."""
     merge, aggregate = _MERGE[how]

@@ -704,6 +704,36 @@ def forest_predict_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(model.transform(_read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")).drop("o_totalprice"), 6, "probability")
 
 
+_HEAP_TREES, _HEAP_DEPTH = 40, 6
+
+
+def _heap_level(k: int) -> str:
+    """The nodes that all trees reach a level below those of w<k>."""
+    x = "CASE (tree + node) % 2 WHEN 0 THEN o_totalprice ELSE o_custkey END"
+    cut = "CASE (tree + node) % 2 WHEN 0 THEN 5000.0 * ((7 * tree + 13 * node) % 90 + 1) ELSE 10.0 * ((11 * tree + 5 * node) % 140 + 1) END"
+    return f"w{k + 1} AS (SELECT o_orderkey, o_totalprice, o_custkey, tree, 2 * node + CASE WHEN {x} <= {cut} THEN 1 ELSE 2 END AS node FROM w{k})"
+
+
+@_query(
+    f"WITH w0 AS (SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS o_totalprice, CAST(o_custkey AS DOUBLE) AS o_custkey, t.range AS tree, 0 AS node FROM orders, range({_HEAP_TREES}) t), "
+    + ", ".join(map(_heap_level, range(_HEAP_DEPTH)))
+    + f" SELECT o_orderkey, round(sum((tree + node) % 2) / {_HEAP_TREES}.0, 6) AS probability FROM w{_HEAP_DEPTH} GROUP BY o_orderkey"
+)
+def forest_proba_sql_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty full trees of six levels, whose nodes follow a rule, as one column of SQL functions."""
+    inner = 2**_HEAP_DEPTH - 1
+
+    def node(tree: int, i: int) -> Node:
+        if i >= inner:
+            return Node.leaf(float((tree + i) % 2))
+        f = (tree + i) % 2
+        return Node.branch(f, 10.0 * ((11 * tree + 5 * i) % 140 + 1) if f else 5000.0 * ((7 * tree + 13 * i) % 90 + 1), 2 * i + 1, 2 * i + 2)
+
+    trees = tuple(tuple(node(t, i) for i in range(2 * inner + 1)) for t in range(_HEAP_TREES))
+    model = RandomForestModel(("o_totalprice", "o_custkey"), trees, _HEAP_DEPTH)
+    return _rounded(_read(spark, sf_dir, "orders").select("o_orderkey", model.probability().alias("probability")), 6, "probability")
+
+
 _DRAWS = "SELECT CAST(t.range AS INTEGER) AS tree, d.range AS draw, ('0x' || substr(md5((42 + 31 * t.range)::VARCHAR || ':' || d.range::VARCHAR), 1, 15))::BIGINT % (SELECT count(*) FROM orders) AS pos FROM range(3) t, (SELECT unnest(range(CAST(floor((SELECT count(*) FROM orders) * 0.8) AS BIGINT))) AS range) d"
 
 

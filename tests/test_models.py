@@ -11,7 +11,7 @@ from quillspark.operators.decomposition import PCA
 from quillspark.operators.linear import JITTER, LinearRegression, LogisticRegression, solve_spd
 from quillspark.operators.metrics import accuracy, r2_score
 from quillspark.operators.preprocessing import StandardScaler
-from quillspark.operators.trees import DecisionTree, Node, RandomForest, bootstrap, multiplicities, poisson_steps
+from quillspark.operators.trees import DecisionTree, DecisionTreeModel, Node, RandomForest, RandomForestModel, bootstrap, multiplicities, poisson_steps
 from quillspark.sources.features import from_columns, from_rows
 from quillspark.streaming.apply import apply_models, stream_parquet, write_parquet
 
@@ -594,3 +594,43 @@ def test_nearest_points_with_ties_and_nan():
     x[3, 5] = np.nan
     want = [0 if np.isnan(r).any() else int(np.argmin(((r - points) ** 2).sum(1))) for r in x]
     assert nearest_points(x, points).tolist() == want
+
+
+def test_forests_of_any_size_are_columns_too(spark):
+    """The walk in SQL functions gives what Arrow batches give, and what the nodes say; nulls and NaN go right; no Python in the plan."""
+    rng = np.random.default_rng(5)
+
+    def grown(depth):
+        nodes = []
+
+        def add(d):
+            at = len(nodes)
+            nodes.append(None)
+            if d == 0 or rng.random() < 0.15:
+                nodes[at] = Node.leaf(float(rng.integers(2)))
+            else:
+                feature, cut = int(rng.integers(3)), float(rng.normal())
+                left, right = add(d - 1), add(d - 1)
+                nodes[at] = Node.branch(feature, cut, left, right)
+            return at
+
+        add(depth)
+        return tuple(nodes)
+
+    trees = (*(grown(k % 10) for k in range(30)), grown(11))
+    values = [[float(v) for v in r] for r in rng.normal(size=(200, 3))] + [[None, 1.0, -1.0], [float("nan"), 0.0, 0.0], [0.1, None, None], [1e308, -1e308, float("inf")]]
+    df = spark.createDataFrame([(i, *r, r) for i, r in enumerate(values)], "i long, q double, x double, v double, w array<double>").withColumnRenamed("q", "a.b")
+    wide = RandomForestModel(("a.b", "x", "v"), trees, 11)
+    assert sum(map(len, trees)) > 256
+    one, many = df.withColumn("p", wide.probability()), wide.transform(df)
+    assert "Python" not in one._jdf.queryExecution().executedPlan().toString() and "mapInArrow" not in one._jdf.queryExecution().toString()
+    got, want = ({r.i: r[c] for r in t.collect()} for t, c in ((one, "p"), (many, "probability")))
+    assert got == pytest.approx(want, abs=1e-12) and len(set(want.values())) > 5
+    array = RandomForestModel(("w",), trees, 11, vector=True)
+    assert {r.i: r.p for r in df.select("i", array.probability().alias("p")).collect()} == pytest.approx(want, abs=1e-12)
+    deep = DecisionTreeModel(("a.b", "x", "v"), trees[-1], 11, 2)
+    assert {r.i: r.p for r in df.select("i", deep.expr().alias("p")).collect()} == {r.i: r.prediction for r in deep.transform(df).collect()}
+    points = KMeansModel(("a.b", "x"), tuple((float(k), -float(k)) for k in range(300)))
+    assert points.transform(df).columns == [*df.columns, "cluster"]
+    #: Nulls count as NaN; the squares of the last row overflow, so all points are as far from it.
+    assert [r.cluster for r in points.transform(df).orderBy("i").collect()][200:] == [0] * 4
