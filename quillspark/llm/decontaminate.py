@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import forget, lean, written
+from quillspark.llm.shared import by_place, forget, lean, quoted, written
 from quillspark.llm.text import owners, pieces, row_slices, text_bytes
 
 STRIDE = 64
@@ -354,12 +354,12 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     shards, each gives the keys (128 bits of the text) of the texts that leak, and one
     anti-join takes those away; no shard writes the corpus.
     """
-    rows, leaks, through = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text")), [], docs
+    rows, leaks, through = docs.select(F.struct(*quoted(docs.columns)).alias("row"), F.col("text").cast("string").alias("text")), [], docs
     rows = rows.select("row", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5(F.encode("text", "UTF-8"))))
     for only, _, index in indexes(items):
         if only:
             #: One shard: the texts go through it on their way, nothing is joined.
-            through = docs.mapInArrow(lean(_free_of(index, docs.columns.index("text"))), docs.schema)
+            through = by_place(docs).mapInArrow(lean(_free_of(index, docs.columns)), docs.schema)
         else:
             leaks.append(written(rows.select("key", "text").mapInArrow(lean(_keys_of_leaks(index)), "key binary").distinct(), "leaking-keys"))
     if not leaks:
@@ -378,10 +378,10 @@ def _leaking(index: ItemIndex, texts: pa.Array) -> np.ndarray:
     return marks
 
 
-def _free_of(index: ItemIndex, place: int):
+def _free_of(index: ItemIndex, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(~_leaking(index, batch.column(place))))
+            yield batch.filter(pa.array(~_leaking(index, batch.column(names.index("text"))))).rename_columns(names)
 
     return run
 

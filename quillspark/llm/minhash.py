@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import components
-from quillspark.llm.shared import forget, lean, row_key, written
+from quillspark.llm.shared import forget, lean, quoted, row_key, written
 from quillspark.llm.text import Words, digests, mix, owners, row_slices, text_bytes
 
 SHINGLE = 5
@@ -336,7 +336,7 @@ def deduplicated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     doc_id counts as larger than all; of rows that agree in id and text but differ in
     other columns any one stays. Columns of any name pass through, no rows give no rows.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.struct(*quoted(docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keys = _labelled(rows.select("doc_id", "text"), threshold).filter("head").select("rid").distinct()
     rows = rows.select("row", "doc_id", F.coalesce("text", F.lit("")).alias("text")).select("row", row_key().alias("rid")).join(keys, "rid", "left_semi").dropDuplicates(["rid"])
     return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -16,6 +16,8 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.llm.shared import quoted
+
 ROUNDS = 10
 #: Setting of the session that holds the key; without it the example key is taken, which anyone can read here.
 KEY_SETTING = "spark.quillspark.pii.key"
@@ -251,7 +253,7 @@ def with_pseudonyms(docs: DataFrame, key: str | None = None) -> DataFrame:
     Null and empty texts stay as they are, with their `n_chars`; repeated rows stay
     repeated, columns of any name pass through, no rows give no rows.
     """
-    rows = replaced(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text")), key)
+    rows = replaced(docs.select(F.struct(*quoted(docs.columns)).alias("row"), F.col("text").cast("string").alias("text")), key)
     fresh = {"text": F.col("_pii.text")}
     if "n_chars" in docs.columns:
         fresh["n_chars"] = F.when(F.col("_pii.n") > 0, F.char_length("_pii.text")).otherwise(F.col("row")["n_chars"]).cast(docs.schema["n_chars"].dataType)

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import give_back, forget, lean, written
+from quillspark.llm.shared import by_place, forget, give_back, lean, quoted, written
 from quillspark.llm.text import Prefix, Words, mix, owners, row_slices, text_bytes
 
 #: Bounds of the fit: rated rows, and features of all of them together (rows are left out from the end of the sample).
@@ -192,7 +192,7 @@ def score(docs: DataFrame, model: OrdinalModel, columns: list[str] | None = None
     any name pass through, a null doc_id stays null, no rows give no rows.
     """
     names = columns or ["doc_id"]
-    schema = docs.select(*names).schema
+    kept = docs.select(*quoted(names))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,12 +201,12 @@ def score(docs: DataFrame, model: OrdinalModel, columns: list[str] | None = None
             tails = np.concatenate(tails) if tails else np.zeros((0, len(model.thresholds)))
             at = tails[:, min(grade, tails.shape[1]) - 1]
             if columns:
-                yield batch.filter(pa.array(at >= tail))
+                yield batch.filter(pa.array(at >= tail)).rename_columns(names)
             else:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails.sum(1)), pa.array(at), pa.array(at >= tail)], names=["doc_id", "expected_grade", "tail_probability", "selected"])
 
     if columns:
-        return docs.select(*names).mapInArrow(lean(scored), schema)
+        return by_place(kept).mapInArrow(lean(scored), kept.schema)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(lean(scored), "doc_id long, expected_grade double, tail_probability double, selected boolean")
 

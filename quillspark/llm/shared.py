@@ -78,6 +78,16 @@ def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
     return run
 
 
+def quoted(names: list[str]) -> list[Column]:
+    """Top-level columns by their exact names, dots and backticks included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names]
+
+
+def by_place(df: DataFrame) -> DataFrame:
+    """`df` with names that hold no dots, which batch functions cannot take."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def row_key(doc: str = "doc_id", text: str = "text") -> Column:
     """128 bits of a row's id and text: rows that agree in both share it."""
     return F.unhex(F.md5(F.concat_ws(":", F.md5(F.encode(text, "UTF-8")), F.coalesce(F.col(doc).cast("string"), F.lit("null")))))

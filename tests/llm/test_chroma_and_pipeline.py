@@ -131,7 +131,7 @@ def test_pipeline_takes_effect_stage_by_stage(spark, tables):
 
 def test_stages_take_odd_rows(spark, tables):
     folder, _ = tables
-    docs = edge_frame(spark)
+    docs = edge_frame(spark).withColumnRenamed("row", "a.`b")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, folder)
         assert out.columns == docs.columns and out.count() <= docs.count()
