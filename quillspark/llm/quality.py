@@ -13,7 +13,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +22,8 @@ from quillspark.llm.text import Prefix, Words, mix, owners, row_slices, text_byt
 #: Bounds of the fit: rated rows, and features of all of them together (rows are left out from the end of the sample).
 TRAIN_ROWS, TRAIN_FEATURES = 12_000, 8_000_000
 DIMENSIONS = 1 << 17
-_PORTION = 1 << 20
+#: Features that the driver takes from the sample, and works on, at a time.
+_PORTION = 1 << 18
 #: A row is selected if the probability of this grade or a better one reaches TAIL.
 GRADE, TAIL = 1, 0.5
 
@@ -97,17 +97,19 @@ class OrdinalModel:
 def fit_cumulative_link(first: np.ndarray, buckets: np.ndarray, values: np.ndarray, grades: np.ndarray, n_grades: int, rounds: int = 150, rate: float = 0.08, ridge: float = 2e-4) -> OrdinalModel:
     """Maximum likelihood by Adam; thresholds are the first one and positive gaps, so they stay ordered.
 
-    Row i has features first[i]:first[i + 1]. Numbers are held in 32 bits and summed in
-    portions of _PORTION, as the driver fits.
+    Row i has features first[i]:first[i + 1]. The driver fits: it holds a bucket and a value
+    of 32 bits for each feature, and works on whole rows of about _PORTION features at a time.
+    `buckets` is overwritten: each becomes its number among those in use.
     """
-    n = len(grades)
+    n, parts = len(grades), [(i, j, slice(int(first[i]), int(first[j]))) for i, j in row_slices(first, _PORTION)]
     seen = np.zeros(DIMENSIONS, bool)
-    seen[buckets] = True
+    for _, _, some in parts:
+        seen[buckets[some]] = True
     used = np.flatnonzero(seen)
     place = np.zeros(DIMENSIONS, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
-    slot = place[buckets]
-    rows = np.repeat(np.arange(n, dtype=np.int32), np.diff(first))
+    for _, _, some in parts:
+        buckets[some] = place[buckets[some]]
     values = values.astype(np.float32, copy=False)
     share = np.array([(grades >= k).mean() for k in range(1, n_grades)]).clip(1e-3, 1 - 1e-3)
     start = np.maximum.accumulate(-np.log(share / (1 - share)) + 1e-2 * np.arange(n_grades - 1))
@@ -119,9 +121,8 @@ def fit_cumulative_link(first: np.ndarray, buckets: np.ndarray, values: np.ndarr
         w = theta[:d].astype(np.float32)
         cuts = np.concatenate([theta[d : d + 1], np.exp(theta[d + 1 :])]).cumsum()
         line = np.zeros(n)
-        for a in range(0, len(slot), _PORTION):
-            some = slice(a, a + _PORTION)
-            line += np.bincount(rows[some], w[slot[some]] * values[some], n)
+        for i, j, some in parts:
+            line[i:j] = np.bincount(np.repeat(every[: j - i], np.diff(first[i : j + 1])), w[buckets[some]] * values[some], j - i)
         upper = np.concatenate([np.ones((n, 1)), 1 / (1 + np.exp(np.clip(cuts - line[:, None], -50, 50))), np.zeros((n, 1))], 1)
         slope = upper * (1 - upper)
         p = np.maximum(upper[every, grades] - upper[every, grades + 1], 1e-9)
@@ -131,9 +132,8 @@ def fit_cumulative_link(first: np.ndarray, buckets: np.ndarray, values: np.ndarr
         d_cuts[every, grades + 1] += slope[every, grades + 1] / p
         back = d_cuts[:, 1:-1].mean(0)[::-1].cumsum()[::-1]
         g_w = np.zeros(d)
-        for a in range(0, len(slot), _PORTION):
-            some = slice(a, a + _PORTION)
-            g_w += np.bincount(slot[some], d_line[rows[some]] * values[some], d)
+        for i, j, some in parts:
+            g_w += np.bincount(buckets[some], np.repeat(d_line[i:j], np.diff(first[i : j + 1])) * values[some], d)
         g_w = g_w / n - ridge * theta[:d]
         g = np.concatenate([g_w, back[:1], back[1:] * np.exp(theta[d + 1 :])])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -172,17 +172,32 @@ def fit(docs: DataFrame, ratings: DataFrame, train_rows: int = TRAIN_ROWS) -> Or
     if len(over):
         h, doc = (sizes.column(c)[int(over[0])].as_py() for c in ("h", "doc_id"))
         sample = sample.filter(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id") < F.struct(F.lit(h).alias("h"), F.lit(doc).alias("doc_id")))
-    table = sample.orderBy("doc_id").toArrow()
-    forget(whole)
-    if not table.num_rows:
+    ids, size = (sizes.column(c).to_numpy()[: over[0] if len(over) else None] for c in ("doc_id", "n"))
+    if not len(ids):
+        forget(whole)
         return OrdinalModel(np.zeros(DIMENSIONS, np.float32), np.zeros(1))
-    first = np.concatenate([[0], np.cumsum(pc.list_value_length(table.column("buckets")).to_numpy())])
-    grades = table.column("grade").to_numpy().astype(np.int64)
-    buckets, values = (np.concatenate([x.flatten().to_numpy() for x in table.column(c).chunks]) for c in ("buckets", "values"))
-    #: The driver holds the sample once.
-    del table
+    by_id = np.argsort(ids)
+    first, buckets, values, grades = _collected(sample, ids[by_id], size[by_id])
+    forget(whole)
+    model = fit_cumulative_link(first, buckets, values, grades, max(2, int(grades.max()) + 1))
+    del buckets, values
     give_back()
-    return fit_cumulative_link(first, buckets, values, grades, max(2, int(grades.max()) + 1))
+    return model
+
+
+def _collected(sample: DataFrame, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, buckets, values, grades) of the rows with these rising ids and numbers of features, in their order.
+
+    The driver takes whole rows of about _PORTION features at a time, so it holds the sample once.
+    """
+    first = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    buckets, values, grades = np.zeros(first[-1], np.int32), np.zeros(first[-1], np.float32), np.zeros(len(ids), np.int64)
+    for i, j in row_slices(first, _PORTION):
+        rows = sample.filter(F.col("doc_id").between(int(ids[i]), int(ids[j - 1]))).toArrow().sort_by("doc_id")
+        grades[i:j] = rows.column("grade").to_numpy()
+        for name, out in (("buckets", buckets), ("values", values)):
+            out[first[i] : first[j]] = np.concatenate([x.flatten().to_numpy() for x in rows.column(name).chunks])
+    return first, buckets, values, grades
 
 
 def score(docs: DataFrame, model: OrdinalModel, columns: list[str] | None = None, grade: int = GRADE, tail: float = TAIL) -> DataFrame:

@@ -214,6 +214,24 @@ def test_the_sample_has_a_bound_in_features(spark, monkeypatch):
     assert seen[0] == 40 and 5 < seen[1] < 15
 
 
+def test_the_driver_holds_the_sample_once(spark, monkeypatch):
+    """Features come in portions that give the same model as all at once, and the fit needs little beside them."""
+    docs = spark.createDataFrame([(i, prose(i, 40)) for i in range(60)], "doc_id long, text string").repartition(3)
+    ratings = spark.createDataFrame([(i, i % 3) for i in range(0, 60, 2)], "doc_id long, grade int")
+    whole = quality.fit(docs, ratings)
+    monkeypatch.setattr(quality, "_PORTION", 300)
+    parts = quality.fit(docs, ratings)
+    assert np.allclose(whole.weights, parts.weights) and np.allclose(whole.thresholds, parts.thresholds)
+    monkeypatch.undo()
+    rng, n, each = np.random.default_rng(3), 4_000, 500
+    first, buckets, values = np.arange(n + 1) * each, rng.integers(0, quality.DIMENSIONS, n * each).astype(np.int32), rng.random(n * each).astype(np.float32)
+    tracemalloc.start()
+    quality.fit_cumulative_link(first, buckets, values, rng.integers(0, 3, n), 3, rounds=2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 24 << 20
+
+
 def test_quality_edge_cases(spark):
     docs = edge_frame(spark)
     none = spark.createDataFrame([(None, 1), (3, None)], "doc_id long, grade int")
