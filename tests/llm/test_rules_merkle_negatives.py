@@ -114,6 +114,39 @@ def test_threshold_loses_no_more_than_its_share():
     assert rules.calibrated(scores, np.zeros(5000, bool)) == math.inf
 
 
+def test_every_labelled_row_counts(spark):
+    """Of more labelled rows than any bound of old, some tree draws each, all good ones count in every tree, and the threshold is that of all good ones."""
+    n, rng = 20_000, np.random.default_rng(5)
+    letters = rng.integers(1, 9, (n, 60))
+    texts = [" ".join("abcdefgh"[:k] + str(j) * (1 + i % 3) for j, k in enumerate(row)) for i, row in enumerate(letters.tolist())]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    good = rng.random(n) < 0.9
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(good.tolist())], "doc_id long, quality int")
+    model = rules.fit(docs, labels)
+    x = rules.statistics(rules.count(pa.array(texts, pa.string())))
+    for (feature, _, length, _), leaf in list(zip(model.forest.trees, model.forest.leaves(x), strict=True))[::50]:
+        held = np.bincount(leaf[good], minlength=len(feature))
+        assert held.sum() == good.sum() and not held[feature >= 0].any()
+        depth = length - rules._expected_depth(held * rules.TREE_ROWS / n)
+        assert np.allclose(depth, depth.round()) and depth.round().max() <= rules.DEPTH
+    scores = model.forest.scores(x)
+    assert model.threshold == pytest.approx(rules.calibrated(scores, good), abs=1e-12)
+    known = rules.teachers(rules.counted(docs, "doc_id"), labels)
+    assert known.count() == n
+    taken = rules.drawn(known, n).select("tree", "doc_id", "place").toPandas().sort_values(["tree", "place"]).groupby("tree").head(rules.TREE_ROWS)
+    assert len(taken) == rules.TREES * rules.TREE_ROWS and taken.doc_id.nunique() == n
+
+
+def test_the_nth_highest_score_is_exact(spark):
+    rng = random.Random(6)
+    for scores in ([0.5], [0.25] * 40, [rng.random() for _ in range(3000)], [rng.choice((0.1, 0.1 + 2e-17, 0.3, 0.3 + 6e-17)) for _ in range(500)]):
+        rows = spark.createDataFrame([(x,) for x in scores], "score double")
+        down = sorted(scores, reverse=True)
+        for k in {1, len(down) // 3 + 1, len(down)}:
+            assert rules.nth_highest(rows, k) == down[k - 1]
+    assert rules.threshold(rows.limit(0)) == math.inf
+
+
 # Merkle manifest
 
 
